@@ -1,21 +1,63 @@
-"""The queries of the ten operators and of the pipeline, and the SQL of those that SQL can express."""
+"""The queries of the ten operators, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import fingerprints, licenses, mixing, pieces, private, quality, toxicity
 from .common import documents
 from .minhash import near_duplicates
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(documents(spark, sf_dir))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir)).select("doc_id", "canonical_sha256", "license_id")
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "topic", "n_tokens", "probability", "kept")
+
+
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(documents(spark, sf_dir))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("low_quality"), F.col("toxic").alias("insult"))
+    return toxicity.toxicity(documents(spark, sf_dir), labels, ["low_quality", "insult"]).select("doc_id", "p_low_quality", "p_insult", "toxic")
+
+
+def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.find_private(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op4_license_scan": op4_license_scan,
+    "op5_source_mixing": op5_source_mixing,
+    "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_toxicity": op7_toxicity,
+    "op8_private_data": op8_private_data,
+    "op9_quality_rules": op9_quality_rules,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_license_scan": licenses.SQL,
+    "op5_source_mixing": mixing.SQL,
+    "op9_quality_rules": quality.SQL,
+}
