@@ -144,7 +144,7 @@ def _quoted(text: str) -> str:
 
 
 SQL = f"""
-with known as (select sha256({_sql_canonical('column1')}) as digest, min(column0) as license_id from (values {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in KNOWN.items())}) group by 1),
+with known as (select sha256({_sql_canonical('body')}) as digest, min(id) as license_id from (values {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in KNOWN.items())}) as k(id, body) group by 1),
 d as (select doc_id, sha256({_sql_canonical("coalesce(text, '')")}) as canonical_sha256 from documents)
 select doc_id, canonical_sha256, license_id from d left join known on canonical_sha256 = digest
 """
