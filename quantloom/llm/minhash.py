@@ -8,8 +8,9 @@ positions differ in at most one position of some of the 16 chunks of four; the c
 out each of its positions in turn, so every pair under the distance shares one of 64 keys.
 
 A bucket is never expanded into its pairs. First each member is held against the bucket's least member, on full sets; that joins
-groups of copies of any size. Only buckets whose members then lie in different components are looked at again: their signatures
-are compared in place, and pairs of different components within the distance are confirmed on full sets.
+groups of copies of any size. Only buckets whose members then lie in different components are looked at again. Components with
+signatures within the distance get a common name, and all documents of one name are compared on full sets, by blocks, as a product
+of indicator matrices. Both steps give forests of links, never pairs.
 """
 
 from __future__ import annotations
@@ -23,14 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import U, cut, mix, seeds, shingle_hashes, word_hashes
-from .components import star_components
+from .components import connected_components, star_components
 
 WIDTH, SHARE = 5, (75, 100)
 POSITIONS, CHUNK, DISTANCE = 64, 4, 31
 #: Members of one star that one task compares with its centre.
 STAR = 256
-#: Members of a bucket that one task compares with each other or with as many others.
-BLOCK = 2048
+#: Signatures of a bucket, and texts of components that may be linked, that one task compares with each other or with as many others.
+BLOCK, TOGETHER = 2048, 512
 _A, _B = seeds(POSITIONS, 1000) | U(1), seeds(POSITIONS, 5000)
 
 SIGNED = "doc_id long, n_shingles long, node long, signature binary"
@@ -95,31 +96,66 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(out.reshape(-1)), pa.array(node)], ["key", "node"])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows of one (key, i, j) that lie in different components and within the distance; rows come sorted by these."""
+class _Union:
+    """Joins labels; ``root`` follows them."""
 
-    def pairs(rows: list[tuple]) -> set:
-        found = set()
-        key = np.array([r[0] for r in rows])
-        i, j, block = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
-        node, comp = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        path = []
+        while (y := self.up.get(x, x)) != x:
+            path.append(x)
+            x = y
+        for p in path:
+            self.up[p] = x
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True
+
+    def roots(self, xs: np.ndarray) -> np.ndarray:
+        each, back = np.unique(xs, return_inverse=True)
+        return np.array([self.root(x) for x in each.tolist()], dtype=np.int64)[back]
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["rep", "member"])
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, block, node, component, signature), sorted by the first three. Pairs of components that are within the
+    distance, as a forest: what earlier pairs of the batch have joined is not joined again."""
+
+    def joined(rows: list[tuple]) -> list[tuple[int, int]]:
+        found, union = [], _Union()
+        key, i, j, block = (np.array([r[k] for r in rows]) for k in range(4))
+        comp = np.array([r[5] for r in rows])
         sig = np.frombuffer(b"".join(r[6] for r in rows), dtype=np.uint16).reshape(len(rows), POSITIONS)
-        step = 1
-        while step < len(rows):
-            same = (key[step:] == key[:-step]) & (i[step:] == i[:-step]) & (j[step:] == j[:-step])
-            if not same.any():
-                break
-            at = np.flatnonzero(same & (comp[step:] != comp[:-step]) & ((i[step:] == j[step:]) | (block[step:] != block[:-step])))
+        new = np.append(np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, len(rows))
+        left = np.repeat(new, np.diff(new, prepend=0)) - np.arange(len(rows))  # rows to the end of the own group
+        now = comp.copy()
+        live, step = np.flatnonzero(left > 1), 1
+        while len(live):
+            other = live + step
+            at = live[(now[live] != now[other]) & ((i[live] == j[live]) | (block[live] != block[other]))]
+            merged = False
             for k in range(0, len(at), 65536):
-                a = at[k : k + 65536]
-                a = a[(sig[a] != sig[a + step]).sum(axis=1) <= DISTANCE]
-                found.update(zip(np.minimum(node[a], node[a + step]).tolist(), np.maximum(node[a], node[a + step]).tolist(), strict=True))
+                part = at[k : k + 65536]
+                for x in part[(sig[part] != sig[part + step]).sum(axis=1) <= DISTANCE].tolist():
+                    if union.join(int(comp[x]), int(comp[x + step])):
+                        found.append((int(comp[x]), int(comp[x + step])))
+                        merged = True
+            if merged:
+                now = union.roots(comp)
             step += 1
+            live = live[left[live] > step]
         return found
 
-    def out(found: set) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["rep", "member"])
-
     held: list[tuple] = []
     for batch in batches:
         held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
@@ -129,10 +165,76 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while at and held[at - 1][:3] == last:
                 at -= 1
             if at:
-                yield out(pairs(held[:at]))
+                yield _pairs(joined(held[:at]))
                 held = held[at:]
     if held:
-        yield out(pairs(held))
+        yield _pairs(joined(held))
+
+
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections, from a product of indicator matrices, a stretch of elements at a time."""
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    use = counts[ids] > 1
+    rank = np.cumsum(counts > 1) - 1
+    ids, owner = rank[ids[use]], owner[use]
+    order = np.argsort(ids, kind="stable")
+    ids, owner = ids[order], owner[order]
+    for at in range(0, int(ids[-1]) + 1 if len(ids) else 0, 4096):
+        a, b = np.searchsorted(ids, [at, at + 4096])
+        part = np.zeros((len(sets), 4096), dtype=np.float32)
+        part[owner[a:b], ids[a:b] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def _resolved(width: int, share: tuple[int, int]):
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        union, sets = _Union(), []
+        rows = [(r, s) for r, s in zip(rows, shingle_sets([r[6] for r in rows], width), strict=True) if node_of(s) == r[4]]
+        if not rows:
+            return []
+        sets = [s for _, s in rows]
+        i, j, block = rows[0][0][1], rows[0][0][2], np.array([r[3] for r, _ in rows])
+        comp, n = np.array([r[5] for r, _ in rows]), np.array([len(s) for s in sets])
+        both = shared(sets)
+        found = []
+        for x in range(len(rows)):
+            near = share[1] * both[x] >= share[0] * (n[x] + n - both[x])
+            near[: x + 1] = False
+            near &= comp != comp[x]
+            if i != j:
+                near &= block != block[x]
+            for y in np.flatnonzero(near).tolist():
+                if union.join(int(comp[x]), int(comp[y])):
+                    found.append((rows[x][0][4], rows[y][0][4]))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (close, i, j, block, node, component, text), sorted by the first three: the links of different components, as a forest."""
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][:3] != row[:3]:
+                    yield _pairs(links(held))
+                    held = []
+                held.append(row)
+        if held:
+            yield _pairs(links(held))
+
+    return run
+
+
+def _blocks(df: DataFrame, key: str, size: int) -> DataFrame:
+    """``df`` with block, i and j: groups of ``key`` in blocks of ``size`` nodes, and a copy of each row for every pair of blocks with its own."""
+    row = F.expr(f"row_number() over (partition by {key} order by node)") - 1
+    of = F.expr(f"count(*) over (partition by {key})")
+    return (
+        df.withColumn("block", F.floor(row / size).cast("int")).withColumn("blocks", F.ceil(of / size).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    )
 
 
 def _confirmed(width: int, share: tuple[int, int]):
@@ -201,19 +303,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: tuple[int, int]
     open_ = buckets.join(split.filter("rep_c <> member_c").select("rep", "member"), ["rep", "member"], "left_semi").select("key").distinct()
     left = buckets.join(open_, "key", "left_semi")
     left = left.select("key", F.col("member").alias("node")).union(left.select("key", F.col("rep").alias("node"))).distinct()
-    row = F.expr("row_number() over (partition by key order by node)") - 1
-    size = F.expr("count(*) over (partition by key)")
-    left = (
-        left.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        .withColumn("block", F.floor(row / BLOCK).cast("int")).withColumn("blocks", F.ceil(size / BLOCK).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-        .join(nodes.select("node", "signature"), "node").select("key", "i", "j", "block", "node", "component", "signature")
-    )
-    more = cut(left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "node").mapInArrow(_near, "rep long, member long").distinct())
-    if not more.isEmpty():
-        sure = sure.union(cut(confirm(more, nodes, docs, width, share)))
-        comp = cut(star_components(sure))
+    left = left.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    left = _blocks(left, "key", BLOCK).join(nodes.select("node", "signature"), "node").select("key", "i", "j", "block", "node", "component", "signature")
+    close = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "node").mapInArrow(_close, "rep long, member long")
+    close = cut(close.distinct())
+    if not close.isEmpty():
+        # components that may be linked, by a name that they share; all their nodes are compared on full sets
+        name = connected_components(close.select(F.col("rep").alias("u"), F.col("member").alias("v"))).select(F.col("node").alias("component"), F.col("component").alias("close"))
+        held = nodes.select("node", F.col("doc_id").alias("owner")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).join(name, "component")
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        held = _blocks(held, "close", TOGETHER).join(texts, F.col("owner").eqNullSafe(F.col("doc_id"))).select("close", "i", "j", "block", "node", "component", "text")
+        more = held.repartition("close", "i", "j").sortWithinPartitions("close", "i", "j", "block", "node").mapInArrow(_resolved(width, share), "rep long, member long")
+        comp = cut(star_components(sure.union(cut(more.distinct()))))
     ids = nodes.select("node", "doc_id").join(comp, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     ids = ids.join(ids.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("node", "component_id")
     out = signed.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
