@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, mixing, pieces, private, quality, substrings, toxicity
+from . import fingerprints, licenses, mixing, passages, pieces, private, quality, substrings, toxicity
 from .common import documents
 from .minhash import near_duplicates
 
@@ -20,6 +20,10 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_substrings(documents(spark, sf_dir))
 
 
+def op3_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(documents(spark, sf_dir))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(documents(spark, sf_dir)).select("doc_id", "canonical_sha256", "license_id")
 
@@ -52,6 +56,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_near_passages": op3_near_passages,
     "op4_license_scan": op4_license_scan,
     "op5_source_mixing": op5_source_mixing,
     "op6_document_fingerprints": op6_document_fingerprints,

@@ -216,7 +216,8 @@ class _Level:
         ends = np.cumsum([len(x) for x in starts])
         return self.result(row, copied, [p for p, _ in pairs], texts, [x[hit[e - len(x) : e]] for x, e in zip(starts, ends.tolist(), strict=True)])
 
-    def message(self, block: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    @staticmethod
+    def message(block: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["place", "block", "names", "twice"])
 
     def result(self, row: dict, copied: set[int], places: list[int], texts: list[np.ndarray], starts: list[np.ndarray]) -> pa.RecordBatch:
@@ -247,37 +248,51 @@ class _Level:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def repeated_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row of ``docs`` (doc_id, text; no other column is read).
+def pack(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
+    """The texts in blocks, with copied_at and first_at; the copies (block, k, digest, first); and how many ranges names are dealt to.
 
-    Texts are UTF-8 bytes, a null one is empty. A byte goes if it is covered by a string of ``length`` bytes (V or more) that also starts
-    anywhere else, in another row or the same. spans are start:end of the maximal runs that go. Rows that repeat lose everything, if
-    they are long enough; a row shorter than ``length`` loses nothing; an empty table gives an empty one; null ids are kept.
+    Blocks (block, ids, sizes, digests, held, data, copied_at, first_at) are written once to the shared folder, bucketed by block.
+    Of texts of ``least`` bytes or more that stand in several rows, one, at first_at, takes part; copied_at has all of them.
     """
-    if length < V:
-        raise ValueError(f"length has to be {V} or more")
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
-    packed = texts.mapInArrow(_packed(length, buckets), "block long, ids array<long>, sizes array<long>, digests array<binary>, held array<long>, data binary")
-    name = f"substrings_{uuid.uuid4().hex}"
+    packed = texts.mapInArrow(_packed(least, buckets), "block long, ids array<long>, sizes array<long>, digests array<binary>, held array<long>, data binary")
+    name = f"blocks_{uuid.uuid4().hex}"
     packed.write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").option("parquet.block.size", 16 << 20).bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
     blocks = spark.table(name)
     total = blocks.agg(F.sum(F.expr("aggregate(held, 0L, (a, x) -> a + x)"))).first()[0] or 0
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
-    ranges = (_Ranges(count, np.uint32), _Ranges(count, U))
+    rows = blocks.select("block", F.posexplode(F.arrays_zip("ids", "sizes", "digests", "held")).alias("k", "x")).filter(F.col("x.sizes") >= least)
+    rows = rows.select("block", "k", F.col("x.ids").alias("doc_id"), F.col("x.digests").alias("digest"), (F.col("x.held") > 0).alias("held"))
+    classes = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.when(F.col("held"), F.struct("block", "k", "doc_id"))).alias("of")).filter("n > 1")
+    is_first = (F.col("block") == F.col("of.block")) & (F.col("k") == F.col("of.k"))
+    copies = cut(rows.join(classes, "digest").select("block", "k", "doc_id", F.col("of.doc_id").alias("first_id"), is_first.alias("first")))
+    marks = copies.groupBy("block").agg(F.collect_list("k").alias("copied_at"), F.collect_list(F.when(F.col("first"), F.col("k"))).alias("first_at"))
+    return blocks.join(cut(marks), "block", "left"), copies, count
+
+
+def answered(sent: DataFrame, count: int, kind: type) -> DataFrame:
+    """(block, bits): for each block what came back for the names that it has sent (place, block, names, twice)."""
+    back = sent.repartition(count, "place").sortWithinPartitions("place").mapInArrow(_repeated(kind), "block long, place long, bits binary")
+    return cut(back.groupBy("block").agg(F.collect_list(F.struct("place", "bits")).alias("bits")))
+
 
-    # of texts that stand in several rows, one takes part
-    rows = blocks.select("block", F.posexplode(F.arrays_zip("sizes", "digests", "held")).alias("k", "x")).filter(F.col("x.sizes") >= length)
-    rows = rows.select("block", "k", F.col("x.digests").alias("digest"), (F.col("x.held") > 0).alias("held"))
-    classes = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.when(F.col("held"), F.struct("block", "k"))).alias("first")).filter("n > 1")
-    marks = rows.join(classes, "digest").groupBy("block").agg(F.collect_list("k").alias("copied_at"), F.collect_list(F.when(F.struct("block", "k") == F.col("first"), F.col("k"))).alias("first_at"))
-    state = blocks.join(cut(marks), "block", "left")
+def repeated_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row of ``docs`` (doc_id, text; no other column is read).
+
+    Texts are UTF-8 bytes, a null one is empty. A byte goes if it is covered by a string of ``length`` bytes (V or more) that also starts
+    anywhere else, in another row or the same. spans are start:end of the maximal runs that go. Rows that repeat lose everything, if
+    they are long enough; a row shorter than ``length`` loses nothing; an empty table gives an empty one; null ids are kept.
+    """
+    if length < V:
+        raise ValueError(f"length has to be {V} or more")
+    state, _, count = pack(docs, length)
+    ranges = (_Ranges(count, np.uint32), _Ranges(count, U))
     now = state.select("block", "held", "data", "copied_at", "first_at")
     for level, into in ((1, "one"), (2, "two")):
         sent = now.mapInArrow(_Level(length, level, *ranges), "place long, block long, names binary, twice binary")
-        back = sent.repartition(count, "place").sortWithinPartitions("place").mapInArrow(_repeated(ranges[level - 1].kind), "block long, place long, bits binary")
-        state = state.join(cut(back.groupBy("block").agg(F.collect_list(F.struct("place", "bits")).alias(into))), "block", "left")
+        state = state.join(answered(sent, count, ranges[level - 1].kind).withColumnRenamed("bits", into), "block", "left")
         now = state.select("block", "held", "data", "copied_at", "first_at", "one")
     now = state.select("block", "ids", "sizes", "digests", "held", "data", "copied_at", "first_at", "one", "two")
     return now.mapInArrow(_Level(length, 3, *ranges), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
