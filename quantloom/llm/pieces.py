@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
@@ -295,10 +295,8 @@ def digests(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     return df.select("doc_id", "n_pieces", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("_text", F.lit(""))).alias("round_trip"))
 
 
-def ids_array(spark: SparkSession, df: DataFrame, ids: str = "ids") -> DataFrame:
+def ids_array(df: DataFrame, ids: str = "ids") -> DataFrame:
     """``df`` with ``ids`` as an array of int."""
-    del spark
-
     def function(rows: list[bytes | None]) -> list[pa.Array]:
         sizes = np.cumsum([0, *(len(x or b"") // 4 for x in rows)]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.frombuffer(b"".join(x or b"" for x in rows), dtype="<i4")))]
