@@ -120,7 +120,8 @@ def adf(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     phi = f"try_divide({c['dz']} * {c['yy']} - {c['yz']} * {c['yd']}, {det})"
     rss = f"({c['zz']} - {rho} * {c['yz']} - {phi} * {c['dz']})"
     stat = f"try_divide({rho}, sqrt(try_divide({rss}, n_obs - 3) * try_divide({c['dd']}, {det})))"
-    m = m.withColumn("adf_stat", F.nanvl(F.expr(stat), F.lit(None).cast("double")))
+    # a filter on the result must not be pushed below, where it would repeat these expressions within each other
+    m = m.withColumn("adf_stat", F.when(F.monotonically_increasing_id() >= 0, F.nanvl(F.expr(stat), F.lit(None).cast("double"))))
     return m.select(*by, "adf_stat", p_value(F.col("adf_stat")).alias("p_value"), F.lit(1).alias("lags"), "n_obs", adf_critical(F.col("n_obs").cast("double")).alias("crit_5"))
 
 
