@@ -18,15 +18,26 @@ from pyspark.sql import functions as F
 
 #: At most so many labelled documents are fitted on: those that come first by a hash of their id.
 SAMPLE = 4000
-FOLDS, STEPS, RATE, RIDGE = 5, 120, 0.3, 2e-4
-#: Documents of the sample that a word must be in to be a feature.
-LEAST_IN = 4
+FOLDS, STEPS, RATE, RIDGE = 5, 300, 0.3, 5e-5
+#: Documents of the sample that a word must be in to be a feature, and how many deviations its documents' share of some category
+#: must be from the sample's.
+LEAST_IN, LEAST_Z = 5, 4.0
+
+#: Lengths of the stems that stand for all forms of a word.
+STEMS = (5, 7)
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    """A text's distinct words in lower case with their stems, and marks, which no word is like, of how varied they are and how much else there is."""
+    found = _WORD.findall(text.lower())
+    each = set(found)
+    for n in STEMS:
+        each |= {w[:n] + "~" for w in each if len(w) > n}
+    if found:
+        each |= {f"#varied{8 * len(each) // len(found)}", f"#letters{16 * sum(map(len, found)) // len(text)}", f"#size{len(found).bit_length()}"}
+    return each
 
 
 @dataclass
@@ -77,7 +88,15 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, n: int, m: int, extra: np.ndar
 def fit(found: list[list[str]], labels: np.ndarray, categories: list[str]) -> Chain:
     """found: each document's distinct words; labels: (documents, categories) of 0 and 1."""
     counts = Counter(w for ws in found for w in ws)
-    names = sorted(w for w, n in counts.items() if n >= LEAST_IN)
+    share = labels.mean(axis=0) if len(found) else np.zeros(len(categories))
+    hits = {w: np.zeros(len(categories)) for w, n in counts.items() if n >= LEAST_IN}
+    for ws, y in zip(found, labels, strict=True):
+        if y.any():
+            for w in ws:
+                if w in hits:
+                    hits[w] += y
+    spread = np.sqrt(np.maximum(share * (1 - share), 1e-9))
+    names = sorted(w for w, h in hits.items() if (np.abs(h - counts[w] * share) >= LEAST_Z * spread * counts[w] ** 0.5).any())
     ids = {w: k for k, w in enumerate(names)}
     pairs = [(r, ids[w]) for r, ws in enumerate(found) for w in ws if w in ids]
     rows, cols = (np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
