@@ -171,7 +171,7 @@ def fit(texts: list[str]) -> Model:
             w += 1.0 * ((target - p).T @ data / len(x) - 1e-3 * w)
     ratio = lambda m: np.log(m / m.sum()) - np.log(m.sum(axis=1, keepdims=True) / m.sum()) - np.log(m.sum(axis=0, keepdims=True) / m.sum())
     # repeated things are the same thing: what the sample has no case of, agreement decides
-    return Model(w, np.clip(ratio(chain), -2, 2), np.clip(ratio(skip), -4, 4) + 2.0 * np.eye(labels))
+    return Model(w, np.clip(ratio(chain), -2, 2), np.clip(ratio(skip), -4, 4) + 3.0 * np.eye(labels))
 
 
 def infer(text: str, base: list[Span], model: Model) -> list[Span]:

@@ -281,7 +281,8 @@ def test_fingerprint_likeness_is_generalised_jaccard(spark):
         a, b = words(80, 500 + k, 60), words(80, 500 + k, 60).split()[: 5 + k * 5 // 4] + words(90 - k * 3 // 2, 900 + k, 600).split()
         x, y = Counter(a.split()), Counter(b)
         want.append(sum(min(x[w], y[w]) for w in x | y) / sum(max(x[w], y[w]) for w in x | y))
-        docs += [(2 * k, a), (2 * k + 1, " ".join(b))]
+        # words of its own for each pair, or all pairs would share the same draws
+        docs += [(2 * k + j, " ".join(f"{w}_{k}" for w in t)) for j, t in ((0, a.split()), (1, b))]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     own = fingerprints.signatures(df, ["doc_id"], "text", 64)
     a, b = own.filter("doc_id % 2 = 0").select((F.col("doc_id") / 2).cast("long").alias("k"), F.col("signature").alias("a")), own.filter("doc_id % 2 = 1").select(F.floor(F.col("doc_id") / 2).alias("k"), F.col("signature").alias("b"))
