@@ -6,16 +6,20 @@ its least hash at c, so one row stands for all of them. Only windows that can ho
 length of text.
 
 Windows whose signature (hash function, shingle at c) occurs once in the corpus are dropped first, by sorting names in ranges. The
-others are joined by signature, each with the shingles around its c within its interval. Within a group, windows are held against the
-group's leaders: a window that matches no leader becomes one. A match is confirmed on the sets: there are passages of WORDS words
-around the two c with a Jaccard similarity of 0.75 or more. Two passages of that similarity share a signature under one hash function
-with a probability of 0.75 or more, and so under one of HASHES with 0.984; equal passages always do. No group is expanded into pairs:
-a group gives one link for each of its windows, to a leader.
+others are grouped by signature, each with the shingles around its c within its interval. A match of two windows is confirmed on the
+sets: there are passages of WORDS words or more, of the same length or not, that hold the two c and have a Jaccard similarity of 0.75
+or more. Two passages of that similarity share a signature under one hash function with a probability of 0.75 or more, and so under
+one of HASHES with 0.984; equal passages always do.
+
+Within a group, in blocks, windows are first held against the block's leaders: a window that matches no leader becomes one. Then all
+windows of a group that lie in different components, or of which one matches nothing so far, are held against each other, by pairs of
+blocks, so that no near pair of a group is left in two components. Only windows that have enough shingles in common are held
+against each other. No group is expanded into pairs of rows.
 """
 
 from __future__ import annotations
 
-import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +29,16 @@ from pyspark.sql import functions as F
 
 from .common import U, cut, mix, seeds, shingle_hashes, word_hashes
 from .components import star_components
+from .minhash import _Union
 from .substrings import _Level, _Ranges, _texts, answered, pack
 
 WORDS, WIDTH, HASHES = 50, 5, 3
 SHINGLES = WORDS - WIDTH + 1
 SHARE = (75, 100)
+#: Shingles to each side of a window's centre that are compared.
+SIDE = SHINGLES - 1
+#: Windows of one signature that one task compares with each other or with as many others.
+BLOCK = 2048
 _SEEDS = seeds(HASHES, 9000)
 
 
@@ -89,7 +98,7 @@ class _Windows:
                 continue
             short = s.astype(np.uint32)
             for (lo, c, hi), name in zip(got[mine].tolist(), own[mine].tolist(), strict=True):
-                a, b = max(lo, c - SHINGLES + 1), min(hi, c + SHINGLES - 1)
+                a, b = max(lo, c - SIDE), min(hi, c + SIDE)
                 # equal surroundings in one block are one row
                 _, docs, starts = held.setdefault((name, short[a : b + 1].tobytes()), (c - a, [], []))
                 docs.append(doc)
@@ -104,119 +113,235 @@ class _Windows:
         )
 
 
-def same_words(a: np.ndarray, ca: int, b: np.ndarray, cb: int) -> tuple[int, int, int] | None:
-    """As ``match``, for passages of the same words."""
+def same_words(a: np.ndarray, ca: int, b: np.ndarray, cb: int) -> tuple[int, int, int, int] | None:
+    """As ``match``, where all words around the centres are the same as far as both reach."""
     left, right = min(ca, cb), min(len(a) - ca, len(b) - cb)
-    if left + right < SHINGLES:
+    if left + right < SHINGLES or not np.array_equal(a[ca - left : ca + right], b[cb - left : cb + right]):
         return None
-    gaps = np.flatnonzero(a[ca - left : ca + right] != b[cb - left : cb + right])
-    k = int(gaps.searchsorted(left))
-    lo, hi = int(gaps[k - 1]) + 1 if k else 0, int(gaps[k]) if k < len(gaps) else left + right
-    return (ca - left + lo, cb - left + lo, hi - lo) if hi - lo >= SHINGLES else None
+    return ca - left, cb - left, left + right, left + right
 
 
-def match(a: np.ndarray, ca: int, b: np.ndarray, cb: int) -> tuple[int, int, int] | None:
-    """(start in a, start in b, shingles) of similar passages around the centres, or None."""
+def _firsts(x: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x), dtype=bool)
+    out[np.unique(x, return_index=True)[1]] = True
+    return out
+
+
+def _scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """[i, j]: how far the first i of x and the first j of y are above SHARE: (s + t) * common - s * (distinct of x + distinct of y)."""
+    one, other = _firsts(x), _firsts(y)
+    out = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int32)
+    same = (x[:, None] == y) & one[:, None] & other
+    np.cumsum(np.cumsum(same, axis=0, dtype=np.int32), axis=1, out=out[1:, 1:])
+    out *= SHARE[0] + SHARE[1]
+    out -= SHARE[0] * np.append(0, np.cumsum(one)).astype(np.int32)[:, None]
+    out -= SHARE[0] * np.append(0, np.cumsum(other)).astype(np.int32)
+    return out
+
+
+def match(a: np.ndarray, ca: int, b: np.ndarray, cb: int) -> tuple[int, int, int, int] | None:
+    """(start in a, start in b, shingles of a, shingles of b) of similar passages that hold the centres, or None.
+
+    The scores of what lies left of the centres and right of them add up, so all lengths on both sides are tried; of all, the highest.
+    Exact if no shingle of a passage stands again on the other side of its centre; a match is confirmed on the sets in any case.
+    """
     if (found := same_words(a, ca, b, cb)) is not None:
         return found
-    best = []
-    for x, y in ((a, b), (b, a)):
-        total = np.append(0, np.cumsum(np.isin(x, y)))
-        counts = total[SHINGLES:] - total[:-SHINGLES]
-        if not len(counts):
-            return None
-        start = int(counts.argmax())
-        if (SHARE[0] + SHARE[1]) * counts[start] < 2 * SHARE[0] * SHINGLES:  # equal sizes n with m in common: m / (2n - m)
-            return None
-        best.append(start)
-    p, q = set(a[best[0] : best[0] + SHINGLES].tolist()), set(b[best[1] : best[1] + SHINGLES].tolist())
-    both = len(p & q)
-    return (best[0], best[1], SHINGLES) if SHARE[1] * both >= SHARE[0] * (len(p) + len(q) - both) else None
-
-
-#: Places to each side of a window's centre that count, and how far an edit may move what follows it and still be seen at once.
-SIDE, MOVED = SHINGLES - 1, 3
-#: Shingles that a similar passage has in common with a leader's at the very same distance from the centre; fewer only if words were put in
-#: or left out that close to the centre, on both of its sides or at the passage's end.
-NEAR = 8
-
-
-class _Leaders:
-    """The leaders of one signature, as rows aligned at their centres, so that a window is held against all of them at once."""
+    left, right = _scores(a[:ca][::-1], b[:cb][::-1]), _scores(a[ca:], b[cb:])
+    # what the right sides have to add, the centres at least
+    p, q = (np.maximum(SHINGLES - np.arange(n), 1) for n in left.shape)
+    least_i, least_j = (int(np.searchsorted(-x, -(n - 1))) for x, n in zip((p, q), right.shape, strict=True))
+    if least_i >= len(p) or least_j >= len(q):
+        return None
+    best = np.maximum.accumulate(np.maximum.accumulate(right[::-1, ::-1], axis=0), axis=1)[::-1, ::-1]
+    total = left[least_i:, least_j:] + best[np.ix_(p[least_i:], q[least_j:])]
+    k = int(total.argmax())
+    if total.flat[k] < 0:
+        return None
+    i, j = k // total.shape[1] + least_i, k % total.shape[1] + least_j
+    rest = right[p[i] :, q[j] :]
+    k = int(rest.argmax())
+    n, m = k // rest.shape[1] + int(p[i]), k % rest.shape[1] + int(q[j])
+    x, y = set(a[ca - i : ca + n].tolist()), set(b[cb - j : cb + m].tolist())
+    both = len(x & y)
+    return (ca - i, cb - j, i + n, j + m) if SHARE[1] * both >= SHARE[0] * (len(x) + len(y) - both) else None
+
+
+def least_common(x: np.ndarray, centre: int) -> int:
+    """How many distinct shingles a window has in common with any other that has a similar passage, at least."""
+    firsts = _firsts(x)
+    few = SHINGLES
+    if not firsts.all():
+        seen: dict[int, int] = {}
+        before = np.empty(len(x), dtype=np.int64)
+        for k, v in enumerate(x.tolist()):
+            before[k] = seen.get(v, -1)
+            seen[v] = k
+        few = min(int((before[s : s + SHINGLES] < s).sum()) for s in range(max(0, centre - SHINGLES + 1), min(centre, len(x) - SHINGLES) + 1))
+    return -(-SHARE[0] * few // SHARE[1])
+
+
+class _Held:
+    """Windows of one signature by their shingles, so that a window is held only against those with enough of its own."""
 
     def __init__(self) -> None:
-        self.rows = np.zeros((4, 2 * (SIDE + MOVED) + 1), dtype=np.uint32)
-        self.held: list[tuple[np.ndarray, int, int, int]] = []
-        self.last = 0  # the leader that was matched last: rows come sorted, so that the next one is likely to match it too
-
-    def aligned(self, x: np.ndarray, centre: int) -> np.ndarray:
-        out = np.zeros(self.rows.shape[1], dtype=np.uint32)
-        at = SIDE + MOVED - centre
-        out[at : at + len(x)] = x
-        return out
-
-    def add(self, x: np.ndarray, centre: int, doc: int, start: int) -> None:
-        n = len(self.held)
-        if n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[n] = self.aligned(x, centre)
-        self.held.append((x, centre, doc, start))
-
-    def find(self, x: np.ndarray, centre: int) -> tuple[tuple, tuple] | None:
-        """(leader, match): a leader with a similar passage. Only those can match that have enough of the window's shingles at
-        about their places in some passage, which is counted for all of them together."""
-        if not self.held or len(x) < SHINGLES:
-            return None
-        y, cy, _, _ = self.held[self.last]
-        if (found := same_words(y, cy, x, centre)) is not None:
-            return self.held[self.last], found
-        own = self.aligned(x, centre)[MOVED:-MOVED]
-        own = np.where(own == 0, np.uint32(1), own)
-        width = 2 * SIDE + 1
-        same = self.rows[: len(self.held), MOVED : MOVED + width] == own
-        few = np.count_nonzero(same, axis=1) >= NEAR
-        if not few.any():
-            return None
-        few = np.flatnonzero(few)
-        rows, same = self.rows[few], same[few]
-        for k in range(2 * MOVED + 1):
-            if k != MOVED:
-                same |= rows[:, k : k + width] == own
-        total = np.zeros((len(rows), width + 1), dtype=np.int32)
-        np.cumsum(same, axis=1, out=total[:, 1:])
-        most = (total[:, SHINGLES:] - total[:, :-SHINGLES]).max(axis=1)
-        for k in few[(SHARE[0] + SHARE[1]) * most >= 2 * SHARE[0] * SHINGLES].tolist():
-            y, cy, _, _ = self.held[k]
-            if (found := match(y, cy, x, centre)) is not None:
-                self.last = k
-                return self.held[k], found
-        return None
+        self.at: dict[int, array] = {}
+        self.least: list[int] = []
+        self.rows: list[int] = []
+
+    def add(self, row: int, own: list[int], least: int) -> None:
+        k = len(self.rows)
+        for v in own:
+            if v in self.at:
+                self.at[v].append(k)
+            else:
+                self.at[v] = array("i", (k,))
+        self.rows.append(row)
+        self.least.append(least)
+
+    def near(self, own: list[int], least: int) -> list[int]:
+        """Rows that may match, those with the most in common first."""
+        places = [self.at[v] for v in own if v in self.at]
+        if len(places) < least:
+            return []
+        counts = np.bincount(np.concatenate([np.frombuffer(x, dtype=np.int32) for x in places]), minlength=len(self.rows))
+        some = np.flatnonzero(counts >= np.maximum(np.array(self.least), least))
+        return [self.rows[k] for k in some[np.argsort(-counts[some], kind="stable")].tolist()]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Runs of rows that are equal in the first ``keys`` columns."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[-1][:keys] != row[:keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(schema), schema.types, strict=True)], schema=schema)
+
+
+#: A window with the passage through which it is linked: with its leader's, a leader with itself. ``met``: it matches another one.
+_LED = pa.schema([
+    ("name", pa.int64()), ("block", pa.int32()), ("around", pa.binary()), ("centre", pa.int32()), ("docs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())),
+    ("lead", pa.bool_()), ("met", pa.bool_()), ("rep", pa.int64()), ("at", pa.int64()), ("off", pa.int64()), ("size", pa.int64()), ("length", pa.int64()),
+])
+LED = "name long, block int, around binary, centre int, docs array<long>, starts array<int>, lead boolean, met boolean, rep long, at long, off long, size long, length long"
+LINK = ("rep", "member", "at", "to", "size", "length")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (name, around, centre, docs, starts), sorted by name: links (rep, member) and each one's place, in shingles."""
-    name, leaders = None, _Leaders()
-    for batch in batches:
-        out: list[tuple[int, int, int, int, int]] = []
-        for n, around, centre, docs, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if n != name:
-                name, leaders = n, _Leaders()
+    """Rows (name, block, around, centre, docs, starts), sorted by the first three: the same with their links to the block's leaders."""
+    out: list[tuple] = []
+    for rows in _groups(batches, 2):
+        held, arrays, links, met, last = _Held(), [], [], [False] * len(rows), None
+        for k, (_, _, around, centre, docs, starts) in enumerate(rows):
             x = np.frombuffer(around, dtype=np.uint32)
-            if (got := leaders.find(x, centre)) is not None:
-                (_, _, other, start), found = got
-                out += [(other, d, start + found[0], s + found[1], found[2]) for d, s in zip(docs, starts, strict=True) if d != other or s + found[1] != start + found[0]]
-            elif len(x) >= SHINGLES:
-                leaders.add(x, centre, docs[0], starts[0])
-                out += [(docs[0], d, starts[0], s, len(x)) for d, s in zip(docs[1:], starts[1:], strict=True)]
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "member", "at", "to", "size"])
+            arrays.append(x)
+            found, y = None, None
+            # rows come sorted, so that the next one is likely to match the same leader
+            if last is not None and (found := same_words(arrays[last], rows[last][3], x, centre)) is not None:
+                y = last
+            else:
+                own, least = np.unique(x).tolist(), least_common(x, centre)
+                for y in held.near(own, least):
+                    if (found := match(arrays[y], rows[y][3], x, centre)) is not None:
+                        break
+            if found is not None:
+                last, met[k], met[y] = y, True, True
+                links.append((rows[y][4][0], rows[y][5][0] + found[0], *found[1:]))
+            else:
+                held.add(k, own, least)
+                met[k] = len(docs) > 1
+                links.append(None)
+        for row, x, link, m in zip(rows, arrays, links, met, strict=True):
+            out.append((*row, link is None, m, *(link[:2] if link else (row[4][0], row[5][0])), *((link[2], link[3], link[4]) if link else (0, len(x), len(x)))))
+        if len(out) >= 2048:
+            yield _batch(out, _LED)
+            out = []
+    yield _batch(out, _LED)
+
+
+_LINKS = pa.schema([(c, pa.int64()) for c in LINK])
+
+
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (name, i, j, block, around, centre, doc, start, lead, met, component), sorted by the first five: the links between windows
+    of different components, and those of windows that match none so far. Leaders of one block have been compared."""
+    out: list[tuple] = []
+    for rows in _groups(batches, 3):
+        union, (_, i, j, *_) = _Union(), rows[0]
+        sides, met = {b: _Held() for b in {i, j}}, [r[9] for r in rows]
+        arrays = [np.frombuffer(r[4], dtype=np.uint32) for r in rows]
+        for k, (_, _, _, block, _, centre, doc, start, lead, _, comp) in enumerate(rows):
+            x = arrays[k]
+            own, least = np.unique(x).tolist(), least_common(x, centre)
+            if i == j or block == j:
+                for y in sides[i].near(own, least):
+                    other = rows[y]
+                    if lead and other[8] and block == other[3] or met[k] and met[y] and union.root(comp) == union.root(other[10]):
+                        continue
+                    if (found := match(arrays[y], other[5], x, centre)) is not None:
+                        union.join(comp, other[10])
+                        met[k] = met[y] = True
+                        out.append((other[6], doc, other[7] + found[0], start + found[1], found[2], found[3]))
+            if block == i:
+                sides[i].add(k, own, least)
+        if len(out) >= 2048:
+            yield _batch(out, _LINKS)
+            out = []
+    yield _batch(out, _LINKS)
+
+
+def _led(rows: DataFrame) -> DataFrame:
+    """``rows`` in blocks of about BLOCK windows of one name, each with its links to its block's leaders."""
+    large = rows.groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
+    large = large.select("name", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(F.broadcast(cut(large)), "name", "left")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("around"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    rows = rows.select("name", "block", "around", "centre", "docs", "starts").repartition("name", "block").sortWithinPartitions("name", "block", "around")
+    return cut(rows.mapInArrow(_joined, LED))
+
+
+def _leader_links(led: DataFrame) -> DataFrame:
+    each = led.select("rep", "at", "off", "size", "length", F.explode(F.arrays_zip("docs", "starts")).alias("x"))
+    each = each.select("rep", F.col("x.docs").alias("member"), "at", (F.col("x.starts") + F.col("off")).alias("to"), "size", "length")
+    return each.filter("rep <> member or at <> to")
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    return links.select("rep", "member").filter("rep <> member")
+
+
+def _crossing_links(led: DataFrame, whole: DataFrame) -> DataFrame:
+    """The links that leaders do not show: of windows of one name in different components, or that match no leader."""
+    comp = star_components(cut(_stars(_leader_links(led)).union(whole).distinct()))
+    facts = led.select("name", "block", "lead", "met", F.col("docs")[0].alias("node")).join(comp, "node", "left")
+    facts = facts.groupBy("name").agg(
+        F.min(F.coalesce("component", "node")).alias("a"), F.max(F.coalesce("component", "node")).alias("b"), F.min("met").alias("all_met"),
+        F.min("lead").alias("all_lead"), (F.max("block") + 1).alias("blocks"),
+    )
+    # leaders of one block have been held against each other
+    names = cut(facts.filter("(a <> b or not all_met) and (blocks > 1 or not all_lead)").select("name", "blocks"))
+    left = led.select("name", "block", "around", "centre", F.col("docs")[0].alias("node"), F.col("starts")[0].alias("start"), "lead", "met").join(names, "name")
+    left = left.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    left = left.select("name", "i", "j", "block", "around", "centre", F.col("node").alias("doc"), "start", "lead", "met", "component")
+    left = left.repartition("name", "i", "j").sortWithinPartitions("name", "i", "j", "block", "around")
+    return cut(left.mapInArrow(_crossed, ", ".join(f"{c} long" for c in LINK)))
 
 
 def near_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id, n_links, n_dup_words, spans) for every row of ``docs`` (doc_id, text; no other column is read).
 
     component_id is the least doc_id that links lead to, n_links the number of other documents that a document is linked with as
-    leader or member, spans (start:end in words) its passages that stand again elsewhere, or in itself, and n_dup_words their words. A
+    leader or member, or across components (a count of confirmed links, not of all near pairs), spans (start:end in words) the passages
+    of these links, which stand again elsewhere, or in itself, and n_dup_words their words. A
     document without such passages is its own component with no links. Documents that are wholly equal, and have WORDS words or more,
     are linked, and their span is all of their words. A null or short text has no passage; a row without doc_id takes
     no part and has a null component; an empty table gives an empty one.
@@ -226,22 +351,25 @@ def near_passages(docs: DataFrame) -> DataFrame:
     now = state.select("block", "ids", "held", "data", "copied_at", "first_at")
     bits = answered(now.mapInArrow(_Windows(1, ranges), "place long, block long, names binary, twice binary"), count, np.uint32)
     rows = now.join(bits, "block", "left").mapInArrow(_Windows(2, ranges), "name long, around binary, centre int, docs array<long>, starts array<int>")
-    links = rows.repartition("name").sortWithinPartitions("name", "around").mapInArrow(_joined, "rep long, member long, at long, to long, size long")
-    links = cut(links)
-    places = links.select(F.col("rep").alias("doc_id"), F.col("at").alias("a"), "size").union(links.select(F.col("member").alias("doc_id"), F.col("to").alias("a"), "size"))
+    led = _led(rows)
+    # equal texts: copies of a text that has passages are linked with the one that took part
+    long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n"))
+    twins = copies.filter("doc_id is not null and first_id is not null").select("doc_id", "first_id").distinct()
+    whole = cut(twins.join(long.filter(F.col("n") >= WORDS).groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"))
+    twin_stars = whole.filter("doc_id <> first_id").select(F.col("first_id").alias("rep"), F.col("doc_id").alias("member"))
+    links = cut(_leader_links(led).union(_crossing_links(led, twin_stars)))
+    places = links.select(F.col("rep").alias("doc_id"), F.col("at").alias("a"), "size").union(links.select(F.col("member").alias("doc_id"), F.col("to").alias("a"), "length"))
     places = places.distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", (F.col("a") + F.col("size") + WIDTH - 1).alias("b")))).alias("p"))
     merged = F.expr(
         "aggregate(p, cast(array() as array<struct<a: bigint, b: bigint>>), (m, x) -> if(size(m) > 0 and x.a <= element_at(m, -1).b,"
         " concat(slice(m, 1, size(m) - 1), array(named_struct('a', element_at(m, -1).a, 'b', greatest(element_at(m, -1).b, x.b)))), concat(m, array(x))))"
     )
     spans = places.select("doc_id", merged.alias("m"))
-    # equal texts: copies of a text that has passages are linked with the one that took part
-    long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n"))
-    twins = copies.filter("doc_id is not null and first_id is not null").select("doc_id", "first_id").distinct()
-    whole = cut(twins.join(long.filter(F.col("n") >= WORDS).groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"))
-    stars = links.select("rep", "member").filter("rep <> member").union(whole.filter("doc_id <> first_id").select(F.col("first_id").alias("rep"), F.col("doc_id").alias("member")))
+    stars = _stars(links).union(twin_stars)
     stars = cut(stars.distinct())
-    comp = star_components(stars)
+    comp = cut(star_components(stars))
+    # a star's name is its rep, which need not be the least
+    comp = comp.join(comp.groupBy("component").agg(F.min("node").alias("least")), "component").select("node", F.col("least").alias("component"))
     ends = stars.select(F.col("rep").alias("doc_id")).union(stars.select(F.col("member").alias("doc_id")))
     n_links = ends.groupBy("doc_id").agg(F.count("*").alias("n_links"))
     told = spans.select("doc_id", F.expr("aggregate(m, 0L, (s, x) -> s + x.b - x.a)").alias("n_dup_words"), F.expr("array_join(transform(m, x -> concat(x.a, ':', x.b)), ',')").alias("spans"))

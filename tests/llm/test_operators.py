@@ -181,6 +181,41 @@ def test_clean_documents_have_no_passages(spark):
     assert passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_links > 0").count() == 0
 
 
+def test_windows_that_match_different_leaders_are_linked(spark):
+    """1 and 2 are not near each other, and 3 is near both."""
+    base = np.arange(1000, 1046, dtype=np.uint32)
+    one, two = base.copy(), base.copy()
+    one[:6], two[-6:] = range(6), range(10, 16)
+    rows = [(7, bytearray(x.tobytes()), 23, [k + 1], [0]) for k, x in enumerate((one, two, base))]
+    led = passages._led(spark.createDataFrame(rows, "name long, around binary, centre int, docs array<long>, starts array<int>"))
+    stars = passages._stars(passages._leader_links(led))
+    assert {(r.rep, r.member) for r in stars.collect()} == {(1, 3)}
+    more = passages._crossing_links(led, stars.limit(0))
+    assert {frozenset((r.rep, r.member)) for r in more.collect()} == {frozenset((2, 3))}
+
+
+def test_groups_of_many_blocks_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(passages, "BLOCK", 4)
+    rng, rows = np.random.default_rng(5), []
+    for k in range(40):
+        x = np.arange(1000 * (k % 3), 1000 * (k % 3) + 60, dtype=np.uint32)
+        x[30] = 7
+        at = rng.choice([a for a in range(60) if a != 30], rng.integers(0, 12), replace=False)
+        x[at] = 10_000 + 100 * k + np.arange(len(at))
+        rows.append((7, bytearray(x.tobytes()), 30, [k], [0]))
+    arrays = [np.frombuffer(r[1], dtype=np.uint32) for r in rows]
+    want = passages._Union()
+    for a in range(40):
+        for b in range(a):
+            if passages.match(arrays[a], 30, arrays[b], 30) is not None:
+                want.join(a, b)
+    led = passages._led(spark.createDataFrame(rows, "name long, around binary, centre int, docs array<long>, starts array<int>"))
+    got, stars = passages._Union(), passages._stars(passages._leader_links(led))
+    for r in stars.union(passages._stars(passages._crossing_links(led, stars.limit(0)))).collect():
+        got.join(r.rep, r.member)
+    assert [got.root(k) for k in range(40)] == [want.root(k) for k in range(40)]
+
+
 # --- pieces --------------------------------------------------------------------
 
 
