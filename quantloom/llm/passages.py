@@ -9,7 +9,7 @@ Windows whose signature (hash function, shingle at c) occurs once in the corpus
 others are grouped by signature, each with the shingles around its c within its interval. A match of two windows is confirmed on the
 sets: there are passages of WORDS words or more, of the same length or not, that hold the two c and have a Jaccard similarity of 0.75
 or more. Two passages of that similarity share a signature under one hash function with a probability of 0.75 or more, and so under
-one of HASHES with 0.984; equal passages always do.
+one of HASHES with 0.999; equal passages always do.
 
 Within a group, in blocks, windows are first held against the block's leaders: a window that matches no leader becomes one. Then all
 windows of a group that lie in different components, or of which one matches nothing so far, are held against each other, by pairs of
@@ -32,11 +32,13 @@ from .components import star_components
 from .minhash import _Union
 from .substrings import _Level, _Ranges, _texts, answered, pack
 
-WORDS, WIDTH, HASHES = 50, 5, 3
+WORDS, WIDTH, HASHES = 50, 5, 5
 SHINGLES = WORDS - WIDTH + 1
 SHARE = (75, 100)
-#: Shingles to each side of a window's centre that are compared.
-SIDE = SHINGLES - 1
+#: Shingles to each side of a window's centre that are compared. Longer similar passages hold similar ones that are not: at a shingle
+#: in common they part in two, of which one is similar, unless a part is under SHINGLES. If it is at every such shingle, there are
+#: at most 2 * SHINGLES, and so no more than 2 * SHINGLES / 0.75 in either passage.
+SIDE = 2 * SHINGLES * SHARE[1] // SHARE[0] - 1
 #: Windows of one signature that one task compares with each other or with as many others.
 BLOCK = 2048
 _SEEDS = seeds(HASHES, 9000)

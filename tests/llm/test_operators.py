@@ -216,6 +216,58 @@ def test_groups_of_many_blocks_against_brute_force(spark, monkeypatch):
     assert [got.root(k) for k in range(40)] == [want.root(k) for k in range(40)]
 
 
+def likeness_of_best_passages(a, b, centre_a, centre_b):
+    """Over all passages that hold the centres."""
+    best, n = 0.0, passages.SHINGLES
+    for i in range(centre_a + 1):
+        for j in range(max(centre_a + 1, i + n), len(a) + 1):
+            for k in range(centre_b + 1):
+                for m in range(max(centre_b + 1, k + n), len(b) + 1):
+                    x, y = set(a[i:j].tolist()), set(b[k:m].tolist())
+                    best = max(best, len(x & y) / len(x | y))
+    return best
+
+
+def test_a_match_is_found_at_any_length():
+    rng, kinds = random.Random(9), Counter()
+    for _ in range(12):
+        a = list(range(100, 152))
+        b, at = a[:], rng.randrange(52)
+        centre = rng.randrange(10, 42)
+        for k in range(rng.randrange(6, 14)):
+            if at != a[centre]:
+                b.insert(at, 500 + k)
+        for _ in range(rng.randrange(5)):
+            gone = rng.choice([v for v in b if v != a[centre]])
+            b.remove(gone)
+        cb = b.index(a[centre])
+        x, y = np.array(a, dtype=np.uint32), np.array(b[max(0, cb - 26) : cb + 26], dtype=np.uint32)
+        cy = y.tolist().index(a[centre])
+        near_ = likeness_of_best_passages(x, y, centre, cy) >= 0.75
+        kinds[near_] += 1
+        assert (passages.match(x, centre, y, cy) is not None) == near_
+    assert len(kinds) == 2
+
+
+def test_passages_with_words_put_in_and_left_out(spark):
+    rows, pairs = [], 0
+    for n, more, less in ((50, 3, 0), (50, 6, 0), (70, 6, 0), (80, 6, 0), (60, 0, 5), (64, 3, 2), (58, 4, 0), (100, 12, 0)):
+        for k in range(12):
+            seed = 1000 * n + 10 * k + more
+            a, rng = [f"p{pairs}_{w}" for w in words(n, seed, 5000).split()], random.Random(seed)
+            at = n // 2 if k % 2 else rng.randrange(6, n - 6)
+            b = a[:at] + [f"in{j}" for j in range(more)] + a[at + less :]
+            x, y = ({tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in (a, b))
+            assert len(x & y) >= 0.75 * len(x | y)
+            rows += [(2 * pairs, " ".join([*words(30, seed + 1, 10**6).split(), *a, *words(30, seed + 2, 10**6).split()]))]
+            rows += [(2 * pairs + 1, " ".join([*words(40, seed + 3, 10**6).split(), *b, *words(20, seed + 4, 10**6).split()]))]
+            pairs += 1
+    got = {r.doc_id: r.component_id for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # under five hash functions one pair in 1000 shares no signature at exactly 0.75
+    assert sum(got[2 * k + 1] != 2 * k for k in range(pairs)) <= 1
+    assert all(got[2 * k] == 2 * k for k in range(pairs))
+
+
 # --- pieces --------------------------------------------------------------------
 
 
