@@ -2,9 +2,10 @@
 
 The nodes of a document's field are its base spans, whose labels are known, and its other number-like and address-like spans.
 Neighbours in the text share a chain potential; distant spans with the same digits, or the same local part of an address, share a
-skip potential (each with its next such span, so that a span repeated n times has n-1 links). Loopy belief propagation then makes
-the labels of one thing agree across the document: a number that stands once as ``+1 (017) 555-7713`` is found again as
-``1 017 555 7713``. Weights are fitted on a bounded sample of documents, whose base spans are the labels.
+skip potential: each with a base span of the thing if there is one, however far, and else with its next such span, so that a span
+repeated n times has n-1 links. Belief propagation, in sweeps forward and backward along each run of neighbours and each chain of
+repeats until nothing changes, then makes the labels of one thing agree across the document: a number that stands once as
+``+1 (017) 555-7713`` is found again as ``1 017 555 7713``. Weights are fitted on a bounded sample of documents, whose base spans are the labels.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 #: Documents from which the weights are fitted: those with digits or @ that come first by a hash of their id.
 SAMPLE = 500
-#: Characters of a sampled document that are read for fitting.
-SAMPLE_CHARS = 20_000
-ROUNDS, SURE = 10, 0.9
+#: Messages are passed until no belief changes by SETTLED; a field whose loops never settle stops after MOST_ROUNDS sweeps over all of it.
+SETTLED, MOST_ROUNDS, SURE = 1e-6, 1000, 0.9
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -174,6 +174,36 @@ def fit(texts: list[str]) -> Model:
     return Model(w, np.clip(ratio(chain), -2, 2), np.clip(ratio(skip), -4, 4) + 3.0 * np.eye(labels))
 
 
+def chain_runs(links: list[tuple[int, int]]) -> list[list[int]]:
+    """The nodes of ``links``, each of which has at most one link from it and one to it, chain by chain."""
+    follows, inner = dict(links), {b for _, b in links}
+    out = []
+    for a in sorted(follows.keys() - inner):
+        run = [a]
+        while run[-1] in follows:
+            run.append(follows[run[-1]])
+        out.append(run)
+    return out
+
+
+def sent(source: np.ndarray, pot: np.ndarray) -> np.ndarray:
+    m = source[:, None] + pot
+    top = m.max(axis=0)
+    out = top + np.log(np.exp(m - top).sum(axis=0))
+    return out - out.max()
+
+
+def sweep(belief: np.ndarray, run: list[int], pot: np.ndarray, held: dict[tuple[int, int], np.ndarray], keep: float) -> None:
+    """Messages forward and then backward along one chain, exact on it given what its nodes get from elsewhere; ``belief`` follows."""
+    none = np.zeros(belief.shape[1])
+    for nodes, p in ((run, pot), (run[::-1], pot.T)):
+        for a, b in zip(nodes, nodes[1:], strict=False):
+            old = held.get((a, b), none)
+            new = keep * old + (1 - keep) * sent(belief[a] - held.get((b, a), none), p)
+            belief[b] += new - old
+            held[a, b] = new
+
+
 def infer(text: str, base: list[Span], model: Model) -> list[Span]:
     """Spans that the field adds: sure of their label, overlapping no base span."""
     open_ = candidates(text, base)
@@ -189,34 +219,36 @@ def infer(text: str, base: list[Span], model: Model) -> list[Span]:
         else:
             u = model.unary[:, features(text, n)].sum(axis=1)
             unary[k] = u - u.max()
-    edges, pots, seen = [], [], {}
+    links = [(k - 1, k) for k in range(1, len(nodes)) if nodes[k][1] - nodes[k - 1][2] <= 80]
+    groups: dict[str, list[int]] = {}
     for k, n in enumerate(nodes):
-        if k and n[1] - nodes[k - 1][2] <= 80:
-            edges.append((k - 1, k))
-            pots.append(model.chain)
         if (key := key_of(text, n)) is not None:
-            if key in seen:
-                edges.append((seen[key], k))
-                pots.append(model.skip)
-            seen[key] = k
-    belief = unary.copy()
-    if edges:
-        a, b = np.array(edges).T
-        pot = np.array(pots)
-        to_b, to_a = np.zeros((len(a), labels)), np.zeros((len(a), labels))
-
-        def sent(source: np.ndarray, back: np.ndarray, p: np.ndarray) -> np.ndarray:
-            m = (source - back)[:, :, None] + p
-            top = m.max(axis=1)
-            out = top + np.log(np.exp(m - top[:, None, :]).sum(axis=1))
-            return out - out.max(axis=1, keepdims=True)
-
-        for _ in range(ROUNDS):
-            new_b, new_a = sent(belief[a], to_a, pot), sent(belief[b], to_b, pot.transpose(0, 2, 1))
-            to_b, to_a = 0.5 * (to_b + new_b), 0.5 * (to_a + new_a)
-            belief = unary.copy()
-            np.add.at(belief, b, to_b)
-            np.add.at(belief, a, to_a)
+            groups.setdefault(key, []).append(k)
+    belief, skips = unary.copy(), []
+    for g in groups.values():
+        known = [k for k in g if nodes[k][0] != NONE]
+        if not known:
+            skips += zip(g, g[1:], strict=False)
+            continue
+        # what is known of a thing reaches each of its repeats directly: from the known span before, or else the first one
+        now = known[0]
+        for k in g:
+            if nodes[k][0] != NONE:
+                now = k
+            else:
+                belief[k] += sent(unary[now], model.skip)
+    # messages into the two ends of each link, by kind of link
+    kinds = [(chain_runs(links), model.chain, {}), (chain_runs(skips), model.skip, {})]
+    last = None
+    for step in range(MOST_ROUNDS):
+        # damped once it does not settle of itself
+        keep = 0.0 if step < 20 else 0.5
+        for runs, pot, held in kinds:
+            for run in runs:
+                sweep(belief, run, pot, held, keep)
+        if last is not None and np.abs(belief - last).max() < SETTLED:
+            break
+        last = belief.copy()
     p = np.exp(belief - belief.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
     out = []
@@ -232,8 +264,8 @@ def told(spans: list[Span]) -> str:
 
 
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` documents, each read up to SAMPLE_CHARS; the same rows give the same model."""
-    rows = docs.select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t"), F.xxhash64(key, text).alias("h"), F.col(key).alias("k")).filter(F.col("t").rlike("[0-9@]"))
+    """Fit on the whole texts of at most ``sample`` documents; the same rows give the same model."""
+    rows = docs.select(F.col(text).alias("t"), F.xxhash64(key, text).alias("h"), F.col(key).alias("k")).filter(F.col("t").rlike("[0-9@]"))
     return fit([r.t for r in rows.orderBy("h", "k").limit(sample).collect()])
 
 

@@ -407,6 +407,26 @@ def test_the_field_adds_what_repeats_and_keeps_the_base(spark, odd, none):
     assert private.find_private(none).count() == 0
 
 
+def test_the_field_reaches_every_repeat_of_a_long_document(spark):
+    model = private.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    fill = " ".join(f"word{chr(97 + k % 26)}" for k in range(40))
+    t = f"Call +1 (017) 555-7713 now. {fill} " + f" then 1 017 555 7713 once more. {fill} " * 50
+    base = private.base_spans(t)
+    added = private.infer(t, base, model)
+    assert len(base) == 1 and len(added) == 50 and {private.KINDS[k] for k, *_ in added} == {"phone"}
+    assert "7713" not in private.redact(t, base + added)
+    # the same where the repeats come first
+    t = f" then 1 017 555 7713 once more. {fill} " * 50 + "Call +1 (017) 555-7713 now."
+    assert len(private.infer(t, private.base_spans(t), model)) == 50
+
+
+def test_weights_are_fitted_on_whole_texts(spark):
+    tail = "x " * 15_000 + " ".join(f"a{k}@b.com or 12345{k:04d}" for k in range(30))
+    docs = spark.createDataFrame([(1, tail), (2, "7 b")], "doc_id long, text string")
+    got, want = private.train(docs), private.fit([tail, "7 b"])
+    assert np.allclose(got.unary, want.unary) and np.allclose(got.chain, want.chain)
+
+
 def test_toxicity_on_held_out_documents(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("low"), F.col("toxic").alias("bad"))
