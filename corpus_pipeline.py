@@ -36,7 +36,7 @@ def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose sources, languages and topics have their target weights."""
-    return mixing.mix(docs).filter("kept").select(*docs.columns)
+    return mixing.mix(docs, exact=True).filter("kept").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 Tokens are summed into cells of source, language and topic. Rounds of fitting scale the cells' weights until each margin has its
 target share. A document is kept with the probability budget * (fitted / observed) of its cell, at most 1, decided by a hash of its id.
+
+A cell whose probability is cut at 1 falls short of its weight. ``exact`` keeps the margins: it fits until they hold, and takes a
+smaller budget where the greatest factor is over 1 / budget, so that no cell is cut.
 """
 
 from __future__ import annotations
@@ -17,6 +20,9 @@ ALPHA = 0.7
 ROUNDS, BUDGET, SEED = 8, 0.5, "mix-1"
 #: Up to so many cells are fitted in one task and broadcast; more are fitted over all tasks and joined by shuffling.
 SMALL_CELLS = 20_000
+#: Exact fits end when no margin is off its target by TOLERANCE, or when WHILE more rounds bring it no closer: then the cells that occur
+#: cannot have the targets.
+TOLERANCE, WHILE = 1e-6, 32
 
 _TOPICS = (("notice", "icense"), ("contact", "@"), ("tabular", " | "))
 
@@ -31,11 +37,12 @@ def with_topic(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({"n_tokens": F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), "topic": topic})
 
 
-def fitted_cells(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
+def fitted_cells(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, budget: float = BUDGET, exact: bool = False) -> DataFrame:
     """(source, lang, topic, tokens, fitted, probability), a row a cell; a null value is the value ''.
 
     ``targets`` may give shares for values of a dimension; its other values share what is left, by tokens to the power ``alpha``.
-    Cells without tokens keep the factor 1. All margins' targets are over values that occur.
+    Cells without tokens keep the factor 1. All margins' targets are over values that occur. ``exact``: ``rounds`` at least, as many as
+    the margins need, and the budget at most 1 / the greatest factor.
     """
     cells = docs.groupBy(*(F.coalesce(F.col(d), F.lit("")).alias(d) for d in DIMENSIONS)).agg(F.sum("n_tokens").alias("tokens"))
     cells = cut(cells)
@@ -56,24 +63,42 @@ def fitted_cells(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     w = cells.coalesce(1) if count <= SMALL_CELLS else cells
     w = w.withColumn("fitted", F.col("tokens").cast("double") / (total or 1))
-    for i in range(rounds):
-        for d in DIMENSIONS:
-            w = w.withColumn("fitted", F.coalesce(F.expr(f"try_divide(fitted * _{d}, sum(fitted) over (partition by {d}))"), F.lit(0.0)))
-        if count > SMALL_CELLS and i % 3 == 2:
-            w = cut(w)
+    def fit(w: DataFrame, rounds: int) -> DataFrame:
+        for i in range(rounds):
+            for d in DIMENSIONS:
+                w = w.withColumn("fitted", F.coalesce(F.expr(f"try_divide(fitted * _{d}, sum(fitted) over (partition by {d}))"), F.lit(0.0)))
+            if count > SMALL_CELLS and i % 3 == 2:
+                w = cut(w)
+        return w
+
+    w = fit(w, rounds)
+    if exact:
+        w, least, since = cut(w), float("inf"), 0
+        while (off := _off(w)) > TOLERANCE and since < WHILE:
+            since = 0 if off < 0.99 * least else since + rounds
+            least = min(least, off)
+            w = cut(fit(w, rounds))
     factor = F.when(F.col("tokens") > 0, F.col("fitted") * (total or 1) / F.col("tokens")).otherwise(1.0)
+    if exact:
+        budget = min(budget, 1.0 / (w.agg(F.max(factor)).first()[0] or 1.0))
     w = w.withColumn("probability", F.round(F.least(F.lit(1.0), budget * factor), 9))
     return w.select(*DIMENSIONS, "tokens", "fitted", "probability")
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, budget: float = BUDGET, seed: str = SEED) -> DataFrame:
+def _off(cells: DataFrame) -> float:
+    """The most by which a margin is off its target."""
+    off = [cells.groupBy(d).agg(F.abs(F.sum("fitted") - F.first(f"_{d}")).alias("x")).agg(F.max("x")).first()[0] for d in DIMENSIONS]
+    return max((x for x in off if x is not None), default=0.0)
+
+
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, budget: float = BUDGET, seed: str = SEED, exact: bool = False) -> DataFrame:
     """``docs`` with n_tokens, topic, probability and kept.
 
     ``docs`` needs doc_id, text, source and lang; columns of the new names are replaced. A null text has no tokens; a null source or
     language counts as ''. Rows that repeat a doc_id in one cell are kept or not together; a null doc_id is decided as ''.
     """
     docs = with_topic(docs)
-    cells = cut(fitted_cells(docs, targets, alpha, rounds, budget))
+    cells = cut(fitted_cells(docs, targets, alpha, rounds, budget, exact))
     small = cells.count() <= SMALL_CELLS
     cells = cells.select(*(F.col(d).alias(f"_cell_{d}") for d in DIMENSIONS), "probability")
     on = [F.coalesce(F.col(d), F.lit("")) == F.col(f"_cell_{d}") for d in DIMENSIONS]

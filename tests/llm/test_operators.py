@@ -343,6 +343,23 @@ def test_mixing_meets_its_targets(spark, odd, none):
     assert mixing.mix(odd).count() == 17 and mixing.mix(none).count() == 0
 
 
+def test_kept_tokens_have_the_targets_where_factors_are_large(spark, odd, none):
+    """Sources of .60/.30/.09/.01, of which the small ones are lifted over twofold, and rare languages within them."""
+    rows = [(k, words(30 + k % 5, k % 50), "de" if k % 23 == 0 else "en", "a" if k % 100 < 60 else "b" if k % 100 < 90 else "c" if k % 100 < 99 else "d") for k in range(2000)]
+    docs = mixing.with_topic(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    cells = [r.asDict() for r in mixing.fitted_cells(docs, exact=True).collect()]
+    assert max(c["fitted"] * sum(x["tokens"] for x in cells) / c["tokens"] for c in cells) > 2
+    for d in mixing.DIMENSIONS:
+        tokens, kept = Counter(), Counter()
+        for c in cells:
+            tokens[c[d]] += c["tokens"]
+            kept[c[d]] += c["tokens"] * c["probability"]
+        powers = {v: x**mixing.ALPHA for v, x in tokens.items()}
+        for v in tokens:
+            assert kept[v] / sum(kept.values()) == pytest.approx(powers[v] / sum(powers.values()), abs=1e-5)
+    assert mixing.mix(odd, exact=True).count() == 17 and mixing.mix(none, exact=True).count() == 0
+
+
 def test_fingerprints(spark, odd, none):
     got = fingerprints.edited(odd).collect()
     rows = sorted(((r.doc_id, r.text or "") for r in odd.collect()), key=lambda x: (x[0] is None, -(x[0] or 0), [-ord(c) for c in x[1]] if x[0] is None else x[1]))
