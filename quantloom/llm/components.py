@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-
-def _smaller(df: DataFrame, key: str) -> DataFrame:
-    return df.groupBy(key).agg(F.min("v").alias("m"))
+#: Edges to a partition in the rounds. They shrink fast, and edges in a single partition are not shuffled.
+ROWS = 100_000
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
 
 
+def _held(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    edges = cut(edges)
+    state = _state(edges)
+    return edges.coalesce(max(1, -(-state[0] // ROWS))), state
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): for every node of ``edges`` (u, v, of one orderable type) the least node that it is linked with.
 
@@ -26,19 +31,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    e = cut(e)
-    before = _state(e)
+    e, before = _held(e)
     while before[0]:
         # large star: every greater neighbour of a node gets the least of the node's neighbourhood
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         # small star: every lesser neighbour of a node, and the node, get the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = cut(small.filter("u <> v").distinct())
-        after = _state(e)
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
+        e, after = _held(small.filter("u <> v").distinct())
         if after == before:
             break
         before = after
@@ -49,15 +52,15 @@ def star_components(stars: DataFrame) -> DataFrame:
     """As ``connected_components``, for edges (rep, member) of which a rep may have very many.
 
     Members are contracted first: a member's reps are linked with the least of them, so that only reps meet in the rounds,
-    and a rep with a third of all members is no hot key.
+    and a rep with a third of all members is no hot key. Tables that are joined by rep are written first, so that Spark may split what is skewed.
     """
-    stars = stars.filter("rep is not null and member is not null").distinct()
+    stars = cut(stars.filter("rep is not null and member is not null").distinct())
     least = stars.groupBy("member").agg(F.min("rep").alias("first"))
-    reps = stars.select(F.col("rep").alias("u"), F.col("rep").alias("v"))
+    reps = cut(stars.select(F.col("rep").alias("u")).distinct())
     # a rep can be a member of other stars too
     linked = stars.join(least, "member").select(F.col("rep").alias("u"), F.col("first").alias("v")).filter("u <> v")
-    own = least.join(reps.select("u").distinct(), F.col("member") == F.col("u"), "left_semi").select(F.col("member").alias("u"), F.col("first").alias("v"))
+    own = least.join(reps, F.col("member") == F.col("u"), "left_semi").select(F.col("member").alias("u"), F.col("first").alias("v"))
     comp = cut(connected_components(linked.union(own)).withColumnRenamed("component", "c"))
     member = least.join(comp.withColumnRenamed("node", "first"), "first", "left").select("member", F.coalesce("c", "first").alias("c"))
-    rep = reps.select(F.col("u").alias("node")).distinct().join(comp, "node", "left").select("node", F.coalesce("c", "node").alias("c"))
+    rep = reps.withColumnRenamed("u", "node").join(comp, "node", "left").select("node", F.coalesce("c", "node").alias("c"))
     return rep.union(member).groupBy("node").agg(F.min("c").alias("component"))

@@ -32,6 +32,8 @@ POSITIONS, CHUNK, DISTANCE = 64, 4, 31
 STAR = 256
 #: Signatures of a bucket, and texts of components that may be linked, that one task compares with each other or with as many others.
 BLOCK, TOGETHER = 2048, 512
+#: Shingles of such texts, which bounds a task's memory where texts are long.
+MOST_SHINGLES = 1 << 18
 _A, _B = seeds(POSITIONS, 1000) | U(1), seeds(POSITIONS, 5000)
 
 SIGNED = "doc_id long, n_shingles long, node long, signature binary"
@@ -226,12 +228,10 @@ def _resolved(width: int, share: tuple[int, int]):
     return run
 
 
-def _blocks(df: DataFrame, key: str, size: int) -> DataFrame:
-    """``df`` with block, i and j: groups of ``key`` in blocks of ``size`` nodes, and a copy of each row for every pair of blocks with its own."""
-    row = F.expr(f"row_number() over (partition by {key} order by node)") - 1
-    of = F.expr(f"count(*) over (partition by {key})")
+def _in_blocks(df: DataFrame) -> DataFrame:
+    """``df`` (node, blocks) with block, i and j: a copy of each row for every pair of blocks with its own."""
     return (
-        df.withColumn("block", F.floor(row / size).cast("int")).withColumn("blocks", F.ceil(of / size).cast("int"))
+        df.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     )
@@ -266,7 +266,8 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int = WI
 
     A star of any size is dealt to tasks in parts of about STAR members, each with a copy of its centre's text.
     """
-    sizes = pairs.groupBy("rep").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
+    # written first: then the join by rep has no aggregation in its stage, and Spark may split a star with very many members
+    sizes = cut(pairs.groupBy("rep").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts")))
     members = pairs.join(sizes, "rep").select("rep", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("salt"), F.col("member").alias("node"), F.lit(True).alias("follows"))
     centres = sizes.select("rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("rep").alias("node"), F.lit(False).alias("follows"))
     rows = members.union(centres).join(nodes.select("node", F.col("doc_id").alias("owner")), "node")
@@ -276,21 +277,14 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int = WI
     return dealt.mapInArrow(_confirmed(width, share), "rep long, member long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text; other columns are not read).
-
-    Words are the runs of other characters than space and \\t..\\r, with A-Z as a-z. Documents are linked when
-    share[1] * |A & B| >= share[0] * |A | B|; component_id is the least doc_id that can be reached, kept whether it is the own one.
-
-    A null text is an empty one; an empty set is linked with nothing. Rows that repeat a doc_id with an equal set get the same
-    answer, and stay or go together. A row without doc_id takes part, and is not kept if its component has a doc_id; alone, its
-    component_id is null and it is kept. An empty table gives an empty one. Shares under 0.75 need another DISTANCE.
-    """
+def _classes(docs: DataFrame, width: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """``signatures`` of all rows, and (node, doc_id, component) of their nodes, with the least doc_id of each."""
     signed = cut(signatures(docs, width))
-    nodes = cut(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")))
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
+    nodes = cut(nodes)
     keyed = nodes.select("node", "signature").mapInArrow(_keys, "key long, node long")
-    first = F.expr("first(node) over (partition by key order by node)")
-    buckets = cut(keyed.withColumn("rep", first).filter("rep <> node").select("key", "rep", F.col("node").alias("member")))
+    keys = cut(keyed.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1"))
+    buckets = cut(keyed.join(keys, "key").filter("rep <> node").select("key", "rep", F.col("node").alias("member")))
     stars = cut(buckets.select("rep", "member").distinct())
     sure = cut(confirm(stars, nodes, docs, width, share))
     comp = cut(star_components(sure))
@@ -301,22 +295,64 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: tuple[int, int]
         .withColumn("rep_c", F.coalesce("rep_c", "rep")).withColumn("member_c", F.coalesce("member_c", "member"))
     )
     open_ = buckets.join(split.filter("rep_c <> member_c").select("rep", "member"), ["rep", "member"], "left_semi").select("key").distinct()
-    left = buckets.join(open_, "key", "left_semi")
-    left = left.select("key", F.col("member").alias("node")).union(left.select("key", F.col("rep").alias("node"))).distinct()
-    left = left.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    left = _blocks(left, "key", BLOCK).join(nodes.select("node", "signature"), "node").select("key", "i", "j", "block", "node", "component", "signature")
+    open_ = cut(open_.join(keys, "key").select("key", "rep", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    left = buckets.join(open_.select("key", "blocks"), "key").select("key", F.col("member").alias("node"), "blocks").union(open_.select("key", F.col("rep").alias("node"), "blocks"))
+    left = _in_blocks(left).join(nodes.select("node", "signature"), "node").join(comp, "node", "left")
+    left = left.select("key", "i", "j", "block", "node", F.coalesce("component", "node").alias("component"), "signature")
     close = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "node").mapInArrow(_close, "rep long, member long")
     close = cut(close.distinct())
     if not close.isEmpty():
-        # components that may be linked, by a name that they share; all their nodes are compared on full sets
-        name = connected_components(close.select(F.col("rep").alias("u"), F.col("member").alias("v"))).select(F.col("node").alias("component"), F.col("component").alias("close"))
-        held = nodes.select("node", F.col("doc_id").alias("owner")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).join(name, "component")
+        # components that may be linked, by a name that they share; all their nodes are compared on full sets, by blocks of bounded size
+        name = cut(connected_components(close.select(F.col("rep").alias("u"), F.col("member").alias("v"))).select(F.col("node").alias("component"), F.col("component").alias("close")))
+        held = nodes.select("node", F.col("doc_id").alias("owner"), "n_shingles").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).join(name, "component")
+        held = cut(held)
+        sizes = held.groupBy("close").agg(F.greatest(F.ceil(F.count("*") / TOGETHER), F.ceil(F.sum("n_shingles") / MOST_SHINGLES)).cast("int").alias("blocks"))
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        held = _blocks(held, "close", TOGETHER).join(texts, F.col("owner").eqNullSafe(F.col("doc_id"))).select("close", "i", "j", "block", "node", "component", "text")
+        held = _in_blocks(held.join(cut(sizes), "close")).join(texts, F.col("owner").eqNullSafe(F.col("doc_id"))).select("close", "i", "j", "block", "node", "component", "text")
         more = held.repartition("close", "i", "j").sortWithinPartitions("close", "i", "j", "block", "node").mapInArrow(_resolved(width, share), "rep long, member long")
         comp = cut(star_components(sure.union(cut(more.distinct()))))
-    ids = nodes.select("node", "doc_id").join(comp, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    ids = ids.join(ids.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("node", "component_id")
+    return signed, cut(nodes.select("node", "doc_id").join(comp, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")))
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text; other columns are not read).
+
+    Words are the runs of other characters than space and \\t..\\r, with A-Z as a-z. Documents are linked when
+    share[1] * |A & B| >= share[0] * |A | B|; component_id is the least doc_id that can be reached, kept whether it is the own one.
+
+    A null text is an empty one; an empty set is linked with nothing. Rows that repeat a doc_id with an equal set get the same
+    answer, and stay or go together. A row without doc_id takes part, and is not kept if its component has a doc_id; alone, its
+    component_id is null and it is kept. An empty table gives an empty one. Shares under 0.75 need another DISTANCE.
+    """
+    signed, ids = _classes(docs, width, share)
+    least = cut(ids.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    ids = ids.join(least, "component").select("node", "component_id")
     out = signed.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
+    """The rows of ``docs`` of which one stays for each group of near-duplicates, with all their columns.
+
+    The row with the least doc_id stays; of several rows with that id, those of one set, and of these one. A group of which no row has a
+    doc_id keeps one row too. A row without words is in no group, and stays. An empty table gives an empty one.
+    """
+    from .pieces import _added
+
+    def node(texts: list[str | None]) -> list[pa.Array]:
+        with np.errstate(over="ignore"):
+            return [pa.array([node_of(s) for s in shingle_sets(texts, width)], pa.int64())]
+
+    _, ids = _classes(docs, width, share)
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "node")).alias("x"))
+    first = cut(first.select(F.col("x.no_id").alias("_q_no_id"), F.col("x.id").alias("_q_id"), F.col("x.node").alias("_q_node"), F.lit(True).alias("_q_kept")))
+    rows = _added(docs.withColumn("_q_text", F.col("text").cast("string")), "_q_node long", "_q_text", node)
+    # rows are dealt by id and set, so that copies are not dealt to one task; those without a set have each a number of their own
+    rows = rows.withColumns({
+        "_q_no_id": F.col("doc_id").isNull(), "_q_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+        "_q_alone": F.col("_q_node").isNull(), "_q_node": F.coalesce("_q_node", F.monotonically_increasing_id()),
+    })
+    on = ["_q_no_id", "_q_id", "_q_node"]
+    kept = rows.join(first, on, "left").filter("_q_alone or _q_kept")
+    return kept.dropDuplicates([*on, "_q_alone"]).select(*docs.columns)

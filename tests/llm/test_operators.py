@@ -101,6 +101,34 @@ def test_minhash_joins_chains_and_groups_that_share_no_centre(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == components(rows)
 
 
+def test_of_each_group_one_row_stays(spark, odd, none):
+    rows = minhash.deduplicated(odd)
+    assert rows.columns == odd.columns
+    got = Counter((r.doc_id, r.text) for r in rows.collect())
+    want = Counter()
+    texts = [(i, t) for i, t, *_ in odd_rows()]
+    for i, t in sorted(texts, key=lambda x: (x[0] is None, x[0] or 0)):
+        w = split(t)
+        if not w:
+            want[i, t] += 1
+        elif i in (1, 9, 10, 11, 12, 15) or i == 7 or i is None:
+            want[i, t] += 1
+    assert got == want
+    assert minhash.deduplicated(none).collect() == []
+    twice = spark.createDataFrame([(None, BASE), (None, BASE), (5, PASSAGE), (5, PASSAGE), (5, words(80, 9)), (4, near(words(80, 9), 60)), (None, PASSAGE)], "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text[:20]) for r in minhash.deduplicated(twice).collect()) == sorted(
+        [(True, 0, BASE[:20]), (False, 5, PASSAGE[:20]), (False, 4, words(80, 9)[:20])]
+    )
+
+
+def test_long_texts_are_compared_in_blocks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "MOST_SHINGLES", 200)
+    monkeypatch.setattr(minhash, "TOGETHER", 2)
+    rows = [(i, " ".join(BASE.split()[i * 2 :] + words(i * 2, 40 + i).split())) for i in range(12)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == components(rows)
+
+
 def test_intersections_by_matrix():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 30).astype(np.uint64)) for _ in range(9)]
