@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,11 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
 
 
-def _held(edges: DataFrame) -> tuple[DataFrame, tuple]:
+def _held(edges: DataFrame) -> tuple[DataFrame, tuple, Callable]:
+    """Written; its state; and how to join what is grouped from it, which is broadcast if it has at most ROWS rows."""
     edges = cut(edges)
     state = _state(edges)
-    return edges.coalesce(max(1, -(-state[0] // ROWS))), state
+    return edges.coalesce(max(1, -(-state[0] // ROWS))), state, F.broadcast if state[0] <= ROWS else lambda df: df
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -31,17 +34,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    e, before = _held(e)
+    e, before, small = _held(e)
     while before[0]:
         # large star: every greater neighbour of a node gets the least of the node's neighbourhood
         both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(small(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         # small star: every lesser neighbour of a node, and the node, get the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        e, after = _held(small.filter("u <> v").distinct())
+        linked = large.join(small(least), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
+        e, after, small = _held(linked.filter("u <> v").distinct())
         if after == before:
             break
         before = after
