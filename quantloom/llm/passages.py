@@ -5,16 +5,18 @@ tree over a text's shingle hashes gives the compact windows (l, c, r): every run
 its least hash at c, so one row stands for all of them. Only windows that can hold a passage are made, about two for each passage
 length of text.
 
-Windows whose signature (hash function, shingle at c) occurs once in the corpus are dropped first, by sorting names in ranges. The
-others are grouped by signature, each with the shingles around its c within its interval. A match of two windows is confirmed on the
-sets: there are passages of WORDS words or more, of the same length or not, that hold the two c and have a Jaccard similarity of 0.75
-or more. Two passages of that similarity share a signature under one hash function with a probability of 0.75 or more, and so under
-one of HASHES with 0.999; equal passages always do.
-
-Within a group, in blocks, windows are first held against the block's leaders: a window that matches no leader becomes one. Then all
-windows of a group that lie in different components, or of which one matches nothing so far, are held against each other, by pairs of
-blocks, so that no near pair of a group is left in two components. Only windows that have enough shingles in common are held
-against each other. No group is expanded into pairs of rows.
+Windows whose signature (hash function, shingle at c) occurs once in the corpus are dropped first, by sorting names in ranges. Two
+passages of that similarity share a signature under one hash function with a probability of 0.75 or more, and so under one of HASHES
+with 0.999; equal passages always do.
+
+The intervals of one signature are joined with the signature's least one, its leader's, and the matches of two documents are taken
+together, so that a pair of documents is verified once however many windows it shares. Around each match the shingles are compared in
+place, which finds the passages with words replaced, as long as they are; where that finds nothing, all lengths on both sides are tried,
+which finds those with words put in or left out. A passage pair is confirmed on the sets.
+
+Windows that remain in a passage of no match, or whose signature's documents lie in different components, are then held against all
+others of their signature, by pairs of blocks, so that no near pair of a group is left in two components. Only windows that have enough
+shingles in common are held against each other. No group is expanded into pairs of rows.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +43,8 @@ SHARE = (75, 100)
 #: in common they part in two, of which one is similar, unless a part is under SHINGLES. If it is at every such shingle, there are
 #: at most 2 * SHINGLES, and so no more than 2 * SHINGLES / 0.75 in either passage.
 SIDE = 2 * SHINGLES * SHARE[1] // SHARE[0] - 1
-#: Windows of one signature that one task compares with each other or with as many others.
-BLOCK = 2048
+#: Documents of one leader that one task verifies; windows of one signature that one task compares with each other or with as many others.
+STAR, BLOCK = 256, 2048
 _SEEDS = seeds(HASHES, 9000)
 
 
@@ -90,29 +94,25 @@ class _Windows:
         if self.level == 1:
             return _Level.message(row["block"], list(self.ranges.sent(names, mix(names))))
         hit = self.ranges.hits(names, mix(names), {x["place"]: x["bits"] for x in row["bits"] or []})
-        held: dict[tuple[int, bytes], tuple[int, list[int], list[int]]] = {}
-        at = 0
-        for (place, _), s, (got, own) in zip(pairs, shingles, made, strict=True):
+        out_names, docs, texts_, centres, at = [], [], [], [], 0
+        for (place, text), (got, own) in zip(pairs, made, strict=True):
             mine = hit[at : at + len(own)]
             at += len(own)
             doc = row["ids"][place]
-            if doc is None:
+            if doc is None or not mine.any():
                 continue
-            short = s.astype(np.uint32)
-            for (lo, c, hi), name in zip(got[mine].tolist(), own[mine].tolist(), strict=True):
-                a, b = max(lo, c - SIDE), min(hi, c + SIDE)
-                # equal surroundings in one block are one row
-                _, docs, starts = held.setdefault((name, short[a : b + 1].tobytes()), (c - a, [], []))
-                docs.append(doc)
-                starts.append(a)
-        keys, rest = list(held), list(held.values())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.array([k for k, _ in keys], dtype=U).view(np.int64)), pa.array([c for _, c in keys], pa.binary()), pa.array([x[0] for x in rest], pa.int32()),
-                pa.array([x[1] for x in rest], pa.list_(pa.int64())), pa.array([x[2] for x in rest], pa.list_(pa.int32())),
-            ],
-            ["name", "around", "centre", "docs", "starts"],
-        )
+            out_names.append(own[mine].view(np.int64))
+            centres.append(got[mine, 1].astype(np.int32))
+            docs.append(np.full(int(mine.sum()), doc, dtype=np.int64))
+            texts_.append(np.full(int(mine.sum()), text_hash(text.tobytes()), dtype=np.int64))
+        joined = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0, kind))
+        return pa.RecordBatch.from_arrays([joined(out_names, np.int64), joined(docs, np.int64), joined(texts_, np.int64), joined(centres, np.int32)], ["name", "doc", "body", "c"])
+
+
+def text_hash(data: bytes) -> int:
+    """What Spark's xxhash64 makes of a string."""
+    h = xxhash.xxh64_intdigest(data, seed=42)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def same_words(a: np.ndarray, ca: int, b: np.ndarray, cb: int) -> tuple[int, int, int, int] | None:
@@ -183,6 +183,111 @@ def least_common(x: np.ndarray, centre: int) -> int:
     return -(-SHARE[0] * few // SHARE[1])
 
 
+def aligned(a: np.ndarray, b: np.ndarray, shift: int, first: int, last: int) -> list[tuple[int, int, int, int]]:
+    """As ``match``, of passages with words in the same places, b's ``shift`` after a's, from ``first`` to ``last`` in a: enough of them to cover all."""
+    lo, hi = max(first, 0, -shift), min(last, len(a), len(b) - shift)
+    if hi - lo < SHINGLES:
+        return []
+    # with m of n in common in place, (m, 2n - m) have the share where the steps sum to 0 or more
+    score = np.zeros(hi - lo + 1, dtype=np.int64)
+    np.cumsum(np.where(a[lo:hi] == b[lo + shift : hi + shift], SHARE[1] - SHARE[0], -2 * SHARE[0]), out=score[1:])
+    most = np.maximum.accumulate(score[::-1])
+    far = hi - lo - np.searchsorted(most, score, side="left")  # the last end for each start
+    starts = np.flatnonzero(far - np.arange(hi - lo + 1) >= SHINGLES)
+    out, end, k = [], -1, 0
+    if len(starts):
+        reach = np.maximum.accumulate(far[starts])
+        while True:
+            j = int(np.searchsorted(starts, end, side="right")) - 1
+            if j >= 0 and reach[j] > end:
+                k = int(np.searchsorted(reach, reach[j]))
+            elif j + 1 < len(starts):
+                k = j + 1
+            else:
+                break
+            x, end = int(starts[k]), int(far[starts[k]])
+            out.append((lo + x, lo + x + shift, end - x, end - x))
+    return [p for p in out if alike(a[p[0] : p[0] + p[2]], b[p[1] : p[1] + p[3]])]
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    x, y = np.unique(x), np.unique(y)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return SHARE[1] * both >= SHARE[0] * (len(x) + len(y) - both)
+
+
+def verified(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
+    """Similar passages of two texts (start in a, start in b, shingles of a, of b) about matches at ``ca`` and ``cb``; which matches lie in one."""
+    found: list[tuple[int, int, int, int]] = []
+    inside = np.zeros(len(ca), dtype=bool)
+    shift = cb.astype(np.int64) - ca
+    order = np.lexsort((ca, shift))
+    new = (np.diff(shift[order], prepend=shift[order[0]] - 1) != 0) | (np.diff(ca[order], prepend=0) > 2 * SIDE)
+    cuts = np.append(np.flatnonzero(new), len(order))
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        run = order[x:y]
+        got = aligned(a, b, int(shift[run[0]]), int(ca[run[0]]) - SIDE, int(ca[run[-1]]) + SIDE + 1)
+        for p in got:
+            inside[run] |= (ca[run] >= p[0]) & (ca[run] < p[0] + p[2])
+        found += got
+    for k in np.flatnonzero(~inside).tolist():
+        i, j = int(ca[k]), int(cb[k])
+        if any(p[0] <= i < p[0] + p[2] and p[1] <= j < p[1] + p[3] for p in found):
+            inside[k] = True
+            continue
+        la, lb = max(0, i - SIDE), max(0, j - SIDE)
+        x, y = a[la : i + SIDE + 1], b[lb : j + SIDE + 1]
+        if len(x) < SHINGLES or len(y) < SHINGLES:
+            continue
+        both = len(np.intersect1d(x, y))
+        if both < -(-SHARE[0] * SHINGLES // SHARE[1]) and both < max(least_common(x, i - la), least_common(y, j - lb)):
+            continue
+        p = match(x, i - la, y, j - lb)
+        if p is not None:
+            found.append((p[0] + la, p[1] + lb, p[2], p[3]))
+            inside[k] = True
+    return found, inside
+
+
+def _lists(column: pa.ListArray) -> Iterator[tuple[np.ndarray, ...] | None]:
+    """The fields of each row's list of structs."""
+    flat, ends = column.flatten(), np.cumsum([0, *(n or 0 for n in pa.compute.list_value_length(column).to_pylist())])
+    fields = [f.to_numpy(zero_copy_only=False) for f in flat.flatten()]
+    for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield tuple(f[x:y] for f in fields)
+
+
+def _shingles(text: str | None) -> np.ndarray:
+    return shingle_hashes(next(word_hashes([(text or "").encode()])), WIDTH)
+
+
+LINK = ("rep", "member", "at", "to", "size", "length")
+_LINKS = pa.schema([(c, pa.int64()) for c in LINK])
+_TOLD = pa.schema([("rep", pa.int64()), ("member", pa.int64()), ("passages", pa.list_(pa.list_(pa.int64()))), ("missed", pa.list_(pa.int64()))])
+TOLD = "rep long, member long, passages array<array<long>>, missed array<long>"
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rep, rep_body, salt, follows, member, matches, text), sorted so that the leader's document comes first: for each other one the
+    passages that it has in common with it, and the names of the matches that lie in none."""
+    star, centre = None, np.zeros(0, dtype=U)
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            part = batch.slice(at, 256)
+            rep, body, salt, follows, member = (part.column(k).to_pylist() for k in range(5))
+            out = []
+            with np.errstate(over="ignore"):
+                for k, (lists, text) in enumerate(zip(_lists(part.column(5)), part.column(6), strict=True)):
+                    x = _shingles(text.as_py())
+                    if not follows[k]:
+                        star, centre = (rep[k], body[k], salt[k]), x
+                    elif star == (rep[k], body[k], salt[k]):
+                        name, ca, cb = lists
+                        found, inside = verified(centre, x, ca, cb)
+                        out.append((rep[k], member[k], [list(map(int, p)) for p in found], name[~inside].tolist()))
+            yield _batch(out, _TOLD)
+
+
 class _Held:
     """Windows of one signature by their shingles, so that a window is held only against those with enough of its own."""
 
@@ -228,68 +333,24 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(schema), schema.types, strict=True)], schema=schema)
 
 
-#: A window with the passage through which it is linked: with its leader's, a leader with itself. ``met``: it matches another one.
-_LED = pa.schema([
-    ("name", pa.int64()), ("block", pa.int32()), ("around", pa.binary()), ("centre", pa.int32()), ("docs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())),
-    ("lead", pa.bool_()), ("met", pa.bool_()), ("rep", pa.int64()), ("at", pa.int64()), ("off", pa.int64()), ("size", pa.int64()), ("length", pa.int64()),
-])
-LED = "name long, block int, around binary, centre int, docs array<long>, starts array<int>, lead boolean, met boolean, rep long, at long, off long, size long, length long"
-LINK = ("rep", "member", "at", "to", "size", "length")
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (name, block, around, centre, docs, starts), sorted by the first three: the same with their links to the block's leaders."""
-    out: list[tuple] = []
-    for rows in _groups(batches, 2):
-        held, arrays, links, met, last = _Held(), [], [], [False] * len(rows), None
-        for k, (_, _, around, centre, docs, starts) in enumerate(rows):
-            x = np.frombuffer(around, dtype=np.uint32)
-            arrays.append(x)
-            found, y = None, None
-            # rows come sorted, so that the next one is likely to match the same leader
-            if last is not None and (found := same_words(arrays[last], rows[last][3], x, centre)) is not None:
-                y = last
-            else:
-                own, least = np.unique(x).tolist(), least_common(x, centre)
-                for y in held.near(own, least):
-                    if (found := match(arrays[y], rows[y][3], x, centre)) is not None:
-                        break
-            if found is not None:
-                last, met[k], met[y] = y, True, True
-                links.append((rows[y][4][0], rows[y][5][0] + found[0], *found[1:]))
-            else:
-                held.add(k, own, least)
-                met[k] = len(docs) > 1
-                links.append(None)
-        for row, x, link, m in zip(rows, arrays, links, met, strict=True):
-            out.append((*row, link is None, m, *(link[:2] if link else (row[4][0], row[5][0])), *((link[2], link[3], link[4]) if link else (0, len(x), len(x)))))
-        if len(out) >= 2048:
-            yield _batch(out, _LED)
-            out = []
-    yield _batch(out, _LED)
-
-
-_LINKS = pa.schema([(c, pa.int64()) for c in LINK])
-
-
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (name, i, j, block, around, centre, doc, start, lead, met, component), sorted by the first five: the links between windows
-    of different components, and those of windows that match none so far. Leaders of one block have been compared."""
+    """Rows (name, i, j, block, around, centre, doc, start, met, component), sorted by the first five: the links between windows of
+    different components, and those of windows that lie in no passage so far."""
     out: list[tuple] = []
     for rows in _groups(batches, 3):
         union, (_, i, j, *_) = _Union(), rows[0]
-        sides, met = {b: _Held() for b in {i, j}}, [r[9] for r in rows]
+        sides, met = {b: _Held() for b in {i, j}}, [r[8] for r in rows]
         arrays = [np.frombuffer(r[4], dtype=np.uint32) for r in rows]
-        for k, (_, _, _, block, _, centre, doc, start, lead, _, comp) in enumerate(rows):
+        for k, (_, _, _, block, _, centre, doc, start, _, comp) in enumerate(rows):
             x = arrays[k]
             own, least = np.unique(x).tolist(), least_common(x, centre)
             if i == j or block == j:
                 for y in sides[i].near(own, least):
                     other = rows[y]
-                    if lead and other[8] and block == other[3] or met[k] and met[y] and union.root(comp) == union.root(other[10]):
+                    if met[k] and met[y] and union.root(comp) == union.root(other[9]):
                         continue
                     if (found := match(arrays[y], other[5], x, centre)) is not None:
-                        union.join(comp, other[10])
+                        union.join(comp, other[9])
                         met[k] = met[y] = True
                         out.append((other[6], doc, other[7] + found[0], start + found[1], found[2], found[3]))
             if block == i:
@@ -300,42 +361,75 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(out, _LINKS)
 
 
-def _led(rows: DataFrame) -> DataFrame:
-    """``rows`` in blocks of about BLOCK windows of one name, each with its links to its block's leaders."""
-    large = rows.groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
-    large = large.select("name", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(F.broadcast(cut(large)), "name", "left")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("around"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    rows = rows.select("name", "block", "around", "centre", "docs", "starts").repartition("name", "block").sortWithinPartitions("name", "block", "around")
-    return cut(rows.mapInArrow(_joined, LED))
-
-
-def _leader_links(led: DataFrame) -> DataFrame:
-    each = led.select("rep", "at", "off", "size", "length", F.explode(F.arrays_zip("docs", "starts")).alias("x"))
-    each = each.select("rep", F.col("x.docs").alias("member"), "at", (F.col("x.starts") + F.col("off")).alias("to"), "size", "length")
-    return each.filter("rep <> member or at <> to")
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, component, places, text), places (name, blocks, c, met): the shingles about each place, for each pair of blocks."""
+    schema = pa.schema([("name", pa.int64()), ("blocks", pa.int32()), ("around", pa.binary()), ("centre", pa.int32()), ("doc", pa.int64()), ("start", pa.int32()), ("met", pa.bool_()), ("component", pa.int64())])
+    for batch in batches:
+        for k, (lists, text) in enumerate(zip(_lists(batch.column(2)), batch.column(3), strict=True)):
+            with np.errstate(over="ignore"):
+                short = _shingles(text.as_py()).astype(np.uint32)
+            doc, comp = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+            out = []
+            for name, blocks, c, met in zip(*(x.tolist() for x in lists), strict=True):
+                a = max(0, c - SIDE)
+                out.append((name, blocks, short[a : c + SIDE + 1].tobytes(), c - a, doc, a, met, comp))
+            for at in range(0, len(out), 4096):
+                yield _batch(out[at : at + 4096], schema)
+
+
+AROUND = "name long, blocks int, around binary, centre int, doc long, start int, met boolean, component long"
+
+
+def _leader_links(windows_: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links of ``windows_`` (name, doc, body, c) with the leaders of their names, and the names of which a window is not linked so."""
+    first = cut(windows_.groupBy("name").agg(F.min(F.struct("doc", "body", "c")).alias("x"), F.count("*").alias("n")).filter("n > 1").select("name", F.col("x.doc").alias("rep"), F.col("x.body").alias("rep_body"), F.col("x.c").alias("rep_c")))
+    met = windows_.join(first, "name").filter("doc <> rep or body <> rep_body or c <> rep_c")
+    pairs = cut(met.groupBy("rep", "rep_body", "doc", "body").agg(F.collect_list(F.struct("name", F.col("rep_c").alias("a"), F.col("c").alias("b"))).alias("matches")))
+    sizes = cut(pairs.groupBy("rep", "rep_body").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts")))
+    members = pairs.join(sizes, ["rep", "rep_body"]).select("rep", "rep_body", F.pmod(F.xxhash64("doc", "body"), F.col("parts")).cast("int").alias("salt"), F.lit(True).alias("follows"), "doc", "body", "matches")
+    kind = pairs.schema["matches"].dataType
+    centres = sizes.select(
+        "rep", "rep_body", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("follows"), F.col("rep").alias("doc"), F.col("rep_body").alias("body"), F.array().cast(kind).alias("matches"),
+    )
+    rows = members.union(centres).join(texts, ["doc", "body"]).select("rep", "rep_body", "salt", "follows", "doc", "matches", "text")
+    told = cut(rows.repartition("rep", "rep_body", "salt").sortWithinPartitions("rep", "rep_body", "salt", "follows").mapInArrow(_told, TOLD))
+    links = told.select("rep", "member", F.explode("passages").alias("p")).select("rep", "member", *(F.col("p")[k].alias(c) for k, c in enumerate(LINK[2:])))
+    return links, told.select(F.explode("missed").alias("name")).distinct()
 
 
 def _stars(links: DataFrame) -> DataFrame:
     return links.select("rep", "member").filter("rep <> member")
 
 
-def _crossing_links(led: DataFrame, whole: DataFrame) -> DataFrame:
-    """The links that leaders do not show: of windows of one name in different components, or that match no leader."""
-    comp = star_components(cut(_stars(_leader_links(led)).union(whole).distinct()))
-    facts = led.select("name", "block", "lead", "met", F.col("docs")[0].alias("node")).join(comp, "node", "left")
-    facts = facts.groupBy("name").agg(
-        F.min(F.coalesce("component", "node")).alias("a"), F.max(F.coalesce("component", "node")).alias("b"), F.min("met").alias("all_met"),
-        F.min("lead").alias("all_lead"), (F.max("block") + 1).alias("blocks"),
-    )
-    # leaders of one block have been held against each other
-    names = cut(facts.filter("(a <> b or not all_met) and (blocks > 1 or not all_lead)").select("name", "blocks"))
-    left = led.select("name", "block", "around", "centre", F.col("docs")[0].alias("node"), F.col("starts")[0].alias("start"), "lead", "met").join(names, "name")
-    left = left.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    left = left.select("name", "i", "j", "block", "around", "centre", F.col("node").alias("doc"), "start", "lead", "met", "component")
-    left = left.repartition("name", "i", "j").sortWithinPartitions("name", "i", "j", "block", "around")
-    return cut(left.mapInArrow(_crossed, ", ".join(f"{c} long" for c in LINK)))
+def _spans(links: DataFrame) -> DataFrame:
+    """(doc_id, m): the union of the passages of each document, from and to a word, as an array of (a, b)."""
+    places = links.select(F.col("rep").alias("doc_id"), F.col("at").alias("a"), "size").union(links.select(F.col("member").alias("doc_id"), F.col("to").alias("a"), "length"))
+    places = places.distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", (F.col("a") + F.col("size") + WIDTH - 1).alias("b")))).alias("p"))
+    merged = F.expr(
+        "aggregate(p, cast(array() as array<struct<a: bigint, b: bigint>>), (m, x) -> if(size(m) > 0 and x.a <= element_at(m, -1).b,"
+        " concat(slice(m, 1, size(m) - 1), array(named_struct('a', element_at(m, -1).a, 'b', greatest(element_at(m, -1).b, x.b)))), concat(m, array(x))))"
+    )
+    return places.select("doc_id", merged.alias("m"))
+
+
+def _crossing_links(windows_: DataFrame, links: DataFrame, missed: DataFrame, whole: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links that leaders do not show: of windows of one name in different components, or that lie in no passage of ``links``."""
+    comp = star_components(cut(_stars(links).union(whole).distinct())).withColumnRenamed("node", "doc")
+    left = windows_.join(missed, "name", "left_semi").join(comp, "doc", "left").join(_spans(links).withColumnRenamed("doc_id", "doc"), "doc", "left")
+    left = left.select("name", "doc", "body", "c", F.coalesce("component", "doc").alias("component"), F.coalesce(F.expr(f"exists(m, x -> x.a <= c and c + {WIDTH} <= x.b)"), F.lit(False)).alias("met"))
+    left = cut(left)
+    names = left.groupBy("name").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("met").alias("all_met"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    names = cut(names.filter("a <> b or not all_met").select("name", "blocks"))
+    places = left.join(names, "name").groupBy("doc", "body", "component").agg(F.collect_list(F.struct("name", "blocks", "c", "met")).alias("places"))
+    return _crossing(places.join(texts, ["doc", "body"]).select("doc", "component", "places", "text").mapInArrow(_around, AROUND))
+
+
+def _crossing(rows: DataFrame) -> DataFrame:
+    """The links between ``rows`` (AROUND) of one name that lie in different components, and those of rows that are not met, by pairs of blocks."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("around"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("name", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "around", "centre", "doc", "start", "met", "component")
+    rows = rows.repartition("name", "i", "j").sortWithinPartitions("name", "i", "j", "block", "around")
+    return cut(rows.mapInArrow(_crossed, ", ".join(f"{c} long" for c in LINK)))
 
 
 def near_passages(docs: DataFrame) -> DataFrame:
@@ -352,21 +446,16 @@ def near_passages(docs: DataFrame) -> DataFrame:
     ranges = _Ranges(count, np.uint32)
     now = state.select("block", "ids", "held", "data", "copied_at", "first_at")
     bits = answered(now.mapInArrow(_Windows(1, ranges), "place long, block long, names binary, twice binary"), count, np.uint32)
-    rows = now.join(bits, "block", "left").mapInArrow(_Windows(2, ranges), "name long, around binary, centre int, docs array<long>, starts array<int>")
-    led = _led(rows)
+    rows = cut(now.join(bits, "block", "left").mapInArrow(_Windows(2, ranges), "name long, doc long, body long, c int"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("body"), F.col("text").cast("string").alias("text"))
     # equal texts: copies of a text that has passages are linked with the one that took part
     long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n"))
     twins = copies.filter("doc_id is not null and first_id is not null").select("doc_id", "first_id").distinct()
     whole = cut(twins.join(long.filter(F.col("n") >= WORDS).groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"))
     twin_stars = whole.filter("doc_id <> first_id").select(F.col("first_id").alias("rep"), F.col("doc_id").alias("member"))
-    links = cut(_leader_links(led).union(_crossing_links(led, twin_stars)))
-    places = links.select(F.col("rep").alias("doc_id"), F.col("at").alias("a"), "size").union(links.select(F.col("member").alias("doc_id"), F.col("to").alias("a"), "length"))
-    places = places.distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", (F.col("a") + F.col("size") + WIDTH - 1).alias("b")))).alias("p"))
-    merged = F.expr(
-        "aggregate(p, cast(array() as array<struct<a: bigint, b: bigint>>), (m, x) -> if(size(m) > 0 and x.a <= element_at(m, -1).b,"
-        " concat(slice(m, 1, size(m) - 1), array(named_struct('a', element_at(m, -1).a, 'b', greatest(element_at(m, -1).b, x.b)))), concat(m, array(x))))"
-    )
-    spans = places.select("doc_id", merged.alias("m"))
+    led, missed = _leader_links(rows, texts)
+    links = cut(led.union(_crossing_links(rows, led, missed, twin_stars, texts)))
+    spans = _spans(links)
     stars = _stars(links).union(twin_stars)
     stars = cut(stars.distinct())
     comp = cut(star_components(stars))

@@ -209,41 +209,76 @@ def test_clean_documents_have_no_passages(spark):
     assert passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_links > 0").count() == 0
 
 
-def test_windows_that_match_different_leaders_are_linked(spark):
-    """1 and 2 are not near each other, and 3 is near both."""
-    base = np.arange(1000, 1046, dtype=np.uint32)
-    one, two = base.copy(), base.copy()
-    one[:6], two[-6:] = range(6), range(10, 16)
-    rows = [(7, bytearray(x.tobytes()), 23, [k + 1], [0]) for k, x in enumerate((one, two, base))]
-    led = passages._led(spark.createDataFrame(rows, "name long, around binary, centre int, docs array<long>, starts array<int>"))
-    stars = passages._stars(passages._leader_links(led))
-    assert {(r.rep, r.member) for r in stars.collect()} == {(1, 3)}
-    more = passages._crossing_links(led, stars.limit(0))
-    assert {frozenset((r.rep, r.member)) for r in more.collect()} == {frozenset((2, 3))}
-
-
-def test_groups_of_many_blocks_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(passages, "BLOCK", 4)
+def test_groups_of_many_blocks_against_brute_force(spark):
     rng, rows = np.random.default_rng(5), []
     for k in range(40):
         x = np.arange(1000 * (k % 3), 1000 * (k % 3) + 60, dtype=np.uint32)
         x[30] = 7
         at = rng.choice([a for a in range(60) if a != 30], rng.integers(0, 12), replace=False)
         x[at] = 10_000 + 100 * k + np.arange(len(at))
-        rows.append((7, bytearray(x.tobytes()), 30, [k], [0]))
-    arrays = [np.frombuffer(r[1], dtype=np.uint32) for r in rows]
+        rows.append((7, 10, bytearray(x.tobytes()), 30, k, 0, k % 2 == 0, k))
+    arrays = [np.frombuffer(r[2], dtype=np.uint32) for r in rows]
     want = passages._Union()
     for a in range(40):
         for b in range(a):
             if passages.match(arrays[a], 30, arrays[b], 30) is not None:
                 want.join(a, b)
-    led = passages._led(spark.createDataFrame(rows, "name long, around binary, centre int, docs array<long>, starts array<int>"))
-    got, stars = passages._Union(), passages._stars(passages._leader_links(led))
-    for r in stars.union(passages._stars(passages._crossing_links(led, stars.limit(0)))).collect():
+    got = passages._Union()
+    for r in passages._crossing(spark.createDataFrame(rows, passages.AROUND)).collect():
         got.join(r.rep, r.member)
     assert [got.root(k) for k in range(40)] == [want.root(k) for k in range(40)]
 
 
+def test_passages_with_words_replaced_are_found_in_place():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        n, shift = int(rng.integers(50, 140)), int(rng.integers(-20, 20))
+        a = rng.permutation(5000)[:200].astype(np.uint64)
+        b = rng.permutation(5000)[:200].astype(np.uint64) + np.uint64(10_000)
+        start = 30
+        b[start + shift : start + shift + n] = a[start : start + n]
+        gone = rng.choice(n, int(rng.integers(0, 30)), replace=False) + start + shift
+        b[gone] = np.arange(len(gone), dtype=np.uint64) + np.uint64(90_000)
+        same = [a[i] == b[i + shift] for i in range(30, 170)]
+        cover = set()
+        for i in range(140):
+            for j in range(i + passages.SHINGLES, 141):
+                m = sum(same[i:j])
+                if m * 100 >= 75 * (2 * (j - i) - m):
+                    cover |= set(range(i + 30, j + 30))
+        found = passages.aligned(a, b, shift, 30, 170)
+        assert set().union(*(range(p[0], p[0] + p[2]) for p in found)) == cover if found else not cover
+        assert all(p[1] == p[0] + shift and passages.alike(a[p[0] : p[0] + p[2]], b[p[1] : p[1] + p[3]]) for p in found)
+
+
+def test_recall_of_near_passages(spark):
+    """Documents of their own words, with passages of 50 to 90 words that stand again with words replaced, put in and left out."""
+    rng = random.Random(21)
+    vocabulary = [f"v{k}" for k in range(20_000)]
+    rows, near_, sets = [], [], {}
+    for k in range(120):
+        p = rng.sample(vocabulary, rng.randrange(50, 91))
+        q = p[:]
+        for _ in range(rng.randrange(0, 4)):
+            at, kind = rng.randrange(len(q)), rng.randrange(3)
+            if kind == 0:
+                q[at] = f"e{k}_{at}"
+            elif kind == 1:
+                q.insert(at, f"e{k}_{at}")
+            elif len(q) > 50:
+                del q[at]
+        for j, x in enumerate((p, q)):
+            sets[2 * k + j] = {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
+            rows.append((2 * k + j, " ".join(rng.sample(vocabulary, rng.randrange(0, 120)) + x + rng.sample(vocabulary, rng.randrange(0, 120)))))
+        both = len(sets[2 * k] & sets[2 * k + 1])
+        if both >= 0.75 * (len(sets[2 * k]) + len(sets[2 * k + 1]) - both):
+            near_.append(k)
+    got = {r.doc_id: r for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    found = [k for k in near_ if got[2 * k + 1].component_id == 2 * k and got[2 * k].n_dup_words >= 45 and got[2 * k + 1].n_dup_words >= 45]
+    assert len(near_) > 50 and len(found) >= 0.97 * len(near_)
+    assert all(got[i].component_id // 2 == i // 2 for i in got)
+
+
 def likeness_of_best_passages(a, b, centre_a, centre_b):
     """Over all passages that hold the centres."""
     best, n = 0.0, passages.SHINGLES
