@@ -26,8 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,8 +92,8 @@ class _Windows:
         if self.level == 1:
             return _Level.message(row["block"], list(self.ranges.sent(names, mix(names))))
         hit = self.ranges.hits(names, mix(names), {x["place"]: x["bits"] for x in row["bits"] or []})
-        out_names, docs, texts_, centres, at = [], [], [], [], 0
-        for (place, text), (got, own) in zip(pairs, made, strict=True):
+        out_names, docs, places, centres, at = [], [], [], [], 0
+        for (place, _), (got, own) in zip(pairs, made, strict=True):
             mine = hit[at : at + len(own)]
             at += len(own)
             doc = row["ids"][place]
@@ -104,15 +102,11 @@ class _Windows:
             out_names.append(own[mine].view(np.int64))
             centres.append(got[mine, 1].astype(np.int32))
             docs.append(np.full(int(mine.sum()), doc, dtype=np.int64))
-            texts_.append(np.full(int(mine.sum()), text_hash(text.tobytes()), dtype=np.int64))
+            places.append(np.full(int(mine.sum()), place, dtype=np.int32))
         joined = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0, kind))
-        return pa.RecordBatch.from_arrays([joined(out_names, np.int64), joined(docs, np.int64), joined(texts_, np.int64), joined(centres, np.int32)], ["name", "doc", "body", "c"])
-
-
-def text_hash(data: bytes) -> int:
-    """What Spark's xxhash64 makes of a string."""
-    h = xxhash.xxh64_intdigest(data, seed=42)
-    return h - (1 << 64) if h >> 63 else h
+        columns = [joined(out_names, np.int64), joined(docs, np.int64), None, joined(places, np.int32), joined(centres, np.int32)]
+        columns[2] = pa.array(np.full(len(columns[0]), row["block"], dtype=np.int64))
+        return pa.RecordBatch.from_arrays(columns, ["name", "doc", "block", "place", "c"])
 
 
 def same_words(a: np.ndarray, ca: int, b: np.ndarray, cb: int) -> tuple[int, int, int, int] | None:
@@ -249,45 +243,12 @@ def verified(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> tu
     return found, inside
 
 
-def _lists(column: pa.ListArray) -> Iterator[tuple[np.ndarray, ...] | None]:
-    """The fields of each row's list of structs."""
-    flat, ends = column.flatten(), np.cumsum([0, *(n or 0 for n in pa.compute.list_value_length(column).to_pylist())])
-    fields = [f.to_numpy(zero_copy_only=False) for f in flat.flatten()]
-    for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        yield tuple(f[x:y] for f in fields)
-
-
-def _shingles(text: str | None) -> np.ndarray:
-    return shingle_hashes(next(word_hashes([(text or "").encode()])), WIDTH)
-
-
 LINK = ("rep", "member", "at", "to", "size", "length")
 _LINKS = pa.schema([(c, pa.int64()) for c in LINK])
 _TOLD = pa.schema([("rep", pa.int64()), ("member", pa.int64()), ("passages", pa.list_(pa.list_(pa.int64()))), ("missed", pa.list_(pa.int64()))])
 TOLD = "rep long, member long, passages array<array<long>>, missed array<long>"
 
 
-def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (rep, rep_body, salt, follows, member, matches, text), sorted so that the leader's document comes first: for each other one the
-    passages that it has in common with it, and the names of the matches that lie in none."""
-    star, centre = None, np.zeros(0, dtype=U)
-    for batch in batches:
-        for at in range(0, len(batch), 256):
-            part = batch.slice(at, 256)
-            rep, body, salt, follows, member = (part.column(k).to_pylist() for k in range(5))
-            out = []
-            with np.errstate(over="ignore"):
-                for k, (lists, text) in enumerate(zip(_lists(part.column(5)), part.column(6), strict=True)):
-                    x = _shingles(text.as_py())
-                    if not follows[k]:
-                        star, centre = (rep[k], body[k], salt[k]), x
-                    elif star == (rep[k], body[k], salt[k]):
-                        name, ca, cb = lists
-                        found, inside = verified(centre, x, ca, cb)
-                        out.append((rep[k], member[k], [list(map(int, p)) for p in found], name[~inside].tolist()))
-            yield _batch(out, _TOLD)
-
-
 class _Held:
     """Windows of one signature by their shingles, so that a window is held only against those with enough of its own."""
 
@@ -333,68 +294,113 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(schema), schema.types, strict=True)], schema=schema)
 
 
-def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (name, i, j, block, around, centre, doc, start, met, component), sorted by the first five: the links between windows of
-    different components, and those of windows that lie in no passage so far."""
-    out: list[tuple] = []
-    for rows in _groups(batches, 3):
-        union, (_, i, j, *_) = _Union(), rows[0]
-        sides, met = {b: _Held() for b in {i, j}}, [r[8] for r in rows]
-        arrays = [np.frombuffer(r[4], dtype=np.uint32) for r in rows]
-        for k, (_, _, _, block, _, centre, doc, start, _, comp) in enumerate(rows):
-            x = arrays[k]
-            own, least = np.unique(x).tolist(), least_common(x, centre)
-            if i == j or block == j:
-                for y in sides[i].near(own, least):
-                    other = rows[y]
-                    if met[k] and met[y] and union.root(comp) == union.root(other[9]):
-                        continue
-                    if (found := match(arrays[y], other[5], x, centre)) is not None:
-                        union.join(comp, other[9])
-                        met[k] = met[y] = True
-                        out.append((other[6], doc, other[7] + found[0], start + found[1], found[2], found[3]))
-            if block == i:
-                sides[i].add(k, own, least)
-        if len(out) >= 2048:
-            yield _batch(out, _LINKS)
-            out = []
-    yield _batch(out, _LINKS)
+def _asked(row: dict) -> dict[int, np.ndarray]:
+    """The shingles of the texts of a block that are asked for, by place, in 32 bits."""
+    places = {x["place"] for x in row["asked"]}
+    out = {}
+    with np.errstate(over="ignore"):
+        for place, text in _texts(row["held"], row["data"], set()):
+            if place in places:
+                out[place] = shingle_hashes(next(word_hashes([text.tobytes()])), WIDTH).astype(np.uint32)
+    return out
+
+
+def _sent(schema: pa.Schema, rows_of):
+    """Reads blocks with what is asked of them (block, held, data, asked); rows go on in batches of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                row = batch.slice(k, 1).to_pylist()[0]
+                out, size = [], 0
+                for x, n in rows_of(row, _asked(row)):
+                    out.append(x)
+                    size += n
+                    if size > 1 << 22:
+                        yield _batch(out, schema)
+                        out, size = [], 0
+                yield _batch(out, schema)
+
+    return run
+
+
+_PAIRED = pa.schema([
+    ("rep", pa.int64()), ("rep_block", pa.int64()), ("rep_place", pa.int32()), ("salt", pa.int32()), ("follows", pa.bool_()), ("doc", pa.int64()),
+    ("names", pa.list_(pa.int64())), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("shingles", pa.binary()),
+])
+PAIRED = "rep long, rep_block long, rep_place int, salt int, follows boolean, doc long, names array<long>, a array<int>, b array<int>, shingles binary"
+
+
+def _paired(row: dict, texts: dict[int, np.ndarray]) -> Iterator[tuple[tuple, int]]:
+    for x in row["asked"]:
+        data = texts[x["place"]].tobytes()
+        yield (*(x[c] for c in _PAIRED.names[:-1]), data), len(data) + 16 * len(x["names"])
 
 
-def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, component, places, text), places (name, blocks, c, met): the shingles about each place, for each pair of blocks."""
-    schema = pa.schema([("name", pa.int64()), ("blocks", pa.int32()), ("around", pa.binary()), ("centre", pa.int32()), ("doc", pa.int64()), ("start", pa.int32()), ("met", pa.bool_()), ("component", pa.int64())])
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (PAIRED), sorted so that the leader's document comes first: for each other one the passages that it has in common with it, and
+    the names of the matches that lie in none."""
+    star, centre = None, np.zeros(0, dtype=np.uint32)
     for batch in batches:
-        for k, (lists, text) in enumerate(zip(_lists(batch.column(2)), batch.column(3), strict=True)):
-            with np.errstate(over="ignore"):
-                short = _shingles(text.as_py()).astype(np.uint32)
-            doc, comp = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+        for at in range(0, len(batch), 256):
             out = []
-            for name, blocks, c, met in zip(*(x.tolist() for x in lists), strict=True):
-                a = max(0, c - SIDE)
-                out.append((name, blocks, short[a : c + SIDE + 1].tobytes(), c - a, doc, a, met, comp))
-            for at in range(0, len(out), 4096):
-                yield _batch(out[at : at + 4096], schema)
+            for rep, *key, follows, doc, names, a, b, data in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                x = np.frombuffer(data, dtype=np.uint32)
+                if not follows:
+                    star, centre = key, x
+                elif star == key:
+                    found, inside = verified(centre, x, np.array(a, dtype=np.int32), np.array(b, dtype=np.int32))
+                    out.append((rep, doc, [list(map(int, p)) for p in found], np.array(names, dtype=np.int64)[~inside].tolist()))
+            yield _batch(out, _TOLD)
 
 
+_AROUND = pa.schema([("name", pa.int64()), ("blocks", pa.int32()), ("around", pa.binary()), ("centre", pa.int32()), ("doc", pa.int64()), ("start", pa.int32()), ("met", pa.bool_()), ("component", pa.int64())])
 AROUND = "name long, blocks int, around binary, centre int, doc long, start int, met boolean, component long"
 
 
-def _leader_links(windows_: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The links of ``windows_`` (name, doc, body, c) with the leaders of their names, and the names of which a window is not linked so."""
-    first = cut(windows_.groupBy("name").agg(F.min(F.struct("doc", "body", "c")).alias("x"), F.count("*").alias("n")).filter("n > 1").select("name", F.col("x.doc").alias("rep"), F.col("x.body").alias("rep_body"), F.col("x.c").alias("rep_c")))
-    met = windows_.join(first, "name").filter("doc <> rep or body <> rep_body or c <> rep_c")
-    pairs = cut(met.groupBy("rep", "rep_body", "doc", "body").agg(F.collect_list(F.struct("name", F.col("rep_c").alias("a"), F.col("c").alias("b"))).alias("matches")))
-    sizes = cut(pairs.groupBy("rep", "rep_body").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts")))
-    members = pairs.join(sizes, ["rep", "rep_body"]).select("rep", "rep_body", F.pmod(F.xxhash64("doc", "body"), F.col("parts")).cast("int").alias("salt"), F.lit(True).alias("follows"), "doc", "body", "matches")
-    kind = pairs.schema["matches"].dataType
+def _around(row: dict, texts: dict[int, np.ndarray]) -> Iterator[tuple[tuple, int]]:
+    for x in row["asked"]:
+        a = max(0, x["c"] - SIDE)
+        data = texts[x["place"]][a : x["c"] + SIDE + 1].tobytes()
+        yield (x["name"], x["blocks"], data, x["c"] - a, x["doc"], a, x["met"], x["component"]), len(data)
+
+
+def _answered(blocks: DataFrame, asks: DataFrame, schema: pa.Schema, columns: str, rows_of) -> DataFrame:
+    """``rows_of`` the texts at the places of ``asks`` (block, place and more); ``blocks`` stay where they are."""
+    asked = asks.groupBy("block").agg(F.collect_list(F.struct(*(c for c in asks.columns if c != "block"))).alias("asked"))
+    return blocks.join(cut(asked), "block").select("block", "held", "data", "asked").mapInArrow(_sent(schema, rows_of), columns)
+
+
+def _leaders(windows_: DataFrame) -> DataFrame:
+    """(name, rep, rep_block, rep_place, rep_c) of the names with several windows."""
+    least = windows_.groupBy("name").agg(F.min(F.struct("doc", "block", "place", "c")).alias("x"), F.count("*").alias("n")).filter("n > 1")
+    return least.select("name", F.col("x.doc").alias("rep"), F.col("x.block").alias("rep_block"), F.col("x.place").alias("rep_place"), F.col("x.c").alias("rep_c"))
+
+
+_REP = ("rep", "rep_block", "rep_place")
+
+
+def _pairs(matches: DataFrame) -> DataFrame:
+    return matches.groupBy(*_REP, "doc", "block", "place").agg(F.collect_list(F.struct("name", F.col("rep_c").alias("a"), F.col("c").alias("b"))).alias("matches"))
+
+
+def _verified(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """What ``_told`` says of ``pairs``. A leader of any number of documents is dealt to tasks in parts of about STAR, each with its text."""
+    sizes = cut(pairs.groupBy(*_REP).agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts")))
+    salt = F.pmod(F.xxhash64("block", "place"), F.col("parts")).cast("int").alias("salt")
+    field = lambda c: F.transform("matches", lambda x: x[c])
+    members = pairs.join(sizes, list(_REP)).select(*_REP, salt, F.lit(True).alias("follows"), "doc", "block", "place", field("name").alias("names"), field("a").alias("a"), field("b").alias("b"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
     centres = sizes.select(
-        "rep", "rep_body", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("follows"), F.col("rep").alias("doc"), F.col("rep_body").alias("body"), F.array().cast(kind).alias("matches"),
+        *_REP, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("follows"), F.col("rep").alias("doc"),
+        F.col("rep_block").alias("block"), F.col("rep_place").alias("place"), none("bigint").alias("names"), none("int").alias("a"), none("int").alias("b"),
     )
-    rows = members.union(centres).join(texts, ["doc", "body"]).select("rep", "rep_body", "salt", "follows", "doc", "matches", "text")
-    told = cut(rows.repartition("rep", "rep_body", "salt").sortWithinPartitions("rep", "rep_body", "salt", "follows").mapInArrow(_told, TOLD))
-    links = told.select("rep", "member", F.explode("passages").alias("p")).select("rep", "member", *(F.col("p")[k].alias(c) for k, c in enumerate(LINK[2:])))
-    return links, told.select(F.explode("missed").alias("name")).distinct()
+    rows = _answered(blocks, members.union(centres), _PAIRED, PAIRED, _paired)
+    return cut(rows.repartition(*_REP, "salt").sortWithinPartitions(*_REP, "salt", "follows").mapInArrow(_told, TOLD))
+
+
+def _links(told: DataFrame) -> DataFrame:
+    return told.select("rep", "member", F.explode("passages").alias("p")).select("rep", "member", *(F.col("p")[k].alias(c) for k, c in enumerate(LINK[2:])))
 
 
 def _stars(links: DataFrame) -> DataFrame:
@@ -412,16 +418,42 @@ def _spans(links: DataFrame) -> DataFrame:
     return places.select("doc_id", merged.alias("m"))
 
 
-def _crossing_links(windows_: DataFrame, links: DataFrame, missed: DataFrame, whole: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links that leaders do not show: of windows of one name in different components, or that lie in no passage of ``links``."""
+def _standing(windows_: DataFrame, links: DataFrame, whole: DataFrame) -> DataFrame:
+    """``windows_`` with the component of their document, and met: whether they lie in a passage of ``links``."""
     comp = star_components(cut(_stars(links).union(whole).distinct())).withColumnRenamed("node", "doc")
-    left = windows_.join(missed, "name", "left_semi").join(comp, "doc", "left").join(_spans(links).withColumnRenamed("doc_id", "doc"), "doc", "left")
-    left = left.select("name", "doc", "body", "c", F.coalesce("component", "doc").alias("component"), F.coalesce(F.expr(f"exists(m, x -> x.a <= c and c + {WIDTH} <= x.b)"), F.lit(False)).alias("met"))
-    left = cut(left)
+    facts = cut(comp.join(_spans(links).withColumnRenamed("doc_id", "doc"), "doc", "full_outer"))
+    now = windows_.join(facts, "doc", "left")
+    met = F.coalesce(F.expr(f"exists(m, x -> x.a <= c and c + {WIDTH} <= x.b)"), F.lit(False))
+    return now.select(*windows_.columns, F.coalesce("component", "doc").alias("component"), met.alias("met"))
+
+
+def _leader_links(windows_: DataFrame, whole: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links of ``windows_`` (name, doc, block, place, c) with the leaders of their names, and the names of which a window is not linked so.
+
+    A document is first verified with the leader that it has the most matches with; then with others, for what is not in a passage yet
+    or not in one component.
+    """
+    first = cut(_leaders(windows_))
+    is_lead = (F.col("block") == F.col("rep_block")) & (F.col("place") == F.col("rep_place")) & (F.col("c") == F.col("rep_c"))
+    pairs = _pairs(windows_.join(first, "name").filter(~is_lead))
+    turn = F.expr(f"row_number() over (partition by block, place order by size(matches) desc, {', '.join(_REP)})")
+    best = cut(pairs.withColumn("turn", turn).filter("turn = 1").drop("turn"))
+    told = _verified(best, blocks)
+    now = cut(_standing(windows_, _links(told), whole).join(first, "name"))
+    lead = now.filter(is_lead).select("name", F.col("component").alias("lead_component"), F.col("met").alias("lead_met"))
+    need = now.filter(~is_lead).join(lead, "name").filter("not met or not lead_met or component <> lead_component")
+    need = need.join(best.select(*_REP, "block", "place"), [*_REP, "block", "place"], "left_anti")
+    more = _verified(cut(_pairs(need)), blocks)
+    every = told.union(more)
+    return _links(every), every.select(F.explode("missed").alias("name")).distinct()
+
+
+def _crossing_links(windows_: DataFrame, links: DataFrame, missed: DataFrame, whole: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The links that leaders do not show: of windows of one name in different components, or that lie in no passage of ``links``."""
+    left = cut(_standing(windows_.join(missed, "name", "left_semi"), links, whole))
     names = left.groupBy("name").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("met").alias("all_met"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     names = cut(names.filter("a <> b or not all_met").select("name", "blocks"))
-    places = left.join(names, "name").groupBy("doc", "body", "component").agg(F.collect_list(F.struct("name", "blocks", "c", "met")).alias("places"))
-    return _crossing(places.join(texts, ["doc", "body"]).select("doc", "component", "places", "text").mapInArrow(_around, AROUND))
+    return _crossing(_answered(blocks, left.join(names, "name"), _AROUND, AROUND, _around))
 
 
 def _crossing(rows: DataFrame) -> DataFrame:
@@ -432,6 +464,34 @@ def _crossing(rows: DataFrame) -> DataFrame:
     return cut(rows.mapInArrow(_crossed, ", ".join(f"{c} long" for c in LINK)))
 
 
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (name, i, j, block, around, centre, doc, start, met, component), sorted by the first five: the links between windows of
+    different components, and those of windows that lie in no passage so far."""
+    out: list[tuple] = []
+    for rows in _groups(batches, 3):
+        union, (_, i, j, *_) = _Union(), rows[0]
+        sides, met = {b: _Held() for b in {i, j}}, [r[8] for r in rows]
+        arrays = [np.frombuffer(r[4], dtype=np.uint32) for r in rows]
+        for k, (_, _, _, block, _, centre, doc, start, _, comp) in enumerate(rows):
+            x = arrays[k]
+            own, least = np.unique(x).tolist(), least_common(x, centre)
+            if i == j or block == j:
+                for y in sides[i].near(own, least):
+                    other = rows[y]
+                    if met[k] and met[y] and union.root(comp) == union.root(other[9]):
+                        continue
+                    if (found := match(arrays[y], other[5], x, centre)) is not None:
+                        union.join(comp, other[9])
+                        met[k] = met[y] = True
+                        out.append((other[6], doc, other[7] + found[0], start + found[1], found[2], found[3]))
+            if block == i:
+                sides[i].add(k, own, least)
+        if len(out) >= 2048:
+            yield _batch(out, _LINKS)
+            out = []
+    yield _batch(out, _LINKS)
+
+
 def near_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id, n_links, n_dup_words, spans) for every row of ``docs`` (doc_id, text; no other column is read).
 
@@ -446,15 +506,15 @@ def near_passages(docs: DataFrame) -> DataFrame:
     ranges = _Ranges(count, np.uint32)
     now = state.select("block", "ids", "held", "data", "copied_at", "first_at")
     bits = answered(now.mapInArrow(_Windows(1, ranges), "place long, block long, names binary, twice binary"), count, np.uint32)
-    rows = cut(now.join(bits, "block", "left").mapInArrow(_Windows(2, ranges), "name long, doc long, body long, c int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("body"), F.col("text").cast("string").alias("text"))
+    rows = cut(now.join(bits, "block", "left").mapInArrow(_Windows(2, ranges), "name long, doc long, block long, place int, c int"))
+    blocks = state.select("block", "held", "data")
     # equal texts: copies of a text that has passages are linked with the one that took part
     long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n"))
     twins = copies.filter("doc_id is not null and first_id is not null").select("doc_id", "first_id").distinct()
     whole = cut(twins.join(long.filter(F.col("n") >= WORDS).groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"))
     twin_stars = whole.filter("doc_id <> first_id").select(F.col("first_id").alias("rep"), F.col("doc_id").alias("member"))
-    led, missed = _leader_links(rows, texts)
-    links = cut(led.union(_crossing_links(rows, led, missed, twin_stars, texts)))
+    led, missed = _leader_links(rows, twin_stars, blocks)
+    links = cut(led.union(_crossing_links(rows, led, missed, twin_stars, blocks)))
     spans = _spans(links)
     stars = _stars(links).union(twin_stars)
     stars = cut(stars.distinct())
