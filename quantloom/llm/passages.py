@@ -9,7 +9,8 @@ Windows whose signature (hash function, shingle at c) occurs once in the corpus
 passages of that similarity share a signature under one hash function with a probability of 0.75 or more, and so under one of HASHES
 with 0.999; equal passages always do.
 
-The intervals of one signature are joined with the signature's least one, its leader's, and the matches of two documents are taken
+Windows with the same shingles around c, as far as SIDE, have the same matches: they are linked at once, and one stands for all. The
+intervals of one signature are joined with the signature's least one, its leader's, and the matches of two documents are taken
 together, so that a pair of documents is verified once however many windows it shares. Around each match the shingles are compared in
 place, which finds the passages with words replaced, as long as they are; where that finds nothing, all lengths on both sides are tried,
 which finds those with words put in or left out. A passage pair is confirmed on the sets.
@@ -21,11 +22,11 @@ shingles in common are held against each other. No group is expanded into pairs
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +72,14 @@ def windows(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows), np.concatenate(names)) if rows else (np.zeros((0, 3), np.int64), np.zeros(0, U))
 
 
+#: A window, with the hash of the shingles around its c; or, without name, a passage that stands in the block again: in doc at c, in rep at at.
+_HIT = pa.schema([
+    ("name", pa.int64()), ("around", pa.int64()), ("doc", pa.int64()), ("block", pa.int64()), ("place", pa.int32()), ("c", pa.int32()), ("before", pa.int32()), ("size", pa.int32()),
+    ("rep", pa.int64()), ("at", pa.int32()),
+])
+HIT = "name long, around long, doc long, block long, place int, c int, before int, size int, rep long, at int"
+
+
 class _Windows:
     """Reads blocks: at level 1 sends names, at level 2 the rows of the windows whose names repeat."""
 
@@ -92,21 +101,34 @@ class _Windows:
         if self.level == 1:
             return _Level.message(row["block"], list(self.ranges.sent(names, mix(names))))
         hit = self.ranges.hits(names, mix(names), {x["place"]: x["bits"] for x in row["bits"] or []})
-        out_names, docs, places, centres, at = [], [], [], [], 0
-        for (place, _), (got, own) in zip(pairs, made, strict=True):
+        seen: dict[tuple[int, int], tuple[int, int]] = {}
+        runs: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+        out, at = [], 0
+        for (place, _), s, (got, own) in zip(pairs, shingles, made, strict=True):
             mine = hit[at : at + len(own)]
             at += len(own)
             doc = row["ids"][place]
             if doc is None or not mine.any():
                 continue
-            out_names.append(own[mine].view(np.int64))
-            centres.append(got[mine, 1].astype(np.int32))
-            docs.append(np.full(int(mine.sum()), doc, dtype=np.int64))
-            places.append(np.full(int(mine.sum()), place, dtype=np.int32))
-        joined = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0, kind))
-        columns = [joined(out_names, np.int64), joined(docs, np.int64), None, joined(places, np.int32), joined(centres, np.int32)]
-        columns[2] = pa.array(np.full(len(columns[0]), row["block"], dtype=np.int64))
-        return pa.RecordBatch.from_arrays(columns, ["name", "doc", "block", "place", "c"])
+            short = s.astype(np.uint32)
+            for c, name in zip(got[mine, 1].tolist(), own[mine].view(np.int64).tolist(), strict=True):
+                x, y = max(0, c - SIDE), min(len(s), c + SIDE + 1)
+                around = xxhash.xxh64_intdigest(short[x:y].tobytes(), seed=c - x) - (1 << 63)
+                if (name, around) in seen:
+                    rep, first = seen[name, around]
+                    runs.setdefault((rep, doc, x - first), []).append((first, first + y - x))
+                else:
+                    seen[name, around] = (doc, x)
+                    out.append((name, around, doc, row["block"], place, c, c - x, y - x, None, None))
+        for (rep, doc, shift), parts in runs.items():
+            parts.sort()
+            first, last = parts[0]
+            for x, y in [*parts[1:], (1 << 62, 0)]:
+                if x > last:
+                    out.append((None, None, doc, None, None, first + shift, 0, last - first, rep, first))
+                    first, last = x, y
+                last = max(last, y)
+        return _batch(out, _HIT)
 
 
 def same_words(a: np.ndarray, ca: int, b: np.ndarray, cb: int) -> tuple[int, int, int, int] | None:
@@ -249,32 +271,27 @@ _TOLD = pa.schema([("rep", pa.int64()), ("member", pa.int64()), ("passages", pa.
 TOLD = "rep long, member long, passages array<array<long>>, missed array<long>"
 
 
-class _Held:
-    """Windows of one signature by their shingles, so that a window is held only against those with enough of its own."""
+class _Common:
+    """How many distinct shingles rows have in common."""
 
-    def __init__(self) -> None:
-        self.at: dict[int, array] = {}
-        self.least: list[int] = []
-        self.rows: list[int] = []
+    def __init__(self, arrays: list[np.ndarray]) -> None:
+        self.rows = len(arrays)
+        _, ids = np.unique(np.concatenate(arrays), return_inverse=True)
+        owner = np.repeat(np.arange(self.rows), [len(x) for x in arrays])
+        key = np.unique(ids.astype(np.int64) * self.rows + owner)
+        self.owner, of = key % self.rows, key // self.rows
+        self.starts = np.searchsorted(of, np.arange(int(of[-1]) + 2))
+        order = np.argsort(self.owner, kind="stable")
+        self.of, self.ends = of[order], np.cumsum(np.bincount(self.owner, minlength=self.rows))
 
-    def add(self, row: int, own: list[int], least: int) -> None:
-        k = len(self.rows)
-        for v in own:
-            if v in self.at:
-                self.at[v].append(k)
-            else:
-                self.at[v] = array("i", (k,))
-        self.rows.append(row)
-        self.least.append(least)
+    def distinct(self, row: int) -> int:
+        return int(self.ends[row] - (self.ends[row - 1] if row else 0))
 
-    def near(self, own: list[int], least: int) -> list[int]:
-        """Rows that may match, those with the most in common first."""
-        places = [self.at[v] for v in own if v in self.at]
-        if len(places) < least:
-            return []
-        counts = np.bincount(np.concatenate([np.frombuffer(x, dtype=np.int32) for x in places]), minlength=len(self.rows))
-        some = np.flatnonzero(counts >= np.maximum(np.array(self.least), least))
-        return [self.rows[k] for k in some[np.argsort(-counts[some], kind="stable")].tolist()]
+    def counts(self, row: int) -> np.ndarray:
+        ids = self.of[(self.ends[row - 1] if row else 0) : self.ends[row]]
+        first, n = self.starts[ids], self.starts[ids + 1] - self.starts[ids]
+        ends = np.cumsum(n)
+        return np.bincount(self.owner[np.repeat(first - ends + n, n) + np.arange(ends[-1])], minlength=self.rows)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -354,15 +371,18 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(out, _TOLD)
 
 
-_AROUND = pa.schema([("name", pa.int64()), ("blocks", pa.int32()), ("around", pa.binary()), ("centre", pa.int32()), ("doc", pa.int64()), ("start", pa.int32()), ("met", pa.bool_()), ("component", pa.int64())])
-AROUND = "name long, blocks int, around binary, centre int, doc long, start int, met boolean, component long"
+_AROUND = pa.schema([
+    ("name", pa.int64()), ("minors", pa.int32()), ("majors", pa.int32()), ("around", pa.binary()), ("centre", pa.int32()), ("doc", pa.int64()), ("start", pa.int32()),
+    ("met", pa.bool_()), ("minor", pa.bool_()), ("component", pa.int64()),
+])
+AROUND = "name long, minors int, majors int, around binary, centre int, doc long, start int, met boolean, minor boolean, component long"
 
 
 def _around(row: dict, texts: dict[int, np.ndarray]) -> Iterator[tuple[tuple, int]]:
     for x in row["asked"]:
         a = max(0, x["c"] - SIDE)
         data = texts[x["place"]][a : x["c"] + SIDE + 1].tobytes()
-        yield (x["name"], x["blocks"], data, x["c"] - a, x["doc"], a, x["met"], x["component"]), len(data)
+        yield (x["name"], x["minors"], x["majors"], data, x["c"] - a, x["doc"], a, x["met"], x["minor"], x["component"]), len(data)
 
 
 def _answered(blocks: DataFrame, asks: DataFrame, schema: pa.Schema, columns: str, rows_of) -> DataFrame:
@@ -427,65 +447,91 @@ def _standing(windows_: DataFrame, links: DataFrame, whole: DataFrame) -> DataFr
     return now.select(*windows_.columns, F.coalesce("component", "doc").alias("component"), met.alias("met"))
 
 
-def _leader_links(windows_: DataFrame, whole: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _equal_links(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links of windows whose surroundings are the same, and the windows (name, doc, block, place, c) with one of each such group."""
+    windows_ = hits.filter("name is not null")
+    least = windows_.groupBy("name", "around").agg(F.min(F.struct("doc", "block", "place", "c")).alias("x"), F.count("*").alias("n"))
+    least = cut(least)
+    again = least.filter("n > 1").select("name", "around", F.col("x.doc").alias("r"), F.col("x.block").alias("r_block"), F.col("x.place").alias("r_place"), F.col("x.c").alias("r_c"))
+    again = windows_.join(again, ["name", "around"]).filter("block <> r_block or place <> r_place or c <> r_c")
+    again = again.select(F.col("r").alias("rep"), F.col("doc").alias("member"), (F.col("r_c") - F.col("before")).alias("at"), (F.col("c") - F.col("before")).alias("to"), "size", F.col("size").alias("length"))
+    inside = hits.filter("name is null").select("rep", F.col("doc").alias("member"), "at", F.col("c").alias("to"), "size", F.col("size").alias("length"))
+    links = again.union(inside).select(*(F.col(c).cast("long").alias(c) for c in LINK)).distinct()
+    return cut(links), least.select("name", "x.doc", "x.block", "x.place", "x.c")
+
+
+def _leader_links(windows_: DataFrame, links: DataFrame, whole: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The links of ``windows_`` (name, doc, block, place, c) with the leaders of their names, and the names of which a window is not linked so.
 
-    A document is first verified with the leader that it has the most matches with; then with others, for what is not in a passage yet
-    or not in one component.
+    What lies in a passage of ``links``, and in one component, is not looked at again. A document is first verified with the leader that
+    it has the most matches with; then with others, for what is left.
     """
     first = cut(_leaders(windows_))
     is_lead = (F.col("block") == F.col("rep_block")) & (F.col("place") == F.col("rep_place")) & (F.col("c") == F.col("rep_c"))
-    pairs = _pairs(windows_.join(first, "name").filter(~is_lead))
+
+    def left(links: DataFrame) -> DataFrame:
+        now = cut(_standing(windows_, links, whole).join(first, "name"))
+        lead = now.filter(is_lead).select("name", F.col("component").alias("lead_component"), F.col("met").alias("lead_met"))
+        return now.filter(~is_lead).join(lead, "name").filter("not met or not lead_met or component <> lead_component")
+
     turn = F.expr(f"row_number() over (partition by block, place order by size(matches) desc, {', '.join(_REP)})")
-    best = cut(pairs.withColumn("turn", turn).filter("turn = 1").drop("turn"))
+    best = cut(_pairs(left(links)).withColumn("turn", turn).filter("turn = 1").drop("turn"))
     told = _verified(best, blocks)
-    now = cut(_standing(windows_, _links(told), whole).join(first, "name"))
-    lead = now.filter(is_lead).select("name", F.col("component").alias("lead_component"), F.col("met").alias("lead_met"))
-    need = now.filter(~is_lead).join(lead, "name").filter("not met or not lead_met or component <> lead_component")
-    need = need.join(best.select(*_REP, "block", "place"), [*_REP, "block", "place"], "left_anti")
-    more = _verified(cut(_pairs(need)), blocks)
-    every = told.union(more)
+    more = left(links.union(_links(told))).join(best.select(*_REP, "block", "place"), [*_REP, "block", "place"], "left_anti")
+    every = told.union(_verified(cut(_pairs(more)), blocks))
     return _links(every), every.select(F.explode("missed").alias("name")).distinct()
 
 
 def _crossing_links(windows_: DataFrame, links: DataFrame, missed: DataFrame, whole: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The links that leaders do not show: of windows of one name in different components, or that lie in no passage of ``links``."""
+    """The links that leaders do not show: of windows that lie in no passage of ``links``, or not in the component of their leader."""
     left = cut(_standing(windows_.join(missed, "name", "left_semi"), links, whole))
-    names = left.groupBy("name").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("met").alias("all_met"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    names = cut(names.filter("a <> b or not all_met").select("name", "blocks"))
+    lead = cut(left.groupBy("name").agg(F.min(F.struct("doc", "block", "place", "c", "component")).alias("x")).select("name", F.col("x.component").alias("lead")))
+    left = cut(left.join(lead, "name").withColumn("minor", F.expr("not met or component <> lead")).drop("lead"))
+    parts = lambda c: F.ceil(F.sum(F.when(c, 1).otherwise(0)) / BLOCK).cast("int")
+    names = cut(left.groupBy("name").agg(parts(F.col("minor")).alias("minors"), parts(~F.col("minor")).alias("majors")).filter("minors > 0"))
     return _crossing(_answered(blocks, left.join(names, "name"), _AROUND, AROUND, _around))
 
 
 def _crossing(rows: DataFrame) -> DataFrame:
-    """The links between ``rows`` (AROUND) of one name that lie in different components, and those of rows that are not met, by pairs of blocks."""
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("around"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("name", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "around", "centre", "doc", "start", "met", "component")
-    rows = rows.repartition("name", "i", "j").sortWithinPartitions("name", "i", "j", "block", "around")
+    """The links between ``rows`` (AROUND) of one name of which one is a minor one: all minors in pairs of blocks, and each block of minors
+    with each of the others."""
+    many = lambda n, f: F.transform(F.filter(F.sequence(F.lit(0), F.col(n)), lambda o: o < F.col(n)), f)
+    pair = lambda i, j, both: F.struct(i.alias("i"), j.alias("j"), F.lit(both).alias("both"))
+    own = F.col("block")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("around", "doc"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int"))
+    to = F.when(F.col("minor"), F.concat(many("minors", lambda o: pair(F.least(own, o), F.greatest(own, o), True)), many("majors", lambda o: pair(own, o, False))))
+    rows = rows.withColumn("to", F.explode(to.otherwise(many("minors", lambda o: pair(o, own, False)))))
+    rows = rows.select("name", "to.i", "to.j", "to.both", "block", "around", "centre", "doc", "start", "met", "minor", "component")
+    rows = rows.repartition("name", "i", "j", "both").sortWithinPartitions("name", "i", "j", "both", "block", "around")
     return cut(rows.mapInArrow(_crossed, ", ".join(f"{c} long" for c in LINK)))
 
 
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (name, i, j, block, around, centre, doc, start, met, component), sorted by the first five: the links between windows of
-    different components, and those of windows that lie in no passage so far."""
+    """Rows (name, i, j, both, block, around, centre, doc, start, met, minor, component), sorted by the first six: the links between the
+    blocks i and j of minors, or the block i of minors and j of others, of windows in different components or in no passage so far."""
     out: list[tuple] = []
-    for rows in _groups(batches, 3):
-        union, (_, i, j, *_) = _Union(), rows[0]
-        sides, met = {b: _Held() for b in {i, j}}, [r[8] for r in rows]
-        arrays = [np.frombuffer(r[4], dtype=np.uint32) for r in rows]
-        for k, (_, _, _, block, _, centre, doc, start, _, comp) in enumerate(rows):
-            x = arrays[k]
-            own, least = np.unique(x).tolist(), least_common(x, centre)
-            if i == j or block == j:
-                for y in sides[i].near(own, least):
-                    other = rows[y]
-                    if met[k] and met[y] and union.root(comp) == union.root(other[9]):
-                        continue
-                    if (found := match(arrays[y], other[5], x, centre)) is not None:
-                        union.join(comp, other[9])
-                        met[k] = met[y] = True
-                        out.append((other[6], doc, other[7] + found[0], start + found[1], found[2], found[3]))
-            if block == i:
-                sides[i].add(k, own, least)
+    for rows in _groups(batches, 4):
+        _, i, j, both, *_ = rows[0]
+        arrays = [np.frombuffer(r[5], dtype=np.uint32) for r in rows]
+        centre, doc, start, comp = ([r[k] for r in rows] for k in (6, 7, 8, 11))
+        block, minor = np.array([r[4] for r in rows]), np.array([r[10] for r in rows])
+        met, union = [r[9] for r in rows], _Union()
+        common = _Common(arrays)
+        few = -(-SHARE[0] * SHINGLES // SHARE[1])
+        least = np.array([few if common.distinct(k) == len(x) else least_common(x, c) for k, (x, c) in enumerate(zip(arrays, centre, strict=True))])
+        for k in np.flatnonzero(minor).tolist():
+            counts = common.counts(k)
+            near = (counts >= np.maximum(least, least[k])) & ((~minor) if not both else np.ones(len(rows), dtype=bool) if i == j else block != block[k])
+            if both:
+                near[: k + 1] = False
+            near = np.flatnonzero(near)
+            for y in near[np.argsort(-counts[near], kind="stable")].tolist():
+                if met[k] and met[y] and union.root(comp[k]) == union.root(comp[y]):
+                    continue
+                if (found := match(arrays[y], centre[y], arrays[k], centre[k])) is not None:
+                    union.join(comp[k], comp[y])
+                    met[k] = met[y] = True
+                    out.append((doc[y], doc[k], start[y] + found[0], start[k] + found[1], found[2], found[3]))
         if len(out) >= 2048:
             yield _batch(out, _LINKS)
             out = []
@@ -506,15 +552,17 @@ def near_passages(docs: DataFrame) -> DataFrame:
     ranges = _Ranges(count, np.uint32)
     now = state.select("block", "ids", "held", "data", "copied_at", "first_at")
     bits = answered(now.mapInArrow(_Windows(1, ranges), "place long, block long, names binary, twice binary"), count, np.uint32)
-    rows = cut(now.join(bits, "block", "left").mapInArrow(_Windows(2, ranges), "name long, doc long, block long, place int, c int"))
+    rows = cut(now.join(bits, "block", "left").mapInArrow(_Windows(2, ranges), HIT))
     blocks = state.select("block", "held", "data")
     # equal texts: copies of a text that has passages are linked with the one that took part
     long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n"))
     twins = copies.filter("doc_id is not null and first_id is not null").select("doc_id", "first_id").distinct()
     whole = cut(twins.join(long.filter(F.col("n") >= WORDS).groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"))
     twin_stars = whole.filter("doc_id <> first_id").select(F.col("first_id").alias("rep"), F.col("doc_id").alias("member"))
-    led, missed = _leader_links(rows, twin_stars, blocks)
-    links = cut(led.union(_crossing_links(rows, led, missed, twin_stars, blocks)))
+    equal, rows = _equal_links(rows)
+    led, missed = _leader_links(rows, equal, twin_stars, blocks)
+    links = equal.union(led)
+    links = cut(links.union(_crossing_links(rows, links, missed, twin_stars, blocks)))
     spans = _spans(links)
     stars = _stars(links).union(twin_stars)
     stars = cut(stars.distinct())

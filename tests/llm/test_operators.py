@@ -216,14 +216,16 @@ def test_groups_of_many_blocks_against_brute_force(spark):
         x[30] = 7
         at = rng.choice([a for a in range(60) if a != 30], rng.integers(0, 12), replace=False)
         x[at] = 10_000 + 100 * k + np.arange(len(at))
-        rows.append((7, 10, bytearray(x.tobytes()), 30, k, 0, k % 2 == 0, k))
-    arrays = [np.frombuffer(r[2], dtype=np.uint32) for r in rows]
-    want = passages._Union()
+        rows.append((7, 3, 4, bytearray(x.tobytes()), 30, k, 0, k % 4 == 0, k % 4 > 0, 100 if k % 4 == 0 else k))
+    arrays = [np.frombuffer(r[3], dtype=np.uint32) for r in rows]
+    want, got = passages._Union(), passages._Union()
+    for k in range(0, 40, 4):  # what is no minor is in one component
+        want.join(0, k)
+        got.join(0, k)
     for a in range(40):
         for b in range(a):
             if passages.match(arrays[a], 30, arrays[b], 30) is not None:
                 want.join(a, b)
-    got = passages._Union()
     for r in passages._crossing(spark.createDataFrame(rows, passages.AROUND)).collect():
         got.join(r.rep, r.member)
     assert [got.root(k) for k in range(40)] == [want.root(k) for k in range(40)]
