@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, cut, mix, seeds, shingle_hashes, word_hashes
+from .common import U, cut, mix, seeds, shingle_hashes, word_hashes, written
 from .components import star_components
 from .minhash import _Union
 from .substrings import _Level, _Ranges, _texts, answered, pack
@@ -47,8 +47,15 @@ STAR, BLOCK = 256, 2048
 _SEEDS = seeds(HASHES, 9000)
 
 
-def compact_windows(values: np.ndarray, least: int = SHINGLES) -> list[tuple[int, int, int]]:
-    """(l, c, r), inclusive, of the Cartesian tree over ``values`` whose interval has ``least`` elements or more. Of equal values the first is less."""
+def compact_windows(values: np.ndarray, least: int = SHINGLES, runs: bool = False) -> list[tuple[int, int, int]]:
+    """(l, c, r), inclusive, of the Cartesian tree over ``values`` whose interval has ``least`` elements or more. Of equal values the first is less.
+
+    ``runs``: without those that start inside a run of equal values, as starting at the run's first gives the same sets, in longer passages.
+    """
+    after = np.arange(1, len(values) + 1)
+    if runs and len(values):
+        last = np.flatnonzero(np.append(values[1:] != values[:-1], True))
+        after = (last + 1)[np.searchsorted(last, after - 1)]
     out, open_ = [], [(0, len(values))]
     while open_:
         a, b = open_.pop()
@@ -56,7 +63,7 @@ def compact_windows(values: np.ndarray, least: int = SHINGLES) -> list[tuple[int
             continue
         c = a + int(values[a:b].argmin())
         out.append((a, c, b - 1))
-        open_ += [(a, c), (c + 1, b)]
+        open_ += [(a, c), (int(after[c]), b)]
     return out
 
 
@@ -66,7 +73,7 @@ def windows(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(shingles) >= SHINGLES:
         for k in range(HASHES):
             values = mix(shingles ^ _SEEDS[k])
-            got = np.array(compact_windows(values), dtype=np.int64).reshape(-1, 3)
+            got = np.array(compact_windows(values, runs=True), dtype=np.int64).reshape(-1, 3)
             rows.append(got)
             names.append(values[got[:, 1]])
     return (np.concatenate(rows), np.concatenate(names)) if rows else (np.zeros((0, 3), np.int64), np.zeros(0, U))
@@ -157,6 +164,23 @@ def _scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _dense(x: np.ndarray, centre: int, others: np.ndarray) -> bool:
+    """Whether a passage of x about the centre may have SHARE of its distinct shingles among ``others`` (sorted): no similar one has less."""
+    place = np.searchsorted(others, x)
+    place[place == len(others)] = 0
+    step = np.where(others[place] == x, SHARE[1] - SHARE[0], -SHARE[0])
+    if len(np.unique(x)) < len(x):
+        step[:centre][~_firsts(x[:centre][::-1])[::-1]] = 0
+        step[centre:][~_firsts(x[centre:])] = 0
+    left, right = np.zeros(centre + 1, dtype=np.int64), np.zeros(len(x) - centre + 1, dtype=np.int64)
+    np.cumsum(step[:centre][::-1], out=left[1:])
+    np.cumsum(step[centre:], out=right[1:])
+    most = np.maximum.accumulate(right[::-1])[::-1]
+    need = np.maximum(SHINGLES - np.arange(centre + 1), 1)
+    here = need < len(most)
+    return bool(here.any()) and bool((left[here] + most[need[here]] >= 0).any())
+
+
 def match(a: np.ndarray, ca: int, b: np.ndarray, cb: int) -> tuple[int, int, int, int] | None:
     """(start in a, start in b, shingles of a, shingles of b) of similar passages that hold the centres, or None.
 
@@ -165,6 +189,8 @@ def match(a: np.ndarray, ca: int, b: np.ndarray, cb: int) -> tuple[int, int, int
     """
     if (found := same_words(a, ca, b, cb)) is not None:
         return found
+    if not _dense(a, ca, np.unique(b)) or not _dense(b, cb, np.unique(a)):
+        return None
     left, right = _scores(a[:ca][::-1], b[:cb][::-1]), _scores(a[ca:], b[cb:])
     # what the right sides have to add, the centres at least
     p, q = (np.maximum(SHINGLES - np.arange(n), 1) for n in left.shape)
@@ -255,9 +281,6 @@ def verified(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> tu
         x, y = a[la : i + SIDE + 1], b[lb : j + SIDE + 1]
         if len(x) < SHINGLES or len(y) < SHINGLES:
             continue
-        both = len(np.intersect1d(x, y))
-        if both < -(-SHARE[0] * SHINGLES // SHARE[1]) and both < max(least_common(x, i - la), least_common(y, j - lb)):
-            continue
         p = match(x, i - la, y, j - lb)
         if p is not None:
             found.append((p[0] + la, p[1] + lb, p[2], p[3]))
@@ -343,31 +366,34 @@ def _sent(schema: pa.Schema, rows_of):
 
 _PAIRED = pa.schema([
     ("rep", pa.int64()), ("rep_block", pa.int64()), ("rep_place", pa.int32()), ("salt", pa.int32()), ("follows", pa.bool_()), ("doc", pa.int64()),
-    ("names", pa.list_(pa.int64())), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("shingles", pa.binary()),
+    ("names", pa.list_(pa.int64())), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("start", pa.int32()), ("shingles", pa.binary()),
 ])
-PAIRED = "rep long, rep_block long, rep_place int, salt int, follows boolean, doc long, names array<long>, a array<int>, b array<int>, shingles binary"
+PAIRED = "rep long, rep_block long, rep_place int, salt int, follows boolean, doc long, names array<long>, a array<int>, b array<int>, start int, shingles binary"
 
 
 def _paired(row: dict, texts: dict[int, np.ndarray]) -> Iterator[tuple[tuple, int]]:
+    """The shingles from the first match to the last one, and SIDE more on either side, which is as far as a match is followed."""
     for x in row["asked"]:
-        data = texts[x["place"]].tobytes()
-        yield (*(x[c] for c in _PAIRED.names[:-1]), data), len(data) + 16 * len(x["names"])
+        at = x["b"] if x["follows"] else x["a"]
+        start = max(0, min(at) - SIDE)
+        data = texts[x["place"]][start : max(at) + SIDE + 1].tobytes()
+        yield (*(x[c] for c in _PAIRED.names[:-2]), start, data), len(data) + 16 * len(x["names"])
 
 
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (PAIRED), sorted so that the leader's document comes first: for each other one the passages that it has in common with it, and
     the names of the matches that lie in none."""
-    star, centre = None, np.zeros(0, dtype=np.uint32)
+    star, centre, first = None, np.zeros(0, dtype=np.uint32), 0
     for batch in batches:
         for at in range(0, len(batch), 256):
             out = []
-            for rep, *key, follows, doc, names, a, b, data in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+            for rep, *key, follows, doc, names, a, b, start, data in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
                 x = np.frombuffer(data, dtype=np.uint32)
                 if not follows:
-                    star, centre = key, x
+                    star, centre, first = key, x, start
                 elif star == key:
-                    found, inside = verified(centre, x, np.array(a, dtype=np.int32), np.array(b, dtype=np.int32))
-                    out.append((rep, doc, [list(map(int, p)) for p in found], np.array(names, dtype=np.int64)[~inside].tolist()))
+                    found, inside = verified(centre, x, np.array(a, dtype=np.int32) - first, np.array(b, dtype=np.int32) - start)
+                    out.append((rep, doc, [[int(p[0]) + first, int(p[1]) + start, int(p[2]), int(p[3])] for p in found], np.array(names, dtype=np.int64)[~inside].tolist()))
             yield _batch(out, _TOLD)
 
 
@@ -388,7 +414,7 @@ def _around(row: dict, texts: dict[int, np.ndarray]) -> Iterator[tuple[tuple, in
 def _answered(blocks: DataFrame, asks: DataFrame, schema: pa.Schema, columns: str, rows_of) -> DataFrame:
     """``rows_of`` the texts at the places of ``asks`` (block, place and more); ``blocks`` stay where they are."""
     asked = asks.groupBy("block").agg(F.collect_list(F.struct(*(c for c in asks.columns if c != "block"))).alias("asked"))
-    return blocks.join(cut(asked), "block").select("block", "held", "data", "asked").mapInArrow(_sent(schema, rows_of), columns)
+    return blocks.join(written(asked), "block").select("block", "held", "data", "asked").mapInArrow(_sent(schema, rows_of), columns)
 
 
 def _leaders(windows_: DataFrame) -> DataFrame:
@@ -406,14 +432,14 @@ def _pairs(matches: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     """What ``_told`` says of ``pairs``. A leader of any number of documents is dealt to tasks in parts of about STAR, each with its text."""
-    sizes = cut(pairs.groupBy(*_REP).agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts")))
+    sizes = cut(pairs.groupBy(*_REP).agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"), F.min(F.array_min("matches.a")).alias("x"), F.max(F.array_max("matches.a")).alias("y")))
     salt = F.pmod(F.xxhash64("block", "place"), F.col("parts")).cast("int").alias("salt")
     field = lambda c: F.transform("matches", lambda x: x[c])
     members = pairs.join(sizes, list(_REP)).select(*_REP, salt, F.lit(True).alias("follows"), "doc", "block", "place", field("name").alias("names"), field("a").alias("a"), field("b").alias("b"))
     none = lambda kind: F.array().cast(f"array<{kind}>")
     centres = sizes.select(
         *_REP, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("follows"), F.col("rep").alias("doc"),
-        F.col("rep_block").alias("block"), F.col("rep_place").alias("place"), none("bigint").alias("names"), none("int").alias("a"), none("int").alias("b"),
+        F.col("rep_block").alias("block"), F.col("rep_place").alias("place"), none("bigint").alias("names"), F.array("x", "y").alias("a"), none("int").alias("b"),
     )
     rows = _answered(blocks, members.union(centres), _PAIRED, PAIRED, _paired)
     return cut(rows.repartition(*_REP, "salt").sortWithinPartitions(*_REP, "salt", "follows").mapInArrow(_told, TOLD))
@@ -451,13 +477,13 @@ def _equal_links(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The links of windows whose surroundings are the same, and the windows (name, doc, block, place, c) with one of each such group."""
     windows_ = hits.filter("name is not null")
     least = windows_.groupBy("name", "around").agg(F.min(F.struct("doc", "block", "place", "c")).alias("x"), F.count("*").alias("n"))
-    least = cut(least)
+    least = written(least)
     again = least.filter("n > 1").select("name", "around", F.col("x.doc").alias("r"), F.col("x.block").alias("r_block"), F.col("x.place").alias("r_place"), F.col("x.c").alias("r_c"))
     again = windows_.join(again, ["name", "around"]).filter("block <> r_block or place <> r_place or c <> r_c")
     again = again.select(F.col("r").alias("rep"), F.col("doc").alias("member"), (F.col("r_c") - F.col("before")).alias("at"), (F.col("c") - F.col("before")).alias("to"), "size", F.col("size").alias("length"))
     inside = hits.filter("name is null").select("rep", F.col("doc").alias("member"), "at", F.col("c").alias("to"), "size", F.col("size").alias("length"))
     links = again.union(inside).select(*(F.col(c).cast("long").alias(c) for c in LINK)).distinct()
-    return cut(links), least.select("name", "x.doc", "x.block", "x.place", "x.c")
+    return written(links), least.select("name", "x.doc", "x.block", "x.place", "x.c")
 
 
 def _leader_links(windows_: DataFrame, links: DataFrame, whole: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -466,27 +492,27 @@ def _leader_links(windows_: DataFrame, links: DataFrame, whole: DataFrame, block
     What lies in a passage of ``links``, and in one component, is not looked at again. A document is first verified with the leader that
     it has the most matches with; then with others, for what is left.
     """
-    first = cut(_leaders(windows_))
+    first = written(_leaders(windows_))
     is_lead = (F.col("block") == F.col("rep_block")) & (F.col("place") == F.col("rep_place")) & (F.col("c") == F.col("rep_c"))
 
     def left(links: DataFrame) -> DataFrame:
-        now = cut(_standing(windows_, links, whole).join(first, "name"))
+        now = written(_standing(windows_, links, whole).join(first, "name"))
         lead = now.filter(is_lead).select("name", F.col("component").alias("lead_component"), F.col("met").alias("lead_met"))
         return now.filter(~is_lead).join(lead, "name").filter("not met or not lead_met or component <> lead_component")
 
     turn = F.expr(f"row_number() over (partition by block, place order by size(matches) desc, {', '.join(_REP)})")
-    best = cut(_pairs(left(links)).withColumn("turn", turn).filter("turn = 1").drop("turn"))
+    best = written(_pairs(left(links)).withColumn("turn", turn).filter("turn = 1").drop("turn"))
     told = _verified(best, blocks)
     more = left(links.union(_links(told))).join(best.select(*_REP, "block", "place"), [*_REP, "block", "place"], "left_anti")
-    every = told.union(_verified(cut(_pairs(more)), blocks))
+    every = told.union(_verified(written(_pairs(more)), blocks))
     return _links(every), every.select(F.explode("missed").alias("name")).distinct()
 
 
 def _crossing_links(windows_: DataFrame, links: DataFrame, missed: DataFrame, whole: DataFrame, blocks: DataFrame) -> DataFrame:
     """The links that leaders do not show: of windows that lie in no passage of ``links``, or not in the component of their leader."""
-    left = cut(_standing(windows_.join(missed, "name", "left_semi"), links, whole))
+    left = written(_standing(windows_.join(missed, "name", "left_semi"), links, whole))
     lead = cut(left.groupBy("name").agg(F.min(F.struct("doc", "block", "place", "c", "component")).alias("x")).select("name", F.col("x.component").alias("lead")))
-    left = cut(left.join(lead, "name").withColumn("minor", F.expr("not met or component <> lead")).drop("lead"))
+    left = written(left.join(lead, "name").withColumn("minor", F.expr("not met or component <> lead")).drop("lead"))
     parts = lambda c: F.ceil(F.sum(F.when(c, 1).otherwise(0)) / BLOCK).cast("int")
     names = cut(left.groupBy("name").agg(parts(F.col("minor")).alias("minors"), parts(~F.col("minor")).alias("majors")).filter("minors > 0"))
     return _crossing(_answered(blocks, left.join(names, "name"), _AROUND, AROUND, _around))
@@ -552,7 +578,7 @@ def near_passages(docs: DataFrame) -> DataFrame:
     ranges = _Ranges(count, np.uint32)
     now = state.select("block", "ids", "held", "data", "copied_at", "first_at")
     bits = answered(now.mapInArrow(_Windows(1, ranges), "place long, block long, names binary, twice binary"), count, np.uint32)
-    rows = cut(now.join(bits, "block", "left").mapInArrow(_Windows(2, ranges), HIT))
+    rows = written(now.join(bits, "block", "left").mapInArrow(_Windows(2, ranges), HIT))
     blocks = state.select("block", "held", "data")
     # equal texts: copies of a text that has passages are linked with the one that took part
     long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n"))

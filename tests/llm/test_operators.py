@@ -194,6 +194,9 @@ def test_compact_windows_cover_every_run_once():
                         found[(i, j)] += 1
                         assert values[c] == values[i : j + 1].min()
         assert found == Counter((i, j) for i in range(80) for j in range(i + least - 1, 80))
+    values = np.repeat(rng.integers(0, 50, 20), rng.integers(1, 8, 20)).astype(np.uint64)
+    held = {(tuple(sorted(set(values[i : j + 1].tolist()))), j) for lo, c, hi in passages.compact_windows(values, 7, True) for i in range(lo, c + 1) for j in range(max(c, i + 6), hi + 1)}
+    assert held == {(tuple(sorted(set(values[i : j + 1].tolist()))), j) for i in range(len(values)) for j in range(i + 6, len(values))}
 
 
 def test_passages(spark, odd, none):
