@@ -1,10 +1,9 @@
 """Mixing sources to target weights: iterative proportional fitting of token weights, then sampling by calibrated probabilities.
 
 Tokens are summed into cells of source, language and topic. Rounds of fitting scale the cells' weights until each margin has its
-target share. A document is kept with the probability budget * (fitted / observed) of its cell, at most 1, decided by a hash of its id.
-
-A cell whose probability is cut at 1 falls short of its weight. ``exact`` keeps the margins: it fits until they hold, and takes a
-smaller budget where the greatest factor is over 1 / budget, so that no cell is cut.
+target share. A document is kept with the probability budget * (fitted / observed) of its cell, decided by a hash of its id. Where the
+greatest factor is over 1 / budget, the budget is smaller, so that no probability is cut at 1 and the sample keeps the margins.
+``exact`` fits until the margins hold, instead of for a number of rounds.
 """
 
 from __future__ import annotations
@@ -42,7 +41,7 @@ def fitted_cells(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
 
     ``targets`` may give shares for values of a dimension; its other values share what is left, by tokens to the power ``alpha``.
     Cells without tokens keep the factor 1. All margins' targets are over values that occur. ``exact``: ``rounds`` at least, as many as
-    the margins need, and the budget at most 1 / the greatest factor.
+    the margins need. The budget is at most 1 / the greatest factor.
     """
     cells = docs.groupBy(*(F.coalesce(F.col(d), F.lit("")).alias(d) for d in DIMENSIONS)).agg(F.sum("n_tokens").alias("tokens"))
     cells = cut(cells)
@@ -79,9 +78,10 @@ def fitted_cells(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
             least = min(least, off)
             w = cut(fit(w, rounds))
     factor = F.when(F.col("tokens") > 0, F.col("fitted") * (total or 1) / F.col("tokens")).otherwise(1.0)
-    if exact:
-        budget = min(budget, 1.0 / (w.agg(F.max(factor)).first()[0] or 1.0))
-    w = w.withColumn("probability", F.round(F.least(F.lit(1.0), budget * factor), 9))
+    w = cut(w.withColumn("factor", factor))
+    # nothing is cut at 1: the budget is small enough for the cell with the greatest factor
+    budget = min(budget, 1.0 / (w.agg(F.max("factor")).first()[0] or 1.0))
+    w = w.withColumn("probability", F.round(F.least(F.lit(1.0), budget * F.col("factor")), 9))
     return w.select(*DIMENSIONS, "tokens", "fitted", "probability")
 
 
@@ -123,7 +123,8 @@ def sql(documents: str = "documents", alpha: float = ALPHA, rounds: int = ROUNDS
         for d in DIMENSIONS:
             out.append(f"w_{n + 1} as (select * exclude (fitted), coalesce(fitted * _{d} / nullif(sum(fitted) over (partition by {d}), 0), 0) as fitted from w_{n})")
             n += 1
-    out.append(f"m_p as materialized (select source, lang, topic, round(least(1.0, {budget} * case when tokens > 0 then fitted * total / tokens else 1.0 end), 9) as probability from w_{n})")
+    out.append(f"m_f as materialized (select source, lang, topic, case when tokens > 0 then fitted * total / tokens else 1.0 end as factor from w_{n})")
+    out.append(f"m_p as materialized (select source, lang, topic, round(least(1.0, least({budget}, 1.0 / max(factor) over ()) * factor), 9) as probability from m_f)")
     out.append(
         f"m_out as (select m_d.* exclude (t), probability, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::varchar, '')), 1, 12))::bigint::double / {float(16**12)!r} < probability as kept"
         " from m_d left join m_p on coalesce(m_d.source, '') = m_p.source and coalesce(m_d.lang, '') = m_p.lang and m_d.topic = m_p.topic)"

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -138,37 +139,52 @@ class Model:
     skip: np.ndarray
 
 
+def evidence(text: str) -> Iterator[tuple[str, list[int], int, int]]:
+    """What a text says of the weights: (node, features, label, 0), and (chain or skip, no features, label, label) of linked spans."""
+    base = base_spans(text)
+    nodes = sorted([*base, *candidates(text, base)], key=lambda n: n[1])
+    seen: dict[str, int] = {}
+    for k, n in enumerate(nodes):
+        yield "node", features(text, n), n[0], 0
+        if k and n[1] - nodes[k - 1][2] <= 80:
+            yield "chain", [], nodes[k - 1][0], n[0]
+        if (key := key_of(text, n)) is not None:
+            if key in seen:
+                yield "skip", [], seen[key], n[0]
+            seen[key] = n[0]
+
+
 def fit(texts: list[str]) -> Model:
-    """Unary weights by multinomial logistic regression, pair weights by the labels' log odds of standing together, both smoothed."""
+    """As ``fit_counts``, of texts at hand."""
+    counts = Counter((kind, tuple(f), a, b) for text in texts for kind, f, a, b in evidence(text))
+    return fit_counts([(*k, n) for k, n in counts.items()])
+
+
+def fit_counts(rows: list[tuple[str, tuple[int, ...], int, int, int]]) -> Model:
+    """Unary weights by multinomial logistic regression, pair weights by the labels' log odds of standing together, both smoothed;
+    ``rows`` are evidence with how often it occurs."""
     labels = NONE + 1
-    x, y = [], []
     chain, skip = np.ones((labels, labels)), np.ones((labels, labels)) * 0.25 + np.eye(labels)
-    for text in texts:
-        base = base_spans(text)
-        nodes = sorted([*base, *candidates(text, base)], key=lambda n: n[1])
-        seen: dict[str, int] = {}
-        for k, n in enumerate(nodes):
-            x.append(features(text, n))
-            y.append(n[0])
-            if k and n[1] - nodes[k - 1][2] <= 80:
-                chain[nodes[k - 1][0], n[0]] += 1
-            if (key := key_of(text, n)) is not None:
-                if key in seen:
-                    skip[seen[key], n[0]] += 1
-                    skip[n[0], seen[key]] += 1
-                seen[key] = n[0]
+    for kind, _, a, b, n in rows:
+        if kind == "chain":
+            chain[a, b] += n
+        elif kind == "skip":
+            skip[a, b] += n
+            skip[b, a] += n
+    nodes = sorted(r for r in rows if r[0] == "node")
     w = np.zeros((labels, FEATURES))
     w[NONE, 0] = 2.0
-    if x:
-        data = np.zeros((len(x), FEATURES))
-        for k, f in enumerate(x):
-            data[k, f] = 1
-        target = np.eye(labels)[y]
+    if nodes:
+        data = np.zeros((len(nodes), FEATURES))
+        for k, r in enumerate(nodes):
+            data[k, list(r[1])] = 1
+        target, weight = np.eye(labels)[[r[2] for r in nodes]], np.array([r[4] for r in nodes], dtype=float)
+        weight = (weight / weight.sum())[:, None]
         for _ in range(300):
             p = data @ w.T
             p = np.exp(p - p.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            w += 1.0 * ((target - p).T @ data / len(x) - 1e-3 * w)
+            w += 1.0 * (((target - p) * weight).T @ data - 1e-3 * w)
     ratio = lambda m: np.log(m / m.sum()) - np.log(m.sum(axis=1, keepdims=True) / m.sum()) - np.log(m.sum(axis=0, keepdims=True) / m.sum())
     # repeated things are the same thing: what the sample has no case of, agreement decides
     return Model(w, np.clip(ratio(chain), -2, 2), np.clip(ratio(skip), -4, 4) + 3.0 * np.eye(labels))
@@ -263,10 +279,28 @@ def told(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans))
 
 
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column(0):
+            counts = Counter((kind, tuple(f), a, b) for kind, f, a, b in evidence(text.as_py()))
+            rows = [(*k, n) for k, n in counts.items()]
+            kinds = [pa.string(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["kind", "features", "a", "b", "n"])
+
+
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Fit on the whole texts of at most ``sample`` documents; the same rows give the same model."""
-    rows = docs.select(F.col(text).alias("t"), F.xxhash64(key, text).alias("h"), F.col(key).alias("k")).filter(F.col("t").rlike("[0-9@]"))
-    return fit([r.t for r in rows.orderBy("h", "k").limit(sample).collect()])
+    """Fit on the whole texts of at most ``sample`` documents; the same rows give the same model.
+
+    The documents are chosen by a hash, of which alone the driver sees the least; their evidence is gathered where the texts are, and
+    the driver gets its counts.
+    """
+    rows = docs.select(F.col(text).alias("t"), F.xxhash64(key, text).alias("h"))
+    rows = rows.filter(F.col("t").rlike("[0-9@]"))
+    last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return fit_counts([])
+    found = rows.filter(F.col("h") <= last).select("t").mapInArrow(_evidence, "kind string, features array<int>, a int, b int, n long")
+    return fit_counts([tuple(r) for r in found.groupBy("kind", "features", "a", "b").agg(F.sum("n").alias("n")).collect()])
 
 
 FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
