@@ -114,8 +114,8 @@ def walk_forward(rows: DataFrame, folds: int = 10, test_folds: int = 1, least_tr
 
 
 def cpcv_splits(folds: int, test_folds: int) -> list[list[int]]:
-    """The test folds of each split: the combinations, from the last."""
-    return [list(x) for x in combinations(range(folds), test_folds)][::-1]
+    """The test folds of each split: the combinations, in order."""
+    return [list(x) for x in combinations(range(folds), test_folds)]
 
 
 def cpcv(rows: DataFrame, folds: int = 10, test_folds: int = 2, embargo: int = 0) -> DataFrame:
@@ -126,9 +126,9 @@ def cpcv(rows: DataFrame, folds: int = 10, test_folds: int = 2, embargo: int = 0
 
 
 def cpcv_paths(spark: SparkSession, folds: int, test_folds: int = 2) -> DataFrame:
-    """K1: (path, group, split): each group's k-th split, in order, is its part of path k."""
+    """K1: (path, group, split): each group's k-th split, by the numbers of ``cpcv_splits``, is its part of path k."""
     made = []
     for g in range(folds):
-        for path, k in enumerate(k for k, c in enumerate(combinations(range(folds), test_folds)) if g in c):
+        for path, k in enumerate(k for k, c in enumerate(cpcv_splits(folds, test_folds)) if g in c):
             made.append((path, g, k))
     return spark.createDataFrame(made, "path int, group int, split int")

@@ -200,11 +200,11 @@ def vertical_barrier(spark, sf_dir):
 
 def _chosen(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     w = walk(spark, sf_dir)
-    e = events.vertical_barrier(w).filter(F.col("seq") % 7 == 0).withColumn("trgt", F.lit(0.01)).withColumn("side0", F.when(F.col("size") % 2 == 0, 1).otherwise(-1))
+    e = events.vertical_barrier(w).withColumn("trgt", F.lit(0.01)).withColumn("side0", F.when(F.col("size") % 2 == 0, 1).otherwise(-1))
     return w, e
 
 
-_EV = WALK + f", e as (select a.*, (select min(b.ts_us) from walk b where b.symbol = a.symbol and b.ts_us >= a.ts_us + {DAY}) as v_us, case when size % 2 = 0 then 1.0 else -1.0 end as side from walk a where seq % 7 = 0), z as (select symbol, max(ts_us) as z from walk group by 1), hit as (select e.symbol, e.seq, min(case when (b.price / e.price - 1) * {{side}} > {{up}} * cast(0.01 as double) then b.ts_us end) as pt_us, min(case when (b.price / e.price - 1) * {{side}} < -{{down}} * cast(0.01 as double) then b.ts_us end) as sl_us from e join z using (symbol) join walk b on b.symbol = e.symbol and b.ts_us between e.ts_us and coalesce(e.v_us, z.z) group by 1, 2), t as (select e.*, pt_us, sl_us, least(v_us, pt_us, sl_us) as t1_us from e join hit using (symbol, seq))"
+_EV = WALK + f", e as (select a.*, (select min(b.ts_us) from walk b where b.symbol = a.symbol and b.ts_us >= a.ts_us + {DAY}) as v_us, case when size % 2 = 0 then 1.0 else -1.0 end as side from walk a), z as (select symbol, max(ts_us) as z from walk group by 1), hit as (select e.symbol, e.seq, min(case when (b.price / e.price - 1) * {{side}} > {{up}} * cast(0.01 as double) then b.ts_us end) as pt_us, min(case when (b.price / e.price - 1) * {{side}} < -{{down}} * cast(0.01 as double) then b.ts_us end) as sl_us from e join z using (symbol) join walk b on b.symbol = e.symbol and b.ts_us between e.ts_us and coalesce(e.v_us, z.z) group by 1, 2), t as (select e.*, pt_us, sl_us, least(v_us, pt_us, sl_us) as t1_us from e join hit using (symbol, seq))"
 
 
 @query("with " + _EV.format(side="1.0", up="1.0", down="1.0") + " select symbol, seq, pt_us, sl_us, t1_us from t")
@@ -245,12 +245,12 @@ def ma_cross_side(spark, sf_dir):
 def _spans(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     b = bars.numbered(walk(spark, sf_dir))
     last = b.groupBy("symbol").agg(F.max("i").alias("m"))
-    e = b.filter(F.col("seq") % 5 == 0).join(last, "symbol")
+    e = b.join(last, "symbol")
     e = e.select("symbol", F.col("seq").alias("event"), F.col("i").alias("i0"), F.when(F.col("i") + F.col("size") % 17 <= F.col("m"), F.col("i") + F.col("size") % 17).alias("i1"))
     return e, b
 
 
-_SPANS = NUM + ", m as (select symbol, max(i) as m from num group by 1), e as (select symbol, seq as event, i as i0, case when i + size % 17 <= m then i + size % 17 end as i1, m from num join m using (symbol) where seq % 5 = 0), c as (select num.symbol, num.i, num.price, count(e.event) as c from num left join e on e.symbol = num.symbol and num.i between e.i0 and coalesce(e.i1, e.m) group by 1, 2, 3), r as (select *, ln(price) - lag(ln(price)) over (partition by symbol order by i) as r from c), u as (select e.symbol, e.event, e.i0, avg(1.0 / r.c) as tw, abs(sum(r.r / r.c)) as w0 from e join r on r.symbol = e.symbol and r.i between e.i0 and coalesce(e.i1, e.m) group by 1, 2, 3)"
+_SPANS = NUM + ", m as (select symbol, max(i) as m from num group by 1), e as (select symbol, seq as event, i as i0, case when i + size % 17 <= m then i + size % 17 end as i1, m from num join m using (symbol)), c as (select num.symbol, num.i, num.price, count(e.event) as c from num left join e on e.symbol = num.symbol and num.i between e.i0 and coalesce(e.i1, e.m) group by 1, 2, 3), r as (select *, ln(price) - lag(ln(price)) over (partition by symbol order by i) as r from c), u as (select e.symbol, e.event, e.i0, avg(1.0 / r.c) as tw, abs(sum(r.r / r.c)) as w0 from e join r on r.symbol = e.symbol and r.i between e.i0 and coalesce(e.i1, e.m) group by 1, 2, 3)"
 
 
 @query("with " + _SPANS + " select symbol, i, c from c")
@@ -501,10 +501,10 @@ def walk_forward_roles(spark, sf_dir):
     return splits.walk_forward(_rows(spark, sf_dir), 5, 1, 2, 3)
 
 
-@query("with " + _ROWS + ", t as (select pred as t0, eval as t1 from rows_ where pos % 97 = 5) select symbol, pos from rows_ r where not exists (select 1 from t where r.pred <= t.t1 and r.eval >= t.t0)")
+@query("with " + _ROWS + ", q as (select *, ntile(4) over (partition by symbol order by pos) as q from rows_), t as (select pred as t0, eval as t1 from q where q = 2) select symbol, pos from rows_ r where not exists (select 1 from t where r.pred <= t.t1 and r.eval >= t.t0)")
 def train_times(spark, sf_dir):
     r = _rows(spark, sf_dir).select("symbol", "pos", F.col("pred").alias("t0"), F.col("eval").alias("t1"))
-    return splits.train_times(r, r.filter(F.col("pos") % 97 == 5).select("t0", "t1")).select("symbol", "pos")
+    return splits.train_times(r, splits.folded(r, 4).filter("fold = 1").select("t0", "t1")).select("symbol", "pos")
 
 
 @query("with t as (select epoch_us(ts) as t from events), n as (select t, coalesce(lead(t, (select cast(floor(count(*) * 0.01::double) as int) from t)) over (order by t), max(t) over ()) as until from t) select * from n")
@@ -551,11 +551,11 @@ def active_signal(spark, sf_dir):
 _FORECAST = "fc as (select event_id as seq, cast(100 + event_id % 23 as double) as f, cast(95 + event_id % 17 as double) as m, cast(10.803324 as double) as w from events), tp as (select *, cast(trunc((f - m) / sqrt(w + (f - m) * (f - m)) * 100) as int) as target from fc)"
 
 
-@query("with " + _FORECAST + f" select seq, {_r('(f - m) / sqrt(w + (f - m) * (f - m))', 'size')}, target, {_r('f - 0.5::double * sqrt(w / (1 - 0.25::double))', 'inverse')}, {_r('w * w * (1 / (0.95::double * 0.95::double) - 1)', 'w_for')}, {_r('(select sum(f - j / 100.0::double * sqrt(w / (1 - j / 100.0::double * (j / 100.0::double)))) from (select unnest(range(1, cast(abs(target + 1) as bigint))) as j)) / nullif(target, 0)', 'limit_price')} from tp where target > 0")
+@query("with " + _FORECAST + f" select seq, {_r('(f - m) / sqrt(w + (f - m) * (f - m))', 'size')}, target, {_r('f - 0.5::double * sqrt(w / (1 - 0.25::double))', 'inverse')}, {_r('w * w * (1 / (0.95::double * 0.95::double) - 1)', 'w_for')}, {_r('(select sum(f - j / 100.0::double * sqrt(w / (1 - j / 100.0::double * (j / 100.0::double)))) from (select unnest(range(1, cast(abs(target + 1) as bigint))) as j)) / nullif(target, 0)', 'limit_price')} from tp")
 def bet_size_fns(spark, sf_dir):
     e = src.tape(spark, sf_dir).select("seq", (100.0 + F.col("seq") % 23).alias("f"), (95.0 + F.col("seq") % 17).alias("m"), F.lit(10.803324).alias("w"))
     f, m, w, most = F.col("f"), F.col("m"), F.col("w"), F.lit(100)
-    e = e.withColumn("target", S.target_position(w, f, m, most)).filter("target > 0")
+    e = e.withColumn("target", S.target_position(w, f, m, most))
     out = e.select("seq", S.bet_size(w, f - m).alias("size"), "target", S.inverse_price(f, w, F.lit(0.5)).alias("inverse"), S.calibrated_w(w, F.lit(0.95)).alias("w_for"), S.limit_price(F.col("target"), F.lit(0), f, w, most).alias("limit_price"))
     return rounded(out, "size", "inverse", "w_for", "limit_price")
 
@@ -615,10 +615,10 @@ def perf_against_benchmark(spark, sf_dir):
 def _predictions(spark, sf_dir) -> DataFrame:
     roles = splits.cpcv(_rows(spark, sf_dir), 4, 2).filter("role = 'test'")
     # splits are numbered from the last combination, paths from the first
-    return roles.select("symbol", F.col("pos").alias("t"), F.col("fold").alias("group"), (5 - F.col("split")).alias("split"), ((F.col("pos") * 7 + F.col("split")) % 11).cast("double").alias("signal"))
+    return roles.select("symbol", F.col("pos").alias("t"), F.col("fold").alias("group"), "split", ((F.col("pos") * 7 + F.col("split")) % 11).cast("double").alias("signal"))
 
 
-@query("with " + _ROWS + _folds(4) + ", c as (select a.a, b.b, row_number() over (order by a.a, b.b) - 1 as split from (select unnest(range(4)) as a) a, (select unnest(range(4)) as b) b where a.a < b.b), g as (select unnest(range(4)) as g), p as (select row_number() over (partition by g order by split) - 1 as path, g, split from g join c on g = a or g = b) select r.symbol, r.pos as t, cast(path as int) as path, cast((r.pos * 7 + 5 - p.split) % 11 as double) as signal from r join p on p.g = r.fold")
+@query("with " + _ROWS + _folds(4) + ", c as (select a.a, b.b, row_number() over (order by a.a, b.b) - 1 as split from (select unnest(range(4)) as a) a, (select unnest(range(4)) as b) b where a.a < b.b), g as (select unnest(range(4)) as g), p as (select row_number() over (partition by g order by split) - 1 as path, g, split from g join c on g = a or g = b) select r.symbol, r.pos as t, cast(path as int) as path, cast((r.pos * 7 + p.split) % 11 as double) as signal from r join p on p.g = r.fold")
 def path_assembly(spark, sf_dir):
     return backtest.assemble_paths(_predictions(spark, sf_dir), splits.cpcv_paths(spark, 4))
 
@@ -699,44 +699,51 @@ def pair_threshold(spark, sf_dir):
 # --- models ------------------------------------------------------------------
 
 
-def _classified(spark) -> tuple[DataFrame, DataFrame, list[str]]:
-    names = ["I_0", "I_1", "R_0", "N_0"]
-    d = src.synthetic_features(spark, 400, 2, 1, 1).select(F.lit("s").alias("symbol"), F.col("id").alias("pos"), F.col("id").alias("pred"), (F.col("id") + 2).alias("eval"), F.col("bin").alias("label"), "w", *names)
-    return d.drop("pred", "eval"), splits.purged_kfold(d.select("symbol", "pos", "pred", "eval"), 3, 0.01), names
+_FEATURES = ["r1", "r5", "r20", "size"]
+
+
+def _classified(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every tick: log returns over 1, 5 and 20 ticks and the size, and whether the price is higher two ticks on."""
+    w, own = F.log("price"), W.partitionBy("symbol").orderBy("i")
+    past = lambda n: F.coalesce(w - F.lag(w, n).over(own), F.lit(0.0)).alias(f"r{n}")
+    label = F.coalesce((F.lead("price", 2).over(own) > F.col("price")).cast("int"), F.lit(0)).alias("label")
+    d = bars.numbered(walk(spark, sf_dir)).select("symbol", F.col("i").alias("pos"), label, F.lit(1.0).alias("w"), past(1), past(5), past(20), F.col("size").cast("double").alias("size"))
+    d = d.cache()
+    return d, splits.purged_kfold(d.select("symbol", "pos", F.col("pos").alias("pred"), (F.col("pos") + 2).alias("eval")), 3, 0.01)
 
 
 @query()
 def model_cv(spark, sf_dir):
-    rows, roles, names = _classified(spark)
-    return models.compare(rows, roles, {"RF": models.random_forest(names, 5), "LOG": models.logistic(names)})
+    rows, roles = _classified(spark, sf_dir)
+    return models.compare(rows, roles, {"RF": models.random_forest(_FEATURES, 5), "LOG": models.logistic(_FEATURES)})
 
 
 @query()
 def mdi(spark, sf_dir):
-    rows, _, names = _classified(spark)
-    return models.importance_mdi(models.bagged_forest(names, 20)(rows).model, names, spark)
+    rows, _ = _classified(spark, sf_dir)
+    return models.importance_mdi(models.bagged_forest(_FEATURES, 20)(rows).model, _FEATURES, spark)
 
 
 @query()
 def mda(spark, sf_dir):
-    rows, roles, names = _classified(spark)
-    return models.importance_mda(rows, roles.filter("split = 0"), models.logistic(names), names[:2])
+    rows, roles = _classified(spark, sf_dir)
+    return models.importance_mda(rows, roles, models.logistic(_FEATURES), _FEATURES)
 
 
 @query()
 def sfi(spark, sf_dir):
-    rows, roles, names = _classified(spark)
-    return models.importance_sfi(rows, roles.filter("split < 2"), models.logistic, names[:2])
+    rows, roles = _classified(spark, sf_dir)
+    return models.importance_sfi(rows, roles, models.logistic, _FEATURES)
 
 
 @query()
 def orthogonal_features(spark, sf_dir):
-    rows, _, names = _classified(spark)
-    return models.orthogonal(rows, names)
+    rows, _ = _classified(spark, sf_dir)
+    return models.orthogonal(rows, _FEATURES)
 
 
 @query()
 def cpcv_run(spark, sf_dir):
-    rows, _, names = _classified(spark)
+    rows, _ = _classified(spark, sf_dir)
     roles = splits.cpcv(rows.select("symbol", "pos", F.col("pos").alias("pred"), (F.col("pos") + 2).alias("eval")), 3, 2, 3)
-    return models.cpcv_run(rows, roles, models.logistic(names), 2, 0.05)
+    return models.cpcv_run(rows, roles, models.logistic(_FEATURES), 2, 0.05)

@@ -18,11 +18,11 @@ def micros(ts: str = "ts") -> F.Column:
 
 
 def read_trades(spark: SparkSession, path: str, symbol: str = "", limit: int | None = None) -> DataFrame:
-    """A tape of CSV files as (symbol, seq, ts_ns, ts, price, volume); ``limit`` caps rows in time order."""
+    """A tape of CSV files as (symbol, seq, ts_ns, ts, ts_us, price, size), what bars are made of; ``limit`` caps rows in time order."""
     df = spark.read.schema(TRADES).csv(path, header=True).withColumn("file_row", F.monotonically_increasing_id())
     df = df.select(
         F.lit(symbol).alias("symbol"), F.col("file_row").alias("seq"), F.col("sip_timestamp").alias("ts_ns"),
-        F.expr("timestamp_micros(sip_timestamp div 1000)").cast("timestamp_ntz").alias("ts"), "price", F.col("size").alias("volume"),
+        F.expr("timestamp_micros(sip_timestamp div 1000)").cast("timestamp_ntz").alias("ts"), F.expr("sip_timestamp div 1000").alias("ts_us"), "price", "size",
     )
     return df if limit is None else df.orderBy("ts_ns", "seq").limit(limit)
 

@@ -130,13 +130,13 @@ def train(df, split):
 
 def test_splits(spark):
     assert train(splits.purged_kfold(rows(spark), 3, 0.1), 1) == [0, 1, 2, 10, 11]
-    assert splits.cpcv_splits(4, 2)[::-1] == [[0, 1], [0, 2], [0, 3], [1, 2], [1, 3], [2, 3]]
+    assert splits.cpcv_splits(4, 2) == [[0, 1], [0, 2], [0, 3], [1, 2], [1, 3], [2, 3]]
     paths = {}
     for r in splits.cpcv_paths(spark, 4).orderBy("group", "path").collect():
         paths.setdefault(r.group, []).append(r.split)
     assert list(paths.values()) == [[0, 1, 2], [0, 3, 4], [1, 3, 5], [2, 4, 5]]
     # one test block [3, 6) with an embargo of 1
-    assert train(splits.cpcv(rows(spark), 4, 1, 1), 2) == [0, 9, 10, 11]
+    assert train(splits.cpcv(rows(spark), 4, 1, 1), 1) == [0, 9, 10, 11]
     with pytest.raises(ValueError):
         splits.cpcv(rows(spark), 1, 1)
 
@@ -164,3 +164,18 @@ def test_ewm_std_matches_its_definition(spark):
     s, s2 = sum(w), sum(v * v for v in w)
     m = sum(a * b for a, b in zip(w, x, strict=True)) / s
     assert got[-1] == pytest.approx(math.sqrt(sum(a * (b - m) ** 2 for a, b in zip(w, x, strict=True)) / s * s * s / (s * s - s2)))
+
+
+def test_trades_from_csv_become_bars(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("sip_timestamp,price,size\n" + "".join(f"{1_700_000_000_000_000_000 + k * 1_000_000_000},{p},{v}\n" for k, (p, v) in enumerate(((100, 3), (101, 2), (99, 5), (102, 4), (103, 1), (101, 6), (98, 2), (97, 7)))))
+    ticks = tape.read_trades(spark, str(tmp_path / "t.csv"), "x")
+    got = bars.dollar_bars(ticks, 800.0).orderBy("bar_no").collect()
+    assert [(r.open, r.high, r.low, r.close, r.volume) for r in got] == [(100, 101, 99, 99, 10), (102, 103, 101, 101, 11), (98, 98, 97, 97, 9)]
+    out = str(tmp_path / "bars")
+    tape.write_bars(bars.dollar_bars(ticks, 800.0), out)
+    assert spark.read.option("header", True).csv(out).count() == 3
+
+
+def test_paths_and_splits_have_the_same_numbers(spark):
+    made = splits.cpcv_splits(5, 2)
+    assert all(r.group in made[r.split] for r in splits.cpcv_paths(spark, 5).collect())
