@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_by = spark.conf.get("spark.checkpoint.dir", None)
     now = spark.sparkContext.getCheckpointDir()
     if now is None:
+        if not set_by and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(set_by or tempfile.mkdtemp(prefix="quantloom-"))
         now = spark.sparkContext.getCheckpointDir()
     return now

@@ -28,3 +28,20 @@ def test_stages_and_their_decisions(spark):
 
     for r in last:
         assert codec.decode(np.array(r.ids, dtype="<i4").tobytes()) == seen["source_mixing"][r.doc_id].text and r.n_pieces == len(r.ids)
+
+
+def test_run_over_odd_tables(spark, tmp_path):
+    from tests.llm.test_operators import SCHEMA, odd_rows, words
+
+    schema = SCHEMA.replace(", kept string", "")
+    more = [(20, words(80, 30), "en", "s0", 1, "s", "b", "p"), (20, words(80, 30), "en", "s0", 1, "s", "b", "p"), (20, words(80, 31), "en", "s0", 1, "s", "b", "p"), (None, words(80, 30), None, None, None, "s", "b", "p")]
+    rows = [(*r[:5], *r[6:]) for r in odd_rows()] + more
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    docs = corpus_pipeline.documents(spark, str(tmp_path / "odd"))
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sum(r.doc_id == 20 for r in kept) == 2 and not any(r.doc_id is None and r.text == words(80, 30) for r in kept)
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd"))
+    assert out.columns == ["doc_id", "lang", "source", "n_pieces", "ids"]
+    assert all(r.n_pieces == len(r.ids) for r in out.collect())
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
