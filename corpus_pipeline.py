@@ -16,17 +16,18 @@ from quantloom.llm.common import documents, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break a rule go."""
+    """Documents that break a rule go. A null or empty text has no words, and goes; repeated rows stay or go together; other columns are not read."""
     return quality.quality_rules(docs).filter("kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one row stays, of the least id."""
+    """Of each group of near-duplicates one row stays, of the least id; repeated rows are such a group. A row without id stays if its group has no
+    row with one. A row without words is in no group."""
     return minhash.deduplicated(docs)
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; n_chars follows."""
+    """Personal data is replaced by its kind; n_chars follows. A null text stays null; all rows stay, each by itself."""
     found = private.find_private(docs.withColumn("_null", F.col("text").isNull()).withColumn("_in_text", F.col("text")), "_in_text")
     text = F.when(F.col("_null"), F.lit(None).cast("string")).otherwise(F.col("redacted"))
     changed = F.col("spans") != ""
@@ -34,12 +35,13 @@ def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose sources, languages and topics have their target weights."""
+    """A sample whose sources, languages and topics have their target weights. A null source or language is one more value; a null text has no
+    tokens; rows of one id and cell stay or go together, and all rows without id of a cell."""
     return mixing.mix(docs, exact=True).filter("kept").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_pieces, ids): every document's pieces."""
+    """(doc_id, lang, source, n_pieces, ids): every document's pieces. A null or empty text has none; all rows stay."""
     df = pieces.encode(docs.select("doc_id", "lang", "source", "text"))
     return pieces.ids_array(df.select("doc_id", "lang", "source", "n_pieces", "ids"))
 
