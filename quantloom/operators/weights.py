@@ -59,6 +59,11 @@ def decay(df: DataFrame, last: float = 1.0, exponent: float = 1.0, out: str = "d
     return df.withColumn(out, F.greatest(F.lit(0.0), (1 - slope * total) + slope * x))
 
 
+def combined(df: DataFrame, last: float = 1.0, exponent: float = 1.0) -> DataFrame:
+    """Weight, the product of the weight by returns and the decay."""
+    return decay(df, last, exponent, "_decay").withColumn("weight", F.col("w") * F.col("_decay")).drop("_decay")
+
+
 def decay_curves(df: DataFrame, lasts: tuple[float, ...] = (1, 0.75, 0.5, 0, -0.25, -0.5), exponent: float = 1.0) -> DataFrame:
     """The data of the decay plot, in long form."""
     for k, c in enumerate(lasts):

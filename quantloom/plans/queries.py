@@ -49,6 +49,16 @@ OHLC = NUM + f", ohlc as (select symbol, greatest(cast(ceil(i / 5.0) as bigint)
 OWN = "partition by symbol order by seq"
 
 
+def _means(out: str, source: str, value: str, n: int, alpha: float | None = None, key: str = "symbol") -> str:
+    """Relation ``out`` (key, seq, n, y): the exponential mean of the values of ``source`` that are not null, by recursion from the mean of the first n."""
+    a = 2 / (n + 1) if alpha is None else alpha
+    return (
+        f", {out}_k as materialized (select {key}, seq, {value} as v, row_number() over (partition by {key} order by seq) as n from {source} where {value} is not null),"
+        f" {out} as (select {key}, seq, n, (select avg(j.v) from {out}_k j where j.{key} = k.{key} and j.n <= {n}) as y from {out}_k k where n = {n}"
+        f" union all select k.{key}, k.seq, k.n, e.y + {a!r}::double * (k.v - e.y) from {out} e join {out}_k k on k.{key} = e.{key} and k.n = e.n + 1)"
+    )
+
+
 def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.price_walk(src.tape(spark, sf_dir))
 
@@ -107,12 +117,14 @@ def tick_bars(spark, sf_dir):
     return bars.tick_bars(walk(spark, sf_dir), T_TICKS)
 
 
-def _jump(measure: str, threshold: str, extra: str = "") -> str:
+def _jump(measure: str, threshold: str, extra: str = "", using: str = "symbol", gate: str = "true", num: str = NUM) -> str:
+    """The bars of a running ``measure`` against ``threshold``, by recursion from close to close; ``extra`` adds relation thr (``using``, ...)."""
+    first = f"select min(c.i) from c where c.symbol = s.symbol and c.i > s.e and c.cum - s.base >= c.t and {gate}"
     return (
-        "with recursive " + NUM + f"{extra}, c as (select num.*, sum({measure}) over (partition by num.symbol order by i rows unbounded preceding) as cum, {threshold} as t from num" + (" join thr using (symbol)" if extra else "") + "),"
+        "with recursive " + num + f"{extra}, c as materialized (select num.*, sum({measure}) over (partition by num.symbol order by i rows unbounded preceding) as cum, {threshold} as t from num" + (f" join thr using ({using})" if extra else "") + "),"
         " ends as (select symbol, cast(-1 as bigint) as e, cast(0 as double) as base, cast(-1 as bigint) as bar_no from (select distinct symbol from num)"
-        " union all select n.symbol, n.e, n.base, n.bar_no from (select s.symbol, (select min(c.i) from c where c.symbol = s.symbol and c.i > s.e and c.cum - s.base >= c.t) as e,"
-        " (select c2.cum from c c2 where c2.symbol = s.symbol and c2.i = (select min(c.i) from c where c.symbol = s.symbol and c.i > s.e and c.cum - s.base >= c.t)) as base, s.bar_no + 1 as bar_no from ends s) n where n.e is not null),"
+        f" union all select n.symbol, n.e, n.base, n.bar_no from (select s.symbol, ({first}) as e,"
+        f" (select c2.cum from c c2 where c2.symbol = s.symbol and c2.i = ({first})) as base, s.bar_no + 1 as bar_no from ends s) n where n.e is not null),"
         " spans as (select symbol, bar_no, e, lag(e) over (partition by symbol order by bar_no) as s from ends)"
         f" select symbol, bar_no, {BAR} from c join spans using (symbol) where spans.bar_no >= 0 and c.i > spans.s and c.i <= spans.e group by 1, 2"
     )
@@ -129,27 +141,37 @@ def dollar_bars(spark, sf_dir):
     return bars.threshold_bars(ticks, F.col("_c"), 1e9)
 
 
-@query()
+@query(_jump("price * size", "thr.t", f", thr as (select symbol, 0.2::double * sum(price * size) / ((max(ts_us) - min(ts_us)) / {DAY}.0::double) as t from num group by 1)"))
 def daily_fraction_bars(spark, sf_dir):
     return bars.daily_fraction_bars(walk(spark, sf_dir), 0.2)
 
 
-@query()
+#: A tenth of the last session's turnover over 1 - |100 sigma| of the fifty ticks before.
+_DYNAMIC = (
+    f", rs as (select symbol, seq, cast(ts as date) as day, price / lag(price) over ({OWN}) - 1 as r from num), dp as (select symbol, cast(ts as date) as day, sum(price * size) as pv from num group by 1, 2),"
+    " dl as (select symbol, day, lag(pv) over (partition by symbol order by day) as prev from dp),"
+    f" sg as (select symbol, seq, day, least(abs(100 * coalesce(stddev_samp(r) over ({OWN} rows between 50 preceding and 1 preceding), 0)), 0.95::double) as s from rs),"
+    " thr as (select symbol, seq, coalesce(prev * 0.1::double / (1 - s), 50000.0::double) as t from sg join dl using (symbol, day))"
+)
+_LOCAL = "cast(ts at time zone 'UTC' at time zone 'America/New_York' as time)"
+
+
+@query(_jump("price * size", "thr.t", _DYNAMIC, "symbol, seq"))
 def dynamic_bars_causal(spark, sf_dir):
     return bars.dynamic_bars(walk(spark, sf_dir), 50_000.0)
 
 
-@query()
+@query(_jump("price * size", "thr.t", _DYNAMIC, "symbol, seq", num=NUM[:-1] + f" where {_LOCAL} between time '09:30:00' and time '16:00:00')"))
 def dynamic_bars_session(spark, sf_dir):
     return bars.dynamic_bars(walk(spark, sf_dir), 50_000.0, session=src.in_session())
 
 
-@query()
+@query(_jump("price * size", "thr.t", _DYNAMIC, "symbol, seq", f"{_LOCAL} > time '09:30:00' and {_LOCAL} < time '16:00:00'"))
 def dynamic_bars_market_hours(spark, sf_dir):
     return bars.dynamic_bars(walk(spark, sf_dir), 50_000.0, emit=src.in_session(inclusive=False))
 
 
-@query()
+@query(_jump("price * size", "thr.t", _DYNAMIC, "symbol, seq").replace("max(price) as high, min(price) as low", "max(price * 1.001::double) as high, min(price * 0.999::double) as low"))
 def dynamic_second_bars(spark, sf_dir):
     s = walk(spark, sf_dir).withColumns({"open": F.col("price"), "high": F.col("price") * 1.001, "low": F.col("price") * 0.999, "volume": F.col("size")})
     return bars.dynamic_second_bars(s, 50_000.0)
@@ -176,7 +198,16 @@ def daily_return_asof(spark, sf_dir):
     return events.daily_return(walk(spark, sf_dir)).select("symbol", "seq", "ret")
 
 
-@query()
+#: By recursion: sums of weights, squared weights, weighted values and squares.
+_VOL = (
+    "with recursive " + WALK + f", dr as materialized (select a.symbol, a.seq, a.price / b.price - 1 as x, row_number() over (partition by a.symbol order by a.seq) as n from walk a asof join walk b on a.symbol = b.symbol and a.ts_us - {DAY} > b.ts_us),"
+    " ew as (select symbol, seq, n, 1.0::double as w, 1.0::double as w2, x as wx, x * x as wxx from dr where n = 1"
+    f" union all select d.symbol, d.seq, d.n, {1 - 2 / 101!r}::double * e.w + 1, {(1 - 2 / 101) ** 2!r}::double * e.w2 + 1, {1 - 2 / 101!r}::double * e.wx + d.x, {1 - 2 / 101!r}::double * e.wxx + d.x * d.x from ew e join dr d on d.symbol = e.symbol and d.n = e.n + 1),"
+    " dv as (select symbol, seq, case when w * w - w2 > 1e-12 then sqrt(greatest(0, wxx / w - (wx / w) * (wx / w)) * w * w / (w * w - w2)) end as vol from ew)"
+)
+
+
+@query(_VOL + f" select symbol, seq, {_r('vol', 'vol')} from dv")
 def daily_vol(spark, sf_dir):
     return rounded(events.daily_vol(walk(spark, sf_dir)).select("symbol", "seq", "vol"), "vol")
 
@@ -291,10 +322,16 @@ def exp_decay(spark, sf_dir):
     return rounded(weights.decay(weights.weights(e, b), 0.5, 2.0).select("symbol", "event", "decay"), "decay")
 
 
-@query()
+@query("with " + _SPANS + _DECAY + ", l(last) as (values " + ", ".join(f"({x}::double)" for x in (1, 0.75, 0.5, 0, -0.25, -0.5)) + "), sl as (select d.*, last, case when last >= 0 then (1 - last) / n else 1 / ((last + 1) * n) end as s from d, l)" + f" select symbol, i0, last, {_r('greatest(0, 1 - s * n + s * x)', 'decay')} from sl")
 def decay_curves(spark, sf_dir):
     e, b = _spans(spark, sf_dir)
-    return weights.decay_curves(weights.weights(e, b))
+    return rounded(weights.decay_curves(weights.weights(e, b)), "decay")
+
+
+@query("with " + _SPANS + _DECAY + f", wt as (select symbol, event, w0 * count(*) over (partition by symbol) / sum(w0) over (partition by symbol) as w, greatest(0, 1 - 0.5 / n * n + 0.5 / n * x) as decay from d) select symbol, event, {_r('w * decay', 'weight')} from wt")
+def combined_weights(spark, sf_dir):
+    e, b = _spans(spark, sf_dir)
+    return rounded(weights.combined(weights.weights(e, b), 0.5).select("symbol", "event", "weight"), "weight")
 
 
 @query()
@@ -315,24 +352,64 @@ def class_weights(spark, sf_dir):
 
 # --- fractional differencing -------------------------------------------------
 
-_W4 = fracdiff.ffd_weights(0.4, 0.01)
-_DOT = " + ".join(f"lag(ln(price), {k}) over ({OWN}) * cast({w!r} as double)" for k, w in enumerate(_W4))
 
 
-@query("with " + WALK + f" select symbol, seq, {_r(_DOT, 'ffd')} from walk")
+def _ffd(source: str, steps: str, least: float = 0.01) -> str:
+    """Relation fx (symbol, seq, d, x): ``source`` (symbol, seq, x) differenced by each d of ``steps``, with weights by recursion down to ``least``."""
+    return (
+        f", wk as (select d, cast(0 as bigint) as k, 1.0::double as w from ({steps}) union all select d, k + 1, -w * (d - (k + 1) + 1) / (k + 1) from wk where abs(-w * (d - (k + 1) + 1) / (k + 1)) >= {least}::double),"
+        f" wn as (select d, count(*) as size from wk group by 1), px as materialized (select symbol, seq, x, row_number() over ({OWN}) as r from {source}),"
+        " fx as (select a.symbol, a.seq, d, sum(w * b.x) as x from px a cross join wk join px b on b.symbol = a.symbol and b.r = a.r - k join wn using (d) group by a.symbol, a.seq, d, size having count(*) = size)"
+    )
+
+
+@query("with recursive " + WALK + ", lx as (select symbol, seq, ln(price) as x from walk)" + _ffd("lx", "select 0.4::double as d") + f" select walk.symbol, walk.seq, {_r('fx.x', 'ffd')} from walk left join fx using (symbol, seq)")
 def fracdiff_ffd(spark, sf_dir):
     return rounded(fracdiff.with_ffd(walk(spark, sf_dir).withColumn("x", F.log("price")), "x", 0.4, 0.01).select("symbol", "seq", "ffd"), "ffd")
 
 
-@query()
+@query(
+    "with recursive " + OHLC + f", px as materialized (select symbol, seq, ln(close) as x, row_number() over ({OWN}) as r, count(*) over (partition by symbol) as n from b),"
+    " wk as (select cast(0 as bigint) as k, 1.0::double as w union all select k + 1, -w * (0.4::double - (k + 1) + 1) / (k + 1) from wk where k + 1 < (select max(n) from px)),"
+    " ns as (select distinct symbol, n from px), cw as (select symbol, k, w, coalesce(sum(abs(w)) over (partition by symbol order by k rows between unbounded preceding and 1 preceding), 0) / sum(abs(w)) over (partition by symbol) as seen from ns join wk on k < n),"
+    " sk as (select symbol, sum((1 - seen > 0.01::double)::int) as skip from cw group by 1), fd as (select a.symbol, a.seq, sum(w * b.x) as fd from px a join sk on sk.symbol = a.symbol and a.r > skip join px b on b.symbol = a.symbol and b.r <= a.r join wk on k = a.r - b.r group by 1, 2)"
+    f" select px.symbol, px.seq, {_r('fd.fd', 'fd')} from px left join fd using (symbol, seq)"
+)
 def fracdiff_expanding(spark, sf_dir):
     b = ohlc(spark, sf_dir).withColumn("x", F.log("close"))
     return rounded(fracdiff.expanding(b, "x", 0.4).select("symbol", "seq", "fd"), "fd")
 
 
-@query()
+def _cdf(x: str) -> str:
+    t = f"(1.0::double / (1.0 + 0.2316419::double * abs({x})))"
+    p = f"{t} * (0.319381530::double + {t} * (-0.356563782::double + {t} * (1.781477937::double + {t} * (-1.821255978::double + {t} * 1.330274429::double))))"
+    tail = f"0.3989422804014327::double * exp(-({x}) * ({x}) / 2.0) * {p}"
+    return f"(case when {x} >= 0 then 1.0 - {tail} else {tail} end)"
+
+
+def _unit_root(source: str, by: str) -> str:
+    """Relation ur (by, n, stat, p): the unit-root test of the series ``source`` (by, seq, x), with its p-value."""
+    own = f"partition by {by} order by seq"
+    return (
+        f", ux as (select {by}, seq, x - avg(x) over (partition by {by}) as c from {source} where x is not null), uy as (select *, lag(c) over ({own}) as y from ux), uz as (select *, c - y as z from uy), ud as (select *, lag(z) over ({own}) as zl from uz),"
+        f" um as (select {by}, count(*) as n, regr_sxx(y, y) as yy, regr_sxx(zl, zl) as dd, regr_sxx(z, z) as zz, regr_sxy(y, zl) as yd, regr_sxy(y, z) as yz, regr_sxy(zl, z) as dz from ud where zl is not null group by all),"
+        " uf as (select *, (yz * dd - dz * yd) / nullif(yy * dd - yd * yd, 0) as rho, (dz * yy - yz * yd) / nullif(yy * dd - yd * yd, 0) as phi from um),"
+        " us as (select *, rho / sqrt((zz - rho * yz - phi * dz) / (n - 3) * dd / (yy * dd - yd * yd)) as stat from uf),"
+        " up as (select *, 2.1659::double + 1.4412::double * stat + 0.038269::double * stat * stat as small, 1.7339::double + 0.93202::double * stat - 0.12745::double * stat * stat - 0.010368::double * stat * stat * stat as large from us),"
+        f" ur as (select {by}, n, stat, case when stat is null then null when stat > 2.74 then 1.0 when stat < -18.83 then 0.0 when stat <= -1.61 then {_cdf('small')} else {_cdf('large')} end as p from up)"
+    )
+
+
+_STEPS = "select i / 10 as d from range(11) as q(i)"
+_LOG_CLOSE = ", lx as (select symbol, seq, ln(close) as x from b)"
+
+
+@query(
+    "with recursive " + OHLC + _LOG_CLOSE + _ffd("lx", _STEPS) + _unit_root("fx", "symbol, d") + ", co as (select symbol, d, corr(px.x, fx.x) as co from fx join px using (symbol, seq) group by 1, 2)"
+    f" select symbol, d, {_r('stat', 'adf_stat', 5)}, {_r('p', 'p_value')}, 1 as lags, n as n_obs, {_r('-2.86154::double - 2.8903::double / n - 4.234::double / (n * n) - 40.04::double / (n * n * n)', 'crit_5')}, {_r('co', 'corr')} from ur join co using (symbol, d)"
+)
 def ffd_sweep(spark, sf_dir):
-    return rounded(fracdiff.sweep(ohlc(spark, sf_dir).withColumn("x", F.log("close")), "x"), "adf_stat", "p_value", "crit_5", "corr")
+    return rounded(rounded(fracdiff.sweep(ohlc(spark, sf_dir).withColumn("x", F.log("close")), "x"), "p_value", "crit_5", "corr"), "adf_stat", digits=5)
 
 
 _ADF = (
@@ -348,19 +425,23 @@ def adf_table(spark, sf_dir):
     return rounded(rounded(t, "adf_stat", digits=5), "crit_5")
 
 
-@query()
+@query("with " + OHLC + ", lg as (select symbol, seq, 'close' as feature, close as x from b union all select symbol, seq, 'volume', volume from b)" + _unit_root("lg", "symbol, feature") + " select symbol, feature from ur where p >= 0.05")
 def non_stationary(spark, sf_dir):
     return fracdiff.non_stationary(ohlc(spark, sf_dir), ["close", "volume"])
 
 
-@query()
+@query(
+    "with recursive " + OHLC + ", "
+    + ", ".join(f"{f}_ as materialized (" + "with recursive " + f"src as (select symbol, seq, {x} as x from b)" + _ffd("src", _STEPS) + _unit_root("fx", "symbol, d") + f" select symbol, '{f}' as feature, min(d) filter (where p < 0.05) as d from ur group by 1)" for f, x in (("x", "ln(close)"), ("volume", "volume")))
+    + " select * from x_ union all select * from volume_"
+)
 def min_d(spark, sf_dir):
     return fracdiff.least_d(ohlc(spark, sf_dir).withColumn("x", F.log("close")), ["x", "volume"])
 
 
-@query()
+@query("with recursive wk as (select d, cast(0 as int) as k, 1.0::double as w from (" + _STEPS + f") union all select d, k + 1, -w * (d - (k + 1) + 1) / (k + 1) from wk where k < 49) select d, k, {_r('w', 'w')} from wk")
 def ffd_weight_curves(spark, sf_dir):
-    return fracdiff.weight_curves(spark)
+    return rounded(fracdiff.weight_curves(spark), "w")
 
 
 # --- features ----------------------------------------------------------------
@@ -420,10 +501,30 @@ def _recursive(n: int, value: str = "close") -> str:
 _feature("ema", lambda d: T.with_ema(d, "close", 20), None, "ema")
 SQL["ema"] = "with recursive " + OHLC + _recursive(20) + f" select b.symbol, b.seq, {_r('e.y', 'ema')} from b left join e using (symbol, seq)"
 _feature("macd", lambda d: T.with_macd(d), None, "macd", "macd_signal", "macd_hist")
+SQL["macd"] = (
+    "with recursive " + OHLC + _means("fa", "b", "close", 12) + _means("sl", "b", "close", 26) + ", li as materialized (select symbol, seq, fa.y - sl.y as v from sl join fa using (symbol, seq))" + _means("sg", "li", "v", 9)
+    + f" select b.symbol, b.seq, {_r('li.v', 'macd')}, {_r('sg.y', 'macd_signal')}, {_r('li.v - sg.y', 'macd_hist')} from b left join li using (symbol, seq) left join sg using (symbol, seq)"
+)
+_GAIN = f", d0 as (select symbol, seq, close - {_lag('close')} as d from b), df as materialized (select * from d0 where d is not null)" + _means("gu", "df", "greatest(d, 0)", 14, 1 / 14) + _means("gd", "df", "greatest(-d, 0)", 14, 1 / 14) + ", ud as (select symbol, seq, gu.y as u, gd.y as w from gu join gd using (symbol, seq))"
 _feature("rsi", lambda d: T.with_rsi(d, 14), None, "rsi")
+SQL["rsi"] = "with recursive " + OHLC + _GAIN + f" select b.symbol, b.seq, {_r('case when u + w = 0 then 0 else 100 * u / (u + w) end', 'rsi')} from b left join ud using (symbol, seq)"
 _feature("cmo", lambda d: T.with_cmo(d, 14), None, "cmo")
+SQL["cmo"] = "with recursive " + OHLC + _GAIN + f" select b.symbol, b.seq, {_r('case when u + w = 0 then 0 else 100 * (u - w) / (u + w) end', 'cmo')} from b left join ud using (symbol, seq)"
 _feature("trix", lambda d: T.with_trix(d, 5), None, "trix")
+SQL["trix"] = (
+    "with recursive " + OHLC + _means("e1", "b", "close", 5) + _means("e2", "e1", "y", 5) + _means("e3", "e2", "y", 5)
+    + f", tx as (select symbol, seq, 100 * (y / nullif({_lag('y')}, 0) - 1) as v from e3) select b.symbol, b.seq, {_r('tx.v', 'trix')} from b left join tx using (symbol, seq)"
+)
 _feature("directional", lambda d: T.with_directional(d, 14), None, "atr", "minus_di", "dx", "adx")
+SQL["directional"] = (
+    "with recursive " + OHLC + f", pb as (select *, {_lag('high')} as ph, {_lag('low')} as pl, {_lag('close')} as pc from b), mv as materialized (select symbol, seq, row_number() over ({OWN}) as n, greatest(high - low, abs(high - pc), abs(low - pc)) as tr,"
+    " case when high - ph > pl - low and high - ph > 0 then high - ph else 0 end as up, case when pl - low > high - ph and pl - low > 0 then pl - low else 0 end as dn from pb where pc is not null),"
+    " sm as (select symbol, max(seq) as seq, cast(13 as bigint) as n, sum(tr) as tr, sum(up) as up, sum(dn) as dn from mv where n <= 13 group by 1 having count(*) = 13"
+    " union all select m.symbol, m.seq, m.n, s.tr - s.tr / 14 + m.tr, s.up - s.up / 14 + m.up, s.dn - s.dn / 14 + m.dn from sm s join mv m on m.symbol = s.symbol and m.n = s.n + 1),"
+    " di as materialized (select symbol, seq, case when tr = 0 then 0 else 100 * dn / tr end as minus_di, case when tr = 0 or up + dn = 0 then 0 else 100 * abs(up - dn) / (up + dn) end as dx from sm where n >= 14)"
+    + _means("ta", "mv", "tr", 14, 1 / 14) + _means("ax", "di", "dx", 14, 1 / 14)
+    + f" select b.symbol, b.seq, {_r('ta.y', 'atr')}, {_r('di.minus_di', 'minus_di')}, {_r('di.dx', 'dx')}, {_r('ax.y', 'adx')} from b left join ta using (symbol, seq) left join di using (symbol, seq) left join ax using (symbol, seq)"
+)
 _feature("hilbert_sine", lambda d: T.with_hilbert_sine(d), None, "sine", "lead_sine")
 
 
@@ -520,13 +621,6 @@ def cpcv_paths(spark, sf_dir):
 # --- sizing ------------------------------------------------------------------
 
 
-def _cdf(x: str) -> str:
-    t = f"(1.0::double / (1.0 + 0.2316419::double * abs({x})))"
-    p = f"{t} * (0.319381530::double + {t} * (-0.356563782::double + {t} * (1.781477937::double + {t} * (-1.821255978::double + {t} * 1.330274429::double))))"
-    tail = f"0.3989422804014327::double * exp(-({x}) * ({x}) / 2.0) * {p}"
-    return f"(case when {x} >= 0 then 1.0 - {tail} else {tail} end)"
-
-
 _PROB = "pr as (select event_id as seq, event_type as symbol, epoch_us(ts) as t0, case when event_id % 11 = 0 then null else epoch_us(ts) + (event_id % 7) * 3600000000 end as t1, cast(0.05 as double) + 0.9::double * (event_id % 101) / 101 as prob, case when event_id % 3 = 0 then -1 else 1 end as pred from events), sg as (select *, pred * (2 * " + _cdf("(prob - 0.5) / sqrt(prob * (1 - prob))") + " - 1) as s from pr)"
 
 
@@ -605,11 +699,19 @@ def perf_stats(spark, sf_dir):
     return rounded(p.select("symbol", "n", *names), *names)
 
 
-@query()
+@query(
+    "with " + _PERF + ", wd as (select symbol, cast(ts as date) as day, max_by(price, seq) as close from walk group by 1, 2), bn as (select a.symbol, a.day, ln(a.close) - ln(z.close) as bench from wd a join wd z on z.symbol = a.symbol and z.day = a.day - 1),"
+    " fi as (select symbol, regr_slope(ret, bench) as beta, regr_intercept(ret, bench) as a from dd join bn using (symbol, day) group by 1), mo as (select symbol, avg(ret) as mean, stddev_samp(ret) as dev, var_pop(ret) as vp from dd group by 1),"
+    " nu as (select *, row_number() over (partition by symbol order by day) as k from pt), st as (select symbol, count(*) as n, max_by(v, day) as g, min(v / top - 1) as dr, sqrt(avg(pow(least(ret, 0), 2))) as down, sum(greatest(ret, 0)) / sum(-least(ret, 0)) as om, pow(corr(ln(v), k), 2) as stab,"
+    " avg(pow(ret - mean, 3)) / pow(any_value(vp), 1.5) as skew, avg(pow(ret - mean, 4)) / pow(any_value(vp), 2) - 3 as kurt, abs(quantile_cont(ret, 0.95)) / abs(quantile_cont(ret, 0.05)) as tail from nu join mo using (symbol) group by 1), al as (select *, pow(g, 252.0 / n) - 1 as ann from st join mo using (symbol) join fi using (symbol))"
+    f" select symbol, n, {_r('g - 1', 'cumulative_return')}, {_r('ann', 'annual_return')}, {_r('dev * sqrt(252)', 'annual_volatility')}, {_r('mean / dev * sqrt(252)', 'sharpe')}, {_r('mean / down * sqrt(252)', 'sortino')}, {_r('ann / abs(dr)', 'calmar')}, {_r('dr', 'max_drawdown')}, {_r('om', 'omega')}, {_r('stab', 'stability')},"
+    f" {_r('skew', 'skew')}, {_r('kurt', 'kurtosis')}, {_r('tail', 'tail_ratio')}, {_r('mean - 2 * dev', 'daily_var')}, {_r('beta', 'beta')}, {_r('pow(1 + a, 252) - 1', 'alpha')} from al"
+)
 def perf_against_benchmark(spark, sf_dir):
     d = backtest.daily_returns(_returns(spark, sf_dir))
     close = bars.daily_last(walk(spark, sf_dir)).withColumn("bench", F.log("close") - F.log(F.lag("close").over(W.partitionBy("symbol").orderBy("day"))))
-    return backtest.against_benchmark(d, close.select("symbol", "day", "bench").na.drop())
+    out = backtest.against_benchmark(d, close.select("symbol", "day", "bench").na.drop())
+    return rounded(out, *(c for c in out.columns if c not in ("symbol", "n")))
 
 
 def _predictions(spark, sf_dir) -> DataFrame:
@@ -618,15 +720,18 @@ def _predictions(spark, sf_dir) -> DataFrame:
     return roles.select("symbol", F.col("pos").alias("t"), F.col("fold").alias("group"), "split", ((F.col("pos") * 7 + F.col("split")) % 11).cast("double").alias("signal"))
 
 
-@query("with " + _ROWS + _folds(4) + ", c as (select a.a, b.b, row_number() over (order by a.a, b.b) - 1 as split from (select unnest(range(4)) as a) a, (select unnest(range(4)) as b) b where a.a < b.b), g as (select unnest(range(4)) as g), p as (select row_number() over (partition by g order by split) - 1 as path, g, split from g join c on g = a or g = b) select r.symbol, r.pos as t, cast(path as int) as path, cast((r.pos * 7 + p.split) % 11 as double) as signal from r join p on p.g = r.fold")
+_ASSEMBLED = "with " + _ROWS + _folds(4) + ", c as (select a.a, b.b, row_number() over (order by a.a, b.b) - 1 as split from (select unnest(range(4)) as a) a, (select unnest(range(4)) as b) b where a.a < b.b), g as (select unnest(range(4)) as g), p as (select row_number() over (partition by g order by split) - 1 as path, g, split from g join c on g = a or g = b), asm as (select r.symbol, r.pos as t, cast(path as int) as path, cast((r.pos * 7 + p.split) % 11 as double) as signal from r join p on p.g = r.fold)"
+
+
+@query(_ASSEMBLED + " select * from asm")
 def path_assembly(spark, sf_dir):
     return backtest.assemble_paths(_predictions(spark, sf_dir), splits.cpcv_paths(spark, 4))
 
 
-@query()
+@query(_ASSEMBLED + f", rt as (select symbol, row_number() over ({OWN}) - 1 as t, coalesce(cast(size % 3 - 1 as double) * (ln(price) - ln(lag(price) over ({OWN}))), 0) as label_ret from walk) select symbol, t, path, signal, {_r('label_ret', 'label_ret')}, {_r('signal * label_ret', 'ret')} from asm join rt using (symbol, t)")
 def path_returns(spark, sf_dir):
     b = bars.numbered(_returns(spark, sf_dir)).select("symbol", F.col("i").alias("t"), F.col("ret").alias("label_ret"))
-    return rounded(backtest.path_returns(backtest.assemble_paths(_predictions(spark, sf_dir), splits.cpcv_paths(spark, 4)), b), "ret")
+    return rounded(backtest.path_returns(backtest.assemble_paths(_predictions(spark, sf_dir), splits.cpcv_paths(spark, 4)), b), "ret", "label_ret")
 
 
 _SCORED = "sc as (select event_id as seq, cast((event_id * 7919) % 1000 as double) / 1000 as score, cast(event_id % 3 = 0 as int) as label, cast(1 + event_id % 4 as double) as w from events), sp as (select *, cast(score >= 0.5 as int) as pred from sc)"
@@ -679,12 +784,33 @@ def pair_ols(spark, sf_dir):
     return rounded(pairs.ols_hedge(_pair(spark, sf_dir)), "mu0", "gamma0")
 
 
-@query()
+_KALMAN = (
+    "with recursive " + _PAIR + ", h as (select *, count(*) over () as n from pr), ol as (select regr_intercept(y1, y2) as mu, regr_slope(y1, y2) as g from h where seq <= round_even(0.3::double * n, 0)),"
+    " kf as (select cast(0 as bigint) as seq, mu, g, 1e-5::double as p0, 0.0::double as p1, 1e-5::double as p2 from ol"
+    " union all select seq, mu + k0 * e, g + k1 * e, p0 - k0 * a + 1e-5::double, p1 - k0 * c, p2 - k1 * c + 1e-5::double from"
+    " (select *, a / (a + c * y2 + 1e-3::double) as k0, c / (a + c * y2 + 1e-3::double) as k1, y1 - mu - g * y2 as e from (select pr.seq, y1, y2, mu, g, p0, p1, p2, p0 + p1 * y2 as a, p1 + p2 * y2 as c from kf join pr on pr.seq = kf.seq + 1))),"
+    " sm as (select seq, case when count(*) over w = 30 then avg(mu) over w end as mu, case when count(*) over w = 30 then avg(g) over w end as g from kf where seq > 0 window w as (order by seq rows 29 preceding)),"
+    " kh as materialized (select seq, last_value(mu ignore nulls) over d as mu, last_value(g ignore nulls) over d as gamma from sm window d as (order by seq desc rows unbounded preceding))"
+)
+
+
+def _filled(x: str) -> str:
+    return f"last_value({x} ignore nulls) over (partition by pair order by seq desc rows unbounded preceding)"
+
+
+@query(_KALMAN + f" select 'p' as pair, seq, {_r('mu', 'mu')}, {_r('gamma', 'gamma')} from kh")
 def pair_kalman(spark, sf_dir):
     return rounded(pairs.kalman_hedge(_pair(spark, sf_dir)).select("pair", "seq", "mu", "gamma"), "mu", "gamma")
 
 
-@query()
+@query(
+    _KALMAN + ", sp as materialized (select pair, seq, y1, y2, 1 / (1 + gamma) as w1, -gamma / (1 + gamma) as w2, (y1 - gamma * y2 - mu) / (1 + gamma) as spread from pr join kh using (seq))" + _means("em", "sp", "spread", 30, key="pair")
+    + f", se as materialized (select *, spread - m as e, pow(spread - m, 2) as e2 from (select sp.*, {_filled('em.y')} as m from sp left join em using (pair, seq)))" + _means("ev", "se", "e2", 30, key="pair")
+    + f", zs as materialized (select se.*, e / sqrt(nullif({_filled('ev.y')}, 0)) as z from se left join ev using (pair, seq)),"
+    " ps as (select cast(0 as bigint) as seq, 0 as position union all select zs.seq, case when z is null then position when position = 0 then case when z <= -0.7 then 1 when z >= 0.7 then -1 else 0 end when position = 1 and z >= 0 or position = -1 and z <= 0 then 0 else position end from ps join zs on zs.seq = ps.seq + 1),"
+    " so as (select zs.*, position, lag(position) over (order by zs.seq) as signal, (y1 - lag(y1) over (order by zs.seq)) * w1 + (y2 - lag(y2) over (order by zs.seq)) * w2 as gain from zs join ps using (seq))"
+    f" select pair, seq, {_r('w1', 'w1')}, {_r('w2', 'w2')}, {_r('spread', 'spread')}, {_r('z', 'z')}, position, signal, {_r('gain * signal', 'ret')} from so"
+)
 def pair_strategy(spark, sf_dir):
     s = pairs.strategy(_pair(spark, sf_dir), n=30)
     return rounded(s.select("pair", "seq", "w1", "w2", "spread", "z", "position", "signal", "ret"), "w1", "w2", "spread", "z", "ret")
