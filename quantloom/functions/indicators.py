@@ -154,9 +154,15 @@ def with_ultimate(df: DataFrame, a: int = 7, b: int = 14, c: int = 28, name: str
     return df.withColumn(name, 100.0 * (4 * part(a) + 2 * part(b) + part(c)) / 7.0).drop("_bp", "_tr")
 
 
-def volume_trend(n: int) -> Column:
-    """T32, of a column _vm that holds the mean volume."""
-    return F.when(F.col("_vm") > lag("_vm"), 1).otherwise(-1)
+def lagged_log(x: str, n: int) -> Column:
+    """The log of the value n bars before; null where that is not positive."""
+    return F.log(F.when(lag(x, n) > 0, lag(x, n)))
+
+
+def with_volume_trend(df: DataFrame, n: int, name: str = "volume_trend") -> DataFrame:
+    """1 where the mean volume of n bars rises, or else -1."""
+    df = df.withColumn("_vm", sma("volume", n))
+    return df.withColumn(name, F.when(F.col("_vm") > lag("_vm"), 1).otherwise(-1)).drop("_vm")
 
 
 def power_trend(x: str, n: int) -> Column:

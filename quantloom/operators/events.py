@@ -47,15 +47,21 @@ def daily_vol(bars: DataFrame, span: int = 100) -> DataFrame:
     return ewm_std(daily_return(bars), "ret", span)
 
 
-def cusum_events(bars: DataFrame, h: float) -> DataFrame:
-    """Bars at which the symmetric CUSUM of log price changes passes ``h``; the first change is skipped, only the side that passes is reset."""
+def volatility_threshold(vols: DataFrame) -> DataFrame:
+    """(symbol, h): the mean of vol over ``vols``, which should hold the training range alone, so that a threshold knows nothing of what follows."""
+    return vols.groupBy("symbol").agg(F.avg("vol").alias("h"))
+
+
+def cusum_events(bars: DataFrame, h: float | str) -> DataFrame:
+    """Bars at which the symmetric CUSUM of log price changes passes ``h``, a number or a column; the first change is skipped, only the side
+    that passes is reset. Without a threshold nothing passes."""
 
     def start() -> Callable[..., tuple]:
         last, n, up, down = None, 0, 0.0, 0.0
 
-        def step(p: float | None) -> tuple:
+        def step(p: float | None, h: float | None) -> tuple:
             nonlocal last, n, up, down
-            if p is None:
+            if p is None or h is None:
                 return (False,)
             x = math.log(p)
             n += 1
@@ -74,7 +80,8 @@ def cusum_events(bars: DataFrame, h: float) -> DataFrame:
 
         return step
 
-    return ordered_fold(bars, ["symbol"], ["seq"], ["price"], "event boolean", start).filter("event").drop("event")
+    df = bars.withColumn("_h", F.col(h) if isinstance(h, str) else F.lit(float(h)))
+    return ordered_fold(df, ["symbol"], ["seq"], ["price", "_h"], "event boolean", start).filter("event").drop("event", "_h")
 
 
 def vertical_barrier(bars: DataFrame, days: float = 1) -> DataFrame:

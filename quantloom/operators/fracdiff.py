@@ -172,6 +172,15 @@ def least_d(df: DataFrame, features: list[str], least: float = 0.01, level: floa
     return out
 
 
+def with_least_ffd(df: DataFrame, value: str, least: float = 0.01, level: float = 0.05, steps: tuple[float, ...] = STEPS, out: str = "ffd") -> DataFrame:
+    """FD9: ``value`` differenced by its symbol's least d, or the greatest of ``steps`` if none makes it stationary. The chosen ones stay in the plan."""
+    chosen = least_d(df, [value], least, level, steps).select("symbol", F.coalesce("d", F.lit(float(steps[-1]))).alias("_least"))
+    for k, d in enumerate(steps):
+        df = with_ffd(df, value, d, least, f"_d{k}")
+    df = df.join(chosen, "symbol").withColumn(out, F.coalesce(*(F.when(F.col("_least") == float(d), F.col(f"_d{k}")) for k, d in enumerate(steps))))
+    return df.drop("_least", *(f"_d{k}" for k in range(len(steps))))
+
+
 def apply_d(df: DataFrame, chosen: dict[str, float], least: float = 0.01) -> DataFrame:
     """FD12, FD16: each feature of ``chosen`` differenced by its d, in place."""
     for f, d in chosen.items():

@@ -1,8 +1,9 @@
-"""Models, scores, tuning and importance over purged splits."""
+"""Models, scores, tuning and importance over purged splits."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
 
 import numpy as np
 from pyspark.ml import Pipeline
@@ -84,9 +85,9 @@ def boosted_trees(features: list[str], rounds: int = 100, seed: int = 12) -> Fit
     return ml(GBTClassifier(maxDepth=3, stepSize=0.02, maxIter=rounds, seed=seed), features)
 
 
-def linear_svc(features: list[str]) -> Fit:
+def linear_svc(features: list[str], rounds: int = 100) -> Fit:
     """M3, with a linear kernel and a logistic score of the margin."""
-    return ml(LinearSVC(), features, scale=True)
+    return ml(LinearSVC(maxIter=rounds), features, scale=True)
 
 
 def gaussian_bayes(features: list[str]) -> Fit:
@@ -158,17 +159,21 @@ def bagged_single_features(features: list[str], rounds: int = 20, share: float =
 
 
 def cv_scores(rows: DataFrame, roles: DataFrame, fit: Fit, scoring: str = "log_loss") -> DataFrame:
-    """(split, score) over roles (symbol, split, pos, role); log loss is negative, so that more is better."""
+    """(split, score) over roles (symbol, split, pos, role); log loss is negative, so that more is better; f1 is that of label 1, unweighted."""
     from .backtest import log_loss
 
-    if scoring not in ("log_loss", "accuracy"):
+    if scoring not in ("log_loss", "accuracy", "f1"):
         raise ValueError(f"unknown scoring {scoring}")
     out = None
     for k in sorted(r.split for r in roles.select("split").distinct().collect()):
         part = rows.join(roles.filter(F.col("split") == k).select("symbol", "pos", "role"), ["symbol", "pos"])
         scored = fit(part.filter("role = 'train'"))(part.filter("role = 'test'"))
-        s = log_loss(scored if "w" in scored.columns else scored.withColumn("w", F.lit(1.0)))
-        s = s.select(F.lit(k).alias("split"), (-F.col("log_loss") if scoring == "log_loss" else F.col("accuracy")).alias("score"))
+        if scoring == "f1":
+            hits, found = F.sum(((F.col("label") == 1) & (F.col("pred") == 1)).cast("long")), F.sum((F.col("label") == 1).cast("long") + F.col("pred"))
+            s = scored.agg(F.coalesce(F.try_divide(2.0 * hits, found), F.lit(0.0)).alias("score")).select(F.lit(k).alias("split"), "score")
+        else:
+            s = log_loss(scored if "w" in scored.columns else scored.withColumn("w", F.lit(1.0)))
+            s = s.select(F.lit(k).alias("split"), (-F.col("log_loss") if scoring == "log_loss" else F.col("accuracy")).alias("score"))
         out = s if out is None else out.union(s)
     return out
 
@@ -182,10 +187,41 @@ def compare(rows: DataFrame, roles: DataFrame, fits: dict[str, Fit], scoring: st
     return out
 
 
-def tuned(rows: DataFrame, roles: DataFrame, candidates: dict[str, Fit], scoring: str = "log_loss") -> tuple[str, Callable]:
-    """The name of the best candidate over purged splits, and its fit on all rows."""
+def grid(make: Callable[..., Fit], values: dict[str, list]) -> dict[str, Fit]:
+    """A candidate for each combination of ``values``, named by them."""
+    return {", ".join(f"{k}={v}" for k, v in zip(values, c, strict=True)): make(**dict(zip(values, c, strict=True))) for c in product(*values.values())}
+
+
+def drawn(make: Callable[..., Fit], ranges: dict[str, tuple[float, float]], n: int, seed: int = 1) -> dict[str, Fit]:
+    """``n`` candidates with log-uniform values of the ``ranges``."""
+    rng = np.random.default_rng(seed)
+    sets = [{k: float(a * (b / a) ** rng.random()) for k, (a, b) in ranges.items()} for _ in range(n)]
+    return {", ".join(f"{k}={v:.6g}" for k, v in s.items()): make(**s) for s in sets}
+
+
+def bagged(fit: Fit, rounds: int = 10, share: float = 1.0, seed: int = 12) -> Fit:
+    """M14's bagging: ``rounds`` fits on draws with replacement of that share of the rows; their mean score is the score."""
+
+    def bag(train: DataFrame):
+        models = [fit(train.sample(True, share, seed + k)) for k in range(rounds)]
+
+        def predict(x: DataFrame) -> DataFrame:
+            keep = x.columns
+            x = x.withColumn("_s", F.lit(0.0))
+            for m in models:
+                x = m(x).withColumn("_s", F.col("_s") + F.col("score")).select(*keep, "_s")
+            return x.withColumn("score", F.col("_s") / len(models)).withColumn("pred", (F.col("score") >= 0.5).cast("int")).drop("_s")
+
+        return predict
+
+    return bag
+
+
+def tuned(rows: DataFrame, roles: DataFrame, candidates: dict[str, Fit], scoring: str = "log_loss", bagging: int = 0, share: float = 1.0) -> tuple[str, Callable]:
+    """The name of the best candidate over purged splits, and its fit on all rows, bagged if ``bagging`` rounds are asked for."""
     best = compare(rows, roles, candidates, scoring).orderBy(F.col("mean").desc(), "model").first()
-    return best.model, candidates[best.model](rows)
+    fit = candidates[best.model]
+    return best.model, (bagged(fit, bagging, share) if bagging else fit)(rows)
 
 
 def importance_mdi(model, features: list[str], spark) -> DataFrame:
@@ -236,6 +272,40 @@ def importance_sfi(rows: DataFrame, roles: DataFrame, make: Callable[[list[str]]
     return out
 
 
+def importance(rows: DataFrame, roles: DataFrame, features: list[str], method: str = "SFI", trees: int = 1000, scoring: str = "accuracy") -> tuple[DataFrame, float, float]:
+    """(importance, oob, oos) of a bagged entropy forest; oob is the score on a tenth of the rows, by hash, that a fit on the rest has not seen."""
+    if method not in ("MDI", "MDA", "SFI"):
+        raise ValueError(f"unknown method {method}")
+    make = lambda f: bagged_forest(f, trees)
+    held = F.pmod(F.xxhash64("symbol", "pos"), F.lit(10)) == 0
+    oob = cv_scores(rows, rows.select("symbol", "pos", F.lit(0).alias("split"), F.when(held, "test").otherwise("train").alias("role")), make(features), scoring).first().score
+    oos = cv_scores(rows, roles, make(features), scoring).agg(F.avg("score")).first()[0]
+    if method == "MDI":
+        imp = importance_mdi(make(features)(rows).model, features, rows.sparkSession)
+    elif method == "MDA":
+        imp = importance_mda(rows, roles, make(features), features)
+    else:
+        imp = importance_sfi(rows, roles, make, features, scoring)
+    return imp, float(oob), float(oos)
+
+
+def importance_experiment(problem: DataFrame, methods: tuple[str, ...] = ("MDI", "MDA", "SFI"), trees: int = 100, folds: int = 10) -> DataFrame:
+    """(method, I, R, N, oob, oos): the shares of importance that informative, redundant and noise features of a synthetic problem (S12) get."""
+    from .splits import purged_kfold
+
+    rows = problem.select(F.lit("synthetic").alias("symbol"), F.col("id").alias("pos"), F.col("bin").alias("label"), "w", *(c for c in problem.columns if c[:2] in ("I_", "R_", "N_")))
+    features = rows.columns[4:]
+    roles = purged_kfold(rows.select("symbol", "pos", F.col("pos").alias("pred"), F.col("pos").alias("eval")), folds)
+    out = None
+    for m in methods:
+        imp, oob, oos = importance(rows, roles, features, m, trees)
+        total = F.sum(F.abs("mean"))
+        s = imp.agg(*(F.try_divide(F.sum(F.when(F.substring("feature", 1, 1) == t, F.col("mean")).otherwise(0.0)), total).alias(t) for t in "IRN"))
+        s = s.select(F.lit(m).alias("method"), "I", "R", "N", F.lit(oob).alias("oob"), F.lit(oos).alias("oos"))
+        out = s if out is None else out.union(s)
+    return out
+
+
 def orthogonal(df: DataFrame, features: list[str], share: float = 0.95) -> DataFrame:
     """Df with o_0, o_1, ...: the standardised features on the eigenvectors with ``share`` of the variance; the moments are one aggregate."""
     stats = df.agg(*(F.avg(f).alias(f"m_{f}") for f in features), *(F.stddev_samp(f).alias(f"s_{f}") for f in features)).first()
@@ -284,14 +354,15 @@ def bootstrapped_forest(features: list[str], spans: str = "i0", ends: str = "i1"
         from .weights import sequential_bootstrap
 
         models = []
-        for k in range(trees):
-
-            def drawn(pdf: pd.DataFrame, k: int = k) -> pd.DataFrame:
+        def draws(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+            def draw(pdf: pd.DataFrame) -> pd.DataFrame:
                 pdf = pdf.sort_values("pos")
-                rows = sequential_bootstrap(list(zip(pdf[spans], pdf[ends], strict=True)), len(pdf), seed + k)
-                return pdf.iloc[rows]
+                return pdf.iloc[sequential_bootstrap(list(zip(pdf[spans], pdf[ends], strict=True)), len(pdf), seed + k)]
+
+            return draw
 
-            models.append(ml(DecisionTreeClassifier(seed=seed + k), features)(train.groupBy("symbol").applyInPandas(drawn, train.schema)))
+        for k in range(trees):
+            models.append(ml(DecisionTreeClassifier(seed=seed + k), features)(train.groupBy("symbol").applyInPandas(draws(k), train.schema)))
 
         def predict(x: DataFrame) -> DataFrame:
             keep = x.columns

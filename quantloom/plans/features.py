@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import indicators as T
+from ..operators import fracdiff
 
 PERIODS = (5, 10, 25, 50)
 
@@ -58,6 +59,31 @@ def returns(bars: DataFrame, windows: tuple[int, ...] = (50, 31, 15)) -> tuple[D
     return T.shifted(df, names), names
 
 
+def custom(bars: DataFrame, periods: tuple[int, ...] = (10, 20), d: float = 0.4, least: float = 0.01) -> tuple[DataFrame, list[str]]:
+    """FS5: trends of RSI, TRIX, Aroon and bands, momentum, variance, PPO, DX and CMO, and lagged logs of the differenced prices.
+
+    Prices are differenced by ``d`` where bars have no ffd_open, ffd_high, ffd_low and ffd_close; features are not lagged again.
+    """
+    df = bars
+    for x in ("open", "high", "low", "close"):
+        if f"ffd_{x}" not in df.columns:
+            df = fracdiff.with_ffd(df, x, d, least, f"ffd_{x}")
+    df = T.with_rsi(df, 10, name="rsi_10").withColumn("ad_osc", T.ad_oscillator(1))
+    cols = {"rsi_10_trend": T.rsi_trend("rsi_10", contrary=False), "ad_osc_trend": T.rises("ad_osc")}
+    for p in periods:
+        half = max(1, p // 2)
+        df = T.with_cmo(T.with_trix(T.with_aroon(df, p, f"aroon_{p}"), p, name=f"trix_{p}"), p, name=f"cmo_{p}")
+        df = T.with_directional(df, p, f"_{p}")
+        upper, _, lower = T.bands("ffd_close", p)
+        cols |= {
+            f"trix_{p}_trend": T.positive(f"trix_{p}"), f"bband_diff_{p}": upper - lower, f"bband_upper_{p}_trend": F.when(F.col("ffd_close") > upper, 1).otherwise(0),
+            f"bband_lower_{p}_trend": F.when(F.col("ffd_close") < lower, -1).otherwise(0), f"aroon_{p}_trend": T.positive(f"aroon_{p}"), f"mom_{p}": T.mom("close", p),
+            f"var_ffd_{p}": T.variance("ffd_close", p), f"ppo_{p}": T.ppo("close", half, p), **{f"log_ffd_{x}_{p}": T.lagged_log(f"ffd_{x}", half) for x in ("open", "high", "low", "close")},
+        }
+    names = [*cols, *(f"{x}_{p}" for p in periods for x in ("trix", "cmo", "dx"))]
+    return df.withColumns(cols), names
+
+
 def everything(bars: DataFrame, period: int = 14) -> tuple[DataFrame, list[str]]:
     """FS10: one period of every indicator."""
     p, half = period, max(1, period // 2)

@@ -12,6 +12,7 @@ from ..functions import indicators as T
 from ..functions import scalar as S
 from ..operators import backtest, bars, events, fracdiff, models, pairs, sizing, splits, weights
 from ..sources import tape as src
+from . import benchmark as BM
 from . import features as FS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,6 +213,12 @@ def daily_vol(spark, sf_dir):
     return rounded(events.daily_vol(walk(spark, sf_dir)).select("symbol", "seq", "vol"), "vol")
 
 
+@query(_VOL + f", pl as (select *, row_number() over ({OWN}) as k, count(*) over (partition by symbol) as n from dv) select symbol, {_r('avg(vol)', 'h')} from pl where k <= floor((n - 1) * 0.7::double) group by 1")
+def cusum_threshold(spark, sf_dir):
+    train = T.split_by_place(events.daily_vol(walk(spark, sf_dir)), 0.7).filter("part = 'train'")
+    return rounded(events.volatility_threshold(train), "h")
+
+
 _CUSUM = (
     "with recursive " + NUM + ", s as (select symbol, i, seq, cast(0 as double) as up, cast(0 as double) as dn, false as ev, ln(price) as x from num where i <= 1"
     f" union all select symbol, i, seq, case when dn1 >= -{H} and up1 > {H} then 0.0 else up1 end, case when dn1 < -{H} then 0.0 else dn1 end, dn1 < -{H} or up1 > {H}, x1"
@@ -528,6 +535,26 @@ SQL["directional"] = (
 _feature("hilbert_sine", lambda d: T.with_hilbert_sine(d), None, "sine", "lead_sine")
 
 
+_plain("ffd_oscillator", lambda: {"ffd_osc": T.ffd_oscillator(3, "high", "low", "close")}, {"ffd_osc": f"(high / nullif({_lag('close', 3)}, 0)) / nullif(high / nullif(low, 0), 0)"})
+_feature("volume_trend", lambda d: T.with_volume_trend(d, 10).withColumn("volume_trend", F.col("volume_trend").cast("double")), f", k as (select *, {_w(10, 'avg(volume)')} as vm from b) select symbol, seq, case when vm > {_lag('vm')} then 1.0::double else -1.0::double end as volume_trend from k", "volume_trend")
+_feature("lagged_log_ffd", lambda d: fracdiff.with_ffd(d, "close", 0.4, 0.01).withColumn("log_ffd", T.lagged_log("ffd", 5)), None, "log_ffd")
+SQL["lagged_log_ffd"] = "with recursive " + OHLC + ", lx as (select symbol, seq, close as x from b)" + _ffd("lx", "select 0.4::double as d") + f", fl as (select b.symbol, b.seq, lag(fx.x, 5) over (partition by b.symbol order by b.seq) as x from b left join fx using (symbol, seq)) select symbol, seq, {_r('case when x > 0 then ln(x) end', 'log_ffd')} from fl"
+
+
+@query("with " + OHLC + f", f as (select symbol, seq, {_w(10, 'avg(close)')} as sma, close - {_lag('close', 5)} as mom from b) select symbol, seq, {_r('sma', 'sma')}, {_r('mom', 'mom')} from f where sma is not null and mom is not null")
+def aligned_features(spark, sf_dir):
+    b = ohlc(spark, sf_dir)
+    left, right = b.select("symbol", "seq", T.sma("close", 10).alias("sma")), b.select("symbol", "seq", T.mom("close", 5).alias("mom"))
+    return rounded(T.aligned(left, right, ["symbol", "seq"]), "sma", "mom")
+
+
+@query("with " + OHLC + f", k as (select *, row_number() over ({OWN}) as k, count(*) over (partition by symbol) as n from b), p as (select *, case when k <= floor((n - 1) * 0.7::double) then 'train' when k > n - floor((n - 1) * (1 - 0.7::double)) then 'test' end as part from k), s as (select avg(close) as ac, stddev_pop(close) as sc, avg(volume) as av, stddev_pop(volume) as sv from p where part = 'train') select symbol, seq, part, {_r('(close - ac) / sc', 'close')}, {_r('(volume - av) / sv', 'volume')} from p, s where part is not null")
+def scaled_features(spark, sf_dir):
+    b = T.split_by_place(ohlc(spark, sf_dir), 0.7).select("symbol", "seq", "part", "close", "volume")
+    train, test = models.scaled(b.filter("part = 'train'"), b.filter("part = 'test'"), ["close", "volume"])
+    return rounded(train.union(test), "close", "volume")
+
+
 @query()
 def trend_layer(spark, sf_dir):
     df, names = FS.trend_layer(ohlc(spark, sf_dir), (5, 10))
@@ -540,18 +567,21 @@ def feature_set_returns(spark, sf_dir):
     return df.select("symbol", "seq", *names)
 
 
+@query()
+def feature_set_custom(spark, sf_dir):
+    df, names = FS.custom(ohlc(spark, sf_dir))
+    return df.select("symbol", "seq", *names)
+
+
 @query()
 def feature_set_everything(spark, sf_dir):
     df, names = FS.everything_trends(ohlc(spark, sf_dir))
     return df.select("symbol", "seq", *names)
 
 
-@query("with " + OHLC + f", k as (select symbol, seq, row_number() over ({OWN}) as k, count(*) over (partition by symbol) as n from b) select symbol, seq, case when k <= floor((n - 1) * 0.7) then 'train' when k > n - floor((n - 1) * 0.3) then 'test' end as part from k")
+@query("with " + OHLC + f", k as (select symbol, seq, row_number() over ({OWN}) as k, count(*) over (partition by symbol) as n from b) select symbol, seq, case when k <= floor((n - 1) * 0.7::double) then 'train' when k > n - floor((n - 1) * (1 - 0.7::double)) then 'test' end as part from k")
 def train_test_split(spark, sf_dir):
-    n = F.count("*").over(W.partitionBy("symbol"))
-    k = F.row_number().over(W.partitionBy("symbol").orderBy("seq"))
-    part = F.when(k <= F.floor((n - 1) * F.expr("0.7")), "train").when(k > n - F.floor((n - 1) * F.expr("0.3")), "test")
-    return ohlc(spark, sf_dir).select("symbol", "seq", part.alias("part"))
+    return T.split_by_place(ohlc(spark, sf_dir), 0.7).select("symbol", "seq", "part")
 
 
 # --- splits ------------------------------------------------------------------
@@ -613,6 +643,11 @@ def embargo_times(spark, sf_dir):
     return splits.embargo_times(src.tape(spark, sf_dir).select(src.micros().alias("t")), 0.01)
 
 
+@query("with t as (select epoch_us(ts) as t, row_number() over (order by ts) as k, count(*) over () as n from events) select coalesce(max(t) - min(t), 0) as span from t where k <= greatest(1, floor(0.01::double * n))")
+def embargo_duration(spark, sf_dir):
+    return spark.createDataFrame([(splits.embargo_duration(src.tape(spark, sf_dir).select(src.micros().alias("t")), 0.01),)], "span long")
+
+
 @query("with c as (select a.a, b.b, row_number() over (order by a.a, b.b) - 1 as split from (select unnest(range(6)) as a) a, (select unnest(range(6)) as b) b where a.a < b.b), g as (select unnest(range(6)) as g), m as (select g, split from g join c on g = a or g = b) select cast(row_number() over (partition by g order by split) - 1 as int) as path, cast(g as int) as \"group\", cast(split as int) as split from m")
 def cpcv_paths(spark, sf_dir):
     return splits.cpcv_paths(spark, 6)
@@ -661,6 +696,17 @@ def power_fns(spark, sf_dir):
     return rounded(e.select("seq", S.bet_size_power(w, x).alias("size"), S.target_position_power(w, x, F.lit(0.0), F.lit(100)).alias("target"), S.inverse_price_power(F.lit(100.0), w, x).alias("inverse")), "size", "inverse")
 
 
+@query(
+    "with x as (select event_id as seq, cast((event_id % 21 - 10) / 10.0 as double) as x, cast(event_id % 21 - 10 as int) as target from events)"
+    f" select seq, {_r('coalesce((select sum(100 - sign(j) * pow(abs(j / 100.0::double), 1 / 1.5::double)) from (select unnest(range(1, cast(abs(target + 1) as bigint))) as j)), 0) / nullif(target, 0)', 'limit_price')}, {_r('case when x <> 0 and abs(x) <> 1 and 0.9 / sign(x) > 0 then ln(0.9::double / sign(x)) / ln(abs(x)) end', 'w_for')} from x"
+)
+def power_limits(spark, sf_dir):
+    e = src.tape(spark, sf_dir).select("seq", ((F.col("seq") % 21 - 10) / 10.0).alias("x"), (F.col("seq") % 21 - 10).cast("int").alias("target"))
+    p = S.limit_price_power(F.col("target"), F.lit(0), F.lit(100.0), F.lit(1.5), F.lit(100))
+    w = F.when((F.col("x") > 0) & (F.abs("x") != 1), S.calibrated_w_power(F.col("x"), F.lit(0.9)))
+    return rounded(e.select("seq", p.alias("limit_price"), w.alias("w_for")), "limit_price", "w_for")
+
+
 @query()
 def log_uniform(spark, sf_dir):
     return spark.range(1000).select("id", S.log_uniform(0.01, 100.0, 7).alias("x"))
@@ -873,3 +919,45 @@ def cpcv_run(spark, sf_dir):
     rows, _ = _classified(spark, sf_dir)
     roles = splits.cpcv(rows.select("symbol", "pos", F.col("pos").alias("pred"), (F.col("pos") + 2).alias("eval")), 3, 2, 3)
     return models.cpcv_run(rows, roles, models.logistic(_FEATURES), 2, 0.05)
+
+
+@query()
+def model_zoo(spark, sf_dir):
+    rows, roles = _classified(spark, sf_dir)
+    fits = {
+        "ADA": models.adaboost(_FEATURES, 3), "SVC": models.linear_svc(_FEATURES, 5), "GBT": models.boosted_trees(_FEATURES, 3), "BAG1": models.bagged_single_features(_FEATURES, 4),
+        "NB": models.gaussian_bayes(_FEATURES), "BAG": models.bagged(models.logistic(_FEATURES), 3),
+    }
+    return models.compare(rows, roles, fits, "f1")
+
+
+@query()
+def model_tuning(spark, sf_dir):
+    rows, roles = _classified(spark, sf_dir)
+    make = lambda trees, share: models.bagged_forest(_FEATURES, int(trees), share)
+    name, predict = models.tuned(rows, roles, models.grid(make, {"trees": [2, 5], "share": [0.5, 1.0]}), "f1")
+    return predict(rows).select("symbol", "pos", F.lit(name).alias("model"), "score", "pred")
+
+
+@query()
+def bootstrapped_forest(spark, sf_dir):
+    # draws are quadratic in a symbol's events: the events are those of the CUSUM filter
+    rows, _ = _classified(spark, sf_dir)
+    e = events.cusum_events(bars.numbered(walk(spark, sf_dir)), H).select("symbol", F.col("i").alias("pos"))
+    chosen = rows.join(e, ["symbol", "pos"]).withColumns({"i0": F.col("pos"), "i1": F.col("pos") + 2})
+    return models.bootstrapped_forest(_FEATURES, trees=3)(chosen)(rows).select("symbol", "pos", "score", "pred")
+
+
+@query()
+def importance_experiment(spark, sf_dir):
+    return models.importance_experiment(src.synthetic_features(spark, 1000, 3, 2, 3).cache(), ("MDI", "MDA"), 5, 2)
+
+
+def _timed(spark, sf_dir) -> DataFrame:
+    b = bars.aggregated(bars.numbered(walk(spark, sf_dir)).withColumn("seq_", F.floor(F.col("i") / 5).cast("long")), ["symbol", "seq_"])
+    return b.select("symbol", F.col("seq_").alias("seq"), src.micros().alias("ts_us"), F.col("close").alias("price"), "close")
+
+
+@query()
+def benchmark_strategy(spark, sf_dir):
+    return BM.benchmark(_timed(spark, sf_dir))[1]
