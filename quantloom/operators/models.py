@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import product
 
 import numpy as np
@@ -158,33 +159,44 @@ def bagged_single_features(features: list[str], rounds: int = 20, share: float =
     return fit
 
 
-def cv_scores(rows: DataFrame, roles: DataFrame, fit: Fit, scoring: str = "log_loss") -> DataFrame:
-    """(split, score) over roles (symbol, split, pos, role); log loss is negative, so that more is better; f1 is that of label 1, unweighted."""
+@contextmanager
+def _parts(rows: DataFrame, roles: DataFrame, *more: str) -> Iterator[list[tuple[int, DataFrame, DataFrame]]]:
+    """(split, train, test) of each split. The rows with their roles are made once for all fits: each reads them many times."""
+    both = rows.join(roles.filter("role <> 'dropped'").select("symbol", "pos", "split", "role", *more), ["symbol", "pos"]).persist()
+    try:
+        part = lambda k, role: both.filter((F.col("split") == k) & (F.col("role") == role)).drop("split", "role")
+        yield [(k, part(k, "train"), part(k, "test")) for k in sorted(r.split for r in both.select("split").distinct().collect())]
+    finally:
+        both.unpersist()
+
+
+def _score(scored: DataFrame, scoring: str) -> float | None:
     from .backtest import log_loss
 
+    if scoring == "f1":
+        hits, found = F.sum(((F.col("label") == 1) & (F.col("pred") == 1)).cast("long")), F.sum((F.col("label") == 1).cast("long") + F.col("pred"))
+        return scored.agg(F.coalesce(F.try_divide(2.0 * hits, found), F.lit(0.0))).first()[0]
+    s = log_loss(scored if "w" in scored.columns else scored.withColumn("w", F.lit(1.0))).first()
+    return s.accuracy if scoring == "accuracy" else None if s.log_loss is None else -s.log_loss
+
+
+def _all_scores(rows: DataFrame, roles: DataFrame, fits: dict[str, Fit], scoring: str) -> DataFrame:
+    """(model, split, score): one number for each fit and split."""
     if scoring not in ("log_loss", "accuracy", "f1"):
         raise ValueError(f"unknown scoring {scoring}")
-    out = None
-    for k in sorted(r.split for r in roles.select("split").distinct().collect()):
-        part = rows.join(roles.filter(F.col("split") == k).select("symbol", "pos", "role"), ["symbol", "pos"])
-        scored = fit(part.filter("role = 'train'"))(part.filter("role = 'test'"))
-        if scoring == "f1":
-            hits, found = F.sum(((F.col("label") == 1) & (F.col("pred") == 1)).cast("long")), F.sum((F.col("label") == 1).cast("long") + F.col("pred"))
-            s = scored.agg(F.coalesce(F.try_divide(2.0 * hits, found), F.lit(0.0)).alias("score")).select(F.lit(k).alias("split"), "score")
-        else:
-            s = log_loss(scored if "w" in scored.columns else scored.withColumn("w", F.lit(1.0)))
-            s = s.select(F.lit(k).alias("split"), (-F.col("log_loss") if scoring == "log_loss" else F.col("accuracy")).alias("score"))
-        out = s if out is None else out.union(s)
-    return out
+    with _parts(rows, roles) as parts:
+        scores = [(name, k, _score(fit(train)(test), scoring)) for name, fit in fits.items() for k, train, test in parts]
+    return rows.sparkSession.createDataFrame(scores, "model string, split int, score double")
+
+
+def cv_scores(rows: DataFrame, roles: DataFrame, fit: Fit, scoring: str = "log_loss") -> DataFrame:
+    """(split, score) over roles (symbol, split, pos, role); log loss is negative, so that more is better; f1 is that of label 1, unweighted."""
+    return _all_scores(rows, roles, {"": fit}, scoring).drop("model")
 
 
 def compare(rows: DataFrame, roles: DataFrame, fits: dict[str, Fit], scoring: str = "log_loss") -> DataFrame:
     """(model, mean, std) over the splits."""
-    out = None
-    for name, fit in fits.items():
-        s = cv_scores(rows, roles, fit, scoring).agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("std")).select(F.lit(name).alias("model"), "mean", "std")
-        out = s if out is None else out.union(s)
-    return out
+    return _all_scores(rows, roles, fits, scoring).groupBy("model").agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"))
 
 
 def grid(make: Callable[..., Fit], values: dict[str, list]) -> dict[str, Fit]:
@@ -246,30 +258,22 @@ def permuted(df: DataFrame, column: str, seed: int) -> DataFrame:
 
 def importance_mda(rows: DataFrame, roles: DataFrame, fit: Fit, features: list[str], seed: int = 1) -> DataFrame:
     """(feature, mean, std): the share of the log loss that shuffling a feature in the test rows costs."""
-    from .backtest import log_loss
-
     drops: dict[str, list[float]] = {f: [] for f in features}
-    for k in sorted(r.split for r in roles.select("split").distinct().collect()):
-        part = rows.join(roles.filter(F.col("split") == k).select("symbol", "pos", "role"), ["symbol", "pos"])
-        model = fit(part.filter("role = 'train'"))
-        test = part.filter("role = 'test'")
-        weighed = lambda d: d if "w" in d.columns else d.withColumn("w", F.lit(1.0))
-        s0 = log_loss(weighed(model(test))).first()[0]
-        for f in features:
-            s1 = log_loss(weighed(model(permuted(test, f, seed)))).first()[0]
-            drops[f].append((s1 - s0) / s1 if s1 else 0.0)
+    with _parts(rows, roles) as parts:
+        for _, train, test in parts:
+            model = fit(train)
+            s0 = _score(model(test), "log_loss")
+            for f in features:
+                s1 = _score(model(permuted(test, f, seed)), "log_loss")
+                drops[f].append((s1 - s0) / s1 if s1 else 0.0)
     data = [(f, float(np.mean(x)), float(np.std(x, ddof=1) * len(x) ** -0.5) if len(x) > 1 else 0.0) for f, x in drops.items()]
     return rows.sparkSession.createDataFrame(data, "feature string, mean double, std double")
 
 
 def importance_sfi(rows: DataFrame, roles: DataFrame, make: Callable[[list[str]], Fit], features: list[str], scoring: str = "log_loss") -> DataFrame:
     """(feature, mean, std): scores of models of one feature each."""
-    out = None
-    for f in features:
-        s = cv_scores(rows, roles, make([f]), scoring).agg(F.avg("score").alias("mean"), (F.stddev_pop("score") * F.pow(F.count("*"), F.lit(-0.5))).alias("std"))
-        s = s.select(F.lit(f).alias("feature"), "mean", "std")
-        out = s if out is None else out.union(s)
-    return out
+    s = _all_scores(rows, roles, {f: make([f]) for f in features}, scoring).groupBy(F.col("model").alias("feature"))
+    return s.agg(F.avg("score").alias("mean"), (F.stddev_pop("score") * F.pow(F.count("*"), F.lit(-0.5))).alias("std"))
 
 
 def importance(rows: DataFrame, roles: DataFrame, features: list[str], method: str = "SFI", trees: int = 1000, scoring: str = "accuracy") -> tuple[DataFrame, float, float]:
