@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut
+from .common import SPACES, cut, fresh
 
 K = 24
 #: Rows that stand in one run of neighbouring ids, and the most such runs.
@@ -63,10 +63,12 @@ def text_of(signature: Column) -> Column:
 
 def fingerprints(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
     """``docs`` with fingerprint (text of its signature)."""
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    keyed = cut(keyed)
-    own = signatures(keyed.select("_row", F.coalesce(text, F.lit("")).alias("_x")), ["_row"], "_x", k)
-    return keyed.drop("fingerprint").join(own, "_row", "left").withColumn("fingerprint", text_of(F.col("signature"))).drop("_row", "signature")
+    docs = docs.drop("fingerprint")
+    row, sign = fresh(docs, "_row"), fresh(docs, "signature")
+    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    own = signatures(keyed.select(F.col(row).alias("_row"), F.coalesce(text, F.lit("")).alias("_x")), ["_row"], "_x", k)
+    own = own.select(F.col("_row").alias(row), F.col("signature").alias(sign))
+    return keyed.join(own, row, "left").withColumn("fingerprint", text_of(F.col(sign))).drop(row, sign)
 
 
 def _runs(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, cut, mix, seeds, shingle_hashes, word_hashes
+from .common import U, cut, fresh, mix, seeds, shingle_hashes, word_hashes
 from .components import connected_components, star_components
 
 WIDTH, SHARE = 5, (75, 100)
@@ -345,14 +345,15 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = S
             return [pa.array([node_of(s) for s in shingle_sets(texts, width)], pa.int64())]
 
     _, ids = _classes(docs, width, share)
+    no_id, id_, node_, kept_, alone, text = (fresh(docs, f"_q_{n}") for n in ("no_id", "id", "node", "kept", "alone", "text"))
     first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "node")).alias("x"))
-    first = cut(first.select(F.col("x.no_id").alias("_q_no_id"), F.col("x.id").alias("_q_id"), F.col("x.node").alias("_q_node"), F.lit(True).alias("_q_kept")))
-    rows = _added(docs.withColumn("_q_text", F.col("text").cast("string")), "_q_node long", "_q_text", node)
+    first = cut(first.select(F.col("x.no_id").alias(no_id), F.col("x.id").alias(id_), F.col("x.node").alias(node_), F.lit(True).alias(kept_)))
+    rows = _added(docs.withColumn(text, F.col("text").cast("string")), f"{node_} long", text, node)
     # rows are dealt by id and set, so that copies are not dealt to one task; those without a set have each a number of their own
     rows = rows.withColumns({
-        "_q_no_id": F.col("doc_id").isNull(), "_q_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
-        "_q_alone": F.col("_q_node").isNull(), "_q_node": F.coalesce("_q_node", F.monotonically_increasing_id()),
+        no_id: F.col("doc_id").isNull(), id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+        alone: F.col(node_).isNull(), node_: F.coalesce(node_, F.monotonically_increasing_id()),
     })
-    on = ["_q_no_id", "_q_id", "_q_node"]
-    kept = rows.join(first, on, "left").filter("_q_alone or _q_kept")
-    return kept.dropDuplicates([*on, "_q_alone"]).select(*docs.columns)
+    on = [no_id, id_, node_]
+    kept = rows.join(first, on, "left").filter(f"{alone} or {kept_}")
+    return kept.dropDuplicates([*on, alone]).select(*docs.columns)

@@ -1,9 +1,12 @@
 """Mixing sources to target weights: iterative proportional fitting of token weights, then sampling by calibrated probabilities.
 
 Tokens are summed into cells of source, language and topic. Rounds of fitting scale the cells' weights until each margin has its
-target share. A document is kept with the probability budget * (fitted / observed) of its cell, decided by a hash of its id. Where the
-greatest factor is over 1 / budget, the budget is smaller, so that no probability is cut at 1 and the sample keeps the margins.
-``exact`` fits until the margins hold, instead of for a number of rounds.
+target share. A document is kept with the probability budget * (fitted / observed) of its cell, decided by a hash of its id.
+
+Fitting is bounded: a cell cannot give more than all of its documents, so its fitted share is at most observed / budget. Each step solves
+the margin under that bound (saturated cells stay whole, the others are scaled until the margin holds), and a value that has fewer tokens
+than its target asks for is kept whole, its surplus shared by the others of its dimension. So the sample has the budget, whatever its
+smallest cell holds. ``exact`` fits until the margins hold, instead of for a number of rounds.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, whole
+from .common import cut, fresh, whole
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Where no target is given, a value's share is in proportion to its tokens to this power.
@@ -36,39 +39,67 @@ def with_topic(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({"n_tokens": F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), "topic": topic})
 
 
+def _scaled(x: str, cap: str, to: str, by: str) -> tuple[str, str]:
+    """SQL of two steps by which the least of ``cap`` and the scaled ``x`` sums to ``to`` over each ``by``: _g, the sum if the scale
+    were the one at which the row is saturated, and then the scaled ``x``. Where all rows are saturated they stay so."""
+    whole_, rows = f"partition by {by}", f"partition by {by} order by {cap} / {x} rows between unbounded preceding and current row"
+    g = f"sum({cap}) over ({rows}) + {cap} / {x} * greatest(0, sum({x}) over ({whole_}) - sum({x}) over ({rows}))"
+    free = f"sum(case when _g > {to} then {x} end) over ({whole_})"
+    held = f"coalesce(sum(case when _g <= {to} then {cap} end) over ({whole_}), 0)"
+    return g, f"{x} * coalesce(({to} - {held}) / nullif({free}, 0), max({cap} / {x}) over ({whole_}))"
+
+
+def _bounded(margin: DataFrame) -> DataFrame:
+    """``margin`` with its ``share`` bounded by ``cap``; what that leaves goes to the other values, in proportion."""
+    scale = 1.0
+    while True:
+        full = F.col("cap") <= scale * F.col("share")
+        held, free = margin.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("share")))).first()
+        now = (1.0 - (held or 0.0)) / free if free else scale
+        if now <= scale * (1 + 1e-15):
+            return margin.withColumn("share", F.least("cap", scale * F.col("share")))
+        scale = now
+
+
 def fitted_cells(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, budget: float = BUDGET, exact: bool = False) -> DataFrame:
     """(source, lang, topic, tokens, fitted, probability), a row a cell; a null value is the value ''.
 
     ``targets`` may give shares for values of a dimension; its other values share what is left, by tokens to the power ``alpha``.
-    Cells without tokens keep the factor 1. All margins' targets are over values that occur. ``exact``: ``rounds`` at least, as many as
-    the margins need. The budget is at most 1 / the greatest factor.
+    All margins' targets are over values that occur. ``fitted`` is the cell's share of the sample's tokens, and at most
+    tokens / (all tokens * ``budget``), which is the probability 1; a value's target is at most the sum of that over its cells. Cells
+    without tokens have fitted 0 and the probability ``budget``. ``exact``: ``rounds`` at least, as many as the margins need.
     """
     cells = docs.groupBy(*(F.coalesce(F.col(d), F.lit("")).alias(d) for d in DIMENSIONS)).agg(F.sum("n_tokens").alias("tokens"))
     cells = cut(cells)
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
     for d in DIMENSIONS:
         given = (targets or {}).get(d, {})
-        margin = cells.groupBy(d).agg(F.sum("tokens").alias("t"))
-        power = F.when(F.col("t") > 0, F.pow(F.col("t").cast("double"), F.lit(float(alpha)))).otherwise(0.0)
+        margin = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("t"))
+        power = F.when(F.col("t") > 0, F.pow(F.col("t"), F.lit(float(alpha)))).otherwise(0.0)
         if given:
             power = F.when(F.col(d).isin(list(given)), 0.0).otherwise(power)
-        margin = margin.withColumn("p", power)
+        margin = cut(margin.withColumn("p", power))
         rest = margin.agg(F.sum("p")).first()[0] or 0.0
         share = F.col("p") * ((1.0 - sum(given.values())) / rest if rest else 0.0)
         for value, x in given.items():
             share = F.when(F.col(d) == value, F.lit(float(x))).otherwise(share)
-        cells = cells.join(margin.select(d, share.alias(f"_{d}")), d)
+        margin = _bounded(margin.select(d, share.alias("share"), (F.col("t") / (total * budget)).alias("cap")))
+        cells = cells.join(margin.select(d, F.col("share").alias(f"_{d}")), d)
     cells = cut(cells)
     count = cells.count()
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    w = cells.coalesce(1) if count <= SMALL_CELLS else cells
-    w = w.withColumn("fitted", F.col("tokens").cast("double") / (total or 1))
+    empty = cells.filter("tokens = 0").select(*DIMENSIONS, "tokens", F.lit(0.0).alias("fitted"), F.lit(float(budget)).alias("probability"))
+    w = cells.filter("tokens > 0")
+    w = w.coalesce(1) if count <= SMALL_CELLS else w
+    w = w.withColumn("_x", F.col("tokens").cast("double") / total).withColumn("_cap", F.col("_x") / budget)
+
     def fit(w: DataFrame, rounds: int) -> DataFrame:
         for i in range(rounds):
             for d in DIMENSIONS:
-                w = w.withColumn("fitted", F.coalesce(F.expr(f"try_divide(fitted * _{d}, sum(fitted) over (partition by {d}))"), F.lit(0.0)))
-            if count > SMALL_CELLS and i % 3 == 2:
+                g, x = _scaled("_x", "_cap", f"_{d}", d)
+                w = w.withColumn("_g", F.expr(g)).withColumn("_x", F.expr(x)).drop("_g")
+            if i % 4 == 3:
                 w = cut(w)
-        return w
+        return w.withColumn("fitted", F.least("_x", "_cap"))
 
     w = fit(w, rounds)
     if exact:
@@ -77,12 +108,8 @@ def fitted_cells(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
             since = 0 if off < 0.99 * least else since + rounds
             least = min(least, off)
             w = cut(fit(w, rounds))
-    factor = F.when(F.col("tokens") > 0, F.col("fitted") * (total or 1) / F.col("tokens")).otherwise(1.0)
-    w = cut(w.withColumn("factor", factor))
-    # nothing is cut at 1: the budget is small enough for the cell with the greatest factor
-    budget = min(budget, 1.0 / (w.agg(F.max("factor")).first()[0] or 1.0))
-    w = w.withColumn("probability", F.round(F.least(F.lit(1.0), budget * F.col("factor")), 9))
-    return w.select(*DIMENSIONS, "tokens", "fitted", "probability")
+    w = w.withColumn("probability", F.round(F.least(F.lit(1.0), F.try_divide("fitted", "_cap")), 9))
+    return w.select(*DIMENSIONS, "tokens", "fitted", "probability").union(empty)
 
 
 def _off(cells: DataFrame) -> float:
@@ -100,9 +127,11 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alp
     docs = with_topic(docs)
     cells = cut(fitted_cells(docs, targets, alpha, rounds, budget, exact))
     small = cells.count() <= SMALL_CELLS
-    cells = cells.select(*(F.col(d).alias(f"_cell_{d}") for d in DIMENSIONS), "probability")
-    on = [F.coalesce(F.col(d), F.lit("")) == F.col(f"_cell_{d}") for d in DIMENSIONS]
-    df = docs.drop("probability", "kept").join(F.broadcast(cells) if small else cells, on, "left").drop(*(f"_cell_{d}" for d in DIMENSIONS))
+    docs = docs.drop("probability", "kept")
+    of = {d: fresh(docs, f"_cell_{d}") for d in DIMENSIONS}
+    cells = cells.select(*(F.col(d).alias(of[d]) for d in DIMENSIONS), "probability")
+    on = [F.coalesce(F.col(d), F.lit("")) == F.col(of[d]) for d in DIMENSIONS]
+    df = docs.join(F.broadcast(cells) if small else cells, on, "left").drop(*of.values())
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
     return df.withColumn("kept", drawn.cast("double") / float(16**12) < F.col("probability"))
 
@@ -115,16 +144,23 @@ def sql(documents: str = "documents", alpha: float = ALPHA, rounds: int = ROUNDS
         "m_c as materialized (select coalesce(source, '') as source, coalesce(lang, '') as lang, topic, sum(n_tokens)::bigint as tokens from m_d group by all)",
     ]
     for d in DIMENSIONS:
-        out.append(f"m_{d}0 as (select {d}, case when sum(tokens) > 0 then pow(sum(tokens)::double, {alpha}) else 0 end as p from m_c group by {d})")
-        out.append(f"m_{d} as (select {d}, p / sum(p) over () as share from m_{d}0)")
-    out.append("w_0 as (select m_c.*, tokens::double / sum(tokens) over () as fitted, sum(tokens) over () as total, " + ", ".join(f"m_{d}.share as _{d}" for d in DIMENSIONS) + " from m_c " + " ".join(f"join m_{d} using ({d})" for d in DIMENSIONS) + ")")
+        out.append(f"m_{d}0 as (select {d}, sum(tokens)::double as t, case when sum(tokens) > 0 then pow(sum(tokens)::double, {alpha}) else 0 end as p from m_c group by {d})")
+        out.append(f"m_{d}1 as (select {d}, 1 as one, p / sum(p) over () as x, t / (sum(t) over () * {budget}) as cap from m_{d}0 where t > 0)")
+        g, x = _scaled("x", "cap", "1.0", "one")
+        out.append(f"m_{d}2 as (select *, {g} as _g from m_{d}1)")
+        out.append(f"m_{d} as materialized (select {d}, least(cap, {x}) as share from m_{d}2)")
+    out.append(
+        f"w_0 as (select m_c.*, tokens / sum(tokens::double) over () as x, tokens / (sum(tokens::double) over () * {budget}) as cap, " + ", ".join(f"m_{d}.share as _{d}" for d in DIMENSIONS)
+        + " from m_c " + " ".join(f"join m_{d} using ({d})" for d in DIMENSIONS) + " where tokens > 0)"
+    )
     n = 0
     for _ in range(rounds):
         for d in DIMENSIONS:
-            out.append(f"w_{n + 1} as (select * exclude (fitted), coalesce(fitted * _{d} / nullif(sum(fitted) over (partition by {d}), 0), 0) as fitted from w_{n})")
+            g, x = _scaled("x", "cap", f"_{d}", d)
+            out.append(f"g_{n + 1} as materialized (select *, {g} as _g from w_{n})")
+            out.append(f"w_{n + 1} as materialized (select * exclude (x, _g), {x} as x from g_{n + 1})")
             n += 1
-    out.append(f"m_f as materialized (select source, lang, topic, case when tokens > 0 then fitted * total / tokens else 1.0 end as factor from w_{n})")
-    out.append(f"m_p as materialized (select source, lang, topic, round(least(1.0, least({budget}, 1.0 / max(factor) over ()) * factor), 9) as probability from m_f)")
+    out.append(f"m_p as materialized (select source, lang, topic, round(least(1.0, least(x, cap) / cap), 9) as probability from w_{n} union all select source, lang, topic, {budget}::double from m_c where tokens = 0)")
     out.append(
         f"m_out as (select m_d.* exclude (t), probability, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::varchar, '')), 1, 12))::bigint::double / {float(16**12)!r} < probability as kept"
         " from m_d left join m_p on coalesce(m_d.source, '') = m_p.source and coalesce(m_d.lang, '') = m_p.lang and m_d.topic = m_p.topic)"

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 SPACE = "▁"
 #: Parts kept by each worker.
 KEPT = 400_000
@@ -260,7 +262,7 @@ def _added(df: DataFrame, extra: str, column: str, function) -> DataFrame:
                 made = function(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], [*kept, *names])
 
-    return df.select(F.col(f"`{column}`").alias("_in"), *(f"`{c}`" for c in kept)).mapInArrow(run, schema)
+    return df.select(F.col(f"`{column}`").alias(fresh(df, "_in")), *(f"`{c}`" for c in kept)).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, model_file: str | None = None, text: str = "text") -> DataFrame:

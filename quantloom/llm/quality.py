@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, whole
+from .common import SPACES, fresh, whole
 
 #: Frequent function words of the corpus' languages, as they stand in a text after lower-casing.
 STOP_WORDS = (
@@ -38,36 +38,37 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the columns of ``MEASURES`` (long). The text's working columns are prefixed ``_q``, so that no column clashes."""
+    """``docs`` with the columns of ``MEASURES`` (long). Working columns have names that ``docs`` has not."""
+    own, words, lines, placed, again = (fresh(docs, f"_q_{n}") for n in ("text", "words", "lines", "runs", "twice"))
     stops = [w + tail for w in dict.fromkeys(STOP_WORDS) for tail in ("", ".", ",")]
-    df = docs.withColumn("_q_text", whole(text))
-    df = df.withColumn("_q_words", F.filter(F.split("_q_text", SPACES), lambda w: w != ""))
-    df = df.withColumn("_q_lines", F.filter(F.split("_q_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    n = F.size("_q_words")
-    word = lambda i: F.element_at("_q_words", i)
+    df = docs.withColumn(own, whole(text))
+    df = df.withColumn(words, F.filter(F.split(own, SPACES), lambda w: w != ""))
+    df = df.withColumn(lines, F.filter(F.split(own, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    n = F.size(words)
+    word = lambda i: F.element_at(words, i)
     runs = F.transform(F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda i: F.struct(F.xxhash64(*(word(i + k) for k in range(SHINGLE))).alias("h"), i.alias("i")))
-    df = df.withColumn("_q_runs", F.when(n >= SHINGLE, F.array_sort(runs)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    df = df.withColumn(placed, F.when(n >= SHINGLE, F.array_sort(runs)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     # equal runs of words stand side by side now; get() is null outside of the array
-    hash_at = lambda i: F.get("_q_runs", i).getField("h")
-    twice = F.filter("_q_runs", lambda x, i: F.coalesce(hash_at(i - 1) == x["h"], F.lit(False)) | F.coalesce(hash_at(i + 1) == x["h"], F.lit(False)))
-    df = df.withColumn("_q_twice", F.array_sort(F.transform(twice, lambda x: x["i"])))
+    hash_at = lambda i: F.get(placed, i).getField("h")
+    twice = F.filter(placed, lambda x, i: F.coalesce(hash_at(i - 1) == x["h"], F.lit(False)) | F.coalesce(hash_at(i + 1) == x["h"], F.lit(False)))
+    df = df.withColumn(again, F.array_sort(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate(
-        F.transform("_q_twice", lambda x, i: F.least(F.lit(SHINGLE), F.coalesce(F.get("_q_twice", i + 1) - x, F.lit(SHINGLE)))), F.lit(0), lambda a, x: a + x
+        F.transform(again, lambda x, i: F.least(F.lit(SHINGLE), F.coalesce(F.get(again, i + 1) - x, F.lit(SHINGLE)))), F.lit(0), lambda a, x: a + x
     )
     long = lambda c: c.cast("long")
     count = lambda c, f: long(F.size(F.filter(c, f)))
     df = df.withColumns({
         "n_words": long(n),
-        "word_chars": long(F.length(F.array_join("_q_words", ""))),
-        "n_symbols": long(F.length("_q_text") - F.length(F.translate("_q_text", SYMBOLS, ""))),
-        "n_dup_lines": long(F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))),
+        "word_chars": long(F.length(F.array_join(words, ""))),
+        "n_symbols": long(F.length(own) - F.length(F.translate(own, SYMBOLS, ""))),
+        "n_dup_lines": long(F.size(lines) - F.size(F.array_distinct(lines))),
         "n_repeat_words": long(covered),
-        "n_lines": long(F.size("_q_lines")),
-        "n_stop_words": count("_q_words", lambda w: F.lower(w).isin(stops)),
-        "n_bullet_lines": count("_q_lines", lambda x: x.rlike(r"^[\x20\x09]*[-*•]")),
-        "n_ellipsis_lines": count("_q_lines", lambda x: x.endswith("...") | x.endswith("…")),
+        "n_lines": long(F.size(lines)),
+        "n_stop_words": count(words, lambda w: F.lower(w).isin(stops)),
+        "n_bullet_lines": count(lines, lambda x: x.rlike(r"^[\x20\x09]*[-*•]")),
+        "n_ellipsis_lines": count(lines, lambda x: x.endswith("...") | x.endswith("…")),
     })
-    return df.drop("_q_text", "_q_words", "_q_lines", "_q_runs", "_q_twice")
+    return df.drop(own, words, lines, placed, again)
 
 
 def broken(rule: tuple) -> str:

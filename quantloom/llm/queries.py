@@ -1,4 +1,4 @@
-"""The queries of the ten operators, and the SQL of those that SQL can express."""
+"""The queries of the thirteen operators, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, mixing, passages, pieces, private, quality, substrings, toxicity
+from . import fingerprints, licenses, manifest, mixing, passages, pieces, private, quality, substrings, toxicity
 from .common import documents
 from .minhash import near_duplicates
 
@@ -53,6 +53,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -64,10 +68,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_private_data": op8_private_data,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_license_scan": licenses.SQL,
     "op5_source_mixing": mixing.SQL,
     "op9_quality_rules": quality.SQL,
+    "op12_merkle_manifest": manifest.SQL,
 }

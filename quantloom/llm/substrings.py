@@ -119,7 +119,9 @@ class _Ranges:
         self.count, self.kind = count, kind
 
     def dealt(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(range, places, names) of each range: ``a`` chooses the range, ``b`` is the name."""
+        """(range, places, names) of each range: ``a`` chooses the range, ``b`` is the name. Nothing for no names."""
+        if not len(a):
+            return
         where = ((a >> U(32)) * U(self.count) >> U(32)).astype(np.uint16 if self.count < 1 << 16 else np.int64)
         order = np.argsort(where, kind="stable")
         cuts = np.flatnonzero(np.diff(where[order].astype(np.int64), prepend=-1))

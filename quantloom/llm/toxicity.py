@@ -119,8 +119,12 @@ def fit(found: list[list[str]], labels: np.ndarray, categories: list[str]) -> Ch
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = SAMPLE) -> Chain:
-    """Fit on at most ``sample`` rows of ``labels`` (doc_id and a 0/1 column a category, none null) with their documents' whole texts."""
-    known = labels.select("doc_id", *(F.col(c).cast("int").alias(c) for c in categories)).dropna().dropDuplicates(["doc_id"])
+    """Fit on at most ``sample`` documents of ``labels`` (doc_id and a 0/1 column a category) with their whole texts.
+
+    Rows of ``labels`` with a null are left out; where rows of one doc_id differ, a category that any of them has holds, in any order.
+    """
+    known = labels.select("doc_id", *(F.col(c).cast("int").alias(c) for c in categories)).dropna()
+    known = known.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in categories))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
 

@@ -171,6 +171,36 @@ def test_substrings_against_brute_force(spark, odd, none):
         substrings.repeated_substrings(odd, 100)
 
 
+def plain_tables(spark):
+    """Clean documents, short ones, one word, null ids, one row a partition: blocks in which nothing is long enough, or nothing repeats."""
+    clean = [(k, words(150, 900 + k, 10**6)) for k in range(8)]
+    for rows, parts in ((clean, 2), ([(1, "a b c"), (2, "a b c")], 1), ([(1, "word")], 1), ([(None, words(80, 5)), (None, "")], 1), ([*clean, (90, None), (91, "x"), (92, words(200, 77)), (93, words(200, 77))], 12)):
+        yield rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+
+
+def test_blocks_without_long_or_repeated_texts(spark):
+    for rows, df in plain_tables(spark):
+        assert Counter(tuple(r)[:5] for r in substrings.repeated_substrings(df).collect()) == removed(rows)
+        got = passages.near_passages(df).collect()
+        assert len(got) == len(rows) and all(r.n_links == 0 and r.spans == "" for r in got if r.doc_id not in (92, 93))
+        assert all(r.n_links == 1 and r.component_id == 92 for r in got if r.doc_id in (92, 93))
+
+
+INTERNAL = "_in _IN _text _in_text _null _cell_source _cell_lang _cell_topic _q_node _q_text _row _x _t _n _l _w _g _cap _run run top node component rep member"
+
+
+def test_names_that_operators_use_may_be_columns(spark, odd):
+    """Every internal name as a column of the input: kept as it is where an operator keeps columns."""
+    extra = [c for c in INTERNAL.split() if c != "_IN"]
+    df = odd.select("doc_id", "text", "lang", "source", "n_chars", *(F.lit("mine").alias(c) for c in extra))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 16)], "doc_id long, bad int")
+    for got in (pieces.encode(df), mixing.mix(df), private.find_private(df), toxicity.toxicity(df, labels, ["bad"]), minhash.deduplicated(df), fingerprints.fingerprints(df), licenses.license_scan(df), quality.quality_rules(df)):
+        kept = [c for c in extra if c in got.columns]
+        assert len(kept) == len(extra)
+        assert all(r[c] == "mine" for r in got.collect() for c in kept)
+    assert substrings.repeated_substrings(df).count() == passages.near_passages(df).count() == minhash.near_duplicates(df).count() == fingerprints.edited(df).count() == 17
+
+
 def test_difference_cover_and_buckets(spark):
     d = substrings.COVER
     assert {(a - b) % substrings.V for a in d for b in d} == set(range(substrings.V))
@@ -411,23 +441,51 @@ def test_mixing_meets_its_targets(spark, odd, none):
     assert mixing.mix(odd).count() == 17 and mixing.mix(none).count() == 0
 
 
+def bounded(tokens, budget):
+    """The default targets of a dimension: no value over what all of its documents give, the surplus shared by the others."""
+    total = sum(tokens.values())
+    share, cap = {v: x**mixing.ALPHA for v, x in tokens.items()}, {v: x / total / budget for v, x in tokens.items()}
+    low, high = 0.0, 1e9
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(cap[v], mid * share[v]) for v in tokens) < 1 else (low, mid)
+    return {v: min(cap[v], low * share[v]) for v in tokens}
+
+
 def test_kept_tokens_have_the_targets_where_factors_are_large(spark, odd, none):
     """Sources of .60/.30/.09/.01, of which the small ones are lifted over twofold, and rare languages within them."""
     rows = [(k, words(30 + k % 5, k % 50), "de" if k % 23 == 0 else "en", "a" if k % 100 < 60 else "b" if k % 100 < 90 else "c" if k % 100 < 99 else "d") for k in range(2000)]
     docs = mixing.with_topic(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
-    cells = [r.asDict() for r in mixing.fitted_cells(docs, exact=True).collect()]
-    assert max(c["fitted"] * sum(x["tokens"] for x in cells) / c["tokens"] for c in cells) > 2
-    for d in mixing.DIMENSIONS:
-        tokens, kept = Counter(), Counter()
-        for c in cells:
-            tokens[c[d]] += c["tokens"]
-            kept[c[d]] += c["tokens"] * c["probability"]
-        powers = {v: x**mixing.ALPHA for v, x in tokens.items()}
-        for v in tokens:
-            assert kept[v] / sum(kept.values()) == pytest.approx(powers[v] / sum(powers.values()), abs=1e-5)
+    for budget in (0.5, 0.2):
+        cells = [r.asDict() for r in mixing.fitted_cells(docs, budget=budget, exact=True).collect()]
+        total = sum(c["tokens"] for c in cells)
+        assert sum(c["tokens"] * c["probability"] for c in cells) / total == pytest.approx(budget, abs=1e-6)
+        assert max(c["probability"] for c in cells) <= 1 and max(c["fitted"] * total / c["tokens"] for c in cells) >= 1.9
+        for d in mixing.DIMENSIONS:
+            tokens, kept = Counter(), Counter()
+            for c in cells:
+                tokens[c[d]] += c["tokens"]
+                kept[c[d]] += c["tokens"] * c["probability"]
+            for v, share in bounded(tokens, budget).items():
+                assert kept[v] / sum(kept.values()) == pytest.approx(share, abs=1e-5)
     assert mixing.mix(odd, exact=True).count() == 17 and mixing.mix(none, exact=True).count() == 0
 
 
+def test_one_tiny_cell_leaves_the_sample_as_it_is(spark):
+    many = spark.range(3000).selectExpr("id as doc_id", "'a b c d e f g h i j k l' as text", "if(id % 3 = 0, 'de', 'en') as lang", "if(id % 5 = 0, 's', 't') as source")
+    one = spark.createDataFrame([(99999, "x y z", "xx", "s")], "doc_id long, text string, lang string, source string")
+    kept = [mixing.mix(df, exact=exact).filter("kept").count() for df in (many, many.union(one)) for exact in (False, True)]
+    assert all(abs(k - 1500) < 75 for k in kept) and max(kept) - min(kept) < 15
+
+
+def test_large_tables_of_cells_are_fitted_alike(spark, monkeypatch):
+    docs = mixing.with_topic(spark.read.parquet(f"{DATA}/documents.parquet"))
+    small = {(r.source, r.lang, r.topic): r.probability for r in mixing.fitted_cells(docs).collect()}
+    monkeypatch.setattr(mixing, "SMALL_CELLS", 1)
+    large = {(r.source, r.lang, r.topic): r.probability for r in mixing.fitted_cells(docs).collect()}
+    assert small.keys() == large.keys() and all(large[k] == pytest.approx(small[k], abs=1e-8) for k in small)
+
+
 def test_fingerprints(spark, odd, none):
     got = fingerprints.edited(odd).collect()
     rows = sorted(((r.doc_id, r.text or "") for r in odd.collect()), key=lambda x: (x[0] is None, -(x[0] or 0), [-ord(c) for c in x[1]] if x[0] is None else x[1]))
@@ -521,3 +579,10 @@ def test_toxicity_on_held_out_documents(spark, odd, none):
     few = spark.createDataFrame([(1, 0, 0), (9, 1, 1), (4, 0, None)], "doc_id long, low int, bad int")
     assert toxicity.toxicity(odd, few, ["low", "bad"]).count() == 17
     assert toxicity.toxicity(none, few.limit(0), ["low", "bad"]).count() == 0
+
+
+def test_conflicting_labels_count_as_toxic_in_any_order(spark):
+    docs = spark.createDataFrame([(k, f"plain words here {'vile' if k % 2 else 'kind'} and more") for k in range(60)], "doc_id long, text string")
+    rows = [(k, k % 2) for k in range(60)] + [(k, 0) for k in range(60)]
+    got = [toxicity.train(docs, spark.createDataFrame(r, "doc_id long, bad int"), ["bad"]).score({"vile"})[0] for r in (rows, rows[::-1], rows[:60])]
+    assert got[0] == got[1] == got[2] > 0.9
