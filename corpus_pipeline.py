@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import minhash, mixing, pieces, private, quality
-from quantloom.llm.common import documents, shared_dir
+from quantloom.llm.common import documents, fresh, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +28,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; n_chars follows. A null text stays null; all rows stay, each by itself."""
-    found = private.find_private(docs.withColumn("_null", F.col("text").isNull()).withColumn("_in_text", F.col("text")), "_in_text")
-    text = F.when(F.col("_null"), F.lit(None).cast("string")).otherwise(F.col("redacted"))
+    # columns of docs that have the names of what is found are kept beside it
+    own, text = {c: fresh(docs, f"_own_{k}") for k, c in enumerate(docs.columns)}, fresh(docs, "_text")
+    df = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias(text), *(F.col(f"`{c}`").alias(n) for c, n in own.items()))
+    found = private.find_private(df, text)
     changed = F.col("spans") != ""
-    return found.withColumn("n_chars", F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text).select(*docs.columns)
+    now = {
+        "text": F.when(F.col(own["text"]).isNull(), F.lit(None).cast("string")).otherwise(F.col("redacted")),
+        "n_chars": F.when(changed, F.length("redacted").cast("long")).otherwise(F.col(own.get("n_chars", own["text"]))),
+    }
+    return found.select(*(now.get(c, F.col(n)).alias(c) for c, n in own.items()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
