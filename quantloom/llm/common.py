@@ -46,6 +46,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str, table: str | None = None) -> None:
+    """Remove a written folder, and the table that stands for it, once nothing reads it any more."""
+    if table is not None:
+        spark.sql(f"drop table if exists {table}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until ``df`` has no such column; columns differ by more than case."""
     taken = {c.lower() for c in df.columns}
@@ -130,18 +138,18 @@ def _stretches(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         yield first, len(texts) - first, b"\n".join(texts[first:])
 
 
-def _hash_words(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of every word of ``data``. Words of over STRETCH bytes have a hash of another kind."""
+def _hash_words(data: bytes, table: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of every word of ``data``, between bytes of ``space``. Words of over STRETCH bytes have a hash of another kind."""
     hashes, starts, at = [], [], 0
     view = np.frombuffer(data, dtype=np.uint8)
     while at < len(data):
         end = min(at + STRETCH, len(data))
         if end < len(data):  # cut at a space; a word of over STRETCH bytes is taken alone
-            gaps = np.flatnonzero(_SPACE[view[at:end]])
+            gaps = np.flatnonzero(space[view[at:end]])
             if len(gaps):
                 end = at + int(gaps[-1]) + 1
             else:
-                while end < len(data) and not _SPACE[view[end]]:
+                while end < len(data) and not space[view[end]]:
                     end += 1
                 word = bytes(view[at:end])
                 if table is _FOLDED:
@@ -151,7 +159,7 @@ def _hash_words(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]
                 at = end
                 continue
         part = view[at:end]
-        edge = np.diff(_SPACE[part].view(np.int8), prepend=1, append=1)
+        edge = np.diff(space[part].view(np.int8), prepend=1, append=1)
         s, e = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         run = running(part, table)
         starts.append(s + at)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, manifest, mixing, passages, pieces, private, quality, substrings, toxicity
+from . import collocations, fingerprints, licenses, manifest, mixing, passages, pieces, private, quality, substrings, toxicity
 from .common import documents
 from .minhash import near_duplicates
 
@@ -57,6 +57,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(documents(spark, sf_dir))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -76,4 +81,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_source_mixing": mixing.SQL,
     "op9_quality_rules": quality.SQL,
     "op12_merkle_manifest": manifest.SQL,
+    "op13_phrase_collocations": collocations.SQL,
 }
