@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, fingerprints, licenses, manifest, mixing, passages, pieces, private, quality, substrings, toxicity
+from . import collocations, fingerprints, licenses, manifest, mixing, neighbours, passages, pieces, private, quality, substrings, toxicity
 from .common import documents
 from .minhash import near_duplicates
 
@@ -53,6 +53,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op11_random_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(neighbours.vectors(spark, sf_dir))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(documents(spark, sf_dir))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_private_data": op8_private_data,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_random_projection_forest": op11_random_projection_forest,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
