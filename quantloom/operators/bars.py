@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .fold import ordered_fold
+from .slices import Arrays, Stage, Tail, numbered_bars, sliced
 
 
-def aggregated(ticks: DataFrame, by: list[str], opened: str = "price", high: str = "price", low: str = "price", size: str = "size") -> DataFrame:
-    """Ticks with bar keys ``by`` as bars; one partial aggregate, then one shuffle."""
+def aggregated(ticks: DataFrame, by: list[str], opened: str = "price", high: str = "price", low: str = "price", size: str = "size", closes: str | None = None) -> DataFrame:
+    """Ticks with bar keys ``by`` as bars, with closes if any tick has it; one partial aggregate, then one shuffle."""
+    more = [] if closes is None else [F.max(closes).alias(closes)]
     return ticks.groupBy(*by).agg(
         F.max_by("ts", "seq").alias("ts"), F.min_by(opened, "seq").alias("open"), F.max(high).alias("high"), F.min(low).alias("low"),
-        F.max_by("price", "seq").alias("close"), F.sum(size).alias("volume"), F.max("i").alias("tick_num"), F.count("*").alias("num_ticks"),
+        F.max_by("price", "seq").alias("close"), F.sum(size).alias("volume"), F.max("i").alias("tick_num"), F.count("*").alias("num_ticks"), *more,
     )
 
 
@@ -37,29 +39,14 @@ def tick_bars(ticks: DataFrame, size: int, first_bar_extra: bool = True) -> Data
     return out.filter(F.col("num_ticks") >= F.when(F.col("bar_no") == 0, size + int(first_bar_extra)).otherwise(size))
 
 
-def threshold_bars(ticks: DataFrame, measure: F.Column, threshold: F.Column | float, gate: F.Column | None = None, **names: str) -> DataFrame:
+def threshold_bars(ticks: DataFrame, measure: Column, threshold: Column | float, gate: Column | None = None, **names: str) -> DataFrame:
     """A bar closes at the tick at which the running ``measure`` reaches ``threshold`` while ``gate`` holds; the rest of the
-    measure is dropped, and an unfinished bar is not given."""
-
-    def start() -> Callable[..., tuple]:
-        total, bar = 0.0, 0
-
-        def step(m: float | None, t: float | None, g: bool | None) -> tuple:
-            nonlocal total, bar
-            total += m or 0
-            mine, closes = bar, t is not None and total >= t and bool(g)
-            if closes:
-                total, bar = 0.0, bar + 1
-            return mine, closes
-
-        return step
-
-    df = numbered(ticks).withColumns({"_m": measure.cast("double"), "_t": (threshold if isinstance(threshold, F.Column) else F.lit(threshold)).cast("double"), "_g": F.lit(True) if gate is None else gate})
-    folded = ordered_fold(df, ["symbol"], ["seq"], ["_m", "_t", "_g"], "bar_no long, closes boolean", start)
+    measure is dropped, and an unfinished bar is not given. A symbol's ticks may lie over many tasks."""
+    t = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    df = ticks.withColumns({"_m": measure.cast("double"), "_t": t.cast("double"), "_g": F.lit(True) if gate is None else gate})
+    folded = numbered_bars(sliced(df, ["symbol"], ["seq"]), "_m", "_t", "_g")
     opened = {"opened": names.get("opened", "price"), "high": names.get("high", "price"), "low": names.get("low", "price"), "size": names.get("size", "size")}
-    bars = aggregated(folded, ["symbol", "bar_no"], **opened)
-    done = folded.filter("closes").select("symbol", "bar_no")
-    return bars.join(done, ["symbol", "bar_no"], "left_semi")
+    return aggregated(folded, ["symbol", "bar_no"], **opened, closes="closes").filter("closes").drop("closes")
 
 
 def volume_bars(ticks: DataFrame, threshold: float) -> DataFrame:
@@ -79,18 +66,33 @@ def daily_fraction_bars(ticks: DataFrame, factor: float) -> DataFrame:
     return threshold_bars(ticks.join(t, "symbol"), F.col("price") * F.col("size"), F.col("_T"))
 
 
+def deviations(window: int) -> Callable[[Arrays], Arrays]:
+    """The sample deviation of the ``window`` returns before each price, for prices with window + 1 rows before them in front."""
+
+    def made(x: Arrays) -> Arrays:
+        n = len(x[0]) - window - 1
+        with np.errstate(all="ignore"):
+            r = x[0][1:] / x[0][:-1] - 1
+            w = np.lib.stride_tricks.sliding_window_view(r, window)[:n]
+            there = ~np.isnan(w)
+            count = there.sum(axis=1)
+            mean = np.where(there, w, 0.0).sum(axis=1) / count
+            spread = np.where(there, (w - mean[:, None]) ** 2, 0.0).sum(axis=1) / (count - 1)
+            return [np.where(count > 1, np.sqrt(spread), np.nan)]
+
+    return made
+
+
 def dynamic_thresholds(ticks: DataFrame, factor: float, window: int = 50) -> DataFrame:
     """``ticks`` with _T (A.2): a tenth of the last session's turnover, over 1 - |100 sigma| of the ticks before; ``factor`` until there is a session."""
-    own = W.partitionBy("symbol").orderBy("seq")
-    df = ticks.withColumn("_d", F.to_date("ts")).withColumn("_r", F.col("price") / F.lag("price").over(own) - 1)
-    day = df.groupBy("symbol", "_d").agg(F.sum(F.col("price") * F.col("size")).alias("_pv"))
+    df = sliced(ticks.withColumn("_d", F.to_date("ts")), ["symbol"], ["seq"]).scan([Stage(["price"], "_s double", Tail(1, window + 1, deviations(window)))]).df
+    day = ticks.groupBy("symbol", F.to_date("ts").alias("_d")).agg(F.sum(F.col("price") * F.col("size")).alias("_pv"))
     day = day.withColumn("_prev", F.lag("_pv").over(W.partitionBy("symbol").orderBy("_d"))).drop("_pv")
-    sigma = F.stddev_samp("_r").over(own.rowsBetween(-window, -1))
-    df = df.withColumn("_s", F.least(F.abs(100 * F.coalesce(sigma, F.lit(0.0))), F.lit(0.95))).join(day, ["symbol", "_d"])
-    return df.withColumn("_T", F.coalesce(F.col("_prev") * 0.1 / (1 - F.col("_s")), F.lit(float(factor)))).drop("_d", "_r", "_s", "_prev")
+    df = df.withColumn("_s", F.least(F.abs(100 * F.coalesce("_s", F.lit(0.0))), F.lit(0.95))).join(day, ["symbol", "_d"])
+    return df.withColumn("_T", F.coalesce(F.col("_prev") * 0.1 / (1 - F.col("_s")), F.lit(float(factor)))).drop("_d", "_s", "_prev")
 
 
-def dynamic_bars(ticks: DataFrame, factor: float, window: int = 50, session: F.Column | None = None, emit: F.Column | None = None) -> DataFrame:
+def dynamic_bars(ticks: DataFrame, factor: float, window: int = 50, session: Column | None = None, emit: Column | None = None) -> DataFrame:
     """Volatility-adaptive dollar bars without look-ahead; ``session`` keeps ticks (B10), ``emit`` gates closing only."""
     df = ticks if session is None else ticks.filter(session)
     return threshold_bars(dynamic_thresholds(df, factor, window), F.col("price") * F.col("size"), F.col("_T"), emit)
@@ -102,7 +104,7 @@ def dynamic_second_bars(seconds: DataFrame, factor: float, window: int = 50) ->
     return threshold_bars(df, F.col("price") * F.col("size"), F.col("_T"), opened="open", high="high", low="low")
 
 
-def business_day(ts: str = "ts") -> F.Column:
+def business_day(ts: str = "ts") -> Column:
     """The business day that a time counts to: Saturday and Sunday to Friday."""
     d = F.to_date(ts)
     return F.date_sub(d, F.greatest(F.lit(0), F.weekday(d) - 4))

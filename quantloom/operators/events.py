@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .fold import ordered_fold
+from .slices import Affine, Arrays, Stage, Sums, sliced
 
 DAY = 86_400_000_000
 
@@ -20,26 +23,28 @@ def daily_return(bars: DataFrame, back: int = DAY) -> DataFrame:
     return bars.withColumn("partner", F.last("price").over(w)).filter("partner is not null").withColumn("ret", F.col("price") / F.col("partner") - 1)
 
 
-def ewm_std(df: DataFrame, value: str, span: int = 100, out: str = "vol") -> DataFrame:
-    """Exponentially weighted deviation, adjusted and bias-corrected; null for a symbol's first value."""
+def ewm_stage(value: str, span: int, out: str) -> Stage:
+    """E2 as a stage of a scan: sums of weights, of squared weights, of weighted values and of weighted squares decay alike."""
+    keep = 1 - 2 / (span + 1)
 
-    def start() -> Callable[..., tuple]:
-        keep = 1 - 2 / (span + 1)
-        w = w2 = wx = wxx = 0.0
-
-        def step(x: float | None) -> tuple:
-            nonlocal w, w2, wx, wxx
-            if x is None:
-                return (None,)
-            w, w2, wx, wxx = keep * w + 1, keep * keep * w2 + 1, keep * wx + x, keep * wxx + x * x
-            spare = w * w - w2
-            if spare <= 1e-12:
-                return (None,)
-            return (math.sqrt(max(0.0, wxx / w - (wx / w) ** 2) * w * w / spare),)
+    def maps(x: Arrays) -> tuple[np.ndarray, np.ndarray]:
+        there = ~np.isnan(x[0])
+        v, one = np.where(there, x[0], 0.0), there.astype(np.float64)
+        a = np.where(there, np.array([[keep], [keep * keep], [keep], [keep]]), 1.0)
+        return a, np.stack([one, one, v, v * v])
 
-        return step
+    def finish(x: Arrays, y: np.ndarray, before: np.ndarray) -> Arrays:
+        w, w2, wx, wxx = y
+        spare = w * w - w2
+        out = np.sqrt(np.maximum(0.0, wxx / w - (wx / w) ** 2) * w * w / spare)
+        return [np.where((spare > 1e-12) & ~np.isnan(x[0]), out, np.nan)]
 
-    return ordered_fold(df, ["symbol"], ["seq"], [value], f"{out} double", start)
+    return Stage([value], f"{out} double", Affine(4, maps, finish))
+
+
+def ewm_std(df: DataFrame, value: str, span: int = 100, out: str = "vol") -> DataFrame:
+    """Exponentially weighted deviation, adjusted and bias-corrected; null for a symbol's first value, and where there is none."""
+    return sliced(df, ["symbol"], ["seq"]).scan([ewm_stage(value, span, out)]).df
 
 
 def daily_vol(bars: DataFrame, span: int = 100) -> DataFrame:
@@ -90,21 +95,100 @@ def vertical_barrier(bars: DataFrame, days: float = 1) -> DataFrame:
     return bars.withColumn("v_us", F.last("ts_us").over(w))
 
 
-def touches(events: DataFrame, bars: DataFrame, up: float, down: float, by_day: int = DAY) -> DataFrame:
+#: Children of a node of the hierarchy of extremes.
+CHILDREN = 64
+#: Levels of so many nodes at most are broadcast: a node has CHILDREN pairs of numbers.
+SMALL = 4096
+
+
+def extremes(bars: DataFrame) -> list[DataFrame]:
+    """The hierarchy over ``bars`` (symbol, i, ts_us, price): per level (symbol, node, children), each a block of CHILDREN nodes of the level below.
+
+    Children are an array of (at, lo, hi): the place in the block, least and greatest price; of bars also their time. Every level has
+    one row a block, and the last one a row a symbol.
+    """
+    now = bars.select("symbol", F.col("i").alias("at"), F.col("price").alias("lo"), F.col("price").alias("hi"), F.col("ts_us").alias("t"))
+    levels = []
+    while True:
+        node = F.expr(f"at div {CHILDREN}")
+        child = F.struct((F.col("at") % CHILDREN).cast("int").alias("at"), "lo", "hi", "t")
+        up = cut(now.groupBy("symbol", node.alias("node")).agg(F.array_sort(F.collect_list(child)).alias("children"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+        levels.append(up.select("symbol", "node", "children"))
+        if not up.filter("node > 0").limit(1).count():
+            return levels
+        now = up.select("symbol", F.col("node").alias("at"), "lo", "hi", F.lit(None).cast("long").alias("t"))
+
+
+def first_crossings(asked: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """``asked`` (symbol, a, b, base, side, bar, above, ...) with hit_us: the time of the first bar from place a on, before b, whose return
+    (price / base - 1) * side is over ``bar``, or under it where ``above`` is false; null if there is none.
+
+    A return grows or falls with the price, so a block has a crossing if and only if its least or its greatest price crosses. The search
+    climbs from a's block as long as what is left of a block has none, and then goes down into the first child that has one: at most two
+    lookups a level, of one block each.
+    """
+    def crosses(price: Column) -> Column:
+        ret = (price / F.col("base") - 1) * F.col("side")
+        return F.when(F.col("above"), ret > F.col("bar")).otherwise(ret < F.col("bar"))
+
+    def looked(df: DataFrame, level: int, start: Column, active: Column) -> DataFrame:
+        """With ``found``: the first child of the node that ``q`` lies in, at or after ``start`` in it, with a crossing; for active rows."""
+        table = levels[level].select(F.col("symbol").alias("_s"), F.col("node").alias("_n"), "children")
+        table = F.broadcast(table) if table.count() <= SMALL else table
+        # rows that do not ask are dealt out by numbers that no node has
+        key = F.when(active, F.expr(f"q div {CHILDREN}")).otherwise(-1 - F.pmod(F.xxhash64("a", "b", "base"), F.lit(1000)))
+        df = df.withColumn("_k", key).withColumn("_from", start).join(table, (F.col("symbol") == F.col("_s")) & (F.col("_k") == F.col("_n")), "left")
+        hit = F.filter("children", lambda c: (c["at"] >= F.col("_from")) & (crosses(c["lo"]) | crosses(c["hi"])))
+        return df.withColumn("found", F.get(hit, F.lit(0))).drop("_k", "_from", "_s", "_n", "children")
+
+    # q: the next place to look at on the level; at: the level on which a crossing block is known, -1 for a bar, null while climbing
+    df = asked.withColumns({"q": F.col("a"), "at": F.lit(None).cast("int"), "hit_us": F.lit(None).cast("long")})
+    for level in range(len(levels)):
+        active = F.col("at").isNull() & (F.col("q") * F.lit(CHILDREN**level) < F.col("b"))
+        df = looked(df, level, F.col("q") % CHILDREN, active)
+        there = F.col("found").isNotNull()
+        place = F.expr(f"q div {CHILDREN}") * CHILDREN + F.col("found.at")
+        df = df.withColumns({
+            "at": F.when(there, F.lit(level - 1)).when(active, F.lit(None)).otherwise(F.col("at")),
+            "q": F.when(there, place).when(active, F.expr(f"q div {CHILDREN}") + 1).otherwise(F.col("q")),
+            "hit_us": F.when(there & (F.lit(level) == 0) & (place < F.col("b")), F.col("found.t")).otherwise(F.col("hit_us")),
+        }).drop("found")
+    for level in range(len(levels) - 2, -1, -1):
+        active = F.col("at") == level
+        # q is a node of this level now: its children are looked through from the first
+        df = looked(df.withColumn("q", F.when(active, F.col("q") * CHILDREN).otherwise(F.col("q"))), level, F.lit(0), active)
+        there = F.col("found").isNotNull()
+        place = F.col("q") + F.col("found.at")
+        df = df.withColumns({
+            "at": F.when(there, F.lit(level - 1)).otherwise(F.col("at")), "q": F.when(there, place).otherwise(F.col("q")),
+            "hit_us": F.when(there & (F.lit(level) == 0) & (place < F.col("b")), F.col("found.t")).otherwise(F.col("hit_us")),
+        }).drop("found")
+    return df.drop("q", "at")
+
+
+def touches(events: DataFrame, bars: DataFrame, up: float, down: float) -> DataFrame:
     """L3: events (symbol, seq, ts_us, price, v_us, trgt, side) with pt_us and sl_us, the first times at which the return passes a barrier.
 
-    The path runs from the event to v_us, or to the last bar, both in. It is joined by days, so that no event meets bars outside of its
-    days; a barrier with a factor of 0 or less is off.
+    The path runs from the event to v_us, or to the last bar, both in; a barrier with a factor of 0 or less is off. Bars are numbered by
+    time over slices, with the ends of the paths among them; a hierarchy of block extremes is searched for the first crossing. So
+    the work is events times log(bars), whatever a path's length, and no task holds more than a block or a slice.
     """
+    none = lambda kind: F.lit(None).cast(kind)
     last = bars.groupBy("symbol").agg(F.max("ts_us").alias("_end"))
-    e = events.join(last, "symbol").withColumn("_to", F.coalesce("v_us", "_end"))
-    e = e.withColumn("_day", F.explode(F.sequence(F.expr(f"ts_us div {by_day}"), F.expr(f"_to div {by_day}"))))
-    path = bars.select("symbol", F.expr(f"ts_us div {by_day}").alias("_day"), F.col("ts_us").alias("_ts"), F.col("price").alias("_p"))
-    ret = (F.col("_p") / F.col("price") - 1) * F.col("side")
-    met = e.join(path, ["symbol", "_day"]).filter("_ts between ts_us and _to")
-    pt = F.min(F.when(ret > up * F.col("trgt"), F.col("_ts"))) if up > 0 else F.min(F.lit(None).cast("long"))
-    sl = F.min(F.when(ret < -down * F.col("trgt"), F.col("_ts"))) if down > 0 else F.min(F.lit(None).cast("long"))
-    hit = met.groupBy("symbol", "seq").agg(pt.alias("pt_us"), sl.alias("sl_us"))
+    e = cut(events.join(last, "symbol").select("symbol", "seq", "ts_us", F.coalesce("v_us", "_end").alias("to"), F.col("price").cast("double").alias("base"), F.col("side").cast("double").alias("side"), F.col("trgt").cast("double").alias("trgt")))
+    marks = lambda c, k: e.select("symbol", F.col(c).alias("t"), F.lit(k).alias("k"), "seq", none("double").alias("price"), F.lit(0.0).alias("one"))
+    rows = bars.select("symbol", F.col("ts_us").alias("t"), F.lit(1).alias("k"), "seq", F.col("price").cast("double").alias("price"), F.lit(1.0).alias("one"))
+    # starts stand before the bars of their time, ends behind them
+    placed = cut(sliced(rows.union(marks("ts_us", 0)).union(marks("to", 2)), ["symbol"], ["t", "k", "seq"]).scan([Stage(["one"], "n long", Sums(1, np.int64))]).df)
+    levels = extremes(placed.filter("k = 1").select("symbol", (F.col("n") - 1).alias("i"), F.col("t").alias("ts_us"), "price"))
+    ends = placed.filter("k <> 1").groupBy("symbol", "seq").agg(F.max(F.when(F.col("k") == 0, F.col("n"))).alias("a"), F.max(F.when(F.col("k") == 2, F.col("n"))).alias("b"))
+    asked = e.join(ends, ["symbol", "seq"])
+    sides = [F.struct(F.lit(True).alias("above"), (up * F.col("trgt")).alias("bar"))] * (up > 0) + [F.struct(F.lit(False).alias("above"), (-down * F.col("trgt")).alias("bar"))] * (down > 0)
+    if not sides:
+        return events.withColumns({"pt_us": none("long"), "sl_us": none("long")})
+    asked = asked.select("symbol", "seq", "a", "b", "base", "side", F.explode(F.array(*sides)).alias("x")).select("symbol", "seq", "a", "b", "base", "side", "x.above", "x.bar")
+    hit = first_crossings(asked, levels)
+    hit = hit.groupBy("symbol", "seq").agg(F.max(F.when(F.col("above"), F.col("hit_us"))).alias("pt_us"), F.max(F.when(~F.col("above"), F.col("hit_us"))).alias("sl_us"))
     return events.join(hit, ["symbol", "seq"], "left")
 
 

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -37,3 +37,15 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(to))
         _shipped.add(app)
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as written to the folder of ``spark.checkpoint.dir``; partitions stay as they are. Where that is unset, as in tests, a local
+    session gets a folder of its own."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        set_by = spark.conf.get("spark.checkpoint.dir", None)
+        if not set_by and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(set_by or tempfile.mkdtemp(prefix="quantloom-"))
+    return df.checkpoint(eager=True)
