@@ -1,4 +1,5 @@
-"""Technical features over ordered bars (T1-T37). Finite windows are columns; recursions are ordered folds.
+"""Technical features over ordered bars (T1-T37). Finite windows are columns; linear recurrences are scans of affine maps over slices, and
+the phase of a cycle is an ordered fold.
 
 Bars have symbol, seq, open, high, low, close and volume. A window that is not full gives null.
 """
@@ -7,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.fold import ordered_fold
+from ..operators.slices import Affine, Arrays, Seen, Stage, sliced
 
 
 def own() -> W:
@@ -179,138 +182,147 @@ def shifted(df: DataFrame, features: list[str], n: int = 1) -> DataFrame:
 # --- recursions --------------------------------------------------------------
 
 
-class Ema:
-    """Alpha 2 / (n + 1), from the mean of the first n values on; null values are passed over."""
+def _mean(n: int, rank: np.ndarray, x: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """a and b of an exponential mean that starts with the mean of the first ``n`` values, by their rank; 0 is none."""
+    a = np.where(rank > n, 1 - alpha, 1.0)
+    return a, np.where(rank > n, alpha * x, np.where(rank > 0, x / n, 0.0))
 
-    def __init__(self, n: int, alpha: float | None = None) -> None:
-        self.n, self.alpha, self.seen, self.now = n, alpha or 2 / (n + 1), [], None
 
-    def __call__(self, x: float | None) -> float | None:
-        if x is None:
-            return None
-        if self.now is None:
-            self.seen.append(x)
-            if len(self.seen) == self.n:
-                self.now, self.seen = sum(self.seen) / self.n, []
-        else:
-            self.now += self.alpha * (x - self.now)
-        return self.now
+def _from(n: int, rank: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.where(rank >= n, y, np.nan)
 
 
-class Wilder(Ema):
-    """A Wilder mean: alpha 1 / n."""
+def _means(x: str, rank: str, ns: list[int], shift: int, outputs: list[str], finish=None) -> Stage:
+    """A stage of exponential means (T8) of ``x``, one for each of ``ns``, over values with a rank above ``shift``."""
 
-    def __init__(self, n: int) -> None:
-        super().__init__(n, 1 / n)
+    def maps(c: Arrays) -> tuple[np.ndarray, np.ndarray]:
+        r, v = np.maximum(c[1] - shift, 0) * ~np.isnan(c[0]), np.nan_to_num(c[0])
+        made = [_mean(n, r, v, 2 / (n + 1)) for n in ns]
+        return np.stack([a for a, _ in made]), np.stack([b for _, b in made])
 
+    def done(c: Arrays, y: np.ndarray, before: np.ndarray) -> Arrays:
+        r = np.maximum(c[1] - shift, 0) * ~np.isnan(c[0])
+        means = [_from(n, r, v) for n, v in zip(ns, y, strict=True)]
+        return means if finish is None else finish(means, [_from(n, r - 1, v) for n, v in zip(ns, before, strict=True)])
 
-def _folded(df: DataFrame, inputs: list[str], outputs: str, start) -> DataFrame:
-    return ordered_fold(df, ["symbol"], ["seq"], inputs, outputs, start)
+    return Stage([x, rank], ", ".join(f"{o} double" for o in outputs), Affine(len(ns), maps, done))
 
 
-def with_ema(df: DataFrame, x: str, n: int, name: str = "ema") -> DataFrame:
-    def start():
-        e = Ema(n)
-        return lambda v: (e(v),)
+def _seen(inputs: list[str], tag: str) -> Stage:
+    """The rank of each row among those without nulls in ``inputs``, and their last values before."""
+    return Stage(inputs, ", ".join([f"_{tag}_n long", *(f"_{tag}_{k} double" for k in range(len(inputs)))]), Seen(len(inputs)))
 
-    return _folded(df, [x], f"{name} double", start)
 
+def ema_stages(x: str, n: int, name: str) -> list[Stage]:
+    """Alpha 2 / (n + 1), from the mean of the first n values on; null values are passed over."""
+    return [_seen([x], name), _means(x, f"_{name}_n", [n], 0, [name])]
 
-def with_macd(df: DataFrame, x: str = "close", fast: int = 12, slow: int = 26, signal: int = 9, name: str = "macd") -> DataFrame:
+
+def macd_stages(x: str, fast: int, slow: int, signal: int, name: str) -> list[Stage]:
     """T11."""
+    fast, slow, signal = (max(1, int(n)) for n in (fast, slow, signal))
+    line = lambda m, _: [m[0] - m[1]]
+    ranks = f"_{name}_n"
+    last = _means(name, ranks, [signal], max(fast, slow) - 1, [f"{name}_signal"])
+    return [_seen([x], name), _means(x, ranks, [fast, slow], 0, [name], line), last]
 
-    def start():
-        a, b, s = Ema(max(1, int(fast))), Ema(max(1, int(slow))), Ema(max(1, int(signal)))
 
-        def step(v):
-            p, q = a(v), b(v)
-            line = None if p is None or q is None else p - q
-            sig = s(line)
-            return line, sig, None if sig is None else line - sig
+def gain_stages(x: str, n: int, name: str, kind: str) -> list[Stage]:
+    """Wilder means of rises and falls."""
 
-        return step
+    def maps(c: Arrays) -> tuple[np.ndarray, np.ndarray]:
+        rank, d = np.maximum(c[1] - 1, 0), np.nan_to_num(c[0] - c[2])
+        made = [_mean(n, rank, v, 1 / n) for v in (np.maximum(d, 0.0), np.maximum(-d, 0.0))]
+        return np.stack([a for a, _ in made]), np.stack([b for _, b in made])
 
-    return _folded(df, [x], f"{name} double, {name}_signal double, {name}_hist double", start)
+    def finish(c: Arrays, y: np.ndarray, before: np.ndarray) -> Arrays:
+        up, down = y
+        both = up + down
+        out = np.where(both == 0, 0.0, 100 * (up if kind == "rsi" else up - down) / both)
+        return [_from(n, c[1] - 1, out)]
 
+    return [_seen([x], name), Stage([x, f"_{name}_n", f"_{name}_0"], f"{name} double", Affine(2, maps, finish))]
 
-def _gain(kind: str, n: int):
-    def start():
-        up, down, last = Wilder(n), Wilder(n), None
 
-        def step(v):
-            nonlocal last
-            if v is None or last is None:
-                last = v if v is not None else last
-                return (None,)
-            d, last = v - last, v
-            u, w = up(max(d, 0.0)), down(max(-d, 0.0))
-            if u is None or u + w == 0:
-                return (None if u is None else 0.0,)
-            return (100 * u / (u + w) if kind == "rsi" else 100 * (u - w) / (u + w),)
+def trix_stages(x: str, n: int, name: str) -> list[Stage]:
+    """The growth of a mean of a mean of a mean."""
+    rank = f"_{name}_n"
+    grown = lambda m, before: [np.where(np.isnan(before[0]) | (before[0] == 0), np.nan, 100 * (m[0] / before[0] - 1))]
+    return [_seen([x], name), _means(x, rank, [n], 0, [f"_{name}_a"]), _means(f"_{name}_a", rank, [n], n - 1, [f"_{name}_b"]), _means(f"_{name}_b", rank, [n], 2 * (n - 1), [name], grown)]
+
+
+def directional_stages(n: int, tag: str) -> list[Stage]:
+    """Atr, minus_di, dx and adx; bars with a null are passed over."""
+    seen = f"dm{tag}"
+
+    def moves(c: Arrays) -> tuple[np.ndarray, Arrays]:
+        """The number of the change, and true range, rise and fall."""
+        h, lo, _, rank, h0, lo0, c0 = c
+        number = np.maximum(rank - 1, 0)
+        up, down = h - h0, lo0 - lo
+        tr = np.maximum(h - lo, np.maximum(np.abs(h - c0), np.abs(lo - c0)))
+        return number, [np.where(number > 0, v, 0.0) for v in (tr, np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0))]
+
+    def maps(c: Arrays) -> tuple[np.ndarray, np.ndarray]:
+        number, sums = moves(c)
+        mean = _mean(n, number, sums[0], 1 / n)
+        a = np.where(number >= n, 1 - 1 / n, 1.0)
+        return np.stack([mean[0], a, a, a]), np.stack([mean[1], *sums])
+
+    def finish(c: Arrays, y: np.ndarray, before: np.ndarray) -> Arrays:
+        number = np.maximum(c[3] - 1, 0)
+        atr, tr, up, down = y
+        p, m = np.where(tr == 0, 0.0, 100 * up / tr), np.where(tr == 0, 0.0, 100 * down / tr)
+        dx = np.where(p + m == 0, 0.0, 100 * np.abs(p - m) / (p + m))
+        return [_from(n, number, v) for v in (atr, m, dx)]
+
+    def adx_maps(c: Arrays) -> tuple[np.ndarray, np.ndarray]:
+        a, b = _mean(n, np.maximum(c[1] - n, 0), np.nan_to_num(c[0]), 1 / n)
+        return a[None], b[None]
+
+    bars = ["high", "low", "close"]
+    first = Stage([*bars, f"_{seen}_n", *(f"_{seen}_{k}" for k in range(3))], f"atr{tag} double, minus_di{tag} double, dx{tag} double", Affine(4, maps, finish))
+    adx = Stage([f"dx{tag}", f"_{seen}_n"], f"adx{tag} double", Affine(1, adx_maps, lambda c, y, _: [_from(n, c[1] - n, y[0])]))
+    return [_seen(bars, seen), first, adx]
 
-        return step
 
-    return start
+def recurrences(df: DataFrame, *specs: list[Stage], by: str = "symbol") -> DataFrame:
+    """``df`` with what several chains of stages give, side by side: one shuffle, and one scan for the first stages of all, one for the second ones."""
+    out = sliced(df, [by], ["seq"]).scans(list(specs)).df
+    names = {x.split()[0] for stages in specs for s in stages for x in s.outputs.split(", ")}
+    wanted = {x.split()[0] for stages in specs for s in stages[1:] for x in s.outputs.split(", ") if not x.startswith(f"_{stages[-1].outputs.split()[0]}")}
+    return out.drop(*(names - wanted))
+
+
+def with_ema(df: DataFrame, x: str, n: int, name: str = "ema") -> DataFrame:
+    """T8."""
+    return recurrences(df, ema_stages(x, n, name))
+
+
+def with_macd(df: DataFrame, x: str = "close", fast: int = 12, slow: int = 26, signal: int = 9, name: str = "macd") -> DataFrame:
+    """T11."""
+    out = recurrences(df, macd_stages(x, fast, slow, signal, name))
+    return out.withColumn(f"{name}_hist", F.col(name) - F.col(f"{name}_signal"))
 
 
 def with_rsi(df: DataFrame, n: int = 14, x: str = "close", name: str = "rsi") -> DataFrame:
     """T13."""
-    return _folded(df, [x], f"{name} double", _gain("rsi", n))
+    return recurrences(df, gain_stages(x, n, name, "rsi"))
 
 
 def with_cmo(df: DataFrame, n: int = 14, x: str = "close", name: str = "cmo") -> DataFrame:
     """T26."""
-    return _folded(df, [x], f"{name} double", _gain("cmo", n))
+    return recurrences(df, gain_stages(x, n, name, "cmo"))
 
 
 def with_trix(df: DataFrame, n: int, x: str = "close", name: str = "trix") -> DataFrame:
     """T18."""
-
-    def start():
-        a, b, c, last = Ema(n), Ema(n), Ema(n), None
-
-        def step(v):
-            nonlocal last
-            y = c(b(a(v)))
-            out = None if y is None or not last else 100 * (y / last - 1)
-            last = y if y is not None else last
-            return (out,)
-
-        return step
-
-    return _folded(df, [x], f"{name} double", start)
+    return recurrences(df, trix_stages(x, n, name))
 
 
 def with_directional(df: DataFrame, n: int = 14, tag: str = "") -> DataFrame:
     """Atr, minus_di, dx and adx, in one pass."""
-
-    def start():
-        last, tr_sum, up_sum, down_sum, count = None, 0.0, 0.0, 0.0, 0
-        atr, adx = Wilder(n), Wilder(n)
-
-        def step(h, lo, c):
-            nonlocal last, tr_sum, up_sum, down_sum, count
-            if last is None:
-                last = (h, lo, c)
-                return None, None, None, None
-            up, down = h - last[0], last[1] - lo
-            tr = max(h - lo, abs(h - last[2]), abs(lo - last[2]))
-            plus, minus = up if up > down and up > 0 else 0.0, down if down > up and down > 0 else 0.0
-            last, count = (h, lo, c), count + 1
-            a = atr(tr)
-            if count < n:
-                tr_sum, up_sum, down_sum = tr_sum + tr, up_sum + plus, down_sum + minus
-                return a, None, None, None
-            tr_sum, up_sum, down_sum = (s - s / n + x for s, x in ((tr_sum, tr), (up_sum, plus), (down_sum, minus)))
-            if tr_sum == 0:
-                return a, 0.0, 0.0, adx(0.0)
-            p, m = 100 * up_sum / tr_sum, 100 * down_sum / tr_sum
-            dx = 100 * abs(p - m) / (p + m) if p + m else 0.0
-            return a, m, dx, adx(dx)
-
-        return step
-
-    return _folded(df, ["high", "low", "close"], f"atr{tag} double, minus_di{tag} double, dx{tag} double, adx{tag} double", start)
+    return recurrences(df, directional_stages(n, tag))
 
 
 def with_hilbert_sine(df: DataFrame, x: str = "close") -> DataFrame:
@@ -368,7 +380,7 @@ def with_hilbert_sine(df: DataFrame, x: str = "close") -> DataFrame:
 
         return step
 
-    return _folded(df, [x], "sine double, lead_sine double", start)
+    return ordered_fold(df, ["symbol"], ["seq"], [x], "sine double, lead_sine double", start)
 
 
 # --- trend layer (T35) -------------------------------------------------------

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .bars import business_day
+from .slices import Stage, Sums, sliced
 
 
 def assemble_paths(predictions: DataFrame, paths: DataFrame) -> DataFrame:
@@ -78,11 +80,12 @@ def report(scored: DataFrame) -> DataFrame:
 
 
 def roc(scored: DataFrame) -> DataFrame:
-    """(score, fpr, tpr) at each distinct score from the top, for labels 0 and 1: sums by score first, then a running sum over scores."""
-    s = scored.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
-    w = W.orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy()
-    return s.select("score", (F.sum("q").over(w) / F.sum("q").over(every)).alias("fpr"), (F.sum("p").over(w) / F.sum("p").over(every)).alias("tpr"))
+    """(score, fpr, tpr) at each distinct score from the top, for labels 0 and 1: sums by score first, then running sums over slices of scores."""
+    s = cut(scored.groupBy("score").agg(F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("q")).withColumn("_down", -F.col("score")))
+    total = s.agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
+    run = sliced(s, [], ["_down"]).scan([Stage(["p", "q"], "_tp double, _fp double", Sums(2))]).df
+    share = lambda c, n: F.try_divide(F.col(c), F.lit(float(n or 0)))
+    return run.select("score", share("_fp", total["q"]).alias("fpr"), share("_tp", total["p"]).alias("tpr"))
 
 
 def log_loss(scored: DataFrame) -> DataFrame:

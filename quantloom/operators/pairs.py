@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.indicators import Ema
+from ..functions.indicators import ema_stages, recurrences
 from .fold import ordered_fold
 
 
@@ -76,11 +76,7 @@ def z_score(df: DataFrame, n: int = 120) -> DataFrame:
     """Q5: the spread's distance from its EMA in exponential deviations, each EMA filled back."""
 
     def mean(x: str, out: str, frame: DataFrame) -> DataFrame:
-        def start():
-            e = Ema(n)
-            return lambda v: (e(v),)
-
-        return _backfill(ordered_fold(frame, ["pair"], ["seq"], [x], f"{out} double", start), [out])
+        return _backfill(recurrences(frame, ema_stages(x, n, out), by="pair"), [out])
 
     df = mean("spread", "_m", df).withColumn("_e", F.col("spread") - F.col("_m")).withColumn("_e2", F.col("_e") * F.col("_e"))
     return mean("_e2", "_v", df).withColumn("z", F.try_divide("_e", F.sqrt("_v"))).drop("_m", "_e", "_e2", "_v")

@@ -29,7 +29,7 @@ Arrays = list[np.ndarray]
 class Rule:
     """How a scan goes: ``state`` at a group's start, a chunk's ``summary``, summaries ``merged``, a state ``after`` a summary, and ``run``.
 
-    Inputs are float arrays, nan for null; outputs too, or arrays of their type without nulls.
+    Inputs are float arrays, nan for null, or integer ones where integers have no nulls; outputs are floats, nan for null, or arrays of their type without nulls.
     """
 
     def state(self) -> Any:
@@ -137,21 +137,22 @@ class Sums(Rule):
 
 
 class Tops(Rule):
-    """The running maximum of the input, the row in; nan before there is one."""
+    """The running maximum of the input, the row in; of floats nan before there is one. Integers stay integers."""
 
     def state(self):
-        return np.nan
+        return None
 
     def summary(self, x):
         return np.fmax.reduce(x[0])
 
     def merged(self, a, b):
-        return np.fmax(a, b)
+        return b if a is None else np.fmax(a, b)
 
     after = merged
 
     def run(self, state, x):
-        out = np.fmax(np.fmax.accumulate(x[0]), state)
+        out = np.fmax.accumulate(x[0])
+        out = out if state is None else np.fmax(out, state)
         return [out], out[-1]
 
 
@@ -190,6 +191,9 @@ def _columns(batch: pa.RecordBatch, names: list[str]) -> Arrays:
     out = []
     for n in names:
         c = batch.column(n)
+        if pa.types.is_int64(c.type) and not c.null_count:
+            out.append(c.to_numpy())
+            continue
         c = c.cast(pa.float64()) if not pa.types.is_boolean(c.type) else c.cast(pa.int8()).cast(pa.float64())
         out.append(c.to_numpy(zero_copy_only=False).astype(np.float64, copy=False))
     return out

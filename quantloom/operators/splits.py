@@ -4,32 +4,50 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+
+from ..session import cut
+from ..sources.tape import micros
+from .slices import Stage, Sums, Tops, sliced
+
+
+def _number(df: DataFrame, c: str) -> Column:
+    """A time as a whole number: microseconds of timestamps, days of dates, or the number itself."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, TimestampNTZType):
+        return micros(f"`{c}`")
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(c)
+    return F.datediff(F.col(c), F.lit("1970-01-01")).cast("long") if isinstance(kind, DateType) else F.col(c).cast("long")
 
 
 def train_times(rows: DataFrame, tests: DataFrame) -> DataFrame:
-    """Rows (t0, t1) that overlap none of ``tests`` (t0, t1), ends included.
+    """Rows (t0, t1) that overlap none of ``tests`` (t0, t1), ends included; times are whole numbers, timestamps or dates.
 
-    Tests are first merged where they touch. A row then overlaps one if and only if the last one that starts by its end ends at or after
-    its start, which a running maximum finds.
+    A row overlaps a test if and only if the greatest end of those that start by its own end is at or after its start, which a running
+    maximum over slices of both finds. Rows or tests with a null time overlap nothing; such a row is left out.
     """
-    t = tests.select(F.col("t0").alias("t"), F.col("t1").alias("e"), F.lit(0).alias("k"), *(F.lit(None).cast(rows.schema[c].dataType).alias(f"_{c}") for c in rows.columns))
-    r = rows.select(F.col("t1").alias("t"), F.lit(None).cast(tests.schema["t1"].dataType).alias("e"), F.lit(1).alias("k"), *(F.col(c).alias(f"_{c}") for c in rows.columns))
-    w = W.orderBy("t", "k").rowsBetween(W.unboundedPreceding, 0)
-    both = t.union(r).withColumn("m", F.max("e").over(w)).filter("k = 1 and (m is null or m < _t0)")
-    return both.select(*(F.col(f"_{c}").alias(c) for c in rows.columns))
+    least = -(1 << 63)
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(f"_{c}") for c in rows.columns]
+    t = tests.select(_number(tests, "t0").alias("t"), _number(tests, "t1").alias("e"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("start"), *none).filter("t is not null and e is not null")
+    r = rows.select(_number(rows, "t1").alias("t"), F.lit(least).alias("e"), F.lit(1).alias("k"), _number(rows, "t0").alias("start"), *(F.col(c).alias(f"_{c}") for c in rows.columns))
+    both = sliced(t.union(r.filter("t is not null and start is not null")), [], ["t", "k"]).scan([Stage(["e"], "m long", Tops())]).df
+    return both.filter("k = 1 and m < start").select(*(F.col(f"_{c}").alias(c) for c in rows.columns))
 
 
 def embargo_times(times: DataFrame, share: float) -> DataFrame:
-    """(t, until): the time int(n * share) places on, the last one at the end."""
+    """(t, until): the time int(n * share) places on, the last one at the end. Places come from slices, and are joined."""
     step = int(times.count() * share)
     if not step:
         return times.select("t", F.col("t").alias("until"))
-    w = W.orderBy("t")
-    last = F.max("t").over(W.partitionBy())
-    return times.select("t", F.coalesce(F.lead("t", step).over(w), last).alias("until"))
+    at = cut(sliced(times.select("t", F.lit(1).cast("long").alias("one")), [], ["t"]).scan([Stage(["one"], "i long", Sums(1, np.int64))]).df)
+    last = at.agg(F.max("t")).first()[0]
+    later = at.select((F.col("i") - step).alias("i"), F.col("t").alias("later"))
+    return at.join(later, "i", "left").select("t", F.coalesce("later", F.lit(last).cast(times.schema["t"].dataType)).alias("until"))
 
 
 def embargo_duration(times: DataFrame, share: float = 0.01) -> int:
@@ -75,17 +93,18 @@ def _roles(rows: DataFrame, splits: list[list[int]], folds: int, embargo: int, t
     upto = both.withColumn("upto", F.sum("one").over(w)).filter("k = 1").select("symbol", "split", "block", "upto")
     n = rows.groupBy("symbol").agg(F.count("*").alias("n"))
     blocks = blocks.join(upto, ["symbol", "split", "block"]).join(n, "symbol")
-    every = rows.join(blocks, "symbol")
-    inside = (F.col("pos") >= F.col("s")) & (F.col("pos") < F.col("e"))
-    free = (F.col("eval") < F.col("pred_s")) | ((F.col("pos") >= F.col("e")) & ((F.col("upto") == F.col("n")) | (F.col("pos") >= F.col("upto"))))
-    out = every.groupBy("symbol", "split", "pos", "fold").agg(F.max(inside.cast("int")).alias("t"), F.min(free.cast("int")).alias("f"))
-    role = F.when(F.col("t") == 1, "test").when(F.col("f") == 1, "train").otherwise("dropped")
+    # one row a symbol: for each split its blocks; a row looks them up where it is, so rows times blocks are not shuffled
+    held = blocks.groupBy("symbol", "split").agg(F.collect_list(F.struct("s", "e", "pred_s", "upto", "n")).alias("blocks"))
+    held = held.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("split", "blocks"))).alias("splits"))
+    inside = lambda b: (F.col("pos") >= b["s"]) & (F.col("pos") < b["e"])
+    free = lambda b: (F.col("eval") < b["pred_s"]) | ((F.col("pos") >= b["e"]) & ((b["upto"] == b["n"]) | (F.col("pos") >= b["upto"])))
+    may_train = lambda x: F.forall(x["blocks"], free)
     if train_folds is not None:
-        allowed = F.lit(False)
-        for k, folds_of in train_folds.items():
-            allowed = allowed | ((F.col("split") == k) & F.col("fold").isin(folds_of))
-        role = F.when(F.col("t") == 1, "test").when(allowed & (F.col("f") == 1), "train").otherwise("dropped")
-    return out.select("symbol", "split", "pos", "fold", role.alias("role"))
+        folds_of = F.array(*(F.array(*map(F.lit, train_folds[k])) for k in range(len(splits)))) if splits else F.array(F.array().cast("array<int>"))
+        may_train = lambda x: F.array_contains(F.get(folds_of, x["split"]), F.col("fold")) & F.forall(x["blocks"], free)
+    role = lambda x: F.when(F.exists(x["blocks"], inside), "test").when(may_train(x), "train").otherwise("dropped")
+    every = rows.join(held, "symbol").select("symbol", "pos", "fold", F.explode(F.transform("splits", lambda x: F.struct(x["split"].alias("split"), role(x).alias("role")))).alias("x"))
+    return every.select("symbol", "x.split", "pos", "fold", "x.role")
 
 
 def purged_kfold(rows: DataFrame, folds: int = 3, share: float = 0.0) -> DataFrame:

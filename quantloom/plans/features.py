@@ -14,13 +14,14 @@ PERIODS = (5, 10, 25, 50)
 def continuous(bars: DataFrame, periods: tuple[int, ...] = PERIODS, lagged: bool = True) -> tuple[DataFrame, list[str]]:
     """FS6, FS8: ten oscillators for each period."""
     df, names = bars, []
+    specs = [T.macd_stages("close", max(1, p // 2), p, max(1, p // 3), f"macd_{p}") for p in periods] + [T.gain_stages("close", p, f"rsi_{p}", "rsi") for p in periods]
+    df = T.recurrences(df, *specs)
     for p in periods:
+        df = df.withColumn(f"macd_{p}_hist", F.col(f"macd_{p}") - F.col(f"macd_{p}_signal"))
         cols = {f"sma_{p}": T.sma("close", p), f"wma_{p}": T.wma("close", p), f"mom_{p}": T.mom("close", p), f"willr_{p}": T.williams(p), f"ad_{p}": T.ad_oscillator(p if len(periods) > 1 else 1)}
         df = df.withColumns(cols)
         df = T.with_stochastic(df, p, max(1, p // 2), max(1, p // 2), f"stoch_{p}")
         df = T.with_cci(df, p, f"cci_{p}")
-        df = T.with_macd(df, "close", max(1, p // 2), p, max(1, p // 3), f"macd_{p}")
-        df = T.with_rsi(df, p, name=f"rsi_{p}")
         names += [*cols, f"stoch_{p}_k", f"stoch_{p}_d", f"cci_{p}", f"macd_{p}", f"macd_{p}_signal", f"macd_{p}_hist", f"rsi_{p}"]
     return (T.shifted(df, names) if lagged else df), names
 
@@ -48,12 +49,8 @@ def returns(bars: DataFrame, windows: tuple[int, ...] = (50, 31, 15)) -> tuple[D
     cols = {f"mom_{k}": T.momentum("close", k) for k in range(1, 6)} | {f"vol_{n}": T.volatility("log_ret", n) for n in windows} | {f"lag_{k}": T.lag("log_ret", k) for k in range(1, 6)}
     df = T.with_autocorrelation(df.withColumns(cols), "log_ret", 50)
     df = T.with_obv(df)
-    for n in (5, 12, 26):
-        df = T.with_trix(df, n, name=f"trix_{n}")
-    for n in (20, 50, 100):
-        df = T.with_ema(df, "close", n, f"ema_{n}")
-    df = T.with_rsi(df, 50, name="rsi_50")
-    df = T.with_directional(df, 50, "_50")
+    trix, ema = [T.trix_stages("close", n, f"trix_{n}") for n in (5, 12, 26)], [T.ema_stages("close", n, f"ema_{n}") for n in (20, 50, 100)]
+    df = T.recurrences(df, *trix, *ema, T.gain_stages("close", 50, "rsi_50", "rsi"), T.directional_stages(50, "_50"))
     df = T.with_stochastic(df)
     names = ["log_ret", *cols, *(f"autocorr_{k}" for k in range(1, 6)), "obv", "trix_5", "trix_12", "trix_26", "ema_20", "ema_50", "ema_100", "rsi_50", "adx_50", "stoch_k", "stoch_d"]
     return T.shifted(df, names), names
@@ -68,12 +65,12 @@ def custom(bars: DataFrame, periods: tuple[int, ...] = (10, 20), d: float = 0.4,
     for x in ("open", "high", "low", "close"):
         if f"ffd_{x}" not in df.columns:
             df = fracdiff.with_ffd(df, x, d, least, f"ffd_{x}")
-    df = T.with_rsi(df, 10, name="rsi_10").withColumn("ad_osc", T.ad_oscillator(1))
+    specs = [x for p in periods for x in (T.trix_stages("close", p, f"trix_{p}"), T.gain_stages("close", p, f"cmo_{p}", "cmo"), T.directional_stages(p, f"_{p}"))]
+    df = T.recurrences(df, T.gain_stages("close", 10, "rsi_10", "rsi"), *specs).withColumn("ad_osc", T.ad_oscillator(1))
     cols = {"rsi_10_trend": T.rsi_trend("rsi_10", contrary=False), "ad_osc_trend": T.rises("ad_osc")}
     for p in periods:
         half = max(1, p // 2)
-        df = T.with_cmo(T.with_trix(T.with_aroon(df, p, f"aroon_{p}"), p, name=f"trix_{p}"), p, name=f"cmo_{p}")
-        df = T.with_directional(df, p, f"_{p}")
+        df = T.with_aroon(df, p, f"aroon_{p}")
         upper, _, lower = T.bands("ffd_close", p)
         cols |= {
             f"trix_{p}_trend": T.positive(f"trix_{p}"), f"bband_diff_{p}": upper - lower, f"bband_upper_{p}_trend": F.when(F.col("ffd_close") > upper, 1).otherwise(0),
@@ -96,10 +93,9 @@ def everything(bars: DataFrame, period: int = 14) -> tuple[DataFrame, list[str]]
     }
     df = df.withColumns(cols)
     df = T.with_stochastic(T.with_cci(T.with_aroon(T.with_ultimate(df, max(1, p // 3), half, p), p), p), p, half, half)
-    df = T.with_ema(df, "close", p)
-    df = T.with_macd(df, "close", half, p, max(1, half * 3 // 4))
-    df = T.with_cmo(T.with_trix(T.with_rsi(df, p), p), p)
-    df = T.with_directional(df, p)
+    gains = [T.gain_stages("close", p, "rsi", "rsi"), T.gain_stages("close", p, "cmo", "cmo")]
+    df = T.recurrences(df, T.ema_stages("close", p, "ema"), T.macd_stages("close", half, p, max(1, half * 3 // 4), "macd"), T.trix_stages("close", p, "trix"), T.directional_stages(p, ""), *gains)
+    df = df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
     df = T.with_hilbert_sine(df)
     names = [*cols, "ultosc", "aroon", "cci", "stoch_k", "stoch_d", "ema", "macd", "macd_signal", "macd_hist", "rsi", "trix", "cmo", "atr", "minus_di", "dx", "adx", "sine", "lead_sine"]
     return T.shifted(df, names), names
