@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .fold import ordered_fold
+from ..session import cut
+from .slices import Seen, Stage, Sums, sliced
 
 STEPS = tuple(k / 10 for k in range(11))
 
@@ -50,34 +54,77 @@ def with_ffd(df: DataFrame, value: str, d: float, least: float = 1e-5, out: str
     return df.withColumn(out, F.when(F.col(value).isNotNull(), dot)).drop("_x")
 
 
+def expanding_array(d: float, size: int) -> np.ndarray:
+    """``expanding_weights`` as an array."""
+    k = np.arange(1, size, dtype=np.float64)
+    return np.concatenate([[1.0], np.cumprod((k - 1 - d) / k)]) if size else np.zeros(0)
+
+
+#: Values of a block of the convolution at least, and blocks of a symbol at most.
+BLOCK, BLOCKS = 1 << 16, 64
+
+
+def _convolved(d: float, least: float):
+    """Rows (symbol, to, block, size, n, x) by (symbol, to), sorted by block: (symbol, p, fd) of the block ``to``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, spectra = None, None, {}
+
+        def told() -> pa.RecordBatch:
+            symbol, to, size, n, count = now
+            y = np.fft.irfft(held, 2 * size)[size : size + count]
+            w = np.abs(expanding_array(d, n))
+            # a value whose weights lost are over the bound is skipped
+            skip = int((1 - (np.cumsum(w) - w) / w.sum() > least).sum())
+            p = to * size + np.arange(count)
+            return pa.RecordBatch.from_arrays([pa.array([symbol] * count, pa.string()), pa.array(p), pa.array(np.where(p + 1 > skip, y, np.nan), from_pandas=True)], ["symbol", "p", "fd"])
+
+        for batch in batches:
+            for k in range(len(batch)):
+                r = batch.slice(k, 1)
+                symbol, to, block, size, n = (r.column(c)[0].as_py() for c in ("symbol", "to", "block", "size", "n"))
+                x = r.column("x").flatten().to_numpy(zero_copy_only=False)
+                if now is None or now[:2] != (symbol, to):
+                    if now is not None:
+                        yield told()
+                    if now is None or (now[2], now[3]) != (size, n):
+                        spectra = {}
+                    now, held = (symbol, to, size, n, 0), np.zeros(size + 1, dtype=complex)
+                lag = to - block
+                if lag not in spectra:
+                    w = expanding_array(d, min(n, (lag + 1) * size))
+                    part = np.zeros(2 * size)
+                    a = max(0, (lag - 1) * size)
+                    part[a - (lag - 1) * size : len(w) - (lag - 1) * size] = w[a:]
+                    spectra = {lag: np.fft.rfft(part)}
+                held = held + np.fft.rfft(x, 2 * size) * spectra[lag]
+                if lag == 0:
+                    now = (*now[:4], len(x))
+        if now is not None:
+            yield told()
+
+    return run
+
+
 def expanding(df: DataFrame, value: str, d: float, least: float = 0.01, out: str = "fd") -> DataFrame:
-    """FD3: all past values, skipping rows before the weights that are lost fall under ``least``. The work grows with the square of a
-    symbol's rows, as the definition demands."""
-
-    def start():
-        past: list[float] = []
-        w: list[float] = []
-        skip = 0
-
-        def step(x: float | None, n: int) -> tuple:
-            nonlocal skip
-            if not w:
-                w.extend(expanding_weights(d, n))
-                total, seen = sum(map(abs, w)), 0.0
-                for x_k in w:
-                    skip += 1 - seen / total > least
-                    seen += abs(x_k)
-            if x is None and not past:
-                return (None,)
-            past.append(x if x is not None else past[-1])
-            if x is None or len(past) <= skip:
-                return (None,)
-            return (sum(a * b for a, b in zip(w, reversed(past), strict=False)),)
-
-        return step
-
-    n = F.count("*").over(W.partitionBy("symbol"))
-    return ordered_fold(df.withColumn("_n", n), ["symbol"], ["seq"], [value, "_n"], f"{out} double", start).drop("_n")
+    """FD3: all past values, skipping rows before the weights that are lost fall under ``least``; gaps count as the value before them, and get null.
+
+    The sum over all past values is a convolution. A symbol's values are cut into blocks, BLOCKS at most; a block of results is the sum
+    over the blocks before it of products of their spectra, so a task holds one block, and the work is near n log n.
+    """
+    n = df.groupBy("symbol").agg(F.count("*").alias("_n"))
+    s = sliced(df, ["symbol"], ["seq"]).scan([Stage([value], "_rank long, _last double", Seen(1))])
+    s.df = s.df.withColumn("_f", F.coalesce(F.col(value).cast("double"), "_last")).withColumn("_one", F.col("_f").isNotNull().cast("long"))
+    rows = cut(s.scan([Stage(["_one"], "_p long", Sums(1, np.int64))]).df.withColumn("_p", F.col("_p") - 1))
+    size = F.greatest(F.lit(BLOCK), F.ceil(F.col("_n") / BLOCKS)).cast("long")
+    x = rows.filter("_one = 1").select("symbol", "_p", "_f").join(n.withColumn("_size", size), "symbol")
+    blocks = x.groupBy("symbol", "_size", "_n", F.expr("_p div _size").alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_f"))), lambda v: v["_f"]).alias("x"))
+    last = blocks.groupBy("symbol").agg(F.max("block").alias("_end"))
+    sent = blocks.join(last, "symbol").select("symbol", F.explode(F.sequence("block", "_end")).alias("to"), "block", F.col("_size").alias("size"), F.col("_n").alias("n"), "x")
+    sent = sent.repartition("symbol", "to").sortWithinPartitions("symbol", "to", "block")
+    made = sent.mapInArrow(_convolved(d, least), "symbol string, p long, fd double")
+    made = made.select(F.col("symbol"), F.col("p").alias("_p"), F.col("fd").alias("_y"))
+    found = rows.join(made, ["symbol", "_p"], "left")
+    return found.withColumn(out, F.when(F.col(value).isNotNull(), F.col("_y"))).drop("_rank", "_last", "_f", "_one", "_p", "_y")
 
 
 def _phi(z: float) -> float:

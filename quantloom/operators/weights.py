@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -72,20 +73,85 @@ def decay_curves(df: DataFrame, lasts: tuple[float, ...] = (1, 0.75, 0.5, 0, -0.
     return df.select("symbol", "i0", pairs.alias("x")).select("symbol", "i0", "x.last", "x.decay")
 
 
-def sequential_bootstrap(spans: list[tuple[int, int]], draws: int, seed: int) -> list[int]:
-    """Places of drawn events; each draw has a probability in proportion to the event's uniqueness given the draws so far."""
-    rng = random.Random(seed)
-    cover: dict[int, int] = {}
-    out = []
+class Draws:
+    """Weighted draws of events whose weights fall with every draw.
+
+    Weights are the leaves of a tree of sums with BRANCH children a node. A draw lowers the uniqueness of the bars that it covers, and with
+    that the weights of the events which overlap it: those stand side by side in the order of starts, so that weights and sums are
+    changed on one stretch a level.
+    """
+
+    BRANCH = 64
+
+    def __init__(self, spans: np.ndarray) -> None:
+        """``spans``: (events, 2), first and last bar, sorted by first bar."""
+        self.first, self.last = spans[:, 0], spans[:, 1]
+        self.size = self.last - self.first + 1
+        self.base = int(self.first.min(initial=0))
+        self.cover = np.zeros(int(self.last.max(initial=-1)) - self.base + 2)
+        #: no event that starts before the first one whose end reaches a bar overlaps it
+        self.reach = np.maximum.accumulate(self.last)
+        self.levels = [np.zeros(-(-len(spans) // self.BRANCH) * self.BRANCH)]
+        self.levels[0][: len(spans)] = 1.0
+        while len(self.levels[-1]) > self.BRANCH:
+            sums = self.levels[-1].reshape(-1, self.BRANCH).sum(axis=1)
+            self.levels.append(np.pad(sums, (0, -len(sums) % self.BRANCH)))
+
+    def drawn(self, at: float) -> int:
+        """The event at the share ``at`` of the weights' sum."""
+        left, node = at * float(self.levels[-1].sum()), 0
+        for level in reversed(self.levels):
+            sums = np.cumsum(level[node * self.BRANCH : (node + 1) * self.BRANCH])
+            k = min(int(np.searchsorted(sums, left, side="right")), len(sums) - 1)
+            left -= float(sums[k - 1]) if k else 0.0
+            node = node * self.BRANCH + k
+        return min(node, len(self.first) - 1)
+
+    def cover_with(self, event: int) -> None:
+        a, b = int(self.first[event]), int(self.last[event])
+        c = self.cover[a - self.base : b - self.base + 1]
+        fall = np.concatenate([[0.0], np.cumsum(1 / (2 + c) - 1 / (1 + c))])
+        c += 1
+        lo, hi = int(np.searchsorted(self.reach, a)), int(np.searchsorted(self.first, b, side="right"))
+        s, e = np.clip(self.first[lo:hi], a, b + 1) - a, np.clip(self.last[lo:hi] + 1, a, b + 1) - a
+        self.levels[0][lo:hi] += np.where(e > s, (fall[e] - fall[np.minimum(s, e)]) / self.size[lo:hi], 0.0)
+        for below, level in zip(self.levels[:-1], self.levels[1:], strict=True):
+            lo, hi = lo // self.BRANCH, -(-hi // self.BRANCH)
+            level[lo:hi] = below[lo * self.BRANCH : hi * self.BRANCH].reshape(-1, self.BRANCH).sum(axis=1)
+
+
+def sequential_bootstrap(spans: list[tuple[int, int]] | np.ndarray, draws: int, seed: int) -> list[int]:
+    """Places of drawn events; each draw has a probability in proportion to the event's uniqueness given the draws so far, the mean of
+    1 / (1 + cover) over its bars. A draw costs the logarithm of the events, and the events that overlap it."""
+    spans = np.asarray(spans, dtype=np.int64).reshape(-1, 2)
+    if not len(spans):
+        return []
+    rng, order = random.Random(seed), np.lexsort((spans[:, 1], spans[:, 0]))
+    tree, out = Draws(spans[order]), []
     for _ in range(draws):
-        u = [sum(1 / (1 + cover.get(i, 0)) for i in range(a, b + 1)) / (b - a + 1) for a, b in spans]
-        k = rng.choices(range(len(spans)), u)[0]
-        out.append(k)
-        for i in range(spans[k][0], spans[k][1] + 1):
-            cover[i] = cover.get(i, 0) + 1
+        k = tree.drawn(rng.random())
+        out.append(int(order[k]))
+        tree.cover_with(k)
     return out
 
 
+def bootstrap_counts(events: DataFrame, seed: int, first: str = "i0", last: str = "i1", key: str = "pos") -> DataFrame:
+    """(symbol, key, times): how often each of a symbol's events is drawn in as many draws as it has events. Only keys and spans go to
+    the symbol's task; an event without an end is not drawn."""
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, kind="stable")
+        drawn = sequential_bootstrap(pdf[[first, last]].to_numpy(), len(pdf), seed)
+        times = np.bincount(drawn, minlength=len(pdf))
+        return pd.DataFrame({"symbol": pdf["symbol"], key: pdf[key], "times": times})[times > 0]
+
+    from ..session import ship
+
+    ship(events.sparkSession)
+    df = events.select("symbol", F.col(key).cast("long").alias(key), F.col(first).cast("long").alias(first), F.col(last).cast("long").alias(last)).filter(F.col(first).isNotNull() & F.col(last).isNotNull())
+    return df.groupBy("symbol").applyInPandas(draw, f"symbol string, `{key}` long, times long")
+
+
 def mean_uniqueness(spans: list[tuple[int, int]]) -> float:
     cover: dict[int, int] = {}
     for a, b in spans:

@@ -86,3 +86,75 @@ def test_rules_over_slices(spark, monkeypatch):
         assert r["total"] == sum(x for _, x in past)
         assert r["top"] == max((p for p, _ in past if p is not None), default=None)
     assert slices.sliced(df.limit(0), ["symbol"], ["seq"]).scan([stage(["size"], "total double", Sums(1))]).df.collect() == []
+
+
+def test_block_convolution_is_the_expanding_sum(spark, monkeypatch):
+    from quantloom.operators import fracdiff
+
+    monkeypatch.setattr(slices, "ROWS", 60)
+    monkeypatch.setattr(fracdiff, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    rows = [(s, k, None if (s == "a" and k < 3) or k % 11 == 5 else float(rng.standard_normal())) for s, n in (("a", 300), ("b", 17), ("c", 1)) for k in range(n)]
+    rows += [("d", k, None) for k in range(4)]
+    got = {(r.symbol, r.seq): r.fd for r in fracdiff.expanding(spark.createDataFrame(rows, "symbol string, seq long, x double"), "x", 0.4).collect()}
+    assert len(got) == len(rows)
+    for symbol in "abcd":
+        mine = [r for r in rows if r[0] == symbol]
+        w, past = fracdiff.expanding_weights(0.4, len(mine)), []
+        total, seen, skip = sum(map(abs, w)), 0.0, 0
+        for x in w:
+            skip += 1 - seen / total > 0.01
+            seen += abs(x)
+        for _, k, x in mine:
+            if x is not None or past:
+                past.append(x if x is not None else past[-1])
+            want = sum(a * b for a, b in zip(w, reversed(past), strict=False)) if x is not None and len(past) > skip else None
+            assert got[symbol, k] == (None if want is None else pytest.approx(want, abs=1e-9))
+
+
+def plain_bootstrap(spans, draws, seed):
+    """Each event's uniqueness anew for every draw."""
+    rng, cover, out = random.Random(seed), {}, []
+    for _ in range(draws):
+        u = [sum(1 / (1 + cover.get(i, 0)) for i in range(a, b + 1)) / (b - a + 1) for a, b in spans]
+        k = rng.choices(range(len(spans)), u)[0]
+        out.append(k)
+        for i in range(spans[k][0], spans[k][1] + 1):
+            cover[i] = cover.get(i, 0) + 1
+    return out
+
+
+@pytest.mark.parametrize(("n", "bars_", "longest"), [(1, 5, 3), (70, 40, 9), (200, 900, 30), (300, 50, 50)])
+def test_the_tree_draws_what_the_plain_form_draws(n, bars_, longest):
+    from quantloom.operators.weights import sequential_bootstrap
+
+    rng = random.Random(n)
+    spans = sorted((a := rng.randrange(bars_), a + rng.randrange(longest)) for _ in range(n))
+    assert sequential_bootstrap(spans, n, 5) == plain_bootstrap(spans, n, 5)
+    mixed = spans[:]
+    rng.shuffle(mixed)
+    assert sorted(mixed[k] for k in sequential_bootstrap(mixed, n, 5)) == sorted(spans[k] for k in sequential_bootstrap(spans, n, 5))
+
+
+def test_a_hundred_thousand_events_are_drawn():
+    """The share of each start's events, given draws so far, evens out: mean uniqueness is over that of a plain bootstrap."""
+    import time
+
+    from quantloom.operators.weights import sequential_bootstrap
+
+    rng = np.random.default_rng(4)
+    first = np.sort(rng.integers(0, 400_000, 100_000))
+    spans = np.stack([first, first + rng.integers(0, 4, 100_000)], axis=1)
+    began = time.time()
+    drawn = spans[sequential_bootstrap(spans, 100_000, 1)]
+    assert time.time() - began < 90
+    plain_ = spans[rng.integers(0, 100_000, 100_000)]
+
+    def unique(x):
+        cover = np.zeros(400_050)
+        np.add.at(cover, x[:, 0], 1)
+        np.add.at(cover, x[:, 1] + 1, -1)
+        sums = np.concatenate([[0], np.cumsum(1 / np.maximum(np.cumsum(cover), 1))])
+        return ((sums[x[:, 1] + 1] - sums[x[:, 0]]) / (x[:, 1] - x[:, 0] + 1)).mean()
+
+    assert unique(drawn) > unique(plain_) * 1.02
