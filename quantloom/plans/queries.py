@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as T
 from ..functions import scalar as S
-from ..operators import backtest, bars, events, fracdiff, models, pairs, sizing, splits, weights
+from ..operators import backtest, bars, events, fracdiff, learners, models, pairs, sizing, splits, weights
 from ..sources import tape as src
 from . import benchmark as BM
 from . import features as FS
@@ -939,12 +939,56 @@ def model_tuning(spark, sf_dir):
     return predict(rows).select("symbol", "pos", F.lit(name).alias("model"), "score", "pred")
 
 
+#: The rows of _classified, scaled by the mean and deviation of their first 70 %, and the five nearest of those for each of the last 30 %.
+_KNN = (
+    "with " + NUM + ", d as (select symbol, i as pos, case when lead(price, 2) over o > price then 1 else 0 end as label,"
+    + " ".join(f"coalesce(ln(price) - ln(lag(price, {n}) over o), 0) as r{n}," for n in (1, 5, 20))
+    + " cast(size as double) as size, row_number() over o as k, count(*) over (partition by symbol) as n from num window o as (partition by symbol order by i)),"
+    " t as (select * from d where k <= floor((n - 1) * 0.7::double)), q as (select * from d where k > floor((n - 1) * 0.7::double) and k > n - floor((n - 1) * (1 - 0.7::double))),"
+    " m as (select " + ", ".join(f"avg({f}) as m_{f}, stddev_samp({f}) as s_{f}" for f in _FEATURES) + " from t),"
+    " near as (select q.symbol, q.pos, t.label, row_number() over (partition by q.symbol, q.pos order by "
+    + " + ".join(f"power((t.{f} - m_{f}) / s_{f} - (q.{f} - m_{f}) / s_{f}, 2)" for f in _FEATURES)
+    + ", t.symbol, t.pos) as r from q, t, m)"
+    " select symbol, pos, avg(label) as score from near where r <= 5 group by 1, 2"
+)
+
+
+def _parted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The first 70 % of each symbol's rows, and the last 30 %."""
+    rows = T.split_by_place(_classified(spark, sf_dir)[0].withColumn("seq", F.col("pos")), 0.7)
+    part = lambda x: rows.filter(F.col("part") == x).drop("part", "seq")
+    return part("train"), part("test")
+
+
+@query(_KNN)
+def nearest_neighbours(spark, sf_dir):
+    train, test = _parted(spark, sf_dir)
+    return learners.nearest_neighbours(_FEATURES)(train)(test).select("symbol", "pos", "score")
+
+
+@query()
+def kernel_machine(spark, sf_dir):
+    train, test = _parted(spark, sf_dir)
+    return learners.rbf_svc(_FEATURES, 128, rounds=20)(train)(test).select("symbol", "pos", "score", "pred")
+
+
+@query()
+def newton_trees(spark, sf_dir):
+    train, test = _parted(spark, sf_dir)
+    return learners.newton_trees(_FEATURES, rounds=10, rate=0.1)(train)(test).select("symbol", "pos", "score", "pred")
+
+
+@query()
+def logistic_sweep(spark, sf_dir):
+    rows, roles = _classified(spark, sf_dir)
+    fits = {f"{n} features, {reg}": models.logistic(_FEATURES[:n], reg) for n in (1, 2, 4) for reg in (0.0, 0.01)}
+    return models.scores(rows, roles, fits)
+
+
 @query()
 def bootstrapped_forest(spark, sf_dir):
-    # draws are quadratic in a symbol's events: the events are those of the CUSUM filter
     rows, _ = _classified(spark, sf_dir)
-    e = events.cusum_events(bars.numbered(walk(spark, sf_dir)), H).select("symbol", F.col("i").alias("pos"))
-    chosen = rows.join(e, ["symbol", "pos"]).withColumns({"i0": F.col("pos"), "i1": F.col("pos") + 2})
+    chosen = rows.withColumns({"i0": F.col("pos"), "i1": F.col("pos") + 2})
     return models.bootstrapped_forest(_FEATURES, trees=3)(chosen)(rows).select("symbol", "pos", "score", "pred")
 
 
