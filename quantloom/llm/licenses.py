@@ -100,18 +100,31 @@ KNOWN: dict[str, str] = {
     "MIT-short": "Released under the MIT License.",
 }
 
-#: Lines of a copyright statement, in lower case: from the start of a line, past comment signs, to its end.
-_COPYRIGHT = r"(^|\n)[^\na-z0-9]*(copyright [^\n]*|copyright|\(c\) [^\n]*|©[^\n]*|all rights reserved[^\n]*)"
+#: Spellings of more than one word, as they stand once punctuation is gone. Fixed values, from the same guidelines.
+PHRASES = {" sub licens": " sublicens", " non commercial": " noncommercial", " per cent ": " percent ", " copyright owner": " copyright holder"}
+#: A copyright statement in lower case, past comment signs; of words after "copyright" not holder, owner and notice, which texts speak of.
+_STATEMENT = r"(copyright|copyright ([^hno\n]|h[^o\n]|n[^o\n]|o[^w\n])[^\n]*|\(c\) [^\n]*|©[^\n]*|all rights reserved[^\n]*)"
+#: Comment signs in front of a line.
+_COMMENT = r"(^|\n)[ \t]*(/\*+|\*+/?|//+|#+)[ \t]*"
+#: Such a line with a short one that ends its paragraph; and such a line.
+_TWO_LINES = r"(^|\n)[^\na-z0-9]*" + _STATEMENT + r"[ \t\r]*\n[^\n]{1,60}\n[ \t\r]*\n"
+_COPYRIGHT = r"(^|\n)[^\na-z0-9]*" + _STATEMENT + r"[ \t\r]*(\n|$)"
+#: Up to three lines in front that name a licence and end no sentence, before an empty line: a heading.
+_HEADING = r"^\s*([^\n]{0,60}(licen[cs]e|no attribution|clause|version [0-9])([^\n]{0,40}[^\n.,:;\s])?[ \t\r]*\n[ \t\r]*){1,3}\n"
 #: Characters that are neither letters nor digits part words.
 _PUNCTUATION = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
-    """The text's words in lower case, one space apart, with canonical spellings and without copyright lines."""
-    low = F.regexp_replace(F.lower(text), _COPYRIGHT, "$1")
+    """The text's words in lower case, one space apart, with canonical spellings, without copyright lines and without a heading."""
+    low = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), _COMMENT, "$1"), _TWO_LINES, "$1\n\n"), _COPYRIGHT, "$1\n")
+    low = F.regexp_replace(low, _HEADING, "")
     words = F.split(F.trim(F.regexp_replace(low, _PUNCTUATION, " ")), " ")
     same = F.create_map(*(F.lit(x) for pair in EQUIVALENT.items() for x in pair))
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(same, w), w)), " ")
+    out = F.concat(F.lit(" "), F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(same, w), w)), " "), F.lit(" "))
+    for a, b in PHRASES.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.trim(out)
 
 
 def known_digests(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFrame:
@@ -121,7 +134,7 @@ def known_digests(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFra
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with canonical_sha256 and license_id: the known licence that the whole text is, or null.
+    """``docs`` with canonical_sha256 and license_id: the known licence that the whole text is, with or without a heading, or null.
 
     A null or empty text is the empty canonical text, whose digest matches only if ``known`` (digest, license_id) holds it; repeated
     rows get the same answer; nothing is dropped. Clashing columns are replaced. The known table is joined without a hint, so that
@@ -133,10 +146,14 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, text: str = "t
 
 
 def _sql_canonical(text: str) -> str:
-    low = rf"regexp_replace(lower({text}), '{_COPYRIGHT}', '\1', 'g')"
+    low = rf"regexp_replace(regexp_replace(regexp_replace(lower({text}), '{_COMMENT}', '\1', 'g'), '{_TWO_LINES}', '\1' || chr(10) || chr(10), 'g'), '{_COPYRIGHT}', '\1' || chr(10), 'g')"
+    low = f"regexp_replace({low}, '{_HEADING}', '')"
     words = f"string_split(trim(regexp_replace({low}, '{_PUNCTUATION}', ' ', 'g')), ' ')"
     same = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in EQUIVALENT.items()) + "}"
-    return f"array_to_string(list_transform({words}, lambda w: coalesce({same}[w], w)), ' ')"
+    out = f"' ' || array_to_string(list_transform({words}, lambda w: coalesce({same}[w], w)), ' ') || ' '"
+    for a, b in PHRASES.items():
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"trim({out})"
 
 
 def _quoted(text: str) -> str:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -430,6 +431,27 @@ def test_licences(spark, odd, none):
     assert licenses.license_scan(odd).count() == 17 and licenses.license_scan(none).count() == 0
 
 
+def test_licences_under_any_heading_and_copyright(spark):
+    import duckdb
+
+    mit, bsd = licenses.KNOWN["MIT"].removeprefix("MIT License\n\n"), licenses.KNOWN["BSD-3-Clause"]
+    wrapped = textwrap.fill(bsd, 70).replace("\n", "\n * ")
+    texts = {
+        1: mit, 2: "The MIT License (MIT)\n\n" + mit, 3: "MIT License\nCopyright (c) 2020 Someone\n  and Others <a@b.c>\n\n" + mit, 4: "/*\n * Copyright 2019 A. Person\n *\n * The MIT Licence\n *\n" + mit,
+        5: "BSD 3-Clause License\n\nCopyright (c) 2021, Someone\nAll rights reserved.\n\n" + bsd, 6: " * " + wrapped, 7: bsd.replace("COPYRIGHT HOLDER ", "COPYRIGHT OWNER ").replace("copyright holder", "copyright owner"),
+        8: mit.replace("sublicense", "sub-license"), 9: licenses.KNOWN["0BSD"].removeprefix("Zero-Clause BSD\n\n"), 10: licenses.KNOWN["ISC"].replace("ISC License", "ISC License (ISC)"),
+    }
+    want = dict.fromkeys((1, 2, 3, 4, 8), "MIT") | dict.fromkeys((5, 6, 7), "BSD-3-Clause") | {9: "0BSD", 10: "ISC"}
+    others = {20: mit + " And more.", 21: mit[:-80], 22: "MIT License\n\n", 23: "The MIT License\n\nis a short text.", 24: "Copyright 2020 X\n\n", 25: bsd + mit}
+    rows = list((texts | others).items())
+    got = {r.doc_id: (r.license_id, r.canonical_sha256) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: v for k, (v, _) in got.items() if v} == want
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert {i: (x, d) for i, d, x in con.execute(licenses.SQL).fetchall()} == got
+
+
 def test_mixing_meets_its_targets(spark, odd, none):
     rows = [(k, words(20 + k % 7, k), ("en", "de")[k % 3 == 0], f"s{k % 4 % 3}") for k in range(600)]
     docs = mixing.with_topic(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
