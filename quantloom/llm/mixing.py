@@ -93,12 +93,12 @@ def fitted_cells(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
     w = w.withColumn("_x", F.col("tokens").cast("double") / total).withColumn("_cap", F.col("_x") / budget)
 
     def fit(w: DataFrame, rounds: int) -> DataFrame:
-        for i in range(rounds):
+        for _ in range(rounds):
             for d in DIMENSIONS:
                 g, x = _scaled("_x", "_cap", f"_{d}", d)
                 w = w.withColumn("_g", F.expr(g)).withColumn("_x", F.expr(x)).drop("_g")
-            if i % 4 == 3:
-                w = cut(w)
+            # a task holds a page for each sort that waits in it: few steps go into one
+            w = cut(w)
         return w.withColumn("fitted", F.least("_x", "_cap"))
 
     w = fit(w, rounds)

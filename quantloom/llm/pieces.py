@@ -24,7 +24,7 @@ from .common import fresh
 
 SPACE = "▁"
 #: Parts kept by each worker.
-KEPT = 400_000
+KEPT = 200_000
 #: Parts that are looked up together.
 TOGETHER = 50_000
 #: How much worse than the worst piece an unknown character is, as in the published library.
