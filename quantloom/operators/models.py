@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .learners import Logistic, fold_scores
 
 Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
@@ -37,14 +39,16 @@ def _scored(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.get(p, 1)).withColumn("pred", F.col("prediction").cast("int")).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def ml(estimator, features: list[str], scale: bool = False, pca: float | None = None, weight: str | None = "w") -> Fit:
+def ml(estimator, features: list[str], scale: bool = False, pca: float | None = None, weight: str | None = "w", beside: list[str] = ()) -> Fit:
     """A fit of an MLlib classifier over named columns, scaled and reduced if asked; labels in ``label``.
 
-    ``pca`` keeps the first components with that share of the variance.
+    ``pca`` keeps the first components with that share of the variance. Columns ``beside`` are taken as they are, after the others;
+    ``predict.names`` tells what each place of the model's vector is (M9).
     """
 
     def fit(train: DataFrame):
         stages = [_assembled(features)]
+        names = list(features)
         column = "features"
         if scale or pca:
             stages.append(StandardScaler(inputCol="features", outputCol="scaled", withMean=True))
@@ -55,6 +59,11 @@ def ml(estimator, features: list[str], scale: bool = False, pca: float | None =
             k = int(np.searchsorted(np.cumsum(full.explainedVariance.toArray()), pca) + 1)
             stages.append(PCA(k=min(k, len(features)), inputCol=column, outputCol="reduced"))
             column = "reduced"
+            names = [f"PCA_{i}" for i in range(min(k, len(features)))]
+        if beside:
+            stages.append(VectorAssembler(inputCols=[column, *beside], outputCol="whole", handleInvalid="skip"))
+            column = "whole"
+            names += list(beside)
         e = estimator.copy({estimator.getParam("labelCol"): "label", estimator.getParam("featuresCol"): column})
         if weight and weight in train.columns and estimator.hasParam("weightCol"):
             e = e.copy({e.getParam("weightCol"): weight})
@@ -64,10 +73,11 @@ def ml(estimator, features: list[str], scale: bool = False, pca: float | None =
             out = model.transform(df)
             if "probability" not in out.columns:
                 raw = F.get(vector_to_array("rawPrediction"), 1)
-                return out.withColumn("score", 1 / (1 + F.exp(-raw))).withColumn("pred", F.col("prediction").cast("int")).drop("features", "scaled", "reduced", "rawPrediction", "prediction")
-            return _scored(out).drop("scaled", "reduced")
+                return out.withColumn("score", 1 / (1 + F.exp(-raw))).withColumn("pred", F.col("prediction").cast("int")).drop("features", "scaled", "reduced", "whole", "rawPrediction", "prediction")
+            return _scored(out).drop("scaled", "reduced", "whole")
 
         predict.model = model.stages[-1]
+        predict.names = names
         return predict
 
     return fit
@@ -361,19 +371,54 @@ def scaled(train: DataFrame, test: DataFrame, features: list[str], kind: str = "
     return train.withColumns(cols), test.withColumns(cols)
 
 
-def cpcv_run(rows: DataFrame, roles: DataFrame, fit: Fit, classes: int = 2, step: float | None = None, side: str | None = None) -> DataFrame:
-    """(symbol, pos, group, split, signal): each split's sized predictions of its test rows."""
+def min_max(fit: Fit, features: list[str]) -> Fit:
+    """``fit`` over features scaled to 0..1 by the training rows' ranges; what lies outside of these is not cut off, a feature without a range becomes 0."""
+
+    def scaled(train: DataFrame):
+        r = train.agg(*(F.min(f) for f in features), *(F.max(f) for f in features)).first()
+        low, high = r[: len(features)], r[len(features) :]
+
+        def to(df: DataFrame) -> DataFrame:
+            own = {f: F.col(f) for f in features}
+            kept = df.withColumns({f"_raw_{f}": c for f, c in own.items()})
+            return kept.withColumns({f: (F.col(f) - a) / (b - a) if a is not None and b > a else F.lit(0.0) for f, a, b in zip(features, low, high, strict=True)})
+
+        model = fit(to(train))
+
+        def predict(df: DataFrame) -> DataFrame:
+            out = model(to(df))
+            return out.withColumns({f: F.col(f"_raw_{f}") for f in features}).drop(*(f"_raw_{f}" for f in features))
+
+        return predict
+
+    return scaled
+
+
+def cpcv_run(rows: DataFrame, roles: DataFrame, fit: Fit, classes: int = 2, step: float | None = None, side: str | None = None, sized: bool = True) -> DataFrame:
+    """(symbol, pos, group, split, signal): each split's predictions of its test rows.
+
+    ``sized`` (K3, K4, P4): bet sizes of the greater class's probability, times ``side`` if there is one, in steps if asked. Otherwise (K2, P3) the
+    predicted label of -1 and 1 times its probability and ``side``. ``min_max(fit, features)`` scales by each split's training rows. Rows and
+    roles are made once for all splits.
+    """
     from ..functions.scalar import discrete, signal
 
-    out = None
-    for k in sorted(r.split for r in roles.select("split").distinct().collect()):
-        part = rows.join(roles.filter(F.col("split") == k).select("symbol", "pos", "fold", "role"), ["symbol", "pos"])
-        scored = fit(part.filter("role = 'train'"))(part.filter("role = 'test'"))
-        prob = F.greatest("score", 1 - F.col("score"))
-        s = signal(prob, 2 * F.col("pred") - 1, classes, None if side is None else F.col(side))
-        s = scored.select("symbol", "pos", F.col("fold").alias("group"), F.lit(k).alias("split"), (s if step is None else discrete(s, step)).alias("signal"))
-        out = s if out is None else out.union(s)
-    return out
+    out = []
+    with _parts(rows, roles, "fold") as parts:
+        for k, train, test in parts:
+            scored = fit(train)(test)
+            prob, sign = F.greatest("score", 1 - F.col("score")), 2 * F.col("pred") - 1
+            own = F.lit(1.0) if side is None else F.col(side)
+            s = signal(prob, sign, classes, None if side is None else own) if sized else sign * prob * own
+            told = scored.select("symbol", "pos", F.col("fold").alias("group"), F.lit(k).alias("split"), (discrete(s, step) if sized and step is not None else s).cast("double").alias("signal"))
+            out.append(cut(told))
+    return reduce(DataFrame.union, out)
+
+
+def importance_plot(importance: DataFrame, oob: float, oos: float) -> DataFrame:
+    """What the plot shows: (place, feature, mean, std, oob, oos), the least important feature at place 1."""
+    place = F.row_number().over(W.partitionBy(F.lit(1)).orderBy("mean", "feature"))  # a row a feature
+    return importance.select(place.alias("place"), "feature", "mean", "std", F.lit(float(oob)).alias("oob"), F.lit(float(oos)).alias("oos"))
 
 
 def bootstrapped_forest(features: list[str], spans: str = "i0", ends: str = "i1", trees: int = 10, seed: int = 12) -> Fit:

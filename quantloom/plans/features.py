@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import indicators as T
@@ -43,8 +43,48 @@ def trend_layer(bars: DataFrame, periods: tuple[int, ...] = PERIODS) -> tuple[Da
     return T.shifted(df, list(trends)), list(trends)
 
 
+def volumes(bars: DataFrame) -> tuple[DataFrame, list[str]]:
+    """FS1: the volume, its balance and its mean of 20."""
+    names = ["volume", "obv", "volume_ewa_20"]
+    return T.shifted(T.recurrences(T.with_obv(bars), T.ema_stages("volume", 20, "volume_ewa_20")), names), names
+
+
+def _returns_of(df: DataFrame, log_ret: Column, windows: tuple[int, ...] = (50, 31, 15)) -> tuple[DataFrame, list[str]]:
+    """The returns ``log_ret``, momentum of 1 to 5 bars, volatility, autocorrelation and lags, none of them lagged."""
+    df = df.withColumn("log_ret", log_ret)
+    cols = {f"mom{k}": T.momentum("close", k) for k in range(1, 6)} | {f"volatility_{n}": T.volatility("log_ret", n) for n in windows} | {f"log_t{k}": T.lag("log_ret", k) for k in range(1, 6)}
+    return T.with_autocorrelation(df.withColumns(cols), "log_ret", 50), ["log_ret", *cols, *(f"autocorr_{k}" for k in range(1, 6))]
+
+
+def combined(bars: DataFrame, periods: tuple[int, ...] = (5, 12, 25)) -> tuple[DataFrame, list[str]]:
+    """FS2: the lagged oscillators of several periods (FS8) and the terms of returns, all one bar later."""
+    df, oscillators = continuous(bars, periods)
+    df, names = _returns_of(df, T.log_return())
+    return T.shifted(df, [*oscillators, *names]), [*oscillators, *names]
+
+
+def differenced(bars: DataFrame) -> tuple[DataFrame, list[str]]:
+    """FS3: the terms of returns, with the log of the least differenced close for the return; null where that is not positive."""
+    df = fracdiff.with_least_ffd(bars, "close", out="_ffd")
+    df, names = _returns_of(df, F.log(F.when(F.col("_ffd") > 0, F.col("_ffd"))))
+    return T.shifted(df.drop("_ffd"), names), names
+
+
+def trends(bars: DataFrame) -> tuple[DataFrame, list[str]]:
+    """FS4: the return, long momentum and volatility, three autocorrelations, TRIX, RSI, ADX, stochastic, and means of returns and volumes."""
+    cols = {"log_ret": T.log_return(), "mom5": T.momentum("close", 50)}
+    df = bars.withColumns(cols)
+    spread = {f"volatility_{n}": T.volatility("log_ret", n, 50) for n in (50, 100, 250)}
+    df = T.with_obv(T.with_stochastic(T.with_autocorrelation(df.withColumns(spread), "log_ret", 50, (1, 3, 5))))
+    trix, volume = [T.trix_stages("close", n, f"trix_{n}") for n in (5, 12, 26)], {"volume_ewa_20": 20, "volume_ewa_500": 50, "volume_ewa_100": 100}
+    specs = [*trix, T.gain_stages("close", 50, "rsi_50", "rsi"), T.directional_stages(50, "_50"), T.ema_stages("log_ret", 20, "return_ewa_50")]
+    df = T.recurrences(df, *specs, *(T.ema_stages("volume", n, name) for name, n in volume.items()))
+    names = [*cols, *spread, "trix_5", "trix_12", "trix_26", "autocorr_1", "autocorr_3", "autocorr_5", "rsi_50", "adx_50", "return_ewa_50", "stoch_k", "stoch_d", "obv", *volume]
+    return T.shifted(df, names), names
+
+
 def returns(bars: DataFrame, windows: tuple[int, ...] = (50, 31, 15)) -> tuple[DataFrame, list[str]]:
-    """FS1-FS4: log returns, momentum, volatility, autocorrelation, lags and trend-following terms."""
+    """What FS1 to FS4 have in common, in one set: log returns, momentum, volatility, autocorrelation, lags and trend-following terms."""
     df = bars.withColumn("log_ret", T.log_return())
     cols = {f"mom_{k}": T.momentum("close", k) for k in range(1, 6)} | {f"vol_{n}": T.volatility("log_ret", n) for n in windows} | {f"lag_{k}": T.lag("log_ret", k) for k in range(1, 6)}
     df = T.with_autocorrelation(df.withColumns(cols), "log_ret", 50)

@@ -567,6 +567,36 @@ def feature_set_returns(spark, sf_dir):
     return df.select("symbol", "seq", *names)
 
 
+_EWA = _means("e", "b", "volume", 20)
+
+
+@query(
+    "with recursive " + OHLC + _EWA + f", k as (select *, coalesce(sign(close - lag(close) over ({OWN})), 1) * volume as s from b), o as (select *, sum(s) over ({OWN} rows unbounded preceding) as obv from k)"
+    f", j as (select o.symbol, o.seq, volume, obv, y from o left join e using (symbol, seq)) select symbol, seq, lag(volume) over ({OWN}) as volume, {_r(f'lag(obv) over ({OWN})', 'obv')}, {_r(f'lag(y) over ({OWN})', 'volume_ewa_20')} from j"
+)
+def feature_set_volumes(spark, sf_dir):
+    df, names = FS.volumes(ohlc(spark, sf_dir))
+    return rounded(df.select("symbol", "seq", *names), "obv", "volume_ewa_20")
+
+
+@query()
+def feature_set_combined(spark, sf_dir):
+    df, names = FS.combined(ohlc(spark, sf_dir))
+    return df.select("symbol", "seq", *names)
+
+
+@query()
+def feature_set_differenced(spark, sf_dir):
+    df, names = FS.differenced(ohlc(spark, sf_dir))
+    return df.select("symbol", "seq", *names)
+
+
+@query()
+def feature_set_trends(spark, sf_dir):
+    df, names = FS.trends(ohlc(spark, sf_dir))
+    return df.select("symbol", "seq", *names)
+
+
 @query()
 def feature_set_custom(spark, sf_dir):
     df, names = FS.custom(ohlc(spark, sf_dir))
@@ -868,6 +898,32 @@ def pair_threshold(spark, sf_dir):
     return spark.createDataFrame(list(pairs.best_threshold(z).items()), "pair string, threshold double")
 
 
+#: Orders of differencing that were found before, by feature.
+_ORDERS = {"open": 0.3, "close": 0.4}
+
+
+def _applied(least: float) -> str:
+    """The prices differenced by _ORDERS, with weights down to ``least``."""
+    dots = {f: " + ".join(f"{w!r}::double * lag({f}, {k}) over ({OWN})" for k, w in enumerate(fracdiff.ffd_weights(d, least))) for f, d in _ORDERS.items()}
+    return "with " + OHLC + " select symbol, seq, " + ", ".join(_r(x, f) for f, x in dots.items()) + " from b"
+
+
+@query(_applied(0.01))
+def stored_orders(spark, sf_dir):
+    return rounded(fracdiff.apply_d(ohlc(spark, sf_dir), _ORDERS).select("symbol", "seq", *_ORDERS), *_ORDERS)
+
+
+@query(_applied(0.002))
+def stored_orders_fine(spark, sf_dir):
+    return rounded(fracdiff.apply_d(ohlc(spark, sf_dir), _ORDERS, 0.002).select("symbol", "seq", *_ORDERS), *_ORDERS)
+
+
+@query()
+def stationary_features(spark, sf_dir):
+    b = ohlc(spark, sf_dir).withColumn("x", F.log("close") - F.coalesce(F.log(F.lag("close").over(W.partitionBy("symbol").orderBy("seq"))), F.log("close")))
+    return rounded(fracdiff.stationary_features(b.select("symbol", "seq", "x"), ["x"]), "x")
+
+
 # --- models ------------------------------------------------------------------
 
 
@@ -921,6 +977,24 @@ def cpcv_run(spark, sf_dir):
     return models.cpcv_run(rows, roles, models.logistic(_FEATURES), 2, 0.05)
 
 
+def _sided(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows, _ = _classified(spark, sf_dir)
+    rows = rows.withColumn("side", F.when(F.col("r20") >= 0, 1.0).otherwise(-1.0))
+    return rows, splits.cpcv(rows.select("symbol", "pos", F.col("pos").alias("pred"), (F.col("pos") + 2).alias("eval")), 3, 2, 3)
+
+
+@query()
+def cpcv_run_sides(spark, sf_dir):
+    rows, roles = _sided(spark, sf_dir)
+    return models.cpcv_run(rows, roles, models.min_max(models.gaussian_bayes(_FEATURES), _FEATURES), side="side", sized=False)
+
+
+@query()
+def cpcv_run_bets(spark, sf_dir):
+    rows, roles = _sided(spark, sf_dir)
+    return models.cpcv_run(rows, roles, models.min_max(models.gaussian_bayes(_FEATURES), _FEATURES), 2, 0.05, "side")
+
+
 @query()
 def model_zoo(spark, sf_dir):
     rows, roles = _classified(spark, sf_dir)

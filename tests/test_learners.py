@@ -146,3 +146,66 @@ def test_complement_bayes(spark):
     x = rng.uniform(0, 1, (200, 2)) + np.stack([y * 3.0, (1 - y) * 3.0], axis=1) - 1
     got = models.complement_bayes(["x0", "x1"])(frame(spark, x, y))(frame(spark, x * 1.5 - 1, y)).collect()
     assert np.mean([r.pred == r.label for r in got]) > 0.9
+
+
+def test_each_split_is_scaled_by_its_own_training_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((120, 2)) * [3, 0.5] + np.arange(120)[:, None] / 40
+    y = (x[:, 0] + rng.standard_normal(120) > 1.5).astype(int)
+    rows = frame(spark, x, y).withColumn("symbol", F.lit("a")).withColumn("side", F.when(F.col("pos") % 2 == 0, 1.0).otherwise(-1.0))
+    roles = splits.cpcv(rows.select("symbol", "pos", F.col("pos").alias("pred"), (F.col("pos") + 1).alias("eval")), 3, 1, 2)
+    names, seen = ["x0", "x1"], []
+
+    def looking(train):
+        seen.append(train.agg(*(f(c) for c in names for f in (F.min, F.max))).first())
+        return lambda df: df.withColumn("score", F.least(F.greatest(F.col("x0"), F.lit(0.0)), F.lit(1.0))).withColumn("pred", (F.col("x0") >= 0.5).cast("int"))
+
+    got = models.cpcv_run(rows, roles, models.min_max(looking, names), side="side", sized=False).collect()
+    assert all(tuple(r) == pytest.approx((0, 1, 0, 1)) for r in seen) and len(seen) == 3
+    parts = {(r.split, r.pos): r.role for r in roles.collect()}
+    for r in got:
+        train = x[[p for p in range(120) if parts[r.split, p] == "train"], 0]
+        v = (x[r.pos, 0] - train.min()) / (train.max() - train.min())
+        p = min(max(v, 0.0), 1.0)
+        assert r.signal == pytest.approx((1 if v >= 0.5 else -1) * max(p, 1 - p) * (1 if r.pos % 2 == 0 else -1))
+    assert len(got) == sum(role == "test" for role in parts.values())
+
+
+def test_places_of_a_model_have_names(spark):
+    rng = np.random.default_rng(6)
+    z = rng.standard_normal((200, 2))
+    x = np.stack([z[:, 0], z[:, 0] * 2 + 0.01 * z[:, 1], z[:, 1], np.arange(200) % 2], axis=1)
+    fit = models.ml(models.LogisticRegression(), ["x0", "x1", "x2"], scale=True, pca=0.95, beside=["x3"])
+    model = fit(frame(spark, x, (z[:, 0] > 0).astype(int)))
+    assert model.names == ["PCA_0", "PCA_1", "x3"] and model.model.numFeatures == 3
+    plot = models.importance_plot(spark.createDataFrame([("a", 0.3, 0.1), ("b", 0.1, 0.0)], "feature string, mean double, std double"), 0.7, 0.6)
+    assert [tuple(r) for r in plot.orderBy("place").collect()] == [(1, "b", 0.1, 0.0, 0.7, 0.6), (2, "a", 0.3, 0.1, 0.7, 0.6)]
+
+
+def test_jobs_write_bars(spark, tmp_path):
+    from quantloom.plans import jobs
+
+    for name, base in (("x", 100), ("y", 50)):
+        (tmp_path / f"{name}.csv").write_text("sip_timestamp,price,size\n" + "".join(f"{1_700_000_000_000_000_000 + k * 1_000_000_000},{base + k % 3},{1 + k % 4}\n" for k in range(40)))
+    jobs.one_fund(spark, str(tmp_path / "x.csv"), str(tmp_path / "one"), "x", 800.0)
+    jobs.many_funds(spark, {n: str(tmp_path / f"{n}.csv") for n in "xy"}, str(tmp_path / "many"), 800.0)
+    one, many = (spark.read.option("header", True).csv(str(tmp_path / d)) for d in ("one", "many"))
+    assert one.count() > 5 and many.filter("symbol = 'x'").count() == one.count() and many.filter("symbol = 'y'").count() > 2
+
+
+def test_stored_orders_are_applied_as_one_by_one(spark):
+    from quantloom.operators import fracdiff
+
+    df = spark.createDataFrame([("a", k, float(k % 7), float(k)) for k in range(60)], "symbol string, seq long, p double, q double")
+    both = {r.seq: (r.p, r.q) for r in fracdiff.apply_d(df, {"p": 0.3, "q": 0.6}, 0.02).collect()}
+    for name, d, at in (("p", 0.3, 0), ("q", 0.6, 1)):
+        alone = {r.seq: r.y for r in fracdiff.with_ffd(df, name, d, 0.02, "y").collect()}
+        assert all(both[k][at] == alone[k] for k in alone)
+    rng = np.random.default_rng(1)
+    steps = spark.createDataFrame([("a", k, float(v)) for k, v in enumerate(rng.standard_normal(400))], "symbol string, seq long, x double")
+    sums = {r.seq: r.x for r in steps.selectExpr("symbol", "seq", "sum(x) over (order by seq) as x").collect()}
+    d = fracdiff.least_d(steps.selectExpr("symbol", "seq", "sum(x) over (partition by symbol order by seq) as x"), ["x"], 0.01, 0.05).first().d
+    got = {r.seq: r.x for r in fracdiff.stationary_features(steps, ["x"]).collect()}
+    w = fracdiff.ffd_weights(d, 0.01) if d else [1.0]
+    for k in (50, 399):
+        assert got[k] == pytest.approx(sum(a * sums[k - j] for j, a in enumerate(w)), abs=1e-9)
