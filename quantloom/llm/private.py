@@ -5,7 +5,8 @@ Neighbours in the text share a chain potential; distant spans with the same digi
 skip potential: each with a base span of the thing if there is one, however far, and else with its next such span, so that a span
 repeated n times has n-1 links. Belief propagation, in sweeps forward and backward along each run of neighbours and each chain of
 repeats until nothing changes, then makes the labels of one thing agree across the document: a number that stands once as
-``+1 (017) 555-7713`` is found again as ``1 017 555 7713``. Weights are fitted on a bounded sample of documents, whose base spans are the labels.
+``+1 (017) 555-7713`` is found again as ``1 017 555 7713``. All weights have the greatest pseudo-likelihood on a bounded sample of documents,
+whose base spans are the labels; each of them also stands for a repeat that is written otherwise, and whose label the base patterns do not give.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ NONE = len(KINDS)
 SAMPLE = 500
 #: Messages are passed until no belief changes by SETTLED; a field whose loops never settle stops after MOST_ROUNDS sweeps over all of it.
 SETTLED, MOST_ROUNDS, SURE = 1e-6, 1000, 0.9
+#: Gradient steps of the fit, and the penalty on squared weights.
+FIT_STEPS, PENALTY = 3000, 1e-4
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -139,55 +142,77 @@ class Model:
     skip: np.ndarray
 
 
-def evidence(text: str) -> Iterator[tuple[str, list[int], int, int]]:
-    """What a text says of the weights: (node, features, label, 0), and (chain or skip, no features, label, label) of linked spans."""
+def written_otherwise(piece: str, kind: int) -> str:
+    """A base span's thing in a form that no base pattern finds."""
+    if kind == 0:
+        local, _, domain = piece.partition("@")
+        return f"{local} [at] {domain.replace('.', ' [dot] ')}"
+    digits = re.sub("[^0-9]", "", piece)
+    if kind == 1:
+        return piece.replace(".", " . ")
+    step = 3 if kind == 3 else 4
+    groups = [digits[k : k + step] for k in range(0, len(digits), step)]
+    return (" " if kind == 3 else ".").join(groups)
+
+
+def evidence(text: str) -> Iterator[tuple[list[int], int, int, int, int]]:
+    """What a text says of the weights: (features, label, label of the neighbour before, after, of a span of the same thing; -1: none).
+
+    Base spans have their kinds. Each also stands for a repeat of its thing that is written otherwise, in its place and with the span itself as
+    its like: so the field learns from labels that it could not see. Other candidates have no kind, but those that
+    repeat a base span's thing: of these nothing is known, and nothing is learned.
+    """
     base = base_spans(text)
     nodes = sorted([*base, *candidates(text, base)], key=lambda n: n[1])
+    keys = [key_of(text, n) for n in nodes]
+    of = {k: n[0] for n, k in zip(nodes, keys, strict=True) if n[0] != NONE and k is not None}
+    unknown = [n[0] == NONE and k in of for n, k in zip(nodes, keys, strict=True)]
+    close = lambda i, j: 0 <= i and j < len(nodes) and nodes[j][1] - nodes[i][2] <= 80 and not unknown[i] and not unknown[j]
     seen: dict[str, int] = {}
     for k, n in enumerate(nodes):
-        yield "node", features(text, n), n[0], 0
-        if k and n[1] - nodes[k - 1][2] <= 80:
-            yield "chain", [], nodes[k - 1][0], n[0]
-        if (key := key_of(text, n)) is not None:
-            if key in seen:
-                yield "skip", [], seen[key], n[0]
-            seen[key] = n[0]
+        if unknown[k]:
+            continue
+        before, after = nodes[k - 1][0] if close(k - 1, k) else -1, nodes[k + 1][0] if close(k, k + 1) else -1
+        yield features(text, n), n[0], before, after, seen.get(keys[k] or "", -1)
+        if keys[k] is not None:
+            seen[keys[k]] = n[0]
+        if n[0] != NONE:
+            other = written_otherwise(text[n[1] : n[2]], n[0])
+            around = text[max(0, n[1] - 24) : n[1]]
+            yield features(around + other + text[n[2] : n[2] + 1], (n[0], len(around), len(around) + len(other))), n[0], before, after, n[0]
 
 
 def fit(texts: list[str]) -> Model:
     """As ``fit_counts``, of texts at hand."""
-    counts = Counter((kind, tuple(f), a, b) for text in texts for kind, f, a, b in evidence(text))
+    counts = Counter((tuple(f), *labels) for text in texts for f, *labels in evidence(text))
     return fit_counts([(*k, n) for k, n in counts.items()])
 
 
-def fit_counts(rows: list[tuple[str, tuple[int, ...], int, int, int]]) -> Model:
-    """Unary weights by multinomial logistic regression, pair weights by the labels' log odds of standing together, both smoothed;
-    ``rows`` are evidence with how often it occurs."""
+def fit_counts(rows: list[tuple[tuple[int, ...], int, int, int, int, int]]) -> Model:
+    """The weights of the greatest pseudo-likelihood: each node's label given its features and its neighbours' labels, with a penalty
+    on the weights' squares; ``rows`` are evidence with how often it occurs."""
     labels = NONE + 1
-    chain, skip = np.ones((labels, labels)), np.ones((labels, labels)) * 0.25 + np.eye(labels)
-    for kind, _, a, b, n in rows:
-        if kind == "chain":
-            chain[a, b] += n
-        elif kind == "skip":
-            skip[a, b] += n
-            skip[b, a] += n
-    nodes = sorted(r for r in rows if r[0] == "node")
-    w = np.zeros((labels, FEATURES))
+    w, chain, skip = np.zeros((labels, FEATURES)), np.zeros((labels, labels)), np.zeros((labels, labels))
     w[NONE, 0] = 2.0
-    if nodes:
-        data = np.zeros((len(nodes), FEATURES))
-        for k, r in enumerate(nodes):
-            data[k, list(r[1])] = 1
-        target, weight = np.eye(labels)[[r[2] for r in nodes]], np.array([r[4] for r in nodes], dtype=float)
+    rows = sorted((tuple(r[0]), *r[1:]) for r in rows)
+    if rows:
+        data = np.zeros((len(rows), FEATURES))
+        for k, r in enumerate(rows):
+            data[k, list(r[0])] = 1
+        of = lambda c: np.array([[r[c] == x for x in range(labels)] for r in rows], dtype=float)
+        target, before, after, like = of(1), of(2), of(3), of(4)
+        weight = np.array([r[5] for r in rows], dtype=float)
         weight = (weight / weight.sum())[:, None]
-        for _ in range(300):
-            p = data @ w.T
-            p = np.exp(p - p.max(axis=1, keepdims=True))
+        for _ in range(FIT_STEPS):
+            z = data @ w.T + before @ chain + after @ chain.T + like @ skip
+            p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            w += 1.0 * (((target - p) * weight).T @ data - 1e-3 * w)
-    ratio = lambda m: np.log(m / m.sum()) - np.log(m.sum(axis=1, keepdims=True) / m.sum()) - np.log(m.sum(axis=0, keepdims=True) / m.sum())
-    # repeated things are the same thing: what the sample has no case of, agreement decides
-    return Model(w, np.clip(ratio(chain), -2, 2), np.clip(ratio(skip), -4, 4) + 3.0 * np.eye(labels))
+            g = (target - p) * weight
+            w += g.T @ data - PENALTY * w
+            chain += before.T @ g + g.T @ after - PENALTY * chain
+            pull = like.T @ g
+            skip += (pull + pull.T) / 2 - PENALTY * skip
+    return Model(w, chain, skip)
 
 
 def chain_runs(links: list[tuple[int, int]]) -> list[list[int]]:
@@ -220,12 +245,12 @@ def sweep(belief: np.ndarray, run: list[int], pot: np.ndarray, held: dict[tuple[
             held[a, b] = new
 
 
-def infer(text: str, base: list[Span], model: Model) -> list[Span]:
-    """Spans that the field adds: sure of their label, overlapping no base span."""
-    open_ = candidates(text, base)
-    if not open_:
-        return []
-    nodes = sorted([*base, *open_], key=lambda n: n[1])
+Links = list[tuple[int, int]]
+
+
+def field(text: str, base: list[Span], model: Model) -> tuple[list[Span], np.ndarray, Links, Links, Links]:
+    """(nodes, what each is by itself, chain links, skip links between open ones, skip links from known ones to open ones)."""
+    nodes = sorted([*base, *candidates(text, base)], key=lambda n: n[1])
     labels = NONE + 1
     unary = np.empty((len(nodes), labels))
     for k, n in enumerate(nodes):
@@ -240,7 +265,8 @@ def infer(text: str, base: list[Span], model: Model) -> list[Span]:
     for k, n in enumerate(nodes):
         if (key := key_of(text, n)) is not None:
             groups.setdefault(key, []).append(k)
-    belief, skips = unary.copy(), []
+    skips: Links = []
+    told_: Links = []
     for g in groups.values():
         known = [k for k in g if nodes[k][0] != NONE]
         if not known:
@@ -252,7 +278,15 @@ def infer(text: str, base: list[Span], model: Model) -> list[Span]:
             if nodes[k][0] != NONE:
                 now = k
             else:
-                belief[k] += sent(unary[now], model.skip)
+                told_.append((now, k))
+    return nodes, unary, links, skips, told_
+
+
+def beliefs(unary: np.ndarray, links: Links, skips: Links, told_: Links, model: Model) -> np.ndarray:
+    """The nodes' label probabilities by sweeps over the chains of ``links`` and ``skips`` until nothing changes."""
+    belief = unary.copy()
+    for known, k in told_:
+        belief[k] += sent(unary[known], model.skip)
     # messages into the two ends of each link, by kind of link
     kinds = [(chain_runs(links), model.chain, {}), (chain_runs(skips), model.skip, {})]
     last = None
@@ -266,11 +300,18 @@ def infer(text: str, base: list[Span], model: Model) -> list[Span]:
             break
         last = belief.copy()
     p = np.exp(belief - belief.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def infer(text: str, base: list[Span], model: Model) -> list[Span]:
+    """Spans that the field adds: sure of their label, overlapping no base span."""
+    nodes, *rest = field(text, base, model)
+    if len(nodes) == len(base):
+        return []
     out = []
-    for k, n in enumerate(nodes):
-        best = int(p[k].argmax())
-        if n[0] == NONE and best != NONE and p[k, best] >= SURE:
+    for n, p in zip(nodes, beliefs(*rest, model), strict=True):
+        best = int(p.argmax())
+        if n[0] == NONE and best != NONE and p[best] >= SURE:
             out.append((best, n[1], n[2]))
     return out
 
@@ -279,13 +320,16 @@ def told(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans))
 
 
+COUNTED = "features array<int>, label int, before int, after int, same int, n long"
+
+
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0):
-            counts = Counter((kind, tuple(f), a, b) for kind, f, a, b in evidence(text.as_py()))
+            counts = Counter((tuple(f), *labels) for f, *labels in evidence(text.as_py()))
             rows = [(*k, n) for k, n in counts.items()]
-            kinds = [pa.string(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["kind", "features", "a", "b", "n"])
+            kinds = [pa.list_(pa.int32()), *[pa.int32()] * 4, pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [x.split()[0] for x in COUNTED.split(", ")])
 
 
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Model:
@@ -299,8 +343,8 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int
     last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if last is None:
         return fit_counts([])
-    found = rows.filter(F.col("h") <= last).select("t").mapInArrow(_evidence, "kind string, features array<int>, a int, b int, n long")
-    return fit_counts([tuple(r) for r in found.groupBy("kind", "features", "a", "b").agg(F.sum("n").alias("n")).collect()])
+    found = rows.filter(F.col("h") <= last).select("t").mapInArrow(_evidence, COUNTED)
+    return fit_counts([tuple(r) for r in found.groupBy("features", "label", "before", "after", "same").agg(F.sum("n").alias("n")).collect()])
 
 
 FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"

@@ -1,6 +1,7 @@
 """The operators against brute force, and the cases that every one has to bear."""
 
 import hashlib
+import itertools
 import random
 import re
 import textwrap
@@ -585,6 +586,53 @@ def test_the_field_reaches_every_repeat_of_a_long_document(spark):
     assert len(private.infer(t, private.base_spans(t), model)) == 50
 
 
+def exact(unary, pairs):
+    """Marginals by the sum over all labellings."""
+    n, labels = unary.shape
+    out = np.zeros_like(unary)
+    for at in itertools.product(range(labels), repeat=n):
+        p = np.exp(sum(unary[k, x] for k, x in enumerate(at)) + sum(pot[at[a], at[b]] for a, b, pot in pairs))
+        for k, x in enumerate(at):
+            out[k, x] += p
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def test_beliefs_against_all_labellings(spark):
+    """Exact on trees, and close to it with the loops that skip links make."""
+    model = private.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    far = " ".join(["word"] * 30)
+    for text, tolerance in (
+        (f"see 5550 123 4567 {far} and 5550 123 4567 {far} or 5550-123-4567", 1e-6),
+        (f"call +1 (017) 555-7713 or 1 017 555 7713 {far} then 99 88 77 66", 1e-6),
+        ("call +1 (017) 555-7713 or 1 017 555 7713, 017 555 7713, and 12 34 56 78", 0.05),
+        ("a 5550 123 4567 b 88 77 66 55 44 c 5550 123 4567 d 88 77 66 55 44", 0.05),
+    ):
+        nodes, unary, links, skips, known = private.field(text, private.base_spans(text), model)
+        assert len(nodes) >= 3
+        want = exact(unary, [(a, b, model.chain) for a, b in links] + [(a, b, model.skip) for a, b in [*skips, *known]])
+        assert np.abs(private.beliefs(unary, links, skips, known, model) - want).max() < tolerance
+
+
+def test_what_is_added_comes_through_the_skip_links(spark):
+    """Each kind's thing, repeated in a form that the base patterns do not find, is found; a phone number is not without the skip weights, or
+    without the base span. (An address is one by its letters, a card by its check digit.)"""
+    model = private.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    alone = private.Model(model.unary, model.chain, np.zeros_like(model.skip))
+    assert (np.diag(model.skip)[:3] > model.skip[:3, private.NONE]).all()
+    far = " ".join(["word"] * 30)
+    for kind, span, again in (
+        ("email", "jo.do@mail.example.org", "jo.do [at] mail [dot] example [dot] org"), ("phone", "+44 (020) 7946-0018", "44 020 7946 0018"), ("card", "4111 1111 1111 1111", "4111.1111.1111.1111"),
+    ):
+        text = f"first {span} here. {far} then {again} there. {far} order 12 345 678 90 1"
+        base = private.base_spans(text)
+        assert [(private.KINDS[k], text[s:e]) for k, s, e in private.infer(text, base, model)] == [(kind, again)]
+        if kind != "phone":
+            continue
+        assert private.infer(text, base, alone) == []
+        lone = text.replace(span, "it")
+        assert private.infer(lone, private.base_spans(lone), model) == []
+
+
 def test_weights_are_fitted_on_whole_texts(spark):
     tail = "x " * 15_000 + " ".join(f"a{k}@b.com or 12345{k:04d}" for k in range(30))
     docs = spark.createDataFrame([(1, tail), (2, "7 b")], "doc_id long, text string")
