@@ -74,13 +74,20 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
 def _runs(docs: DataFrame) -> DataFrame:
     """(run, ghost, doc_id, text): rows dealt to runs of ids, in each the run before it's last row as a ghost, in front.
 
-    Runs are equal stretches of the range of ids; rows without an id are the run below. The last row before the first run's is the
-    last of all.
+    Runs lie between quantiles of the ids, so that outlying ids make none larger; rows without an id are runs below these, dealt by a hash of
+    their text. The last row before the first run's is the last of all.
     """
-    n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    runs = max(1, min(MOST_RUNS, n // RUN))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // runs))
-    run = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)).cast("int"), F.lit(-1))
+    ids, missing = docs.agg(F.count("doc_id"), F.sum(F.col("doc_id").isNull().cast("long"))).first()
+    runs, empty = max(1, min(MOST_RUNS, ids // RUN)), max(1, min(MOST_RUNS, (missing or 0) // RUN))
+    edges: list[int] = []
+    if runs > 1:
+        shares = ", ".join(f"{k / runs!r}D" for k in range(1, runs))
+        edges = sorted(set(docs.agg(F.expr(f"percentile_approx(doc_id, array({shares}), {max(10_000, 4 * runs)})")).first()[0]))
+    bounds, up = F.expr(f"cast(array({', '.join(map(str, edges))}) as array<bigint>)"), max(1, len(edges)).bit_length()
+    # how many edges are at or under the id, by halving
+    steps = F.array(*(F.lit(1 << k) for k in range(up, -1, -1)))
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at))
+    run = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(empty)).cast("int")).otherwise(place)
     rows = docs.select(run.alias("run"), F.lit(False).alias("ghost"), "doc_id", "text")
     # the last row of each run: of repeated ids, that of the greatest text
     tops = rows.groupBy("run").agg(F.max("doc_id").alias("top"))
@@ -97,7 +104,7 @@ def edited(docs: DataFrame, k: int = K) -> DataFrame:
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the next document's, which
     is the next smaller doc_id's; the smallest one's is the greatest's. Of rows that repeat a doc_id, the smaller text comes later;
-    a row without doc_id comes after all others. A null text is an empty one. An empty table gives an empty one. A text without words
+    rows without doc_id come after all others, in an order that their texts give. A null text is an empty one. An empty table gives an empty one. A text without words
     has the fingerprint ''; two such are alike, and unlike any other.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

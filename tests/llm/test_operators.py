@@ -544,6 +544,33 @@ def test_fingerprint_likeness_is_generalised_jaccard(spark):
     assert np.corrcoef(got, want)[0, 1] > 0.7
 
 
+def test_runs_of_uneven_ids_in_the_registered_form(spark, monkeypatch):
+    """One outlying id and negative ones, over many runs: the next document is the next smaller id, and likeness is near the exact one."""
+    monkeypatch.setattr(fingerprints, "RUN", 20)
+    rng = random.Random(12)
+    ids = rng.sample(range(-100, 900), 180) + [10**15]
+    rows = [(i, words(rng.randrange(0, 60), 3000 + k, 200)) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    runs = [r["count"] for r in fingerprints._runs(df).filter("not ghost").groupBy("run").count().collect()]
+    assert len(runs) >= 8 and max(runs) <= 40
+    rows.sort(key=lambda r: -r[0])
+    got = {r.doc_id: r for r in fingerprints.edited(df).collect()}
+    assert len(got) == len(rows)
+    off = []
+    for (i, t), (_, after) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        changed = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        assert got[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        for other, x in ((changed, got[i].near_edited), (after, got[i].near_next)):
+            a, b = Counter(split(t)), Counter(split(other))
+            want = 1.0 if not a and not b else sum(min(a[w], b[w]) for w in a | b) / sum(max(a[w], b[w]) for w in a | b)
+            off.append(x - want)
+            assert x == 1 or t != other
+    assert abs(np.mean(off)) < 0.02 and np.sqrt(np.mean(np.square(off))) < 0.11
+    missing = df.union(spark.createDataFrame([(None, words(9, k)) for k in range(100)], "doc_id long, text string"))
+    assert max(r["count"] for r in fingerprints._runs(missing).filter("not ghost").groupBy("run").count().collect()) <= 45
+    assert fingerprints.edited(missing).count() == len(rows) + 100
+
+
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
