@@ -574,7 +574,7 @@ def near_passages(docs: DataFrame) -> DataFrame:
     are linked, and their span is all of their words. A null or short text has no passage; a row without doc_id takes
     no part and has a null component; an empty table gives an empty one.
     """
-    state, copies, count = pack(docs, 2 * WORDS - 1)
+    state, copies, count, remove = pack(docs, 2 * WORDS - 1)
     ranges = _Ranges(count, np.uint32)
     now = state.select("block", "ids", "held", "data", "copied_at", "first_at")
     bits = answered(now.mapInArrow(_Windows(1, ranges), "place long, block long, names binary, twice binary"), count, np.uint32)
@@ -589,6 +589,7 @@ def near_passages(docs: DataFrame) -> DataFrame:
     led, missed = _leader_links(rows, equal, twin_stars, blocks)
     links = equal.union(led)
     links = cut(links.union(_crossing_links(rows, links, missed, twin_stars, blocks)))
+    remove()
     spans = _spans(links)
     stars = _stars(links).union(twin_stars)
     stars = cut(stars.distinct())

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, cut, mix, powers, running, seeds, shared_dir, window_hashes
+from .common import U, cut, discard, mix, powers, running, seeds, shared_dir, window_hashes, written
 
 LENGTH = 200
 #: A perfect difference set modulo 133: each difference occurs once.
@@ -250,8 +250,8 @@ class _Level:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def pack(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
-    """The texts in blocks, with copied_at and first_at; the copies (block, k, digest, first); and how many ranges names are dealt to.
+def pack(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int, Callable[[], None]]:
+    """The texts in blocks, with copied_at and first_at; the copies (block, k, digest, first); how many ranges names are dealt to; and what removes the blocks.
 
     Blocks (block, ids, sizes, digests, held, data, copied_at, first_at) are written once to the shared folder, bucketed by block.
     Of texts of ``least`` bytes or more that stand in several rows, one, at first_at, takes part; copied_at has all of them.
@@ -261,7 +261,8 @@ def pack(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
     packed = texts.mapInArrow(_packed(least, buckets), "block long, ids array<long>, sizes array<long>, digests array<binary>, held array<long>, data binary")
     name = f"blocks_{uuid.uuid4().hex}"
-    packed.write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").option("parquet.block.size", 16 << 20).bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
+    path = f"{shared_dir(spark)}/{name}"
+    packed.write.option("path", path).option("compression", "zstd").option("parquet.block.size", 16 << 20).bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
     blocks = spark.table(name)
     total = blocks.agg(F.sum(F.expr("aggregate(held, 0L, (a, x) -> a + x)"))).first()[0] or 0
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
@@ -271,7 +272,7 @@ def pack(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
     is_first = (F.col("block") == F.col("of.block")) & (F.col("k") == F.col("of.k"))
     copies = cut(rows.join(classes, "digest").select("block", "k", "doc_id", F.col("of.doc_id").alias("first_id"), is_first.alias("first")))
     marks = copies.groupBy("block").agg(F.collect_list("k").alias("copied_at"), F.collect_list(F.when(F.col("first"), F.col("k"))).alias("first_at"))
-    return blocks.join(cut(marks), "block", "left"), copies, count
+    return blocks.join(cut(marks), "block", "left"), copies, count, lambda: discard(spark, path, name)
 
 
 def answered(sent: DataFrame, count: int, kind: type) -> DataFrame:
@@ -289,7 +290,7 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     if length < V:
         raise ValueError(f"length has to be {V} or more")
-    state, _, count = pack(docs, length)
+    state, _, count, remove = pack(docs, length)
     ranges = (_Ranges(count, np.uint32), _Ranges(count, U))
     now = state.select("block", "held", "data", "copied_at", "first_at")
     for level, into in ((1, "one"), (2, "two")):
@@ -297,4 +298,6 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         state = state.join(answered(sent, count, ranges[level - 1].kind).withColumnRenamed("bits", into), "block", "left")
         now = state.select("block", "held", "data", "copied_at", "first_at", "one")
     now = state.select("block", "ids", "sizes", "digests", "held", "data", "copied_at", "first_at", "one", "two")
-    return now.mapInArrow(_Level(length, 3, *ranges), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
+    found = written(now.mapInArrow(_Level(length, 3, *ranges), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"))
+    remove()
+    return found
