@@ -3,8 +3,8 @@
 Tokens are summed into cells of source, language and topic. Rounds of fitting scale the cells' weights until each margin has its
 target share. A document is kept with the probability budget * (fitted / observed) of its cell, decided by a hash of its id.
 
-Fitting is bounded: a cell cannot give more than all of its documents, so its fitted share is at most observed / budget. Each step solves
-the margin under that bound (saturated cells stay whole, the others are scaled until the margin holds), and a value that has fewer tokens
+Fitting is bounded: a cell cannot give more than all of its documents, so its fitted share is at most observed / budget. Each step scales
+what is not saturated to what the saturated cells leave of the margin, and a value that has fewer tokens
 than its target asks for is kept whole, its surplus shared by the others of its dimension. So the sample has the budget, whatever its
 smallest cell holds. ``exact`` fits until the margins hold, instead of for a number of rounds.
 """
@@ -19,7 +19,7 @@ from .common import cut, fresh, whole
 DIMENSIONS = ("source", "lang", "topic")
 #: Where no target is given, a value's share is in proportion to its tokens to this power.
 ALPHA = 0.7
-ROUNDS, BUDGET, SEED = 8, 0.5, "mix-1"
+ROUNDS, BUDGET, SEED = 10, 0.5, "mix-1"
 #: Up to so many cells are fitted in one task and broadcast; more are fitted over all tasks and joined by shuffling.
 SMALL_CELLS = 20_000
 #: Exact fits end when no margin is off its target by TOLERANCE, or when WHILE more rounds bring it no closer: then the cells that occur
@@ -39,14 +39,22 @@ def with_topic(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({"n_tokens": F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), "topic": topic})
 
 
-def _scaled(x: str, cap: str, to: str, by: str) -> tuple[str, str]:
-    """SQL of two steps by which the least of ``cap`` and the scaled ``x`` sums to ``to`` over each ``by``: _g, the sum if the scale
-    were the one at which the row is saturated, and then the scaled ``x``. Where all rows are saturated they stay so."""
-    whole_, rows = f"partition by {by}", f"partition by {by} order by {cap} / {x} rows between unbounded preceding and current row"
+def _scaled(x: str, cap: str, to: str, by: str) -> str:
+    """SQL of a step: ``x`` scaled so that over each ``by`` what is under ``cap`` and the caps of the rest sum to ``to``. Saturated rows
+    are scaled too, and may fall under their cap again; where caps alone are over ``to`` all are scaled down, where no row is under its cap none is."""
+    full = f"{x} >= {cap} * 0.999999999D"  # what comes to its cap by rounding is full in any engine
+    held = f"coalesce(sum(case when {full} then {cap} end) over (partition by {by}), 0)"
+    free = f"coalesce(sum(case when not ({full}) then {x} end) over (partition by {by}), 0)"
+    return f"{x} * case when {held} >= {to} then {to} / ({held} + {free}) when {free} > 0 then ({to} - {held}) / {free} else 1.0D end"
+
+
+def _filled(x: str, cap: str) -> tuple[str, str]:
+    """SQL of what ``_bounded`` does, in two steps over a table with a constant ``one``: _g, the sum if the scale were the one at which the
+    row is full, and then the scaled ``x``."""
+    whole_, rows = "partition by one", f"partition by one order by {cap} / {x} rows between unbounded preceding and current row"
     g = f"sum({cap}) over ({rows}) + {cap} / {x} * greatest(0, sum({x}) over ({whole_}) - sum({x}) over ({rows}))"
-    free = f"sum(case when _g > {to} then {x} end) over ({whole_})"
-    held = f"coalesce(sum(case when _g <= {to} then {cap} end) over ({whole_}), 0)"
-    return g, f"{x} * coalesce(({to} - {held}) / nullif({free}, 0), max({cap} / {x}) over ({whole_}))"
+    free, held = f"sum(case when _g > 1 then {x} end) over ({whole_})", f"coalesce(sum(case when _g <= 1 then {cap} end) over ({whole_}), 0)"
+    return g, f"{x} * coalesce((1 - {held}) / nullif({free}, 0), max({cap} / {x}) over ({whole_}))"
 
 
 def _bounded(margin: DataFrame) -> DataFrame:
@@ -93,12 +101,11 @@ def fitted_cells(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
     w = w.withColumn("_x", F.col("tokens").cast("double") / total).withColumn("_cap", F.col("_x") / budget)
 
     def fit(w: DataFrame, rounds: int) -> DataFrame:
-        for _ in range(rounds):
+        for i in range(rounds):
             for d in DIMENSIONS:
-                g, x = _scaled("_x", "_cap", f"_{d}", d)
-                w = w.withColumn("_g", F.expr(g)).withColumn("_x", F.expr(x)).drop("_g")
-            # a task holds a page for each sort that waits in it: few steps go into one
-            w = cut(w)
+                w = w.withColumn("_x", F.expr(_scaled("_x", "_cap", f"_{d}", d)))
+            # a task holds a page for each sort that waits in it
+            w = cut(w) if i % 5 == 4 else w
         return w.withColumn("fitted", F.least("_x", "_cap"))
 
     w = fit(w, rounds)
@@ -146,7 +153,7 @@ def sql(documents: str = "documents", alpha: float = ALPHA, rounds: int = ROUNDS
     for d in DIMENSIONS:
         out.append(f"m_{d}0 as (select {d}, sum(tokens)::double as t, case when sum(tokens) > 0 then pow(sum(tokens)::double, {alpha}) else 0 end as p from m_c group by {d})")
         out.append(f"m_{d}1 as (select {d}, 1 as one, p / sum(p) over () as x, t / (sum(t) over () * {budget}) as cap from m_{d}0 where t > 0)")
-        g, x = _scaled("x", "cap", "1.0", "one")
+        g, x = _filled("x", "cap")
         out.append(f"m_{d}2 as (select *, {g} as _g from m_{d}1)")
         out.append(f"m_{d} as materialized (select {d}, least(cap, {x}) as share from m_{d}2)")
     out.append(
@@ -156,9 +163,7 @@ def sql(documents: str = "documents", alpha: float = ALPHA, rounds: int = ROUNDS
     n = 0
     for _ in range(rounds):
         for d in DIMENSIONS:
-            g, x = _scaled("x", "cap", f"_{d}", d)
-            out.append(f"g_{n + 1} as materialized (select *, {g} as _g from w_{n})")
-            out.append(f"w_{n + 1} as materialized (select * exclude (x, _g), {x} as x from g_{n + 1})")
+            out.append(f"w_{n + 1} as materialized (select * exclude (x), {_scaled('x', 'cap', f'_{d}', d).replace('1.0D', '1.0::double').replace('0.999999999D', '0.999999999::double')} as x from w_{n})")
             n += 1
     out.append(f"m_p as materialized (select source, lang, topic, round(least(1.0, least(x, cap) / cap), 9) as probability from w_{n} union all select source, lang, topic, {budget}::double from m_c where tokens = 0)")
     out.append(
