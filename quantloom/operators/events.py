@@ -228,8 +228,9 @@ def drop_labels(labels: DataFrame, min_share: float = 0.05) -> DataFrame:
 
 
 def ma_side(bars: DataFrame, fast: int = 20, slow: int = 50) -> DataFrame:
-    """1 if the fast mean is at least the slow one, -1 if not, null before there are ``slow`` bars; then one bar later."""
+    """1 if the fast mean is at least the slow one, -1 if not, null before there are ``slow`` bars; then one bar later. Means are told apart
+    to nine digits, so that equal ones are equal in whatever order their prices are summed."""
     own = W.partitionBy("symbol").orderBy("seq")
-    mean = lambda n: F.when(F.count("price").over(own.rowsBetween(-(n - 1), 0)) == n, F.avg("price").over(own.rowsBetween(-(n - 1), 0)))
+    mean = lambda n: F.when(F.count("price").over(own.rowsBetween(-(n - 1), 0)) == n, F.round(F.avg("price").over(own.rowsBetween(-(n - 1), 0)), 9))
     side = F.when(mean(fast) >= mean(slow), 1).when(mean(fast) < mean(slow), -1)
     return bars.withColumn("_side", side).withColumn("side", F.lag("_side").over(own)).drop("_side")
