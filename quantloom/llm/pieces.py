@@ -14,6 +14,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 SPACE = "▁"
-#: Parts kept by each worker.
-KEPT = 200_000
+#: Parts kept by each worker, half of them met since the other half was full.
+KEPT = 160_000
+#: Parts that are segmented together.
+AT_ONCE = 4096
 #: Parts that are looked up together.
 TOGETHER = 50_000
 #: How much worse than the worst piece an unknown character is, as in the published library.
@@ -78,7 +81,7 @@ class Codec:
         self.automaton = ahocorasick.Automaton()
         for i in normal:
             if v.pieces[i]:
-                self.automaton.add_word(v.pieces[i], (len(v.pieces[i]), v.scores[i], i))
+                self.automaton.add_word(v.pieces[i], i)
         self.automaton.make_automaton()
         self.singles = {v.pieces[i] for i in normal if len(v.pieces[i]) == 1}
         self.unknown_score = min((v.scores[i] for i in normal), default=0.0) - UNKNOWN
@@ -96,7 +99,10 @@ class Codec:
         self.between = next(c for c in map(chr, range(1, 0x110000)) if not any(c in v.pieces[i] for i in normal))
         self.sizes = np.array([len(p) for p in v.pieces], dtype=np.int64)
         self.scores = np.array(v.scores)
+        self.of = list(zip(self.sizes.tolist(), v.scores, strict=True))
+        #: Parts met of late, and those met before them: what is met again moves over, the rest goes when the first table is full.
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def spelled(self, char: str) -> list[int]:
         """The ids of a character that is no piece."""
@@ -119,7 +125,8 @@ class Codec:
                     if best[e] is None or s > best[e]:
                         best[e], came[e] = s, (e - 1, -1)
 
-        for last, (size, score, i) in self.automaton.iter(part):
+        for last, i in self.automaton.iter(part):
+            size, score = self.of[i]
             end = last + 1
             if last > done:
                 settle(last)
@@ -141,9 +148,8 @@ class Codec:
         size = np.array([len(p) for p in parts])
         top = int(size.max())
         begin = np.cumsum(size + 1) - size - 1
-        found = list(self.automaton.iter(self.between.join(parts)))
-        last = np.fromiter((x[0] for x in found), np.int64, len(found))
-        ids = np.fromiter((x[1][2] for x in found), np.int64, len(found))
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(self.between.join(parts))), np.int64).reshape(-1, 2)
+        last, ids = found[:, 0], found[:, 1]
         word = np.repeat(np.arange(len(parts)), size + 1)[last]
         end = last - begin[word] + 1
         length = self.sizes[ids]
@@ -181,8 +187,9 @@ class Codec:
             by = np.argsort(row, kind="stable")
             row, got = row[by], got[by]
             first = np.flatnonzero(np.diff(row, prepend=-1))
-            for w, a, b in zip(row[first].tolist(), first.tolist(), [*first[1:].tolist(), len(row)], strict=True):
-                out[w] = got[a:b].tobytes()
+            told = got.tobytes()
+            for w, a, b in zip(row[first].tolist(), (4 * first).tolist(), [*(4 * first[1:]).tolist(), len(told)], strict=True):
+                out[w] = told[a:b]
         for w in np.flatnonzero(~whole).tolist():
             out[w] = self.segment(parts[w])
         return out
@@ -193,13 +200,14 @@ class Codec:
         if None not in out:
             return out
         need = {p for p, x in zip(parts, out, strict=True) if x is None}
-        short = [p for p in need if len(p) <= 64 and self.between not in p]
-        new: dict[str, bytes] = {}
-        for at in range(0, len(short), 8192):
-            some = short[at : at + 8192]
+        new = {p: self.older[p] for p in need if p in self.older}
+        # those of a length together: none waits for longer ones
+        short = sorted((p for p in need - new.keys() if len(p) <= 64 and self.between not in p), key=len)
+        for at in range(0, len(short), AT_ONCE):
+            some = short[at : at + AT_ONCE]
             new.update(zip(some, self.segment_all(some), strict=True))
-        if len(self.kept) + len(new) > KEPT:
-            self.kept.clear()
+        if len(self.kept) + len(new) > KEPT // 2:
+            self.older, self.kept = self.kept, {}
         self.kept.update(new)
         for p in need - new.keys():
             new[p] = self.segment(p)

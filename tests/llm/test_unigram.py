@@ -61,3 +61,18 @@ def test_ids_and_scores_are_those_of_the_library(spark, tmp_path):
         assert same >= 0.95 * (len(texts) + 6)
     rows = {r.doc_id: r for r in pieces.decode(pieces.encode(docs, path), path).collect()}
     assert all(rows[r.doc_id].decoded == r.text for r in docs.collect())
+
+
+def test_parts_met_again_outlast_full_tables(monkeypatch):
+    """A part that every text holds is segmented once, however many others fill the tables; what is kept stays bounded."""
+    monkeypatch.setattr(pieces, "KEPT", 40)
+    v = pieces.Vocabulary(["<unk>", pieces.SPACE, *"abcdefghijklmnopqrstuvwxyz"], [0.0] + [-1.0] * 27, "U" + "N" * 27)
+    c, fresh, often = pieces.Codec(v), pieces.Codec(v), []
+    once = c.segment_all
+    monkeypatch.setattr(c, "segment_all", lambda parts: often.extend(p for p in parts if p == f"{pieces.SPACE}often") or once(parts))
+    letters = [f"{x}{y}" for x in "abcdefghij" for y in "klmnopqrst"]
+    for k in range(0, 100, 5):
+        text = " ".join([*letters[k : k + 5], "often"])
+        assert c.encode(text) == b"".join(map(fresh.segment, fresh.parts.findall(pieces.SPACE + text.replace(" ", pieces.SPACE))))
+        assert len(c.kept) + len(c.older) <= 40
+    assert len(often) == 1
