@@ -209,3 +209,18 @@ def test_stored_orders_are_applied_as_one_by_one(spark):
     w = fracdiff.ffd_weights(d, 0.01) if d else [1.0]
     for k in (50, 399):
         assert got[k] == pytest.approx(sum(a * sums[k - j] for j, a in enumerate(w)), abs=1e-9)
+
+
+def test_distances_that_only_their_roots_make_equal(spark):
+    """Two rows whose squared distances differ in the last bit, though their roots do not: the nearer one counts, not the first."""
+    rng = np.random.default_rng(5)
+    while True:
+        near = rng.random(2)
+        far = near[::-1] * np.array([1.0, 1 + 2.0**-52])
+        a, b = (float(p[0] * p[0] + p[1] * p[1]) for p in (near, far))
+        if a < b and np.sqrt(a) == np.sqrt(b):
+            break
+    rows = [("a", 0, 0, *far.tolist()), ("a", 1, 1, *near.tolist())]
+    schema = "symbol string, pos long, label int, x0 double, x1 double"
+    model = learners.nearest_neighbours(["x0", "x1"], 1, scale=False)(spark.createDataFrame(rows, schema))
+    assert [r.score for r in model(spark.createDataFrame([("a", 2, 0, 0.0, 0.0)], schema)).collect()] == [1.0]
