@@ -135,21 +135,26 @@ def sequential_bootstrap(spans: list[tuple[int, int]] | np.ndarray, draws: int,
     return out
 
 
-def bootstrap_counts(events: DataFrame, seed: int, first: str = "i0", last: str = "i1", key: str = "pos") -> DataFrame:
-    """(symbol, key, times): how often each of a symbol's events is drawn in as many draws as it has events. Only keys and spans go to
-    the symbol's task; an event without an end is not drawn."""
+def bootstrap_counts(events: DataFrame, seed: int | list[int], first: str = "i0", last: str = "i1", key: str = "pos") -> DataFrame:
+    """(symbol, key, times): how often each of a symbol's events is drawn in as many draws as it has events; of several seeds also
+    seed. Only keys and spans go to a task, which has one symbol and seed, so all lists are drawn side by side; an event without an end is not drawn."""
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = int(pdf["seed"].iloc[0])
         pdf = pdf.sort_values(key, kind="stable")
-        drawn = sequential_bootstrap(pdf[[first, last]].to_numpy(), len(pdf), seed)
+        drawn = sequential_bootstrap(pdf[[first, last]].to_numpy(), len(pdf), own)
         times = np.bincount(drawn, minlength=len(pdf))
-        return pd.DataFrame({"symbol": pdf["symbol"], key: pdf[key], "times": times})[times > 0]
+        return pd.DataFrame({"symbol": pdf["symbol"], key: pdf[key], "seed": own, "times": times})[times > 0]
 
     from ..session import ship
 
     ship(events.sparkSession)
     df = events.select("symbol", F.col(key).cast("long").alias(key), F.col(first).cast("long").alias(first), F.col(last).cast("long").alias(last)).filter(F.col(first).isNotNull() & F.col(last).isNotNull())
-    return df.groupBy("symbol").applyInPandas(draw, f"symbol string, `{key}` long, times long")
+    seeds = [seed] if isinstance(seed, int) else seed
+    df = df.withColumn("seed", F.explode(F.array(*(F.lit(s).cast("long") for s in seeds))))
+    # a few groups, each of much work: so many partitions that they seldom share one
+    out = df.repartition(200, "symbol", "seed").groupBy("symbol", "seed").applyInPandas(draw, f"symbol string, `{key}` long, seed long, times long")
+    return out.drop("seed") if isinstance(seed, int) else out
 
 
 def mean_uniqueness(spans: list[tuple[int, int]]) -> float:

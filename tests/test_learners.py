@@ -224,3 +224,14 @@ def test_distances_that_only_their_roots_make_equal(spark):
     schema = "symbol string, pos long, label int, x0 double, x1 double"
     model = learners.nearest_neighbours(["x0", "x1"], 1, scale=False)(spark.createDataFrame(rows, schema))
     assert [r.score for r in model(spark.createDataFrame([("a", 2, 0, 0.0, 0.0)], schema)).collect()] == [1.0]
+
+
+def test_draw_lists_of_several_seeds_are_those_of_each(spark):
+    from quantloom.operators.weights import bootstrap_counts
+
+    df = spark.range(60).selectExpr("if(id % 3 = 0, 'a', 'b') as symbol", "id as pos", "id as i0", "id + 2 + id % 5 as i1")
+    both = bootstrap_counts(df, [3, 4]).collect()
+    for seed in (3, 4):
+        one = sorted(map(tuple, bootstrap_counts(df, seed).collect()))
+        assert one == sorted((r.symbol, r.pos, r.times) for r in both if r.seed == seed)
+        assert sum(x[2] for x in one) == 60
