@@ -235,3 +235,13 @@ def test_draw_lists_of_several_seeds_are_those_of_each(spark):
         one = sorted(map(tuple, bootstrap_counts(df, seed).collect()))
         assert one == sorted((r.symbol, r.pos, r.times) for r in both if r.seed == seed)
         assert sum(x[2] for x in one) == 60
+
+
+def test_mapped_rows_lie_in_parts_of_bounded_size(spark, monkeypatch):
+    sizes, cut = [], learners.cut
+    monkeypatch.setattr(learners, "MAPPED", 32 * 50, raising=False)
+    monkeypatch.setattr(learners, "cut", lambda df: sizes.extend(df.rdd.glom().map(len).collect() if "_z" in df.columns else []) or cut(df))
+    x = np.random.default_rng(3).standard_normal((400, 2))
+    df = frame(spark, x, (x[:, 0] * x[:, 1] > 0).astype(int)).coalesce(1)
+    learners.rbf_svc(["x0", "x1"], 32, rounds=2)(df)
+    assert sum(sizes) == 400 and max(sizes) <= 100
