@@ -1,6 +1,7 @@
 """Learners against plain forms of them."""
 
 import math
+import threading
 
 import numpy as np
 import pytest
@@ -245,3 +246,18 @@ def test_mapped_rows_lie_in_parts_of_bounded_size(spark, monkeypatch):
     df = frame(spark, x, (x[:, 0] * x[:, 1] > 0).astype(int)).coalesce(1)
     learners.rbf_svc(["x0", "x1"], 32, rounds=2)(df)
     assert sum(sizes) == 400 and max(sizes) <= 100
+
+
+def test_fits_of_all_splits_go_side_by_side(spark):
+    rng = np.random.default_rng(4)
+    rows = frame(spark, rng.standard_normal((120, 2)), np.arange(120) % 2).cache()
+    roles = splits.purged_kfold(rows.select("symbol", "pos", F.col("pos").alias("pred"), F.col("pos").alias("eval")), 3)
+    met = threading.Barrier(3, timeout=60)  # broken unless three fits are under way at once
+
+    def fit(train):
+        met.wait()
+        return models.gaussian_bayes(["x0", "x1"])(train)
+
+    got = models.scores(rows, roles, {"NB": fit}, "accuracy").collect()
+    alone = [models._score(models.gaussian_bayes(["x0", "x1"])(rows.join(roles.filter(f"split = {k} and role = 'train'"), ["symbol", "pos"]))(rows.join(roles.filter(f"split = {k} and role = 'test'"), ["symbol", "pos"])), "accuracy") for k in range(3)]
+    assert [r.split for r in got] == [0, 1, 2] and [r.score for r in got] == pytest.approx(alone)
