@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from quantloom.functions import indicators
 from quantloom.operators import bars, slices
 from quantloom.operators.slices import Closes, Seen, Sums, Tops, left
 
@@ -158,3 +159,14 @@ def test_a_hundred_thousand_events_are_drawn():
         return ((sums[x[:, 1] + 1] - sums[x[:, 0]]) / (x[:, 1] - x[:, 0] + 1)).mean()
 
     assert unique(drawn) > unique(plain_) * 1.02
+
+
+def test_a_chain_of_scans_runs_in_one_python_worker(spark):
+    rows = [("ab"[k % 2], k, float(k % 7) + 1, float(k % 3)) for k in range(60)]
+    df = spark.createDataFrame(rows, "symbol string, seq long, close double, kept double")
+    out = indicators.recurrences(df, indicators.trix_stages("close", 3, "trix"), indicators.gain_stages("close", 4, "rsi", "rsi"), indicators.macd_stages("close", 2, 4, 3, "macd"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert set(out.columns) == {"symbol", "seq", "close", "kept", "rsi", "macd", "trix", "macd_signal"}
+    alone = indicators.with_rsi(df, 4).join(indicators.with_trix(df, 3).select("symbol", "seq", "trix"), ["symbol", "seq"])
+    pick = lambda d: [(r.symbol, r.seq, r.kept, r.rsi, r.trix) for r in d.orderBy("symbol", "seq").collect()]
+    assert pick(out) == pick(alone)
