@@ -123,11 +123,15 @@ def first_crossings(asked: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """``asked`` (symbol, a, b, base, side, bar, above, ...) with hit_us: the time of the first bar from place a on, before b, whose return
     (price / base - 1) * side is over ``bar``, or under it where ``above`` is false; null if there is none.
 
-    A return grows or falls with the price, so a block has a crossing if and only if its least or its greatest price crosses. The search
+    A return grows or falls with the price, so a block has a crossing if and only if its greatest price crosses, or its least, by the signs of
+    side and base and the barrier asked for: one price is tried a child, and of a block only the children from the start on. The search
     climbs from a's block as long as what is left of a block has none, and then goes down into the first child that has one: at most two
     lookups a level, of one block each.
     """
-    def crosses(price: Column) -> Column:
+    def crosses(child: Column) -> Column:
+        # a price that is no number is the greatest, and above everything
+        high = F.col("_high") | (F.col("above") & F.isnan(child["hi"]))
+        price = F.when(high, child["hi"]).otherwise(child["lo"])
         ret = (price / F.col("base") - 1) * F.col("side")
         return F.when(F.col("above"), ret > F.col("bar")).otherwise(ret < F.col("bar"))
 
@@ -138,11 +142,13 @@ def first_crossings(asked: DataFrame, levels: list[DataFrame]) -> DataFrame:
         # rows that do not ask are dealt out by numbers that no node has
         key = F.when(active, F.expr(f"q div {CHILDREN}")).otherwise(-1 - F.pmod(F.xxhash64("a", "b", "base"), F.lit(1000)))
         df = df.withColumn("_k", key).withColumn("_from", start).join(table, (F.col("symbol") == F.col("_s")) & (F.col("_k") == F.col("_n")), "left")
-        hit = F.filter("children", lambda c: (c["at"] >= F.col("_from")) & (crosses(c["lo"]) | crosses(c["hi"])))
+        # children stand at their places, as these have no gaps
+        hit = F.filter(F.slice("children", F.col("_from").cast("int") + 1, F.lit(CHILDREN)), crosses)
         return df.withColumn("found", F.get(hit, F.lit(0))).drop("_k", "_from", "_s", "_n", "children")
 
     # q: the next place to look at on the level; at: the level on which a crossing block is known, -1 for a bar, null while climbing
     df = asked.withColumns({"q": F.col("a"), "at": F.lit(None).cast("int"), "hit_us": F.lit(None).cast("long")})
+    df = df.withColumn("_high", F.col("above") == ((F.col("side") >= 0) == (F.col("base") >= 0)))
     for level in range(len(levels)):
         active = F.col("at").isNull() & (F.col("q") * F.lit(CHILDREN**level) < F.col("b"))
         df = looked(df, level, F.col("q") % CHILDREN, active)
@@ -163,7 +169,7 @@ def first_crossings(asked: DataFrame, levels: list[DataFrame]) -> DataFrame:
             "at": F.when(there, F.lit(level - 1)).otherwise(F.col("at")), "q": F.when(there, place).otherwise(F.col("q")),
             "hit_us": F.when(there & (F.lit(level) == 0) & (place < F.col("b")), F.col("found.t")).otherwise(F.col("hit_us")),
         }).drop("found")
-    return df.drop("q", "at")
+    return df.drop("q", "at", "_high")
 
 
 def touches(events: DataFrame, bars: DataFrame, up: float, down: float) -> DataFrame:

@@ -1,5 +1,7 @@
 """Sides and labels at values where rounding shows."""
 
+import math
+
 from quantloom.operators import events
 
 
@@ -9,3 +11,16 @@ def test_equal_means_are_equal_whatever_their_sums(spark):
     df = spark.createDataFrame([("a", k, price) for k in range(60)], "symbol string, seq long, price double")
     got = [r.side for r in events.ma_side(df).orderBy("seq").collect()]
     assert got == [None] * 50 + [1] * 10
+
+
+def test_crossings_of_either_side_try_the_rest_of_a_block_alone(spark):
+    prices = [100 + 10 * math.sin(k / 9) + (k * 37 % 11) / 5 for k in range(300)]
+    bars = spark.createDataFrame([("a", k, 10 * k, p) for k, p in enumerate(prices)], "symbol string, i long, ts_us long, price double")
+    asks = [("a", a, min(300, a + 150), prices[a], side, above, 0.06 if above else -0.04) for a in (0, 63, 64, 130, 255) for side in (1.0, -1.0) for above in (True, False)]
+    asked = spark.createDataFrame(asks, "symbol string, a long, b long, base double, side double, above boolean, bar double")
+    out = events.first_crossings(asked, events.extremes(bars))
+    assert "slice(children" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.a, r.side, r.above): r.hit_us for r in out.collect()}
+    for _, a, b, base, side, above, bar in asks:
+        rets = [(k, (prices[k] / base - 1) * side) for k in range(a, b)]
+        assert got[a, side, above] == next((10 * k for k, r in rets if (r > bar if above else r < bar)), None)
