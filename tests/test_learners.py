@@ -261,3 +261,11 @@ def test_fits_of_all_splits_go_side_by_side(spark):
     got = models.scores(rows, roles, {"NB": fit}, "accuracy").collect()
     alone = [models._score(models.gaussian_bayes(["x0", "x1"])(rows.join(roles.filter(f"split = {k} and role = 'train'"), ["symbol", "pos"]))(rows.join(roles.filter(f"split = {k} and role = 'test'"), ["symbol", "pos"])), "accuracy") for k in range(3)]
     assert [r.split for r in got] == [0, 1, 2] and [r.score for r in got] == pytest.approx(alone)
+
+
+def test_rows_of_models_are_dealt_evenly(spark):
+    from quantloom.plans import queries
+
+    rows, _ = queries._classified(spark, "/root/testdata/sf0.001")
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.4 * sum(sizes) / 4
