@@ -88,6 +88,8 @@ def _runs(docs: DataFrame) -> DataFrame:
     steps = F.array(*(F.lit(1 << k) for k in range(up, -1, -1)))
     place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at))
     run = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(empty)).cast("int")).otherwise(place)
+    # never null, and known so: a filter for that on one side of a later join would keep both sides from reading one shuffle of the texts
+    run = F.coalesce(run, F.lit(0))
     rows = docs.select(run.alias("run"), F.lit(False).alias("ghost"), "doc_id", "text")
     # the last row of each run: of repeated ids, that of the greatest text
     tops = rows.groupBy("run").agg(F.max("doc_id").alias("top"))

@@ -571,6 +571,11 @@ def test_runs_of_uneven_ids_in_the_registered_form(spark, monkeypatch):
     assert fingerprints.edited(missing).count() == len(rows) + 100
 
 
+def test_both_sides_of_fingerprints_read_one_shuffle_of_the_texts(spark, odd):
+    plan = fingerprints.edited(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert "run#" in plan and "isnotnull(run#" not in plan
+
+
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
