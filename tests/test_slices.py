@@ -8,6 +8,7 @@ import pytest
 from quantloom.functions import indicators
 from quantloom.operators import bars, slices
 from quantloom.operators.slices import Closes, Seen, Sums, Tops, left
+from quantloom.plans import features as FS
 
 
 def plain(m, t, g, total=0.0, bar=0):
@@ -170,3 +171,11 @@ def test_a_chain_of_scans_runs_in_one_python_worker(spark):
     alone = indicators.with_rsi(df, 4).join(indicators.with_trix(df, 3).select("symbol", "seq", "trix"), ["symbol", "seq"])
     pick = lambda d: [(r.symbol, r.seq, r.kept, r.rsi, r.trix) for r in d.orderBy("symbol", "seq").collect()]
     assert pick(out) == pick(alone)
+
+
+def test_a_set_of_all_indicators_runs_in_two_python_workers_a_task(spark):
+    rows = [("a", k, 1.0 + k % 7, 2.0 + k % 7, 0.5 + k % 7, 1.5 + k % 5, 10.0 + k) for k in range(40)]
+    df, _ = FS.everything(spark.createDataFrame(rows, "symbol string, seq long, open double, high double, low double, close double, volume double"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # the scans of all recurrences, and the fold of the cycle's phase behind a shuffle
+    assert plan.count("MapInArrow") == 2
