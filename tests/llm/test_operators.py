@@ -328,6 +328,16 @@ def likeness_of_best_passages(a, b, centre_a, centre_b):
     return best
 
 
+def test_distinct_shingles_are_those_of_numpy():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 119):
+        for top in (5, 1 << 32):
+            x = rng.integers(0, top, n).astype(np.uint32)
+            firsts = np.zeros(n, dtype=bool)
+            firsts[np.unique(x, return_index=True)[1]] = True
+            assert np.array_equal(passages._distinct(x), np.unique(x)) and np.array_equal(passages._firsts(x), firsts)
+
+
 def test_a_match_is_found_at_any_length():
     rng, kinds = random.Random(9), Counter()
     for _ in range(12):
