@@ -5,7 +5,8 @@ tree over a text's shingle hashes gives the compact windows (l, c, r): every run
 its least hash at c, so one row stands for all of them. Only windows that can hold a passage are made, about two for each passage
 length of text.
 
-Windows whose signature (hash function, shingle at c) occurs once in the corpus are dropped first, by sorting names in ranges. Two
+Shingles that stand once in the corpus are told first, by sorting their names in ranges. Similar passages have SHARE of theirs in common,
+so they lie in stretches of text that passages with SHARE of repeating shingles cover, and windows are made of these stretches only. Two
 passages of that similarity share a signature under one hash function with a probability of 0.75 or more, and so under one of HASHES
 with 0.999; equal passages always do.
 
@@ -67,19 +68,48 @@ def compact_windows(values: np.ndarray, least: int = SHINGLES, runs: bool = Fals
     return out
 
 
+def _runs(inside: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.diff(inside.view(np.int8), prepend=0, append=0)
+    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+
+
+def repeating(again: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(from, to) of the stretches that passages of which SHARE of the shingles stand ``again`` cover; texts have ``sizes`` and lie one after the other.
+
+    Distinct shingles that a similar passage lacks stand once, others may count several times: so all similar passages lie in there.
+    """
+    step = np.where(again, SHARE[1] - SHARE[0], -SHARE[0]).astype(np.int64)
+    score = np.zeros(len(step) + 1, dtype=np.int64)
+    np.cumsum(step, out=score[1:])
+    # of any length first; what follows a text lies lower than all of it, so that nothing goes over its end
+    lower = np.repeat(np.arange(len(sizes), dtype=np.int64) * (SHARE[1] * (len(step) + 1)), sizes)
+    inside = np.maximum.accumulate((score[1:] - lower)[::-1])[::-1] >= np.minimum.accumulate(score[:-1] - lower)
+    first = np.zeros(len(step) + 1, dtype=bool)
+    first[np.append(0, np.cumsum(sizes, dtype=np.int64))] = True
+    first[1:-1] |= inside[1:] != inside[:-1]
+    cuts = np.flatnonzero(first)
+    long = (np.diff(cuts) >= SHINGLES) & inside[cuts[:-1]]
+    for a, b in zip(cuts[:-1][long].tolist(), cuts[1:][long].tolist(), strict=True):
+        own = score[a : b + 1]
+        far = b - a - np.searchsorted(np.maximum.accumulate(own[::-1]), own, side="left")  # the last end for each start
+        starts = np.flatnonzero(far - np.arange(b - a + 1) >= SHINGLES)
+        edge = np.bincount(starts, minlength=b - a + 1) - np.bincount(far[starts], minlength=b - a + 1)
+        yield from ((a + c, a + d) for c, d in _runs(np.cumsum(edge[:-1]) > 0))
+
+
 def windows(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of l, c, r; names) of one text under all hash functions."""
-    rows, names = [], []
-    if len(shingles) >= SHINGLES:
-        for k in range(HASHES):
-            values = mix(shingles ^ _SEEDS[k])
-            got = np.array(compact_windows(values, runs=True), dtype=np.int64).reshape(-1, 3)
-            rows.append(got)
-            names.append(values[got[:, 1]])
-    return (np.concatenate(rows), np.concatenate(names)) if rows else (np.zeros((0, 3), np.int64), np.zeros(0, U))
-
-
-#: A window, with the hash of the shingles around its c; or, without name, a passage that stands in the block again: in doc at c, in rep at at.
+    """(c of each window; names) of a stretch of a text under all hash functions."""
+    places, names = [], []
+    for k in range(HASHES):
+        values = mix(shingles ^ _SEEDS[k])
+        got = np.array([c for _, c, _ in compact_windows(values, runs=True)], dtype=np.int64)
+        places.append(got)
+        names.append(values[got])
+    return np.concatenate(places), np.concatenate(names)
+
+
+#: A window, with the hash of the shingles around its c; or, without name, a passage that stands in the block again: in doc at c, in rep at at;
+#: or, without rep either, how many words (size) a text has that stands in several rows.
 _HIT = pa.schema([
     ("name", pa.int64()), ("around", pa.int64()), ("doc", pa.int64()), ("block", pa.int64()), ("place", pa.int32()), ("c", pa.int32()), ("before", pa.int32()), ("size", pa.int32()),
     ("rep", pa.int64()), ("at", pa.int32()),
@@ -88,7 +118,7 @@ HIT = "name long, around long, doc long, block long, place int, c int, before in
 
 
 class _Windows:
-    """Reads blocks: at level 1 sends names, at level 2 the rows of the windows whose names repeat."""
+    """Reads blocks: at level 1 sends the names of shingles, at level 2 the rows of windows where passages of shingles that repeat may lie."""
 
     def __init__(self, level: int, ranges: _Ranges) -> None:
         self.level, self.ranges = level, ranges
@@ -100,33 +130,37 @@ class _Windows:
                     yield self.block(batch.slice(k, 1).to_pylist()[0])
 
     def block(self, row: dict) -> pa.RecordBatch:
-        out = set(row["copied_at"] or ()) - set(row["first_at"] or ())
+        firsts = set(row["first_at"] or ())
+        out = set(row["copied_at"] or ()) - firsts
         pairs = list(_texts(row["held"], row["data"], out))
-        shingles = [shingle_hashes(w, WIDTH) if len(w) >= WORDS else w[:0] for w in word_hashes([t.tobytes() for _, t in pairs])]
-        made = [windows(s) for s in shingles]
-        names = np.concatenate([n for _, n in made]) if made else np.zeros(0, U)
+        made = [(place, shingle_hashes(w, WIDTH)) for (place, _), w in zip(pairs, word_hashes([t.tobytes() for _, t in pairs]), strict=True) if len(w) >= WORDS]
+        every = np.concatenate([s for _, s in made]) if made else np.zeros(0, U)
         if self.level == 1:
-            return _Level.message(row["block"], list(self.ranges.sent(names, mix(names))))
-        hit = self.ranges.hits(names, mix(names), {x["place"]: x["bits"] for x in row["bits"] or []})
+            return _Level.message(row["block"], list(self.ranges.sent(every, every)))
+        again = self.ranges.hits(every, every, {x["place"]: x["bits"] for x in row["bits"] or []})
+        short = every.astype(np.uint32)
         seen: dict[tuple[int, int], tuple[int, int]] = {}
         runs: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
-        out, at = [], 0
-        for (place, _), s, (got, own) in zip(pairs, shingles, made, strict=True):
-            mine = hit[at : at + len(own)]
-            at += len(own)
+        out = [(None, None, row["ids"][place], None, None, None, None, len(s) + WIDTH - 1, None, None) for place, s in made if place in firsts]
+        sizes = [len(s) for _, s in made]
+        ends = np.cumsum(sizes)
+        for a, b in repeating(again, sizes):
+            k = int(np.searchsorted(ends, a, side="right"))
+            start, end, place = int(ends[k]) - sizes[k], int(ends[k]), made[k][0]
             doc = row["ids"][place]
-            if doc is None or not mine.any():
+            if doc is None:
                 continue
-            short = s.astype(np.uint32)
-            for c, name in zip(got[mine, 1].tolist(), own[mine].view(np.int64).tolist(), strict=True):
-                x, y = max(0, c - SIDE), min(len(s), c + SIDE + 1)
+            places, names = windows(every[a:b])
+            mine = again[a:b][places]
+            for c, name in zip((places[mine] + a).tolist(), names[mine].view(np.int64).tolist(), strict=True):
+                x, y = max(start, c - SIDE), min(end, c + SIDE + 1)
                 around = xxhash.xxh64_intdigest(short[x:y].tobytes(), seed=c - x) - (1 << 63)
                 if (name, around) in seen:
                     rep, first = seen[name, around]
-                    runs.setdefault((rep, doc, x - first), []).append((first, first + y - x))
+                    runs.setdefault((rep, doc, x - start - first), []).append((first, first + y - x))
                 else:
-                    seen[name, around] = (doc, x)
-                    out.append((name, around, doc, row["block"], place, c, c - x, y - x, None, None))
+                    seen[name, around] = (doc, x - start)
+                    out.append((name, around, doc, row["block"], place, c - start, c - x, y - x, None, None))
         for (rep, doc, shift), parts in runs.items():
             parts.sort()
             first, last = parts[0]
@@ -174,11 +208,12 @@ def _scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dense(x: np.ndarray, centre: int, others: np.ndarray, repeats: bool) -> bool:
-    """Whether a passage of x about the centre may have SHARE of its distinct shingles among ``others`` (sorted): no similar one has less. ``repeats``: some of x are equal."""
+def _most(x: np.ndarray, centre: int, others: np.ndarray, repeats: bool, gain: int, loss: int) -> int:
+    """The most that a passage of x about the centre has, at ``gain`` for each of its shingles among ``others`` (sorted) and ``loss`` for each that
+    is not; of equal ones on a side the first counts. ``repeats``: some of x are equal."""
     place = np.searchsorted(others, x)
     place[place == len(others)] = 0
-    step = np.where(others[place] == x, SHARE[1] - SHARE[0], -SHARE[0])
+    step = np.where(others[place] == x, gain, -loss)
     if repeats:
         step[:centre][~_firsts(x[:centre][::-1])[::-1]] = 0
         step[centre:][~_firsts(x[centre:])] = 0
@@ -188,7 +223,17 @@ def _dense(x: np.ndarray, centre: int, others: np.ndarray, repeats: bool) -> boo
     most = np.maximum.accumulate(right[::-1])[::-1]
     need = np.maximum(SHINGLES - np.arange(centre + 1), 1)
     here = need < len(most)
-    return bool(here.any()) and bool((left[here] + most[need[here]] >= 0).any())
+    return int((left[here] + most[need[here]]).max()) if here.any() else -_FAR
+
+
+def _dense(x: np.ndarray, centre: int, others: np.ndarray, repeats: bool) -> bool:
+    """Whether a passage of x about the centre may have SHARE of its distinct shingles among ``others`` (sorted): no similar one has less."""
+    return _most(x, centre, others, repeats, SHARE[1] - SHARE[0], SHARE[0]) >= 0
+
+
+#: Of s and t distinct shingles as many are common as each has in the other, so at most half of both counts. Similar passages have
+#: (SHARE[0] + SHARE[1]) * common >= SHARE[0] * (s + t), so those in the other, at GAIN, weigh up those that are not, at LOSS.
+GAIN, LOSS, _FAR = SHARE[1] - SHARE[0], 2 * SHARE[0], 1 << 20
 
 
 def match(a: np.ndarray, ca: int, b: np.ndarray, cb: int) -> tuple[int, int, int, int] | None:
@@ -200,7 +245,7 @@ def match(a: np.ndarray, ca: int, b: np.ndarray, cb: int) -> tuple[int, int, int
     if (found := same_words(a, ca, b, cb)) is not None:
         return found
     one, other = _distinct(a), _distinct(b)
-    if not _dense(a, ca, other, len(one) < len(a)) or not _dense(b, cb, one, len(other) < len(b)):
+    if _most(a, ca, other, len(one) < len(a), GAIN, LOSS) + _most(b, cb, one, len(other) < len(b), GAIN, LOSS) < 0:
         return None
     left, right = _scores(a[:ca][::-1], b[:cb][::-1]), _scores(a[ca:], b[cb:])
     # what the right sides have to add, the centres at least
@@ -222,20 +267,6 @@ def match(a: np.ndarray, ca: int, b: np.ndarray, cb: int) -> tuple[int, int, int
     return (ca - i, cb - j, i + n, j + m) if SHARE[1] * both >= SHARE[0] * (len(x) + len(y) - both) else None
 
 
-def least_common(x: np.ndarray, centre: int) -> int:
-    """How many distinct shingles a window has in common with any other that has a similar passage, at least."""
-    firsts = _firsts(x)
-    few = SHINGLES
-    if not firsts.all():
-        seen: dict[int, int] = {}
-        before = np.empty(len(x), dtype=np.int64)
-        for k, v in enumerate(x.tolist()):
-            before[k] = seen.get(v, -1)
-            seen[v] = k
-        few = min(int((before[s : s + SHINGLES] < s).sum()) for s in range(max(0, centre - SHINGLES + 1), min(centre, len(x) - SHINGLES) + 1))
-    return -(-SHARE[0] * few // SHARE[1])
-
-
 def aligned(a: np.ndarray, b: np.ndarray, shift: int, first: int, last: int) -> list[tuple[int, int, int, int]]:
     """As ``match``, of passages with words in the same places, b's ``shift`` after a's, from ``first`` to ``last`` in a: enough of them to cover all."""
     lo, hi = max(first, 0, -shift), min(last, len(a), len(b) - shift)
@@ -285,8 +316,11 @@ def verified(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> tu
         for p in got:
             inside[run] |= (ca[run] >= p[0]) & (ca[run] < p[0] + p[2])
         found += got
+    none: set[tuple[int, int]] = set()  # matches of several hash functions may lie in the same places
     for k in np.flatnonzero(~inside).tolist():
         i, j = int(ca[k]), int(cb[k])
+        if (i, j) in none:
+            continue
         if any(p[0] <= i < p[0] + p[2] and p[1] <= j < p[1] + p[3] for p in found):
             inside[k] = True
             continue
@@ -298,6 +332,8 @@ def verified(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> tu
         if p is not None:
             found.append((p[0] + la, p[1] + lb, p[2], p[3]))
             inside[k] = True
+        else:
+            none.add((i, j))
     return found, inside
 
 
@@ -308,13 +344,18 @@ TOLD = "rep long, member long, passages array<array<long>>, missed array<long>"
 
 
 class _Common:
-    """How many distinct shingles rows have in common."""
+    """How many distinct shingles rows have in common, and which of them may match."""
 
-    def __init__(self, arrays: list[np.ndarray]) -> None:
+    def __init__(self, arrays: list[np.ndarray], centres: list[int]) -> None:
         self.rows = len(arrays)
         _, ids = np.unique(np.concatenate(arrays), return_inverse=True)
-        owner = np.repeat(np.arange(self.rows), [len(x) for x in arrays])
-        key = np.unique(ids.astype(np.int64) * self.rows + owner)
+        sizes = np.array([len(x) for x in arrays])
+        owner = np.repeat(np.arange(self.rows), sizes)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) - np.repeat(centres, sizes)
+        key = _distinct(ids.astype(np.int64) * self.rows + owner)
+        none, self.repeat = int(ids.max()) + 1, len(key) < len(owner)
+        self.sides = [self.side(owner[on], at[on], ids[on], none) for on, at in ((place < 0, -1 - place), (place >= 0, place))]
+        self.where = np.full(none + 1, -1, dtype=np.int32)
         self.owner, of = key % self.rows, key // self.rows
         self.starts = np.searchsorted(of, np.arange(int(of[-1]) + 2))
         order = np.argsort(self.owner, kind="stable")
@@ -329,6 +370,44 @@ class _Common:
         ends = np.cumsum(n)
         return np.bincount(self.owner[np.repeat(first - ends + n, n) + np.arange(ends[-1])], minlength=self.rows)
 
+    def side(self, owner: np.ndarray, at: np.ndarray, ids: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What lies on one side of the centres, a row each, from the centre on: shingles, what each counts if it is not in the other row, and which are first."""
+        held = np.full((self.rows, int(at.max(initial=-1)) + 1), none, dtype=np.int32)
+        held[owner, at] = ids
+        first = np.zeros(held.shape, dtype=bool)
+        if self.repeat:
+            first.ravel()[np.unique((np.arange(self.rows, dtype=np.int64)[:, None] * (none + 1) + held).ravel(), return_index=True)[1]] = True
+        else:
+            first[:] = True
+        there = held < none
+        first &= there
+        return held, np.where(there, np.where(first, -LOSS, 0), -_FAR).astype(np.int32), first
+
+    def may_match(self, row: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` for which ``match`` may find something: by GAIN and LOSS of both rows."""
+        if not len(others):
+            return others
+        own, other = [], []
+        for held, lost, first in self.sides:
+            mine = np.flatnonzero(first[row])
+            self.where[held[row, mine]] = mine
+            to = self.where[held[others]]
+            self.where[held[row, mine]] = -1
+            hit = (to >= 0) & first[others]
+            a, b = np.repeat(lost[row][None], len(others), axis=0), lost[others]
+            b[hit] += GAIN + LOSS
+            a[np.nonzero(hit)[0], to[hit]] += GAIN + LOSS
+            for steps, out in ((a, own), (b, other)):
+                score = np.zeros((len(others), steps.shape[1] + 1), dtype=np.int32)
+                np.cumsum(steps, axis=1, out=score[:, 1:])
+                out.append(score)
+        need = np.maximum(SHINGLES - np.arange(own[0].shape[1]), 1)
+        here = need < own[1].shape[1]
+        if not here.any():
+            return others[:0]
+        best = [(left[:, here] + np.maximum.accumulate(right[:, ::-1], axis=1)[:, ::-1][:, need[here]]).max(axis=1) for left, right in (own, other)]
+        return others[best[0] + best[1] >= 0]
+
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """Runs of rows that are equal in the first ``keys`` columns."""
@@ -494,7 +573,7 @@ def _equal_links(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = least.filter("n > 1").select("name", "around", F.col("x.doc").alias("r"), F.col("x.block").alias("r_block"), F.col("x.place").alias("r_place"), F.col("x.c").alias("r_c"))
     again = windows_.join(again, ["name", "around"]).filter("block <> r_block or place <> r_place or c <> r_c")
     again = again.select(F.col("r").alias("rep"), F.col("doc").alias("member"), (F.col("r_c") - F.col("before")).alias("at"), (F.col("c") - F.col("before")).alias("to"), "size", F.col("size").alias("length"))
-    inside = hits.filter("name is null").select("rep", F.col("doc").alias("member"), "at", F.col("c").alias("to"), "size", F.col("size").alias("length"))
+    inside = hits.filter("name is null and rep is not null").select("rep", F.col("doc").alias("member"), "at", F.col("c").alias("to"), "size", F.col("size").alias("length"))
     links = again.union(inside).select(*(F.col(c).cast("long").alias(c) for c in LINK)).distinct()
     return written(links), least.select("name", "x.doc", "x.block", "x.place", "x.c")
 
@@ -545,6 +624,19 @@ def _crossing(rows: DataFrame) -> DataFrame:
     return cut(rows.mapInArrow(_crossed, ", ".join(f"{c} long" for c in LINK)))
 
 
+def _may_match(rows: list[tuple], arrays: list[np.ndarray]) -> tuple[list[tuple], list[np.ndarray]]:
+    """Those of ``rows`` that may have a passage about their centre in common with another: SHARE of it stands in others, until no more go."""
+    repeats = [len(_distinct(x)) < len(x) for x in arrays]
+    while len(rows) > 1:
+        every = np.sort(np.concatenate([_distinct(x) if r else x for x, r in zip(arrays, repeats, strict=True)]))
+        others = _distinct(every[1:][every[1:] == every[:-1]])
+        keep = [len(others) > 0 and _dense(x, r[6], others, own) for r, x, own in zip(rows, arrays, repeats, strict=True)]
+        if all(keep):
+            break
+        rows, arrays, repeats = ([v for v, k in zip(of, keep, strict=True) if k] for of in (rows, arrays, repeats))
+    return rows, arrays
+
+
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (name, i, j, both, block, around, centre, doc, start, met, minor, component), sorted by the first six: the links between the
     blocks i and j of minors, or the block i of minors and j of others, of windows in different components or in no passage so far."""
@@ -552,19 +644,31 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in _groups(batches, 4):
         _, i, j, both, *_ = rows[0]
         arrays = [np.frombuffer(r[5], dtype=np.uint32) for r in rows]
+        if len(rows) > 16:
+            rows, arrays = _may_match(rows, arrays)
+        if len(rows) < 2:
+            continue
         centre, doc, start, comp = ([r[k] for r in rows] for k in (6, 7, 8, 11))
         block, minor = np.array([r[4] for r in rows]), np.array([r[10] for r in rows])
         met, union = [r[9] for r in rows], _Union()
-        common = _Common(arrays)
+        common = _Common(arrays, centre) if len(rows) > 3 else None
+        # what a row has in common with a similar one, at least; one whose shingles repeat may have less
         few = -(-SHARE[0] * SHINGLES // SHARE[1])
-        least = np.array([few if common.distinct(k) == len(x) else least_common(x, c) for k, (x, c) in enumerate(zip(arrays, centre, strict=True))])
+        least = None if common is None else np.array([few if common.distinct(k) == len(x) else 1 for k, x in enumerate(arrays)])
         for k in np.flatnonzero(minor).tolist():
-            counts = common.counts(k)
-            near = (counts >= np.maximum(least, least[k])) & ((~minor) if not both else np.ones(len(rows), dtype=bool) if i == j else block != block[k])
+            near = (~minor) if not both else np.ones(len(rows), dtype=bool) if i == j else block != block[k]
             if both:
                 near[: k + 1] = False
-            near = np.flatnonzero(near)
-            for y in near[np.argsort(-counts[near], kind="stable")].tolist():
+            if common is None:
+                near = np.flatnonzero(near)
+            else:
+                counts = common.counts(k)
+                near = np.flatnonzero(near & (counts >= np.minimum(least, least[k])))
+                if met[k] and len(near):
+                    near = near[[not (met[y] and union.root(comp[k]) == union.root(comp[y])) for y in near.tolist()]]
+                near = near[np.argsort(-counts[near], kind="stable")]
+                near = np.concatenate([common.may_match(k, near[x : x + 512]) for x in range(0, max(len(near), 1), 512)])
+            for y in near.tolist():
                 if met[k] and met[y] and union.root(comp[k]) == union.root(comp[y]):
                     continue
                 if (found := match(arrays[y], centre[y], arrays[k], centre[k])) is not None:
@@ -594,9 +698,9 @@ def near_passages(docs: DataFrame) -> DataFrame:
     rows = written(now.join(bits, "block", "left").mapInArrow(_Windows(2, ranges), HIT))
     blocks = state.select("block", "held", "data")
     # equal texts: copies of a text that has passages are linked with the one that took part
-    long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n"))
+    long = rows.filter("name is null and rep is null and doc is not null").groupBy(F.col("doc").alias("first_id")).agg(F.max("size").alias("n"))
     twins = copies.filter("doc_id is not null and first_id is not null").select("doc_id", "first_id").distinct()
-    whole = cut(twins.join(long.filter(F.col("n") >= WORDS).groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"))
+    whole = cut(twins.join(long, "first_id").select("doc_id", "first_id", "n"))
     twin_stars = whole.filter("doc_id <> first_id").select(F.col("first_id").alias("rep"), F.col("doc_id").alias("member"))
     equal, rows = _equal_links(rows)
     led, missed = _leader_links(rows, equal, twin_stars, blocks)

@@ -8,6 +8,7 @@ import textwrap
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,6 +267,64 @@ def test_groups_of_many_blocks_against_brute_force(spark):
     assert [got.root(k) for k in range(40)] == [want.root(k) for k in range(40)]
 
 
+def test_stretches_of_repeating_shingles_against_brute_force():
+    rng, n = np.random.default_rng(1), passages.SHINGLES
+    for _ in range(60):
+        sizes = [int(x) for x in rng.integers(1, 130, rng.integers(0, 5))]
+        again = rng.random(sum(sizes)) < rng.choice([0.5, 0.75, 0.95])
+        again[len(again) // 3 : len(again) // 2] = True
+        want, got, at = np.zeros(len(again), dtype=bool), np.zeros(len(again), dtype=bool), 0
+        for size in sizes:
+            score = np.append(0, np.cumsum(np.where(again[at : at + size], 25, -75)))
+            for i in range(size - n + 1):
+                for j in range(i + n, size + 1):
+                    want[at + i : at + j] |= score[j] >= score[i]
+            at += size
+        ends = np.cumsum(sizes)
+        for a, b in passages.repeating(again, sizes):
+            assert b - a >= n and not got[a:b].any()
+            assert np.searchsorted(ends, a, side="right") == np.searchsorted(ends, b - 1, side="right")
+            got[a:b] = True
+        assert np.array_equal(got, want)
+
+
+def test_what_may_match_holds_all_that_match():
+    rng, kinds = np.random.default_rng(6), Counter()
+    for _ in range(40):
+        base, arrays, centres = rng.permutation(1000).astype(np.uint32)[:120], [], []
+        for _ in range(12):
+            x = base.copy()
+            at = rng.choice(120, rng.integers(0, 40), replace=False)
+            x[at] = rng.integers(0, 1200, len(at))
+            x = np.delete(x, rng.choice(120, rng.integers(0, 8), replace=False)) if rng.random() < 0.5 else x
+            lo, hi = rng.integers(0, 30), len(x) - rng.integers(0, 30)
+            arrays.append(x[lo:hi])
+            centres.append(int(rng.integers(0, hi - lo)))
+        common = passages._Common(arrays, centres)
+        for k in range(12):
+            may = set(common.may_match(k, np.delete(np.arange(12), k)).tolist())
+            for y in range(12):
+                found = y != k and passages.match(arrays[k], centres[k], arrays[y], centres[y]) is not None
+                assert not found or y in may
+                kinds[found, y in may] += 1
+    assert kinds[True, True] > 20 and kinds[False, False] > 20
+
+
+def test_families_just_under_the_share_are_told_apart_without_matching(monkeypatch):
+    """Of 60 passages each two have 67 of 93 shingles in common: for either row alone the other may be similar, for both together not."""
+    own, calls, rows = np.arange(2, 80, 6), [], []
+    for k in range(60):
+        x = np.arange(80, dtype=np.uint32)
+        x[own] = 10_000 + 100 * k + np.arange(len(own))
+        rows.append((7, 0, 0, True, 0, x.tobytes(), 40, k, 0, False, True, k))
+    x, y = (np.frombuffer(r[5], dtype=np.uint32) for r in rows[:2])
+    assert passages._dense(x, 40, np.unique(y), False) and passages.match(x, 40, y, 40) is None
+    monkeypatch.setattr(passages, "match", lambda *a: calls.append(a))
+    names = ["name", "i", "j", "both", "block", "around", "centre", "doc", "start", "met", "minor", "component"]
+    out = list(passages._crossed(iter([pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])])))
+    assert not calls and sum(map(len, out)) == 0
+
+
 def test_passages_with_words_replaced_are_found_in_place():
     rng = np.random.default_rng(8)
     for _ in range(60):
