@@ -1,4 +1,4 @@
-"""Scalar functions: the normal distribution and bet sizes (Z1, Z2, Z4-Z14), log-uniform draws."""
+"""Scalar functions: ratios, the normal distribution and bet sizes (Z1, Z2, Z4-Z14), log-uniform draws."""
 
 from __future__ import annotations
 
@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b of doubles, where b may be 0: an infinity of a's sign, or no number if a is 0 too."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / b)
+
+
 def normal_cdf(x: Column) -> Column:
     """Abramowitz and Stegun 26.2.17, to 7.5e-8. The published coefficients."""
     t = 1.0 / (1.0 + 0.2316419 * F.abs(x))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalar import ratio
 from ..session import cut
 from .fold import ordered_fold
 from .slices import Affine, Arrays, Stage, Sums, sliced
@@ -129,10 +130,10 @@ def first_crossings(asked: DataFrame, levels: list[DataFrame]) -> DataFrame:
     lookups a level, of one block each.
     """
     def crosses(child: Column) -> Column:
-        # a price that is no number is the greatest, and above everything
+        # a price that is no number is the greatest, and above everything; so is the return of 0 on 0
         high = F.col("_high") | (F.col("above") & F.isnan(child["hi"]))
         price = F.when(high, child["hi"]).otherwise(child["lo"])
-        ret = (price / F.col("base") - 1) * F.col("side")
+        ret = (ratio(price, F.col("base")) - 1) * F.col("side")
         return F.when(F.col("above"), ret > F.col("bar")).otherwise(ret < F.col("bar"))
 
     def looked(df: DataFrame, level: int, start: Column, active: Column) -> DataFrame:
@@ -215,13 +216,15 @@ def first_at_or_after(rows: DataFrame, bars: DataFrame, time: str, out: str) ->
 
 
 def bins(events: DataFrame, bars: DataFrame, meta: bool = False) -> DataFrame:
-    """L4: ret and bin of events with a t1_us; under ``meta`` the return is times side, and bin 0 unless it is over 0."""
+    """L4: ret and bin of events with a t1_us; under ``meta`` the return is times side, and bin 0 if it is 0 or less, else 1.
+
+    On a price of 0 a return is infinite, or no number (0 on 0), which has no sign and is over 0."""
     e = first_at_or_after(events.filter("t1_us is not null"), bars, "t1_us", "_p1")
-    ret = F.col("_p1") / F.col("price") - 1
+    ret = ratio(F.col("_p1"), F.col("price")) - 1
     if meta:
         e = e.withColumn("ret", ret * F.col("side"))
-        return e.withColumn("bin", F.when(F.col("ret") <= 0, 0).otherwise(F.signum("ret")).cast("int")).drop("_p1")
-    return e.withColumn("ret", ret).withColumn("bin", F.signum("ret").cast("int")).drop("_p1")
+        return e.withColumn("bin", F.when(F.col("ret") <= 0, 0).when(F.col("ret") > 0, 1)).drop("_p1")
+    return e.withColumn("ret", ret).withColumn("bin", F.when(F.isnan("ret"), 0).otherwise(F.signum("ret")).cast("int")).drop("_p1")
 
 
 def drop_labels(labels: DataFrame, min_share: float = 0.05) -> DataFrame:
