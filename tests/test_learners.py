@@ -269,3 +269,16 @@ def test_rows_of_models_are_dealt_evenly(spark):
     rows, _ = queries._classified(spark, "/root/testdata/sf0.001")
     sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 4 and max(sizes) < 1.4 * sum(sizes) / 4
+
+
+def test_the_zoo_fits_whole_models(spark, monkeypatch):
+    from quantloom.plans import queries
+
+    fits = {}
+    monkeypatch.setattr(models, "compare", lambda rows, roles, given, scoring: fits.update(given))
+    queries.QUERIES["model_zoo"](spark, "/root/testdata/sf0.001")
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((120, 4))
+    train = spark.createDataFrame([(int(v[0] * v[1] + v[2] > rng.normal()), *map(float, v)) for v in x], "label int, r1 double, r5 double, r20 double, size double").cache()
+    assert fits["GBT"](train).model.getNumTrees == 100
+    assert fits["SVC"](train).model.getMaxIter() == 100
