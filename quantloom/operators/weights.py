@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import random
+import zlib
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -135,26 +140,196 @@ def sequential_bootstrap(spans: list[tuple[int, int]] | np.ndarray, draws: int,
     return out
 
 
-def bootstrap_counts(events: DataFrame, seed: int | list[int], first: str = "i0", last: str = "i1", key: str = "pos") -> DataFrame:
-    """(symbol, key, times): how often each of a symbol's events is drawn in as many draws as it has events; of several seeds also
-    seed. Only keys and spans go to a task, which has one symbol and seed, so all lists are drawn side by side; an event without an end is not drawn."""
+#: Events of a slice of the draws, about; bars that a slice looks beyond its own, in mean spans; draws in slices are for events of so many
+#: proposals at most, as those of many overlapping events are mostly turned down; bins of a unit of time.
+SLICE, BEYOND, PROPOSALS, BINS = 1 << 15, 64, 16.0, 512
+_U = np.uint64
+_DEALT = pa.schema([("symbol", pa.string()), ("_key", pa.int64()), ("_a", pa.int64()), ("_b", pa.int64()), ("slice", pa.int32())])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _uniform(streams: np.ndarray, k: int) -> np.ndarray:
+    """The k-th number in [0, 1) of each stream."""
+    return (_mixed(streams + _U((k + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> _U(11)).astype(np.float64) / 2.0**53
+
+
+def _streams(symbol: str | None, keys: np.ndarray, seed: int) -> np.ndarray:
+    return _mixed(_mixed(keys.astype(np.int64).view(_U)) ^ _U(zlib.crc32(f"{seed}/{symbol}".encode()) << 32 | zlib.adler32(f"{symbol}/{seed}".encode())))
+
+
+def proposals(streams: np.ndarray, until: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(event, time, mark) of a Poisson process of rate 1 for each stream, in the order of time."""
+    events, times, marks = [], [], []
+    at, t, k = np.arange(len(streams)), np.zeros(len(streams)), 0
+    while len(at):
+        t = t - np.log1p(-_uniform(streams[at], 2 * k))
+        at, t = at[t <= until], t[t <= until]
+        events.append(at)
+        times.append(t)
+        marks.append(_uniform(streams[at], 2 * k + 1))
+        k += 1
+    e, t, u = (np.concatenate(x) if x else np.zeros(0) for x in (events, times, marks))
+    order = np.argsort(t, kind="stable")
+    return e[order].astype(np.int64), t[order], u[order]
+
+
+def thinned(spans: np.ndarray, events: np.ndarray, marks: np.ndarray, low: int | None = None, high: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which proposals are drawn for sure, and which may be: those with a mark under the event's uniqueness, the mean of 1 / (1 + cover) over its
+    bars, given the draws before. Bars before ``low`` and from ``high`` on may be covered by events that are not here, any number of times:
+    covers are held as bounds, and what is sure and what may be is the same where nothing of that reaches."""
+    base, end = int(spans[:, 0].min()), int(spans[:, 1].max()) + 1
+    least, most = [0] * (end - base), [0] * (end - base)
+    # 1 / (1 + cover) by the bounds
+    top, bottom = [1.0] * (end - base), [1.0] * (end - base)
+    for a, b in ((base, base if low is None else min(low, end)), (end if high is None else max(high, base), end)):
+        if a < b:
+            bottom[a - base : b - base] = [0.0] * (b - a)
+            most[a - base : b - base] = [math.inf] * (b - a)
+    first, last = (spans[:, 0] - base).tolist(), (spans[:, 1] + 1 - base).tolist()
+    sure, may = np.zeros(len(events), dtype=bool), np.zeros(len(events), dtype=bool)
+    for n, (e, u) in enumerate(zip(events.tolist(), marks.tolist(), strict=True)):
+        a, b = first[e], last[e]
+        u *= b - a
+        if sum(top[a:b]) <= u:
+            continue
+        may[n] = True
+        known = sum(bottom[a:b]) > u
+        most[a:b] = now = [c + 1 for c in most[a:b]]
+        bottom[a:b] = [1 / (1 + c) for c in now]
+        if known:
+            sure[n] = True
+            least[a:b] = now = [c + 1 for c in least[a:b]]
+            top[a:b] = [1 / (1 + c) for c in now]
+    return sure, may
+
+
+def _whole_draws(df: DataFrame, seeds: list[int], key: str) -> DataFrame:
+    """(symbol, key, seed, times), a symbol and seed a task: for events of which very many overlap."""
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         own = int(pdf["seed"].iloc[0])
         pdf = pdf.sort_values(key, kind="stable")
-        drawn = sequential_bootstrap(pdf[[first, last]].to_numpy(), len(pdf), own)
+        drawn = sequential_bootstrap(pdf[["_a", "_b"]].to_numpy(), len(pdf), own)
         times = np.bincount(drawn, minlength=len(pdf))
         return pd.DataFrame({"symbol": pdf["symbol"], key: pdf[key], "seed": own, "times": times})[times > 0]
 
+    df = df.withColumn("seed", F.explode(F.array(*(F.lit(s).cast("long") for s in seeds))))
+    # a few groups, each of much work: so many partitions that they seldom share one
+    return df.repartition(200, "symbol", "seed").groupBy("symbol", "seed").applyInPandas(draw, f"symbol string, `{key}` long, seed long, times long")
+
+
+def _draws_in_slices(df: DataFrame, seeds: list[int], key: str, cuts: dict, until: dict, beyond: dict) -> DataFrame:
+    """(symbol, key, seed, at): all draws till ``until``, by symbol. A slice whose draws others may still change is told again, as it
+    looks farther and farther beyond its bars."""
+    from ..session import cut
+
+    spark = df.sparkSession
+    out, asked = None, None
+    while True:
+        told, reach, only = spark.sparkContext.broadcast((cuts, until)), dict(beyond), asked
+
+        def dealt(batches):
+            for batch in batches:
+                pdf = batch.to_pandas()
+                for symbol, rows in pdf.groupby("symbol", dropna=False, sort=False):
+                    symbol = None if symbol is None or symbol != symbol else symbol
+                    if symbol not in told.value[1]:
+                        continue
+                    at, far = told.value[0][symbol], reach[symbol]  # noqa: B023
+                    a = np.searchsorted(at, rows["_a"].to_numpy() - far, side="right")
+                    n = np.searchsorted(at, rows["_b"].to_numpy() + far, side="right") - a + 1
+                    rows = rows.loc[rows.index.repeat(n)]
+                    rows = rows.assign(slice=np.repeat(a, n) + np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n))
+                    if only is not None:  # noqa: B023
+                        rows = rows[rows["slice"].isin([k for s, k in only if s == symbol])]  # noqa: B023
+                    yield pa.RecordBatch.from_pandas(rows, schema=_DEALT, preserve_index=False)
+
+        def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+            symbol, k = pdf["symbol"].iloc[0], int(pdf["slice"].iloc[0])
+            at, far, end = told.value[0][symbol], reach[symbol], told.value[1][symbol]  # noqa: B023
+            pdf = pdf.sort_values(["_a", "_b", "_key"], kind="stable")
+            spans, keys = pdf[["_a", "_b"]].to_numpy(), pdf["_key"].to_numpy()
+            # whole slices go by their first bars: the first and the last slice of a symbol are open
+            low, high = (int(at[k - 1]) if k else None), (int(at[k]) if k < len(at) else None)
+            own = np.ones(len(spans), dtype=bool) if low is None else spans[:, 0] >= low
+            own &= True if high is None else spans[:, 0] < high
+            parts = []
+            for seed in seeds:
+                e, t, u = proposals(_streams(symbol, keys, seed), end)
+                sure, may = thinned(spans, e, u, None if low is None else low - far, None if high is None else high + far)
+                mine = own[e]
+                parts.append(pd.DataFrame({"symbol": symbol, key: keys[e[mine & sure]], "seed": seed, "at": t[mine & sure], "slice": k, "open": bool((mine & may & ~sure).any())}))
+                if not len(parts[-1]) and (mine & may).any():
+                    parts.append(pd.DataFrame({"symbol": [symbol], key: [0], "seed": [seed], "at": [0.0], "slice": [k], "open": [True]}))
+            return pd.concat(parts)
+
+        slices = sum(len(x) + 1 for x in cuts.values()) if asked is None else len(asked)
+        rows = df.mapInArrow(dealt, "symbol string, _key long, _a long, _b long, slice int")
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), slices)
+        now = cut(rows.repartition(parts, "symbol", "slice").groupBy("symbol", "slice").applyInPandas(draw, f"symbol string, `{key}` long, seed long, at double, slice int, open boolean"))
+        left = now.filter("open").select("symbol", "slice").distinct()
+        asked = [(r.symbol, r.slice) for r in left.collect()]
+        done = now.join(F.broadcast(left.withColumnRenamed("symbol", "_s").withColumnRenamed("slice", "_k")), F.col("symbol").eqNullSafe(F.col("_s")) & (F.col("slice") == F.col("_k")), "left_anti") if asked else now
+        done = done.select("symbol", key, "seed", "at")
+        out = done if out is None else out.union(done)
+        if not asked:
+            return out
+        beyond = {s: 8 * v + 1 for s, v in beyond.items()}
+
+
+def bootstrap_counts(events: DataFrame, seed: int | list[int], first: str = "i0", last: str = "i1", key: str = "pos") -> DataFrame:
+    """(symbol, key, times): how often each of a symbol's events is drawn in as many draws as it has events; of several seeds also
+    seed. An event without an end is not drawn; keys are unique in a symbol.
+
+    Draws go by clocks: each event rings at the rate of its uniqueness given the draws so far, and the first rings of all, as many as there
+    are events, are the draws: the next one is each event's with a probability in proportion to its uniqueness, as in W7. Rings
+    depend on those of overlapping events alone, so slices of a symbol are drawn side by side, with some of their neighbours' events.
+    """
     from ..session import ship
 
     ship(events.sparkSession)
-    df = events.select("symbol", F.col(key).cast("long").alias(key), F.col(first).cast("long").alias(first), F.col(last).cast("long").alias(last)).filter(F.col(first).isNotNull() & F.col(last).isNotNull())
+    df = events.select("symbol", F.col(key).cast("long").alias("_key"), F.col(first).cast("long").alias("_a"), F.col(last).cast("long").alias("_b")).filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
     seeds = [seed] if isinstance(seed, int) else seed
-    df = df.withColumn("seed", F.explode(F.array(*(F.lit(s).cast("long") for s in seeds))))
-    # a few groups, each of much work: so many partitions that they seldom share one
-    out = df.repartition(200, "symbol", "seed").groupBy("symbol", "seed").applyInPandas(draw, f"symbol string, `{key}` long, seed long, times long")
-    return out.drop("seed") if isinstance(seed, int) else out
+    size = F.col("_b") - F.col("_a") + 1
+    facts = {r.symbol: r for r in df.groupBy("symbol").agg(F.count("*").alias("n"), F.sum(size).alias("size"), (F.max("_b") - F.min("_a") + 1).alias("bars")).collect()}
+    # draws till time t cover a bar n(t) * size / bars times about, so that the n-th comes at 1 + C / 2 or before
+    until = {s: (1 + r["size"] / r["bars"] / 2) * (1 + 4 / r["n"] ** 0.5) for s, r in facts.items()}
+    whole = [s for s, t in until.items() if t > PROPOSALS * (1 + 4 / facts[s]["n"] ** 0.5)]
+    until = {s: t for s, t in until.items() if s not in whole}
+    own = lambda names: F.lit(False) if not names else reduce(or_, (F.col("symbol").eqNullSafe(F.lit(s)) for s in names))
+    out = [_whole_draws(df.filter(own(whole)).withColumnRenamed("_key", key), seeds, key).select("symbol", key, "seed", "times")] if whole else []
+    while until:
+        parts = -(-max(facts[s]["n"] for s in until) // SLICE)
+        cuts = {s: np.zeros(0, dtype=np.int64) for s in until}
+        if parts > 1:
+            at = df.groupBy("symbol").agg(F.percentile_approx("_a", [k / parts for k in range(1, parts)], 100 * parts).alias("x")).collect()
+            for r in at:
+                if r.symbol in cuts:
+                    cuts[r.symbol] = np.unique(np.array(r.x[:: max(1, parts * SLICE // facts[r.symbol]["n"])], dtype=np.int64)) if facts[r.symbol]["n"] > SLICE else cuts[r.symbol]
+        beyond = {s: BEYOND * -(-facts[s]["size"] // facts[s]["n"]) for s in until}
+        drawn = _draws_in_slices(df.filter(own(list(until))), seeds, key, cuts, until, beyond).withColumn("bin", F.floor(F.col("at") * BINS))
+        counts = drawn.groupBy("symbol", "seed", "bin").agg(F.count("*").alias("n"))
+        counts = counts.withColumn("before", F.sum("n").over(W.partitionBy("symbol", "seed").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)))
+        wanted = df.sparkSession.createDataFrame([(s, facts[s]["n"]) for s in until], "_s string, wanted long")
+        counts = counts.withColumn("before", F.coalesce("before", F.lit(0))).join(F.broadcast(wanted), F.col("symbol").eqNullSafe(F.col("_s"))).drop("_s")
+        ends = {(r.symbol, r.seed): (r.bin, r.need) for r in counts.filter("before < wanted and before + n >= wanted").selectExpr("symbol", "seed", "bin", "wanted - before as need").collect()}
+        short = [s for s in until if any((s, x) not in ends for x in seeds)]
+        limits = df.sparkSession.createDataFrame([(s, x, *v) for (s, x), v in ends.items() if s not in short], "_s string, _x long, _bin long, _need long")
+        kept = drawn.join(F.broadcast(limits), F.col("symbol").eqNullSafe(F.col("_s")) & (F.col("seed") == F.col("_x")) & (F.col("bin") <= F.col("_bin")))
+        # the last bin alone is put in order
+        final = kept.filter("bin = _bin").withColumn("_r", F.row_number().over(W.partitionBy("symbol", "seed").orderBy("at", key))).filter("_r <= _need")
+        cols = ["symbol", key, "seed"]
+        out.append(kept.filter("bin < _bin").select(*cols).union(final.select(*cols)).groupBy(*cols).agg(F.count("*").alias("times")))
+        until = {s: 1.5 * until[s] for s in short}
+    if not out:
+        return df.select("symbol", F.col("_key").alias(key), F.lit(0).cast("long").alias("seed"), F.lit(0).cast("long").alias("times")).drop(*(["seed"] if isinstance(seed, int) else [])).limit(0)
+    whole_list = reduce(DataFrame.union, out)
+    return whole_list.drop("seed") if isinstance(seed, int) else whole_list
 
 
 def mean_uniqueness(spans: list[tuple[int, int]]) -> float:

@@ -238,6 +238,38 @@ def test_draw_lists_of_several_seeds_are_those_of_each(spark):
         assert sum(x[2] for x in one) == 60
 
 
+@pytest.mark.parametrize(("size", "beyond"), [(20, 64), (20, 0)])
+def test_draws_in_slices_are_those_of_whole_symbols(spark, monkeypatch, size, beyond):
+    from quantloom.operators import weights
+
+    df = spark.range(150).selectExpr("if(id % 3 = 0, 'a', 'b') as symbol", "id as pos", "id as i0", "id + id % 4 as i1").cache()
+    told = lambda: sorted(map(tuple, weights.bootstrap_counts(df, [3, 4]).collect()))
+    want, held = told(), []
+    draw = weights._draws_in_slices
+    monkeypatch.setattr(weights, "SLICE", size)
+    monkeypatch.setattr(weights, "BEYOND", beyond)
+    monkeypatch.setattr(weights, "_draws_in_slices", lambda *x: held.extend(map(len, x[3].values())) or draw(*x))
+    assert told() == want and max(held) >= 100 // size - 1
+    assert sum(r[3] for r in want) == 300
+
+
+def test_draws_by_clocks_are_as_likely_as_by_the_plain_form():
+    from quantloom.operators import weights
+
+    spans, found = np.array([[0, 2], [1, 3], [2, 2], [5, 6]]), ({}, {})
+    for seed in range(4000):
+        e, _, u = weights.proposals(weights._streams("a", np.arange(4), seed), 30.0)
+        sure, may = weights.thinned(spans, e, u)
+        assert (sure == may).all()
+        for out, drawn in zip(found, (e[sure][:4], weights.sequential_bootstrap(spans, 4, seed)), strict=True):
+            key = tuple(np.bincount(drawn, minlength=4))
+            out[key] = out.get(key, 0) + 1
+    one, other = found
+    cells = set(one) | set(other)
+    chi = sum((one.get(k, 0) - other.get(k, 0)) ** 2 / (one.get(k, 0) + other.get(k, 0)) for k in cells)
+    assert chi < 70  # of 34 degrees of freedom
+
+
 def test_mapped_rows_lie_in_parts_of_bounded_size(spark, monkeypatch):
     sizes, cut = [], learners.cut
     monkeypatch.setattr(learners, "MAPPED", 32 * 50, raising=False)
