@@ -212,6 +212,40 @@ def test_stored_orders_are_applied_as_one_by_one(spark):
         assert got[k] == pytest.approx(sum(a * sums[k - j] for j, a in enumerate(w)), abs=1e-9)
 
 
+def test_boxes_of_cells_tell_few_that_may_hold_a_nearer_row():
+    rng = np.random.default_rng(2)
+    x = np.round(rng.standard_normal((4000, 3)), 3)
+    tree = learners.Boxes(x[::5], 120)
+    cell = tree.cells(x)
+    own = np.unique(cell)
+    tree.fill(own, *(np.array([f(x[cell == c]) for c in own]) for f in (len, lambda v: v.min(axis=0), lambda v: v.max(axis=0))))
+    asks = rng.standard_normal((50, 3))
+    d = learners.squares(asks, x)
+    kth = np.sort(d, axis=1)[:, 4]
+    q, near = tree.near(asks, kth)
+    for k in range(50):
+        assert set(cell[d[k] <= kth[k]].tolist()) <= set(near[q == k].tolist())
+    assert len(q) / 50 < 15 and tree.count[1] == 4000
+    node, up = tree.first(asks, 100)
+    assert (tree.count[node] >= 100).all()
+    row, under = tree.below(node, up)
+    assert [tree.count[under[row == k] + tree.leaves].sum() for k in range(50)] == tree.count[node].tolist()
+
+
+def test_equal_rows_beyond_the_first_are_not_searched(spark, monkeypatch):
+    sizes, cut = [], learners.cut
+    monkeypatch.setattr(learners, "cut", lambda df: sizes.append(df.count() if "_cell" in df.columns and "symbol" in df.columns else 0) or cut(df))
+    x = np.repeat([[0.0, 0.0], [1.0, 2.0], [1.0, 2.5]], [300, 40, 3], axis=0)
+    y = (np.arange(343) % 3 == 0).astype(int)
+    model = learners.nearest_neighbours(["x0", "x1"], 5)(frame(spark, x, y).repartition(3))
+    got = {r.pos: r.score for r in model(frame(spark, np.array([[0.0, 0.0], [1.0, 2.0], [1.0, 2.6], [0.0, 0.0]]), [0] * 4)).collect()}
+    order = {k: ("a" if k % 3 else "b", k) for k in range(343)}
+    first = lambda rows, n: sorted(rows, key=order.get)[:n]
+    want = [first(range(300), 5), first(range(300, 340), 5), [340, 341, 342, *first(range(300, 340), 2)]]
+    assert [got[k] for k in (0, 1, 2, 3)] == [pytest.approx(y[want[k]].mean()) for k in (0, 1, 2, 0)]
+    assert max(sizes) == 13
+
+
 def test_distances_that_only_their_roots_make_equal(spark):
     """Two rows whose squared distances differ in the last bit, though their roots do not: the nearer one counts, not the first."""
     rng = np.random.default_rng(5)
