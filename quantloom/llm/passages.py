@@ -595,8 +595,8 @@ def _leader_links(windows_: DataFrame, links: DataFrame, whole: DataFrame, block
     turn = F.expr(f"row_number() over (partition by block, place order by size(matches) desc, {', '.join(_REP)})")
     best = written(_pairs(left(links)).withColumn("turn", turn).filter("turn = 1").drop("turn"))
     told = _verified(best, blocks)
-    more = left(links.union(_links(told))).join(best.select(*_REP, "block", "place"), [*_REP, "block", "place"], "left_anti")
-    every = told.union(_verified(written(_pairs(more)), blocks))
+    more = _pairs(left(links.union(_links(told)))).join(best.select(*_REP, "block", "place"), [*_REP, "block", "place"], "left_anti")
+    every = told.union(_verified(written(more), blocks))
     return _links(every), every.select(F.explode("missed").alias("name")).distinct()
 
 
